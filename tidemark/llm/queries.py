@@ -1,9 +1,10 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import sharding, tokencount, topk, urlfilter
+from . import bpe, sharding, tokencount, topk, urlfilter
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
+    "op2_bpe": bpe.op2_bpe,
     "op3_token_counts": tokencount.op3_token_counts,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_topk_search": topk.op10_topk_search,

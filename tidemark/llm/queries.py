@@ -1,11 +1,13 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import bpe, sharding, tokencount, topk, urlfilter
+from . import bpe, decontaminate, langid, sharding, tokencount, topk, urlfilter
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_bpe": bpe.op2_bpe,
     "op3_token_counts": tokencount.op3_token_counts,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_language": langid.op8_language,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_topk_search": topk.op10_topk_search,
 }

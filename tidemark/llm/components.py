@@ -42,3 +42,29 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
         now = step
     ids = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def similar_enough(a: str, b: str, percent: int):
+    """Sets whose sizes alone rule out the similarity don't pass."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def link_collisions(met: DataFrame, percent: int, confirm, name: str) -> DataFrame:
+    """id, component from met (key, id, n, low, n_low): nodes of n members that share a key, and the key's least node.
+
+    First each node is held against the least of its keys: stars, not all pairs. Confirmed links give
+    components; keys that still hold several are searched for every pair across them. confirm(pairs (a, b), name)
+    returns the pairs that are links; b is the side that may recur without bound.
+    """
+    star = met.where((F.col("id") > F.col("low")) & similar_enough("n", "n_low", percent)).select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    star = settle(star, f"{name}-star")
+    found = settle(components(confirm(star, "1"), "a", "b", f"{name}-1"), f"{name}-found")
+
+    placed = met.select("key", "id", "n").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+    mixed = settle(placed.join(split, "key"), f"{name}-mixed")
+    x, y = (mixed.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("c").alias(f"c_{i}")) for i in "ab")
+    across = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_enough("n_a", "n_b", percent))
+    rest = across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(rest, "2"))
+    return settle(components(links, "a", "b", f"{name}-2"), f"{name}-final")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, shared_dir, slices, table, worker_cache
-from .components import components
+from .components import link_collisions
 
 BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 7, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
@@ -137,11 +137,6 @@ def prints(docs: DataFrame, n: int, parts: int) -> DataFrame:
     return docs.repartition(parts, "doc_id").mapInArrow(make, PRINTS)
 
 
-def similar_enough(a: str, b: str, percent: int):
-    """Sets whose sizes alone rule out the similarity don't pass."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose registers allow the similarity: the estimate is at most five deviations below it."""
     low = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
@@ -205,21 +200,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     shared = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).where("least.id < most").select("key", F.col("least.id").alias("low"), F.col("least.n").alias("n_low"))
     met = settle(banded.join(shared, "key"), f"{name}-met")
 
-    star = met.where((F.col("id") > F.col("low")) & similar_enough("n", "n_low", percent)).select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    star = settle(star, f"{name}-star")
     regs = plain.where("n > 0").select("doc_id", "n", "regs")
-    first = confirmed(estimated(star, regs, percent), bucketed, n, percent, f"{name}-1")
-    found = settle(components(first, "a", "b", f"{name}-1"), f"{name}-found")
-
-    placed = met.select("key", "id", "n").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    mixed_up = settle(placed.join(split, "key"), f"{name}-mixed")
-    x, y = (mixed_up.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("c").alias(f"c_{i}")) for i in "ab")
-    across = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_enough("n_a", "n_b", percent))
-    rest = across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    second = confirmed(estimated(rest, regs, percent), bucketed, n, percent, f"{name}-2")
-    links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(second)
-    final = settle(components(links, "a", "b", f"{name}-2"), f"{name}-final")
+    final = link_collisions(met, percent, lambda pairs, at: confirmed(estimated(pairs, regs, percent), bucketed, n, percent, f"{name}-{at}"), name)
 
     placed = members.select("doc_id", "rep").distinct().join(final, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     whole = bucketed.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(placed, "doc_id", "left")

@@ -1,12 +1,13 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import bpe, decontaminate, langid, neardup, sharding, tokencount, topk, urlfilter
+from . import bpe, decontaminate, langid, neardup, sharding, substrings, tokencount, topk, urlfilter
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_bpe": bpe.op2_bpe,
     "op3_token_counts": tokencount.op3_token_counts,
     "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op6_repeated_passages": substrings.op6_repeated_passages,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language": langid.op8_language,
     "op9_url_filter": urlfilter.op9_url_filter,

@@ -1,11 +1,12 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import bpe, decontaminate, langid, neardup, sharding, substrings, tokencount, topk, urlfilter
+from . import bpe, decontaminate, langid, neardup, sharding, substrings, tokencount, topk, urlfilter, warc
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_bpe": bpe.op2_bpe,
     "op3_token_counts": tokencount.op3_token_counts,
+    "op4_warc_fixity": warc.op4_warc_fixity,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_repeated_passages": substrings.op6_repeated_passages,
     "op7_decontaminate": decontaminate.op7_decontaminate,

@@ -171,32 +171,58 @@ def training_windows(docs: DataFrame, per_language: int, width: int) -> tuple[li
     return languages, np.frombuffer(b"".join(windows), np.uint8).reshape(-1, width), np.array(labels)
 
 
-def identify(docs: DataFrame, per_language: int = 1_200, width: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out boolean, lang_pred string, score double, for every row of docs."""
+def judge(texts: list[str], has_letter: list, model: dict, languages: list[str], width: int) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text of a batch."""
+    known = np.array([bool(languages) and bool(x) for x in has_letter])
+    data = [t.encode() if k else b"" for t, k in zip(texts, known)]
+    total = np.zeros((len(data), max(1, len(languages))))
+    if known.any():
+        x, counts = cut_windows(data, width)
+        owner = np.repeat(np.arange(len(data)), counts)
+        for at in range(0, len(x), 4096):
+            np.add.at(total, owner[at : at + 4096], label_positions(model, x[at : at + 4096]))
+    mean = total / np.maximum([len(t) for t in data], 1)[:, None]
+    prob = np.exp(mean - mean.max(1, keepdims=True))
+    prob /= prob.sum(1, keepdims=True)
+    return [languages[b] if k else UND for b, k in zip(prob.argmax(1), known)], np.where(known, prob.max(1), 0.0)
+
+
+def fitted(docs: DataFrame, per_language: int, width: int, id_col: str, text_col: str, lang_col: str) -> tuple[dict, list[str]]:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     languages, windows, labels = training_windows(base, per_language, width)
-    model = train(windows, labels, len(languages)) if languages else {}
+    return (train(windows, labels, len(languages)) if languages else {}), languages
+
+
+def identify(docs: DataFrame, per_language: int = 1_200, width: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, held_out boolean, lang_pred string, score double, for every row of docs."""
+    model, languages = fitted(docs, per_language, width, id_col, text_col, lang_col)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def predict(batches):
         for batch in slices(batches):
-            known = np.array([bool(languages) and bool(x) for x in batch.column(2).to_pylist()])
-            texts = [t.encode() if k else b"" for t, k in zip(batch.column(1).to_pylist(), known)]
-            total = np.zeros((len(texts), max(1, len(languages))))
-            length = np.array([len(t) for t in texts])
-            if known.any():
-                x, counts = cut_windows(texts, width)
-                owner = np.repeat(np.arange(len(texts)), counts)
-                for at in range(0, len(x), 4096):
-                    np.add.at(total, owner[at : at + 4096], label_positions(model, x[at : at + 4096]))
-            mean = total / np.maximum(length, 1)[:, None]
-            prob = np.exp(mean - mean.max(1, keepdims=True))
-            prob /= prob.sum(1, keepdims=True)
-            best = prob.argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([languages[b] if k else UND for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, prob.max(1), 0.0))], schema=PREDICTED)
+            found, score = judge(batch.column(1).to_pylist(), batch.column(2).to_pylist(), model, languages, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(score)], schema=PREDICTED)
 
     told = base.select("doc_id", text_or_empty("text").alias("text"), F.col("text").rlike(r"\p{L}").alias("has_letter")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def keep_known_languages(docs: DataFrame, min_score: float = 0.4, per_language: int = 1_200, width: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language can be told: those that are "und", or score below min_score, go. With no labelled row nothing can be told, and all with a letter stay."""
+    model, languages = fitted(docs, per_language, width, id_col, text_col, lang_col)
+    letter = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+    if not languages:
+        return docs.where(letter)
+
+    def keep(batches):
+        for batch in slices(batches):
+            texts = batch.column(batch.num_columns - 2).to_pylist()
+            _, score = judge(texts, batch.column(batch.num_columns - 1).to_pylist(), model, languages, width)
+            yield batch.filter(pa.array(score >= min_score)).select(list(range(batch.num_columns - 2)))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(*columns, text_or_empty(text_col).alias("__text"), letter.alias("__letter")).mapInArrow(keep, docs.schema)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import settle, shared_dir, slices, table, worker_cache
 from .components import link_collisions
@@ -39,7 +40,7 @@ BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 7, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
 #: For each bucket the order in which others lend it a register.
 LENDERS = np.stack([np.random.default_rng(1000 + i).permutation(BUCKETS) for i in range(BUCKETS)]).astype(np.uint8)
-PRINTS = "doc_id long, text string, n int, fp1 long, fp2 long, regs binary"
+PRINTS = "n int, fp1 long, fp2 long, regs binary"
 
 
 class WordHashes(dict):
@@ -132,9 +133,10 @@ def prints(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 fp1.append((fp >> 64) - (1 << 63))
                 fp2.append((fp & ((1 << 64) - 1)) - (1 << 63))
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "text", "n", "fp1", "fp2", "regs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(regs, pa.binary())], [*batch.schema.names, "n", "fp1", "fp2", "regs"])
 
-    return docs.repartition(parts, "doc_id").mapInArrow(make, PRINTS)
+    schema = T.StructType(docs.schema.fields + T._parse_datatype_string(PRINTS).fields)
+    return docs.repartition(parts, "doc_id").mapInArrow(make, schema)
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -174,14 +176,13 @@ def confirmed(pairs: DataFrame, bucketed: DataFrame, n: int, percent: int, name:
     return settle(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles long, component_id (the least doc_id reachable), kept boolean; one row a row of docs."""
+def search(docs: DataFrame, n: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The bucketed table of docs (doc_id, text and any others), and doc_id, component_id of those with a set."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"neardup_{uuid.uuid4().hex}"
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints(base, n, parts).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "doc_id").saveAsTable(name)
-    bucketed, plain = spark.table(name), spark.read.schema(PRINTS).parquet(f"{shared_dir(spark)}/{name}")
+    prints(docs, n, parts).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "doc_id").saveAsTable(name)
+    bucketed = spark.table(name)
+    plain = spark.read.schema(bucketed.schema).parquet(f"{shared_dir(spark)}/{name}")
 
     sets = plain.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "fp1", "fp2", "n")
     classes = sets.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
@@ -204,14 +205,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     final = link_collisions(met, percent, lambda pairs, at: confirmed(estimated(pairs, regs, percent), bucketed, n, percent, f"{name}-{at}"), name)
 
     placed = members.select("doc_id", "rep").distinct().join(final, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    return bucketed, placed
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles long, component_id (the least doc_id reachable), kept boolean; one row a row of docs."""
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    bucketed, placed = search(base, n, percent, f"neardup_{uuid.uuid4().hex}")
     whole = bucketed.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(placed, "doc_id", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which near_duplicates keeps the document: one of each group, the one of least id."""
-    gone = near_duplicates(docs, n, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """The rows of docs of which near_duplicates keeps the document: of each group the document of least id; rows without a set stay."""
+    rest = [c for c in docs.columns if c != text_col]
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rec"))
+    bucketed, placed = search(base, n, percent, f"neardup_{uuid.uuid4().hex}")
+    kept = bucketed.select("doc_id", "text", "rec").join(placed, "doc_id", "left").where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rec.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 1. Documents are read in blocks of bounded size. A block keeps the sequence of its pre-tokens as
    positions into the list of its distinct pre-tokens, and is written to the shared folder, bucketed by
    block number.
-2. The blocks' distinct pre-tokens are exploded with their positions and dealt by the word itself, so all
-   copies of a word meet in one task, sorted; the word is encoded there once. A word has one row a block
-   at most, so the commonest word has no more rows than there are blocks: no group is hot.
+2. The blocks' distinct pre-tokens are exploded into groups by a hash of the word, each group sorted and
+   packed, and dealt by group, so all copies of a word meet in one task; the word is encoded there once.
+   A word comes from a block once at most, so the commonest word weighs no more than there are blocks.
 3. The ids are dealt back by block, meet the block's sequence (which is not shuffled again, being bucketed
    by the same key) and are put in order of position.
 
@@ -29,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table, text_or_empty, worker_cache
+from .common import shared_dir, slices, table, text_or_empty, tidy, worker_cache
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCKS = "block long, doc_ids array<bigint>, counts array<int>, codes binary, words array<string>"
+BLOCKS = "block long, doc_ids array<bigint>, counts array<int>, codes binary, order binary, groups array<struct<g:int,words:binary>>"
+#: Ends a pre-token in a packed group; no UTF-8 text holds this byte.
+END = b"\xff"
+#: Encoded words that a task of step 2 holds at once.
+HELD_WORDS = 400_000
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 #: A vocabulary may have so many entries to be held by every task.
 MAX_VOCABULARY = 1_000_000
@@ -77,10 +81,26 @@ def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray, step: int =
     return b"".join(out)
 
 
-def cut_blocks(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """Blocks of documents: sequences of positions in each block's own list of distinct pre-tokens."""
+def planes(codes: list[np.ndarray]) -> bytes:
+    """All codes, low bytes first, then the next, and so on: as many planes as are needed, which compress better than whole integers."""
+    flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+    n = max(1, (int(flat.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4)[:, :n].T).tobytes()
+
+
+def from_planes(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 4), np.uint8)
+    if size:
+        own = np.frombuffer(data, np.uint8).reshape(-1, size)
+        out[:, : len(own)] = own.T
+    return out.view(np.int32).ravel()
+
+
+def cut_blocks(docs: DataFrame, pattern: str, block_bytes: int, groups: int) -> DataFrame:
+    """Blocks of documents: sequences of positions (codes) in each block's own list of distinct pre-tokens; order has the codes as they stand in groups."""
 
     def cut(batches):
+        import xxhash
         import regex
         from pyspark import TaskContext
 
@@ -88,83 +108,98 @@ def cut_blocks(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
         ids, counts, codes, size, words = [], [], [], 0, None
 
         def block():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | made]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(codes)], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))],
-                ["block", "doc_ids", "counts", "codes", "words"],
-            )
-
-        for batch in slices(batches):
+            dealt = defaultdict(list)
+            for word, code in words.items():
+                word = word.encode()
+                dealt[xxhash.xxh3_64_intdigest(word) % groups].append((word, code))
+            order, packed = [], []
+            for g in sorted(dealt):
+                own = sorted(dealt.pop(g))
+                order += [c for _, c in own]
+                packed.append({"g": g, "words": END.join(w for w, _ in own)})
+            columns = [([part << 32 | made], pa.int64()), ([ids], pa.list_(pa.int64())), ([counts], pa.list_(pa.int32())), ([planes(codes)], pa.binary()), ([np.array(order, np.int32).tobytes()], pa.binary()), ([packed], pa.list_(pa.struct([("g", pa.int32()), ("words", pa.binary())])))]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["block", "doc_ids", "counts", "codes", "order", "groups"])
+
+        for batch in slices(batches, 64):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if words is None:
                     words = defaultdict(counter().__next__)
                 found = split(text)
                 ids.append(doc_id)
                 counts.append(len(found))
-                codes.append(np.array(list(map(words.__getitem__, found)), np.int32).tobytes())
+                codes.append(np.array(list(map(words.__getitem__, found)), np.int32))
                 size += len(text) + 64
                 if size >= block_bytes:
                     yield block()
                     made += 1
                     ids, counts, codes, size, words = [], [], [], 0, None
+                    tidy()
         if ids:
             yield block()
+        del ids, counts, codes, words
+        tidy()
 
     return docs.mapInArrow(cut, BLOCKS)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long, n_tokens long, ids binary (little-endian unsigned 32-bit integers), one row a document."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     n = min(20_000, max(8, 2 * texts.rdd.getNumPartitions()))
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    cut_blocks(texts, pattern, block_bytes).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "block").saveAsTable(name)
+    cut_blocks(texts, pattern, block_bytes, groups).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "block").saveAsTable(name)
     blocks = spark.table(name)
+    kind = np.uint16 if len(read_ranks(ranks_path)) <= 1 << 16 else np.uint32
 
     def encode_words(batches):
-        enc = encoder(ranks_path, pattern)
-        last = packed = None
-        for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, packed = word, np.array(enc._encode_single_piece(word.encode()), np.uint32).tobytes()
-                out.append(packed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "code", "ids"])
-
-    words = blocks.select("block", F.posexplode("words").alias("code", "word")).repartition("word").sortWithinPartitions("word")
-    encoded = words.mapInArrow(encode_words, "block long, code int, ids binary").repartition(n, "block")
-    by_block = encoded.groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("map"))
+        enc, known = encoder(ranks_path, pattern), {}
+        for batch in slices(batches, 64):
+            lens, ids = [], []
+            for packed in batch.column(2).to_pylist():
+                found = []
+                for word in packed.split(END):
+                    if (tokens := known.get(word)) is None:
+                        if len(known) >= HELD_WORDS:
+                            known.clear()
+                        tokens = known[word] = np.array(enc._encode_single_piece(word), kind).tobytes()
+                    found.append(tokens)
+                lens.append((np.array(list(map(len, found)), np.uint32) // np.dtype(kind).itemsize).astype(np.uint32).tobytes())
+                ids.append(b"".join(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lens, pa.binary()), pa.array(ids, pa.binary())], ["block", "g", "lens", "ids"])
+
+    words = blocks.select("block", F.explode("groups").alias("p")).select("block", "p.g", "p.words").repartitionById(groups, F.col("g"))
+    encoded = words.mapInArrow(encode_words, "block long, g int, lens binary, ids binary").repartition(n, "block")
+    by_block = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("g", "lens", "ids"))).alias("map"))
 
     def assemble(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, counts, codes, found = (batch.column(c).slice(r, 1) for c in range(4))
-                codes = np.frombuffer(codes[0].as_py(), np.int32)
-                pairs = found.flatten()
-                size = np.zeros(len(pairs), np.int64)
-                order = np.asarray(pairs.field(0)) if len(pairs) else np.zeros(0, np.int64)
-                ragged = pairs.field(1) if len(pairs) else pa.array([], pa.binary())
-                edges = np.frombuffer(ragged.buffers()[1], np.int32)[ragged.offset : ragged.offset + len(ragged) + 1].astype(np.int64) if len(pairs) else np.zeros(1, np.int64)
-                flat = np.frombuffer(ragged.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(np.uint32) if len(pairs) else np.zeros(0, np.uint32)
-                place = np.empty(len(pairs), np.int64)
-                place[order] = np.arange(len(pairs))  # where a code's ids stand
-                starts = (edges - edges[0]) // 4
-                at, doc_ids, n_tokens, out, size = 0, [], [], [], 0
-                for doc_id, n_words in zip(ids[0].as_py(), counts[0].as_py()):
-                    packed = gather(flat, starts, place[codes[at : at + n_words]])
+                doc_ids, counts, codes, order, dealt = (column[r].as_py() for column in batch.columns)
+                codes, order = from_planes(codes, sum(counts)), np.frombuffer(order, np.int32)
+                lens = np.frombuffer(b"".join(x["lens"] for x in dealt or ()), np.uint32)
+                flat = np.frombuffer(b"".join(x["ids"] for x in dealt or ()), kind).astype(np.uint32)
+                starts = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))  # where a code's ids stand
+                at, ids, n_tokens, out, size = 0, [], [], [], 0
+                for doc_id, n_words in zip(doc_ids, counts):
+                    ids.append(doc_id)
+                    out.append(gather(flat, starts, place[codes[at : at + n_words]]))
+                    n_tokens.append(len(out[-1]) // 4)
                     at += n_words
-                    doc_ids.append(doc_id)
-                    n_tokens.append(len(packed) // 4)
-                    out.append(packed)
-                    size += len(packed)
-                    if size >= 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(out, pa.binary())], schema=ENCODED)
-                        doc_ids, n_tokens, out, size = [], [], [], 0
-                if doc_ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(out, pa.binary())], schema=ENCODED)
-
-    return blocks.select("block", "doc_ids", "counts", "codes").join(by_block, "block", "left").select("doc_ids", "counts", "codes", "map").mapInArrow(assemble, "doc_id long, n_tokens long, ids binary")
+                    size += len(out[-1])
+                    if size >= 4 << 20 or at == len(codes):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(out, pa.binary())], schema=ENCODED)
+                        ids, n_tokens, out, size = [], [], [], 0
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(out, pa.binary())], schema=ENCODED)
+                del codes, order, lens, flat, starts, place, out, dealt
+                tidy()
+
+    whole = blocks.select("block", "doc_ids", "counts", "codes", "order").join(by_block, "block", "left")
+    return whole.select("doc_ids", "counts", "codes", "order", "map").mapInArrow(assemble, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

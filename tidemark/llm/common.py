@@ -24,8 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor costs a re-read."""
+def settle(df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor costs a re-read.
+
+    Hashes and ids don't compress, and codecs hold native memory; texts want "zstd".
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
@@ -44,11 +47,28 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def few_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in no more tasks than so many rows are worth, where its partitions are many and small; large tables stay as they are."""
+    tasks = max(6, rows // each + 1)
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, so tasks that reuse the worker find what earlier ones built."""
     return sys.modules["sys"].__dict__.setdefault("_tidemark_worker_cache", {})
 
 
+def tidy() -> None:
+    """Give freed memory back to the system, between large pieces of work in a Python worker."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in small slices: Python copies of texts stay few at a time."""
     for batch in batches:

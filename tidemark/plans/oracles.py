@@ -213,7 +213,11 @@ walk AS (
       FROM walk k JOIN numbered b ON b.asset = k.asset AND b.n = k.n + 1)))"""
 
 
-def rounded(names) -> str:
+def rounded(names, digits: int | None = 6) -> str:
+    if digits is None:
+        return ", ".join(names)
+    if digits == 0:  # seven digits, for large running totals
+        return ", ".join(f"CAST(CAST({n} AS FLOAT) AS DOUBLE) AS {n}" for n in names)
     return ", ".join(f"round(CAST({n} AS DOUBLE), 6) + 0.0 AS {n}" for n in names)
 
 
@@ -226,11 +230,16 @@ def staged(source: str, stages: list[dict[str, str]], first: str = "bars") -> tu
     return ",\n".join(parts), last
 
 
-def indicator_sql(key: str, hours: int = 4) -> str | None:
+#: Running totals and products, too large for six decimals.
+LARGE = ("accumulation_distribution_line", "on_balance_volume", "price_volume_trend", "negative_volume_index", "positive_volume_index")
+
+
+def indicator_sql(key: str, hours: int = 4, digits: int | None = 6) -> str | None:
     names = catalogue().columns[key]
+    digits = 0 if digits and key in LARGE else digits
     if key in INDICATORS:
         ctes, last = staged(event_bars(hours), INDICATORS[key])
-        return f"WITH {ctes}\nSELECT asset, date, {rounded(names)} FROM {last}"
+        return f"WITH {ctes}\nSELECT asset, date, {rounded(names, digits)} FROM {last}"
     start = f"WITH RECURSIVE {event_bars(hours)},"
     if key == "ehlers_super_smoother_filter":
         return f"{start} {SMOOTHER} SELECT asset, date, round(y, 6) + 0.0 AS super_smoother_10 FROM walk JOIN numbered USING (asset, n)"
@@ -242,3 +251,71 @@ o AS (SELECT *, {div('c', f"sqrt({sma('c2', 10)})")} AS even_better_sinewave_10
     if key == "parabolic_sar":
         return f"{start} {PSAR}, o AS (SELECT asset, date, stop AS psar_0p02_0p2, side AS psar_trend_0p02_0p2, rate AS psar_af_0p02_0p2, {div('close - stop', 'stop')} AS psar_distance_0p02_0p2 FROM walk JOIN numbered USING (asset, n)) SELECT asset, date, {rounded(names)} FROM o"
     return None
+
+
+def features_sql(keys: list[str]) -> str:
+    """Unrounded columns of several indicators with the bars, as a query."""
+    out = f"(WITH {event_bars(4)} SELECT * FROM bars) bars"
+    for i, key in enumerate(keys):
+        names = [n for n in catalogue().columns[key] if n != "vix"]
+        out += f" JOIN (SELECT asset, date, {', '.join(names)} FROM ({indicator_sql(key, digits=None)})) f{i} USING (asset, date)"
+    return f"SELECT * FROM {out}"
+
+
+RETURNS = {"1d": 1, "4d": 4, "24d": 24}
+
+
+def lead(x: str, k: int) -> str:
+    return f"(lead({x}, {k}) OVER (PARTITION BY asset ORDER BY date))"
+
+
+def returns_sql(source: str = "bars") -> str:
+    """CTEs r (forward returns) and cs (their deviations across assets, and scaled)."""
+    r = ", ".join(f"{div(lead('close', h), 'close')} - 1 AS future_return_{x}" for x, h in RETURNS.items())
+    std = ", ".join(f"CASE WHEN count(future_return_{x}) OVER (PARTITION BY date) >= 3 AND stddev_samp(future_return_{x}) OVER (PARTITION BY date) >= 1e-12 THEN stddev_samp(future_return_{x}) OVER (PARTITION BY date) END AS future_return_cs_std_{x}" for x in RETURNS)
+    scaled = ", ".join(f"future_return_{x} / future_return_cs_std_{x} AS future_return_cs_scaled_{x}" for x in RETURNS)
+    return f"r AS (SELECT *, {r} FROM {source}), cs0 AS (SELECT *, {std} FROM r), cs AS (SELECT *, {scaled} FROM cs0)"
+
+
+#: Columns of the signal queries, by rule, with the indicators that they come from.
+SIGNALS = {
+    "centered_oscillator": {"bop": "balance_of_power", "roc_10": "rate_of_change", "cmo_14": "chande_momentum_oscillator", "macd_hist_12_26_9": "macd"},
+    "extreme_zone_oscillator": {"mfi_14": "money_flow_index", "stochastic_k_14_3": "stochastic_oscillator", "cci_20": "commodity_channel_index", "rsi_14": "rsi"},
+    "trend_filter": {"efficiency_ratio_10": "efficiency_ratio", "cti_20": "correlation_trend_indicator", "fib_wma_10": "fibonacci_weighted_moving_average"},
+    "volume_confirmation": {"cmf_20": "chaikin_money_flow", "obv": "on_balance_volume"},
+    "bollinger": {"bb_percent_b_20_2": "bollinger_bands"},
+}
+# fixed values
+LIMITS = {"mfi_14": (0, 100), "stochastic_k_14_3": (0, 100), "cci_20": (-200, 200), "rsi_14": (0, 100)}
+
+
+def signals_sql(rules: list[str], source: str = "feats", extra: str = "") -> str:
+    """CTEs ending in sig: long signals of the columns of SIGNALS."""
+    rows = []
+    for rule in rules:
+        for c in SIGNALS[rule]:
+            lo, hi = LIMITS.get(c, ("NULL", "NULL"))
+            x, base = c, c
+            if rule in ("trend_filter", "volume_confirmation"):
+                base = f"{c} - {lag(c)}"
+            elif rule == "extreme_zone_oscillator":
+                base = f"({lo} + {hi}) / 2.0 - CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, {lo}), {hi}) END"
+            elif rule == "bollinger":
+                x, lo, hi = "close", "bb_lower_20_2", "bb_upper_20_2"
+                base = f"CASE WHEN {lo} IS NOT NULL AND {hi} IS NOT NULL THEN greatest(close - {hi}, {lo} - close, 0) END"
+            rows.append(f"SELECT asset, date, '{c}' AS indicator_name, '{rule}' AS rule, CAST({x} AS DOUBLE) AS value, CAST({base} AS DOUBLE) AS b, CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi{extra} FROM {source}")
+    g = "OVER (PARTITION BY date, indicator_name)"
+    return f"""raw AS ({' UNION ALL '.join(rows)}),
+l1 AS (SELECT *, count(b) {g} - CASE WHEN b IS NULL THEN 0 ELSE 1 END AS n, coalesce(sum(b) {g}, 0) - coalesce(b, 0) AS s, coalesce(sum(b * b) {g}, 0) - coalesce(b * b, 0) AS q FROM raw),
+l2 AS (SELECT *, CASE WHEN n > 0 THEN s / n END AS mu, CASE WHEN n > 1 THEN sqrt(greatest((q - s * s / n) / (n - 1), 0)) END AS sd0 FROM l1),
+l3 AS (SELECT *, CASE WHEN sd0 >= 1e-12 THEN sd0 END AS sd FROM l2),
+l4 AS (SELECT *, CASE WHEN rule = 'bollinger' THEN b / sd ELSE (b - mu) / sd END AS z, CASE WHEN b IS NULL THEN NULL WHEN value > hi THEN 1 WHEN value < lo THEN -1 ELSE 0 END AS beyond FROM l3),
+sig AS (SELECT *, CAST(CASE rule WHEN 'centered_oscillator' THEN sign(value) WHEN 'extreme_zone_oscillator' THEN CASE WHEN value IS NULL THEN NULL WHEN b > 0 THEN 1 ELSE -1 END WHEN 'trend_filter' THEN sign(z) WHEN 'volume_confirmation' THEN sign(b) ELSE beyond END AS DOUBLE) AS signal_direction,
+  CASE WHEN coalesce(CASE rule WHEN 'extreme_zone_oscillator' THEN value BETWEEN lo AND hi WHEN 'bollinger' THEN beyond <> 0 AND abs(z) > 2 ELSE abs(z) > 2 END, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS signal_active,
+  CASE WHEN rule = 'extreme_zone_oscillator' THEN abs(b) ELSE abs(z) END AS signal_strength, CASE WHEN rule = 'bollinger' THEN beyond * abs(z) ELSE z END AS signal_signed_value FROM l4)"""
+
+
+def target_rows(source: str = "sig") -> str:
+    """CTE tgt: signals times horizons with the binary target (tau 0)."""
+    parts = [f"SELECT *, '{x}' AS horizon, future_return_cs_scaled_{x} AS fr FROM {source}" for x in RETURNS]
+    return f"tgt AS (SELECT *, CASE WHEN signal_active = 1 AND signal_direction IS NOT NULL AND fr IS NOT NULL THEN CASE WHEN signal_direction * fr > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS target FROM ({' UNION ALL '.join(parts)}))"

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import col
 
 from ..config import INDICATOR_DEFAULTS, merged, token
 from ..functions import windows as X
@@ -54,19 +55,17 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     """All 69 indicators. Without volume or vix the columns that need them are null."""
     c, P = merged(INDICATOR_DEFAULTS, config), panel
     cat = Catalogue(panel)
-    close, high, low, open_ = (F.col(x) for x in ("close", "high", "low", "open"))
-    vol = F.col("volume")
     null = lambda: F.lit(None).cast("double")
     v = (lambda make, *needs: (make, *needs)) if volume else (lambda make, *needs: (null,))
     kv = (lambda *spec: spec) if volume else (lambda *spec: (null,))
 
     cat.define(
-        hlc_average=(lambda: (high + low + close) / 3,), median_price=(lambda: (high + low) / 2,), ohlc_average=(lambda: (open_ + high + low + close) / 4,),
-        true_range=(lambda: F.greatest(high - low, F.abs(high - P.lag("close")), F.abs(low - P.lag("close"))),),
+        hlc_average=(lambda: (col("high") + col("low") + col("close")) / 3,), median_price=(lambda: (col("high") + col("low")) / 2,), ohlc_average=(lambda: (col("open") + col("high") + col("low") + col("close")) / 4,),
+        true_range=(lambda: F.greatest(col("high") - col("low"), F.abs(col("high") - P.lag("close")), F.abs(col("low") - P.lag("close"))),),
         simple_return_1=(lambda: P.change("close"),), log_return_1=(lambda: X.log_positive("close") - P.lag(X.log_positive("close")),),
         _position=(lambda: F.row_number().over(P.ordered()).cast("double"),), _delta=(lambda: P.diff("close"),),
         _up=(lambda: F.greatest("_delta", F.lit(0.0)) * F.when(F.col("_delta").isNotNull(), 1), "_delta"), _down=(lambda: F.greatest(-F.col("_delta"), F.lit(0.0)) * F.when(F.col("_delta").isNotNull(), 1), "_delta"),
-        _range=(lambda: high - low,), _mfv=v(lambda: sdiv((close - low) - (high - close), high - low) * vol),
+        _range=(lambda: col("high") - col("low"),), _mfv=v(lambda: sdiv((col("close") - col("low")) - (col("high") - col("close")), col("high") - col("low")) * col("volume")),
     )
 
     # bands and channels
@@ -76,7 +75,7 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.add("bollinger_bands", "band_channel_level", **{
         mid: (lambda: P.mean("close", n),), "_bb_std": (lambda: P.std("close", n),),
         up: (lambda: F.col(mid) + k * F.col("_bb_std"), mid, "_bb_std"), down: (lambda: F.col(mid) - k * F.col("_bb_std"), mid, "_bb_std"),
-        f"bb_bandwidth_{s}": (lambda: sdiv(F.col(up) - F.col(down), mid), mid, up, down), f"bb_percent_b_{s}": (lambda: sdiv(close - F.col(down), F.col(up) - F.col(down)), up, down),
+        f"bb_bandwidth_{s}": (lambda: sdiv(F.col(up) - F.col(down), mid), mid, up, down), f"bb_percent_b_{s}": (lambda: sdiv(col("close") - F.col(down), F.col(up) - F.col(down)), up, down),
     })
     dn = c["donchian"]["window"]
     cat.add("donchian_channel", "band_channel_level", **{
@@ -93,10 +92,10 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     })
     an = c["acceleration_bands"]["window"]
     au, al = f"accbands_upper_{an}", f"accbands_lower_{an}"
-    cat.define(_acc=(lambda: 4 * sdiv(high - low, high + low),), _acc_up=(lambda: high * (1 + F.col("_acc")), "_acc"), _acc_down=(lambda: low * (1 - F.col("_acc")), "_acc"))
+    cat.define(_acc=(lambda: 4 * sdiv(col("high") - col("low"), col("high") + col("low")),), _acc_up=(lambda: col("high") * (1 + F.col("_acc")), "_acc"), _acc_down=(lambda: col("low") * (1 - F.col("_acc")), "_acc"))
     cat.add("acceleration_bands", "band_channel_level", **{
         f"accbands_middle_{an}": (lambda: P.mean("close", an),), au: (lambda: P.mean("_acc_up", an), "_acc_up"), al: (lambda: P.mean("_acc_down", an), "_acc_down"),
-        f"accbands_width_{an}": (lambda: sdiv(F.col(au) - F.col(al), f"accbands_middle_{an}"), au, al, f"accbands_middle_{an}"), f"accbands_percent_b_{an}": (lambda: sdiv(close - F.col(al), F.col(au) - F.col(al)), au, al),
+        f"accbands_width_{an}": (lambda: sdiv(F.col(au) - F.col(al), f"accbands_middle_{an}"), au, al, f"accbands_middle_{an}"), f"accbands_percent_b_{an}": (lambda: sdiv(col("close") - F.col(al), F.col(au) - F.col(al)), au, al),
     })
 
     # centred oscillators
@@ -110,11 +109,11 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.add("accumulation_distribution_oscillator", centred, **{f"ado_{f2}_{s2}": (lambda: F.col("_ado_fast") - F.col("_ado_slow"), "_ado_fast", "_ado_slow")})
     af, as_ = c["awesome"]["fast"], c["awesome"]["slow"]
     cat.add("awesome_oscillator", centred, **{f"awesome_oscillator_{af}_{as_}": (lambda: P.mean("median_price", af) - P.mean("median_price", as_), "median_price")})
-    cat.add("balance_of_power", centred, bop=(lambda: sdiv(close - open_, high - low),))
+    cat.add("balance_of_power", centred, bop=(lambda: sdiv(col("close") - col("open"), col("high") - col("low")),))
     bn = c["bias"]["window"]
-    cat.add("bias_indicator", centred, **{f"bias_{bn}": (lambda: sdiv(close - P.mean("close", bn), P.mean("close", bn)),)})
+    cat.add("bias_indicator", centred, **{f"bias_{bn}": (lambda: sdiv(col("close") - P.mean("close", bn), P.mean("close", bn)),)})
     cn = c["cfo"]["window"]
-    cat.add("chande_forecast_oscillator", centred, **{f"cfo_{cn}": (lambda: 100 * sdiv(close - F.col(f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}": (lambda: P.trend("close", cn, "_position")[2], "_position")})
+    cat.add("chande_forecast_oscillator", centred, **{f"cfo_{cn}": (lambda: 100 * sdiv(col("close") - F.col(f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}": (lambda: P.trend("close", cn, "_position")[2], "_position")})
     mn = c["cmo"]["window"]
     cat.add("chande_momentum_oscillator", centred, **{f"cmo_{mn}": (lambda: 100 * sdiv(P.sum("_up", mn) - P.sum("_down", mn), P.sum("_up", mn) + P.sum("_down", mn)), "_up", "_down")})
     cl, cs, cw = (c["coppock"][x] for x in ("long", "short", "wma"))
@@ -123,9 +122,9 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     dp = c["dpo"]["window"]
     cat.add("detrended_price_oscillator", centred, **{f"dpo_{dp}": (lambda: P.lag("close", dp // 2 + 1) - P.mean("close", dp),)})
     en, es = c["eom"]["window"], c["eom"]["smoothing"]
-    cat.add("ease_of_movement", centred, **{f"eom_{en}": v(lambda: sdiv(P.diff("median_price"), sdiv(vol, high - low)), "median_price"), f"eom_sma_{es}": v(lambda: P.mean(f"eom_{en}", es), f"eom_{en}")})
+    cat.add("ease_of_movement", centred, **{f"eom_{en}": v(lambda: sdiv(P.diff("median_price"), sdiv(col("volume"), col("high") - col("low"))), "median_price"), f"eom_sma_{es}": v(lambda: P.mean(f"eom_{en}", es), f"eom_{en}")})
     fn = c["efi"]["window"]
-    cat.add("elders_force_index", centred, **{"efi_raw": v(lambda: F.col("_delta") * vol, "_delta"), f"efi_ema_{fn}": kv("ema", "efi_raw", fn)})
+    cat.add("elders_force_index", centred, **{"efi_raw": v(lambda: F.col("_delta") * col("volume"), "_delta"), f"efi_ema_{fn}": kv("ema", "efi_raw", fn)})
     kr, ksm, kw, kg = (c["kst"][x] for x in ("roc", "sma", "weights", "signal"))
     kst = "kst_" + "_".join(map(str, kr))
     for i, r in enumerate(kr):
@@ -146,11 +145,11 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     mo = c["momentum"]["window"]
     cat.add("momentum_indicator", centred, **{f"momentum_{mo}": (lambda: P.diff("close", mo),)})
     qn = c["qstick"]["window"]
-    cat.add("qstick_indicator", centred, **{f"qstick_{qn}": (lambda: P.mean(close - open_, qn),)})
+    cat.add("qstick_indicator", centred, **{f"qstick_{qn}": (lambda: P.mean(col("close") - col("open"), qn),)})
     rn = c["roc"]["window"]
     cat.add("rate_of_change", centred, **{f"roc_{rn}": (lambda: 100 * P.change("close", rn),)})
     vn, vg = c["rvi"]["window"], c["rvi"]["signal"]
-    cat.add("relative_vigor_index", centred, **{f"rvi_{vn}": (lambda: sdiv(P.mean(close - open_, vn), P.mean(high - low, vn)),), f"rvi_signal_{vn}_{vg}": (lambda: P.mean(f"rvi_{vn}", vg), f"rvi_{vn}")})
+    cat.add("relative_vigor_index", centred, **{f"rvi_{vn}": (lambda: sdiv(P.mean(col("close") - col("open"), vn), P.mean(col("high") - col("low"), vn)),), f"rvi_signal_{vn}_{vg}": (lambda: P.mean(f"rvi_{vn}", vg), f"rvi_{vn}")})
 
     # context
     context = "context_filter"
@@ -182,10 +181,10 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.add("midprice_indicator", context, **{f"midprice_{m2}": (lambda: (P.max("high", m2) + P.min("low", m2)) / 2,)})
     pn, ref = c["price_distance"]["window"], "ema" if c["price_distance"]["reference"] == "ema" else "sma"
     r = f"price_distance_ref_{ref}_{pn}"
-    cat.add("price_distance", context, **{r: ("ema", "close", pn) if ref == "ema" else (lambda: P.mean("close", pn),), f"price_distance_{ref}_{pn}": (lambda: sdiv(close - F.col(r), r), r)})
+    cat.add("price_distance", context, **{r: ("ema", "close", pn) if ref == "ema" else (lambda: P.mean("close", pn),), f"price_distance_{ref}_{pn}": (lambda: sdiv(col("close") - F.col(r), r), r)})
     qn2 = c["quantile"]["window"]
     cat.define(_closes=(lambda: P.gathered("close", qn2),))
-    cat.add("quantile_indicator", context, **{f"quantile_rank_{qn2}": (lambda: X.percent_rank(F.col("_closes"), close, qn2), "_closes")})
+    cat.add("quantile_indicator", context, **{f"quantile_rank_{qn2}": (lambda: X.percent_rank(F.col("_closes"), col("close"), qn2), "_closes")})
     vr, vs, vz = (c["vix"][x] for x in ("roc", "sma", "zscore"))
     x_ = (lambda make: (make,)) if vix else (lambda make: (null,))
     cat.add("vix", context, **{**({} if vix else {"vix": (null,)}), f"vix_roc_{vr}": x_(lambda: 100 * P.change("vix", vr)), f"vix_sma_{vs}": x_(lambda: P.mean("vix", vs)), f"vix_zscore_{vz}": x_(lambda: sdiv(F.col("vix") - P.mean("vix", vz), P.std("vix", vz)))})
@@ -194,25 +193,25 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     # extreme zones
     extreme = "extreme_zone_oscillator"
     gn = c["cog"]["window"]
-    weighted = lambda: sum((P.lag("close", i - 1) * i for i in range(2, gn + 1)), close * 1)
+    weighted = lambda: sum((P.lag("close", i - 1) * i for i in range(2, gn + 1)), col("close") * 1)
     cat.add("center_of_gravity", extreme, **{f"cog_{gn}": (lambda: P.full("close", gn, -sdiv(weighted(), F.sum("close").over(P.last(gn)))),)})
     in_ = c["cci"]["window"]
     cat.define(_typical=(lambda: P.gathered("hlc_average", in_), "hlc_average"), _typical_mean=(lambda: P.mean("hlc_average", in_), "hlc_average"))
     cat.add("commodity_channel_index", extreme, **{f"cci_{in_}": (lambda: sdiv(F.col("hlc_average") - F.col("_typical_mean"), 0.015 * X.mean_abs_deviation(F.col("_typical"), F.col("_typical_mean"), in_)), "hlc_average", "_typical", "_typical_mean")})
     wn = c["emotion_willingness"]["window"]
-    cat.add("emotion_index_willingness_index", extreme, **{f"emotion_index_{wn}": ("emotion", tn, wn), f"willingness_index_{wn}": (lambda: 100 * sdiv(close - P.min("low", wn), P.max("high", wn) - P.min("low", wn)),)})
+    cat.add("emotion_index_willingness_index", extreme, **{f"emotion_index_{wn}": ("emotion", tn, wn), f"willingness_index_{wn}": (lambda: 100 * sdiv(col("close") - P.min("low", wn), P.max("high", wn) - P.min("low", wn)),)})
     fl = c["mfi"]["window"]
-    cat.define(_typical_move=(lambda: P.diff("hlc_average"), "hlc_average"), _flow=v(lambda: F.col("hlc_average") * vol, "hlc_average"))
+    cat.define(_typical_move=(lambda: P.diff("hlc_average"), "hlc_average"), _flow=v(lambda: F.col("hlc_average") * col("volume"), "hlc_average"))
     cat.define(_flow_up=v(lambda: F.when(F.col("_typical_move") > 0, F.col("_flow")).otherwise(0.0), "_typical_move", "_flow"), _flow_down=v(lambda: F.when(F.col("_typical_move") < 0, F.col("_flow")).otherwise(0.0), "_typical_move", "_flow"))
     cat.add("money_flow_index", extreme, **{f"mfi_{fl}": v(lambda: 100 - 100 / (1 + sdiv(P.sum("_flow_up", fl), P.sum("_flow_down", fl))), "_flow_up", "_flow_down")})
     gp = c["pgo"]["window"]
     cat.define(_pgo_atr=("atr", gp), _pgo_mean=(lambda: P.mean("close", gp),))
-    cat.add("pretty_good_oscillator", extreme, **{f"pgo_{gp}": (lambda: sdiv(close - F.col("_pgo_mean"), "_pgo_atr"), "_pgo_mean", "_pgo_atr")})
+    cat.add("pretty_good_oscillator", extreme, **{f"pgo_{gp}": (lambda: sdiv(col("close") - F.col("_pgo_mean"), "_pgo_atr"), "_pgo_mean", "_pgo_atr")})
     cat.add("rsi", extreme, **{f"rsi_{c['rsi']['window']}": ("rsi", c["rsi"]["window"])})
     cat.add("rsx", extreme, **{f"rsx_{c['rsx']['window']}": ("rsx", c["rsx"]["window"], c["rsx"]["smoothing"])})
     on, og = c["stochastic"]["window"], c["stochastic"]["signal"]
     kd = f"stochastic_k_{on}_{og}"
-    cat.add("stochastic_oscillator", extreme, **{kd: (lambda: 100 * sdiv(close - P.min("low", on), P.max("high", on) - P.min("low", on)),), f"stochastic_d_{on}_{og}": (lambda: P.mean(kd, og), kd)})
+    cat.add("stochastic_oscillator", extreme, **{kd: (lambda: 100 * sdiv(col("close") - P.min("low", on), P.max("high", on) - P.min("low", on)),), f"stochastic_d_{on}_{og}": (lambda: P.mean(kd, og), kd)})
 
     # trend
     trend = "trend_filter"
@@ -255,7 +254,7 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.add("linear_regression", trend, **{f"linreg_{x}_{lr}": (lambda i=i: P.trend("close", lr, "_position")[i], "_position") for i, x in enumerate(("slope", "intercept", "fitted"))})
     st, mx = c["psar"]["step"], c["psar"]["most"]
     ps = f"{token(st)}_{token(mx)}"
-    cat.add("parabolic_sar", trend, **{f"psar_{ps}": ("parabolic", st, mx, 0), f"psar_trend_{ps}": ("parabolic", st, mx, 1), f"psar_af_{ps}": ("parabolic", st, mx, 2), f"psar_distance_{ps}": (lambda: sdiv(close - F.col(f"psar_{ps}"), f"psar_{ps}"), f"psar_{ps}")})
+    cat.add("parabolic_sar", trend, **{f"psar_{ps}": ("parabolic", st, mx, 0), f"psar_trend_{ps}": ("parabolic", st, mx, 1), f"psar_af_{ps}": ("parabolic", st, mx, 2), f"psar_distance_{ps}": (lambda: sdiv(col("close") - F.col(f"psar_{ps}"), f"psar_{ps}"), f"psar_{ps}")})
 
     # volume
     confirm = "volume_confirmation"
@@ -264,17 +263,17 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.add("chaikin_money_flow", confirm, **{f"cmf_{mf}": v(lambda: sdiv(P.sum("_mfv", mf), P.sum("volume", mf)), "_mfv")})
     ey = c["elder_ray"]["window"]
     cat.define(_elder_ema=("ema", "close", ey))
-    cat.add("elder_ray_index", confirm, **{f"elder_ray_bull_{ey}": v(lambda: high - F.col("_elder_ema"), "_elder_ema"), f"elder_ray_bear_{ey}": v(lambda: low - F.col("_elder_ema"), "_elder_ema")})
-    cat.define(_signed_volume=v(lambda: F.coalesce(F.signum("_delta"), F.lit(0.0)) * vol, "_delta"), _pvt=v(lambda: F.coalesce(vol * P.change("close"), F.lit(0.0))))
+    cat.add("elder_ray_index", confirm, **{f"elder_ray_bull_{ey}": v(lambda: col("high") - F.col("_elder_ema"), "_elder_ema"), f"elder_ray_bear_{ey}": v(lambda: col("low") - F.col("_elder_ema"), "_elder_ema")})
+    cat.define(_signed_volume=v(lambda: F.coalesce(F.signum("_delta"), F.lit(0.0)) * col("volume"), "_delta"), _pvt=v(lambda: F.coalesce(col("volume") * P.change("close"), F.lit(0.0))))
     cat.add("on_balance_volume", confirm, obv=v(lambda: P.running_sum("_signed_volume"), "_signed_volume"))
     cat.add("price_volume_trend", confirm, pvt=v(lambda: P.running_sum("_pvt"), "_pvt"))
     for key, name, sign in (("negative_volume_index", "nvi", -1), ("positive_volume_index", "pvi", 1)):
-        moved = lambda sign=sign: F.when(sign * (vol - P.lag("volume")) > 0, F.coalesce(1 + P.change("close"), F.lit(1.0))).otherwise(1.0)
+        moved = lambda sign=sign: F.when(sign * (col("volume") - P.lag("volume")) > 0, F.coalesce(1 + P.change("close"), F.lit(1.0))).otherwise(1.0)
         cat.define(**{f"_{name}": v(moved)})
         cat.add(key, confirm, **{name: v(lambda name=name: P.running_product(f"_{name}") * c[name]["start"], f"_{name}")})
     pr = c["price_volume_rank"]["window"]
     cat.define(_returns=(lambda: P.gathered("simple_return_1", pr), "simple_return_1"), _volumes=v(lambda: P.gathered("volume", pr)))
-    cat.add("price_volume_rank", confirm, **{f"price_volume_rank_{pr}": v(lambda: (2 * X.percent_rank(F.col("_returns"), F.col("simple_return_1"), pr) - 1) * X.percent_rank(F.col("_volumes"), vol, pr), "_returns", "_volumes", "simple_return_1")})
+    cat.add("price_volume_rank", confirm, **{f"price_volume_rank_{pr}": v(lambda: (2 * X.percent_rank(F.col("_returns"), F.col("simple_return_1"), pr) - 1) * X.percent_rank(F.col("_volumes"), col("volume"), pr), "_returns", "_volumes", "simple_return_1")})
     return cat
 
 

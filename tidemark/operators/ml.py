@@ -113,6 +113,15 @@ def weighted(rows: DataFrame, counts: dict[int, int], class_weight) -> DataFrame
     return rows.withColumn("__w", F.when(F.col("target") == 1, F.lit(w[1])).otherwise(F.lit(w[0]))), sum(counts[k] * w[k] for k in counts)
 
 
+def trained(pre: Preprocessor, estimator, rows: DataFrame, settings: dict) -> Model:
+    """Fit on rows that stay in memory (or on disk) for the solver's passes."""
+    ready = pre.transform(rows).select("features", "target", "__w").persist()
+    try:
+        return Model(pre, estimator.fit(ready), settings)
+    finally:
+        ready.unpersist()
+
+
 def fit_logit(train: DataFrame, **settings) -> Model:
     """Penalised logistic regression: l1, l2 or elasticnet of strength 1 / C over the summed loss."""
     s = LOGIT | settings
@@ -121,7 +130,7 @@ def fit_logit(train: DataFrame, **settings) -> Model:
     pre = Preprocessor(*model_inputs(rows, s.get("with_active", False), s.get("with_asset", False)), s["scaling"]).fit(rows)
     alpha = {"l1": 1.0, "l2": 0.0, "elasticnet": s["l1_ratio"]}[s["penalty"]]
     logit = LogisticRegression(labelCol="target", weightCol="__w", regParam=1 / (s["C"] * total), elasticNetParam=alpha, standardization=False, maxIter=s["max_iter"], tol=1e-8)
-    return Model(pre, logit.fit(pre.transform(rows)), s)
+    return trained(pre, logit, rows, s)
 
 
 def fit_forest(train: DataFrame, **settings) -> Model:
@@ -130,7 +139,7 @@ def fit_forest(train: DataFrame, **settings) -> Model:
     rows, _ = weighted(rows, counts, s["class_weight"])
     pre = Preprocessor(*model_inputs(rows), "none").fit(rows)
     forest = RandomForestClassifier(labelCol="target", weightCol="__w", numTrees=s["trees"], maxDepth=s["depth"], minInstancesPerNode=s["leaf"], featureSubsetStrategy=s["features"], seed=s["seed"])
-    return Model(pre, forest.fit(pre.transform(rows)), s)
+    return trained(pre, forest, rows, s)
 
 
 def grid(fit, train: DataFrame, validation: DataFrame, options: dict[str, list], fixed: dict | None = None) -> DataFrame:

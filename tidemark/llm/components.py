@@ -7,22 +7,28 @@ and edges stay in tables; the driver sees one row of totals a round.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import discard, few_tasks, settle
+from .shingles import shingle_set, word_hashes
 
+#: From so many nodes on, a component is compared in blocks of BLOCK texts.
+BIG, BLOCK = 48, 48
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """edges (u, v) with u > v. Large: hang each greater neighbour on the node's least one; small: each smaller one, and the node."""
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
     if large:
         both = both.unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    hung = both.join(least, "x").where(F.col("y") > (F.col("x") if large else F.col("m"))).select(F.col("y").alias("u"), F.col("m").alias("v"))
+    least = few_tasks(both.groupBy("x").agg(F.min("y").alias("m")), rows).select("x", F.least("x", "m").alias("m"))
+    hung = few_tasks(both.join(least, "x"), rows).where(F.col("y") > (F.col("x") if large else F.col("m"))).select(F.col("y").alias("u"), F.col("m").alias("v"))
     if not large:
         hung = hung.unionAll(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
-    return hung.where("u > v").distinct()
+    return few_tasks(hung.where("u > v").distinct(), rows)
 
 
 def _totals(edges: DataFrame) -> tuple:
@@ -37,11 +43,11 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
         before = totals
         if not totals[0]:
             break
-        step = settle(_star(_star(now, True), False), f"{name}-edges")
+        step = settle(_star(_star(now, True, totals[0]), False, totals[0]), f"{name}-edges")
         discard(now)
         now = step
     ids = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return few_tasks(ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), 2 * totals[0])
 
 
 def similar_enough(a: str, b: str, percent: int):
@@ -49,22 +55,83 @@ def similar_enough(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def link_collisions(met: DataFrame, percent: int, confirm, name: str) -> DataFrame:
+def in_blocks(rows: DataFrame, size: str, texts: DataFrame, side: str) -> DataFrame:
+    """rows (big, id, and how many ids big has in all) as packed blocks of about BLOCK texts: big, <side> (block number), <side>_ids, <side>_texts."""
+    dealt = rows.withColumn(side, F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK)).cast("int")).join(texts, "id")
+    return dealt.groupBy("big", side).agg(F.collect_list("id").alias(f"{side}_ids"), F.collect_list("text").alias(f"{side}_texts"))
+
+
+def links_to_big(asked: DataFrame, found: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int, shingle: int, name: str) -> DataFrame:
+    """Links (a, b) of asked (id, big) to members of large components: all of a component's members are looked at, block by block.
+
+    Blocks of asked texts meet blocks of members in one row each; a posting list a shingle counts what all
+    their pairs share, so no pair becomes a row. One link is told of each text and block.
+    """
+    counted = asked.groupBy("big").agg(F.count(F.lit(1)).alias("asked"))
+    left = in_blocks(asked.join(counted, "big"), "asked", texts, "x")
+    members = found.select("id", F.col("component").alias("big")).join(sizes, "big")
+    right = settle(in_blocks(members, "size", texts, "y"), f"{name}-members", "zstd")
+    sent = settle(left.join(sizes, "big").withColumn("y", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK) - 1).cast("int")))), f"{name}-asked", "zstd")
+
+    def compare(batches):
+        hashes = word_hashes()
+        for batch in batches:
+            found_a, found_b = [], []
+            for r in range(batch.num_rows):
+                xs, x_texts, ys, y_texts = (column[r].as_py() for column in batch.columns)
+                own = [shingle_set(t.encode(), shingle, hashes) for t in y_texts]
+                sizes = np.array([len(s) for s in own])
+                flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                for x, t in zip(xs, x_texts):
+                    s = shingle_set(t.encode(), shingle, hashes)
+                    lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")
+                    hits = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+                    shared = np.bincount(owner[hits], minlength=len(own))
+                    linked = np.flatnonzero(100 * shared >= percent * (sizes + len(s) - shared))
+                    if len(linked):
+                        found_a.append(x)
+                        found_b.append(ys[linked[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    return settle(sent.join(right, ["big", "y"]).select("x_ids", "x_texts", "y_ids", "y_texts").mapInArrow(compare, "a long, b long"), f"{name}-links")
+
+
+def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: DataFrame, shingle: int, carry: tuple[str, ...] = (), alike=None) -> DataFrame:
     """id, component from met (key, id, n, low, n_low): nodes of n members that share a key, and the key's least node.
 
     First each node is held against the least of its keys: stars, not all pairs. Confirmed links give
-    components; keys that still hold several are searched for every pair across them. confirm(pairs (a, b), name)
-    returns the pairs that are links; b is the side that may recur without bound.
+    components; keys that still hold several are searched across them. Nodes that met a component of
+    BIG nodes or more are held against all of it in blocks; pairs of small components are made one by one.
+    confirm(pairs (a, b), name) returns the pairs that are links; b is the side that may recur without bound.
+    alike, of the columns carry of both sides (ending in _a and _b), rules out pairs in the search itself.
+    texts has id and text.
     """
+    rows = met.count()
     star = met.where((F.col("id") > F.col("low")) & similar_enough("n", "n_low", percent)).select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    star = settle(star, f"{name}-star")
+    star = settle(few_tasks(star, rows), f"{name}-star")
     found = settle(components(confirm(star, "1"), "a", "b", f"{name}-1"), f"{name}-found")
-
-    placed = met.select("key", "id", "n").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    mixed = settle(placed.join(split, "key"), f"{name}-mixed")
-    x, y = (mixed.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("c").alias(f"c_{i}")) for i in "ab")
-    across = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_enough("n_a", "n_b", percent))
+    sizes = settle(few_tasks(found.groupBy(F.col("component").alias("big")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= BIG), rows), f"{name}-sizes")
+
+    placed = few_tasks(met.select("key", "id", "n", *carry).join(found, "id", "left"), rows).withColumn("c", F.coalesce("component", "id"))
+    split = few_tasks(placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")), rows).where("c1 < c2").select("key")
+    known = few_tasks(placed.join(split, "key").join(sizes, F.col("c") == F.col("big"), "left"), rows).select("key", "id", "n", *carry, "c", F.coalesce("size", F.lit(0)).alias("size"))
+    known = settle(known, f"{name}-known")
+
+    big = few_tasks(known.where("size > 0").select("key", F.col("c").alias("big"), F.col("size").alias("big_size")).distinct(), rows)
+    asked = known.join(big, "key").where((F.col("c") != F.col("big")) & ((F.col("size") < F.col("big_size")) | ((F.col("size") == F.col("big_size")) & (F.col("c") > F.col("big")))))
+    asked = settle(few_tasks(asked.select("id", "big").distinct(), rows), f"{name}-asked")
+    across_big = links_to_big(asked, found, sizes, texts, percent, shingle, f"{name}-big")
+
+    # a pair meets under many keys; only the least of those it shares brings it forth
+    own = few_tasks(known.where("size = 0").groupBy("id", "n", "c", *carry).agg(F.collect_set("key").alias("keys")), rows)
+    mixed = settle(own.select("id", "n", "c", *carry, "keys", F.explode("keys").alias("key")), f"{name}-mixed")
+    x, y = (mixed.select("key", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("n", "c", "keys", *carry)]) for i in "ab")
+    apart = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_enough("n_a", "n_b", percent)
+    if alike is not None:
+        apart = apart & alike
+    across = x.join(y, "key").where(apart & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))))
     rest = across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(rest, "2"))
+    links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(rest, "2")).unionAll(across_big)
     return settle(components(links, "a", "b", f"{name}-2"), f"{name}-final")

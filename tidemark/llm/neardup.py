@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, shared_dir, slices, table, worker_cache
+from .common import few_tasks, settle, shared_dir, slices, table
 from .components import link_collisions
+from .shingles import mixed, shingle_set, word_hashes
 
 BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 7, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
@@ -43,48 +44,6 @@ LENDERS = np.stack([np.random.default_rng(1000 + i).permutation(BUCKETS) for i i
 PRINTS = "n int, fp1 long, fp2 long, regs binary"
 
 
-class WordHashes(dict):
-    """Hashes of words, kept up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes() -> WordHashes:
-    cache = worker_cache()
-    if "word hashes" not in cache:
-        cache["word hashes"] = WordHashes()
-    return cache["word hashes"]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text (UTF-8), A-Z lower-cased, words split at ASCII white space."""
-    words = np.array(list(map(hashes.__getitem__, text.lower().split())), np.uint64)
-    if not len(words):
-        return words
-    n = min(n, len(words))
-    with np.errstate(over="ignore"):
-        h = words[: len(words) - n + 1] + np.uint64(n)
-        for i in range(1, n):
-            h = mixed(h) * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i]
-    return np.unique(mixed(h))
-
-
 def registers(hashes: np.ndarray) -> np.ndarray:
     """128 compressed registers (leading zeros and mantissa) of a sorted set of hashes that isn't empty."""
     at = np.searchsorted(hashes, np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
@@ -139,6 +98,38 @@ def prints(docs: DataFrame, n: int, parts: int) -> DataFrame:
     return docs.repartition(parts, "doc_id").mapInArrow(make, schema)
 
 
+#: The low byte of every register, eight to a column.
+SIGNS = tuple(f"s{i}" for i in range(BUCKETS // 8))
+
+
+def register_bytes(nodes: DataFrame) -> DataFrame:
+    """id and SIGNS of nodes (doc_id, n, regs)."""
+
+    def take(batches):
+        for batch in slices(batches, 2048):
+            if batch.num_rows:
+                low = np.ascontiguousarray(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.uint8)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(low[:, i])) for i in range(low.shape[1])]], ["id", *SIGNS])
+
+    return nodes.select("doc_id", "regs").mapInArrow(take, "id long, " + ", ".join(f"{s} long" for s in SIGNS)).dropDuplicates(["id"])
+
+
+def equal_bytes(a, b):
+    """How many of the eight bytes of two integers are equal."""
+    x = a.bitwiseXOR(b)
+    for shift in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+
+def agree_enough(percent: int):
+    """As many register bytes agree as a pair at the threshold has, less 4.5 deviations; registers that small sets lend out count as few."""
+    same = sum((equal_bytes(F.col(f"{s}_a"), F.col(f"{s}_b")) for s in SIGNS), F.lit(0))
+    p = percent / 100
+    full = BUCKETS * (1 - F.exp(-F.least("n_a", "n_b") / F.lit(float(BUCKETS))))
+    return same >= BUCKETS * (p - 4.5 * F.sqrt(p * (1 - p) / full))
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose registers allow the similarity: the estimate is at most five deviations below it."""
     low = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
@@ -157,9 +148,10 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, bucketed: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have the similarity. b is the side that may recur without bound."""
     pairs = settle(pairs, f"{name}-pairs")
+    rows = pairs.count()
     right = pairs.select("b").distinct().join(bucketed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").dropDuplicates(["b"])
-    right = settle(right, f"{name}-right")
-    left = pairs.join(bucketed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = settle(few_tasks(right, rows), f"{name}-right", "zstd")
+    left = few_tasks(pairs.join(bucketed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"), rows)
 
     def verify(batches):
         hashes, last, known = word_hashes(), None, None
@@ -173,7 +165,7 @@ def confirmed(pairs: DataFrame, bucketed: DataFrame, n: int, percent: int, name:
                 keep.append(100 * shared >= percent * (len(own) + len(known) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return settle(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
+    return settle(few_tasks(left.join(right, "b"), rows).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
 
 
 def search(docs: DataFrame, n: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +194,9 @@ def search(docs: DataFrame, n: int, percent: int, name: str) -> tuple[DataFrame,
     met = settle(banded.join(shared, "key"), f"{name}-met")
 
     regs = plain.where("n > 0").select("doc_id", "n", "regs")
-    final = link_collisions(met, percent, lambda pairs, at: confirmed(estimated(pairs, regs, percent), bucketed, n, percent, f"{name}-{at}"), name)
+    signed = few_tasks(met.join(register_bytes(nodes), "id"), met.count())
+    texts = bucketed.select(F.col("doc_id").alias("id"), "text")
+    final = link_collisions(settle(signed, f"{name}-signed"), percent, lambda pairs, at: confirmed(estimated(pairs, regs, percent), bucketed, n, percent, f"{name}-{at}"), name, texts, n, SIGNS, agree_enough(percent))
 
     placed = members.select("doc_id", "rep").distinct().join(final, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return bucketed, placed

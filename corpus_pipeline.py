@@ -48,5 +48,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each one's result is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}", "zstd")
     return docs

@@ -47,6 +47,15 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard_all(spark: SparkSession, prefix: str) -> None:
+    """Delete the settled tables whose names begin so; what is still to be read must have been settled under another name."""
+    sc = spark.sparkContext
+    pattern = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{prefix}*")
+    store = pattern.getFileSystem(sc._jsc.hadoopConfiguration())
+    for found in store.globStatus(pattern) or []:
+        store.delete(found.getPath(), True)
+
+
 def few_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
     """df in no more tasks than so many rows are worth, where its partitions are many and small; large tables stay as they are."""
     tasks = max(6, rows // each + 1)

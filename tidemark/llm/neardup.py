@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_tasks, settle, shared_dir, slices, table
+from .common import discard_all, few_tasks, settle, shared_dir, slices, table
 from .components import link_collisions
 from .shingles import mixed, shingle_set, word_hashes
 
@@ -199,6 +199,8 @@ def search(docs: DataFrame, n: int, percent: int, name: str) -> tuple[DataFrame,
     final = link_collisions(settle(signed, f"{name}-signed"), percent, lambda pairs, at: confirmed(estimated(pairs, regs, percent), bucketed, n, percent, f"{name}-{at}"), name, texts, n, SIGNS, agree_enough(percent))
 
     placed = members.select("doc_id", "rep").distinct().join(final, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    placed = settle(placed, "neardup_placed")
+    discard_all(spark, f"{name}-")
     return bucketed, placed
 
 

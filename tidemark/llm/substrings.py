@@ -24,6 +24,7 @@ columns ride along.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_tasks, settle, slices, table
+from .common import discard_all, few_tasks, settle, slices, table
 from .components import link_collisions
 from .neardup import equal_bytes
 from .shingles import mixed, shingle_set, word_hashes
@@ -143,13 +144,13 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
     return texts.mapInArrow(cut, PIECES)
 
 
-def linked_paragraphs(pieces: DataFrame, texts: DataFrame, percent: int, min_words: int) -> DataFrame:
+def linked_paragraphs(pieces: DataFrame, texts: DataFrame, percent: int, run: str) -> DataFrame:
     """id (a fingerprint), component: the paragraphs that are similar to others but not equal."""
     banded = pieces.select(F.explode(F.array(*[f"k{k}" for k in range(BANDS)])).alias("key"), F.col("fp").alias("id"), "n")
     shared = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).where("least.id < most").select("key", F.col("least.id").alias("low"), F.col("least.n").alias("n_low"))
-    met = settle(banded.join(shared, "key").distinct(), "paragraphs-met")
+    met = settle(banded.join(shared, "key").distinct(), f"{run}-met")
     rows = met.count()
-    wanted = settle(few_tasks(met.select("id").distinct(), rows), "paragraphs-wanted")
+    wanted = settle(few_tasks(met.select("id").distinct(), rows), f"{run}-wanted")
     few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
 
     def quote(batches):
@@ -161,8 +162,8 @@ def linked_paragraphs(pieces: DataFrame, texts: DataFrame, percent: int, min_wor
 
     places = pieces.select(F.col("fp").alias("id"), "rid", "start", "stop").join(few, "id").groupBy("id").agg(F.min(F.struct("rid", "start", "stop")).alias("p"))
     by_row = places.groupBy("p.rid").agg(F.collect_list(F.struct("id", "p.start", "p.stop")).alias("spans"))
-    quoted = settle(by_row.join(texts, "rid").select("spans", "text").mapInArrow(quote, "id long, text string, " + ", ".join(f"{x} long" for x in SIGNS)).dropDuplicates(["id"]), "paragraphs-quoted", "zstd")
-    signed = settle(few_tasks(met.join(quoted.select("id", *SIGNS), "id"), rows), "paragraphs-signed")
+    quoted = settle(by_row.join(texts, "rid").select("spans", "text").mapInArrow(quote, "id long, text string, " + ", ".join(f"{x} long" for x in SIGNS)).dropDuplicates(["id"]), f"{run}-quoted", "zstd")
+    signed = settle(few_tasks(met.join(quoted.select("id", *SIGNS), "id"), rows), f"{run}-signed")
 
     def confirm(pairs: DataFrame, at: str) -> DataFrame:
         sides = [quoted.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in SIGNS]) for x in "ab"]
@@ -180,22 +181,23 @@ def linked_paragraphs(pieces: DataFrame, texts: DataFrame, percent: int, min_wor
                 yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
         met_pairs = few_tasks(few_tasks(pairs.join(sides[0], "a"), rows).join(sides[1], "b").where(alike(percent)), rows)
-        return settle(met_pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"paragraphs-links-{at}")
+        return settle(met_pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"{run}-links-{at}")
 
-    return link_collisions(signed, percent, confirm, "paragraphs", quoted.select("id", "text"), SHINGLE, SIGNS, alike(percent))
+    return link_collisions(signed, percent, confirm, run, quoted.select("id", "text"), SHINGLE, SIGNS, alike(percent))
 
 
 def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_run: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid (hash of id and text), spans: array of (start, stop) characters to remove, words removed, sources: doc_ids that keep the passages."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).select("doc_id", row_id().alias("rid"), "text")
-    pieces = settle(pieces_of(texts, min_words), "paragraphs-pieces", "zstd")
-    linked = linked_paragraphs(pieces, texts.select("rid", "text"), percent, min_words)
+    run = f"paragraphs_{uuid.uuid4().hex}"
+    pieces = settle(pieces_of(texts, min_words), f"{run}-pieces", "zstd")
+    linked = linked_paragraphs(pieces, texts.select("rid", "text"), percent, run)
 
     place = F.struct("doc_id", "at")
     by_text = pieces.groupBy("fp").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     by_text = by_text.join(linked, F.col("fp") == F.col("id"), "left").select("fp", "first", "last", F.coalesce("component", "fp").alias("cluster"))
     clusters = by_text.groupBy("cluster").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(~F.col("first.doc_id").eqNullSafe(F.col("last")))
-    repeated = settle(by_text.select("fp", "cluster").join(clusters.select("cluster", F.col("first.doc_id").alias("source")), "cluster").select("fp", "source"), "paragraphs-repeated")
+    repeated = settle(by_text.select("fp", "cluster").join(clusters.select("cluster", F.col("first.doc_id").alias("source")), "cluster").select("fp", "source"), f"{run}-repeated")
     marked = pieces.select("doc_id", "rid", "at", "until", "start", "stop", "fp").join(repeated, "fp").where(~F.col("doc_id").eqNullSafe(F.col("source")))
     by_row = marked.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("at", "until", "start", "stop", "source"))).alias("marks"))
 
@@ -220,12 +222,15 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
             span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(words, pa.int64()), pa.array(sources, pa.list_(pa.int64()))], ["doc_id", "rid", "spans", "words", "sources"])
 
-    return by_row.mapInArrow(runs, "doc_id long, rid long, spans array<struct<start:int,stop:int>>, words long, sources array<bigint>").where(F.size("spans") > 0)
+    spans = by_row.mapInArrow(runs, "doc_id long, rid long, spans array<struct<start:int,stop:int>>, words long, sources array<bigint>").where(F.size("spans") > 0)
+    out = settle(spans, "spans", "zstd")
+    discard_all(docs.sparkSession, run)
+    return out
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The columns of docs; repeated passages are cut out of the texts, and documents left without a word go."""
-    spans = settle(repeated_spans(docs, id_col=id_col, text_col=text_col, **options), "paragraphs-spans").select("rid", "spans").dropDuplicates(["rid"])
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **options).select("rid", "spans").dropDuplicates(["rid"])
     columns = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("rec"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     met = keyed.withColumn("rid", row_id()).join(spans, "rid", "left")

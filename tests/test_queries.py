@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -36,9 +37,9 @@ def test_query_equals_sql(spark, duck, name):
     got, want = Q.QUERIES[name](spark, DATA).toPandas(), duck.sql(Q.ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    a, b = shown(got, columns), shown(want, columns)
-    assert len(a) == len(b)
-    assert (a != b).any(axis=1).sum() <= len(a) // 500  # ties in the fourth digit
+    a, b = (Counter(shown(x, columns).itertuples(index=False, name=None)) for x in (got, want))
+    # ties in the fourth digit; and where all others of a date are equal, their deviation is 0 or noise by the order of sums
+    assert sum((a - b).values()) <= len(got) // 500 and sum((b - a).values()) <= len(got) // 500
 
 
 def test_catalogue_is_whole():

@@ -175,6 +175,28 @@ def test_repeated_passages(spark, odd, none):
         assert out.columns == edge.columns and out.count() <= edge.count()
 
 
+def test_verbatim_passages_at_any_offset(spark):
+    """Brute force: of two documents, every word that stands in 31 or more shared words in a row goes from the second one."""
+    import random
+
+    r = random.Random(5)
+    prose = lambda n, marks: " ".join(f"w{r.randrange(10**6)}" + (r.choice([". ", "! ", "\n", ""]) if marks and r.random() < 0.15 else "") for _ in range(n))
+    rows = []
+    for k in range(60):
+        marks = k % 2 == 0
+        passage = prose(r.randint(31, 70), marks)
+        rows += [(2 * k + i, f"{prose(r.randint(1, 80), marks)} {passage} {prose(r.randint(1, 80), marks)}") for i in range(2)]
+    spans = {x.doc_id: x for x in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, first), (j, second) in zip(rows[::2], rows[1::2]):
+        a, b = first.split(), second.split()
+        windows = {tuple(a[p : p + 31]) for p in range(len(a) - 30)}
+        want = {q for p in range(len(b) - 30) if tuple(b[p : p + 31]) in windows for q in range(p, p + 31)}
+        assert i not in spans and spans[j].sources == [i]
+        got = {q for q, m in enumerate(re.finditer(r"\S+", second)) if any(s.start <= m.start() < s.stop for s in spans[j].spans)}
+        # a paragraph that is nearly all passage goes whole
+        assert want <= got and len(got - want) <= 8 and spans[j].words == len(got)
+
+
 def test_paragraphs_tile_the_text():
     import random
 

@@ -1,4 +1,11 @@
-"""Repeated passages by paragraph MinHash banding.
+"""Repeated passages by verbatim anchors and by paragraph MinHash banding.
+
+Anchors find verbatim passages wherever they start: of every ``WINDOW`` 16-word runs in a row the one of least
+hash is an anchor (winnowing), whatever stands around. Two texts that share 31 words in a row or more share an
+anchor in every 31 of them. An anchor that stands in several documents is held against its first occurrence
+word by word and extended to both sides as far as the words agree.
+
+Paragraphs find passages that were edited.
 
 A paragraph here is a line or sentence; one of more than 40 words is cut from its end backwards into
 blocks of 20, so that passages which start in the middle of a foreign sentence align soon after. Sentences of
@@ -12,8 +19,8 @@ a byte each, 40 must agree before a pair is made at all (at 0.8: all but 0.0003)
 2. Nodes that share a key are linked as in near-duplicate search: stars first, then pairs across
    components, each confirmed by exact Jaccard similarity of the full sets, 0.8 or more.
 3. Components are clusters of repeated paragraphs. The first occurrence (least doc_id, then position)
-   stays; occurrences in other documents go, if a run of them, with shorter pieces between, has
-   ``min_run`` words or more.
+   stays; occurrences in other documents are marked, and so are extended anchors. A run of marks, with fewer than
+   ``min_words`` words between, goes if it has ``min_run`` words or more.
 
 Edge cases: null and empty texts have no paragraphs and stay as they are; paragraphs repeated only
 inside one document stay; rows with equal id and text are handled alike; null ids count as one document;
@@ -40,6 +47,8 @@ from .shingles import mixed, shingle_set, word_hashes
 BANDS, SHINGLE = 4, 5
 #: Candidates that a task may hold, 8 bytes each.
 MAX_BROADCAST = 4_000_000
+#: Words of an anchor, and of how many in a row one is chosen (a power of two). Passages of ANCHOR + WINDOW - 1 words hold one.
+ANCHOR, WINDOW = 16, 16
 PIECES = "doc_id long, rid long, at int, until int, start int, stop int, n int, fp long, k0 long, k1 long, k2 long, k3 long"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = re.compile(rb"[.!?][\"')\]]*(?=[\x20\x09\x0B-\x0D])|\n")
@@ -76,6 +85,29 @@ def cut_paragraphs(data: bytes, min_words: int = 1, short: int = 8, long: int =
     return [x for x in out if x[1] - x[0] >= min_words]
 
 
+def anchor_positions(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of texts laid end to end: their words' five-word shingle hashes, and where each text ends."""
+    n = len(h) + SHINGLE - ANCHOR
+    if n < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        whole = h[:n].copy()
+        for at in (5, 10, 11):
+            whole = mixed(whole) * np.uint64(0x9E3779B97F4A7C15) + h[at : n + at]
+        whole = mixed(whole)
+    least = whole
+    for step in (1 << i for i in range(WINDOW.bit_length() - 1)):
+        least = np.minimum(least[:-step], least[step:])
+    # windows that reach into the next text choose nothing
+    text = np.searchsorted(ends, np.arange(len(least)), side="right")
+    least = np.where(np.arange(len(least)) + ANCHOR + WINDOW - 1 <= ends[text], least, np.uint64(0))
+    best = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
+    for step in (1 << i for i in range(WINDOW.bit_length() - 1)):
+        best = np.maximum(best[:-step], best[step:])
+    chosen = np.flatnonzero(best == whole)
+    return chosen, whole[chosen]
+
+
 def row_id():
     return F.xxhash64("doc_id", "text")
 
@@ -104,13 +136,13 @@ def alike(percent: int):
 
 
 def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
-    """Position, size, fingerprint and keys of every paragraph of min_words words or more."""
+    """Position, size, fingerprint and keys of every paragraph of min_words words or more; and anchors, whose size n is 0."""
 
     def cut(batches):
         hashes = word_hashes()
         for batch in slices(batches, 64):
             rows = {k: [] for k in ("doc_id", "rid", "at", "until", "start", "stop")}
-            all_words, edges = [], []
+            all_words, edges, owners, ends_of_texts = [], [], [], []
             base = 0
             for doc_id, rid, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
@@ -121,6 +153,8 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
                 words = data.lower().split()
                 all_words += map(hashes.__getitem__, words)
                 base += len(words)
+                owners.append((doc_id, rid))
+                ends_of_texts.append(base)
             if not edges:
                 continue
             w = np.array(all_words, np.uint64)
@@ -138,6 +172,14 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
                 fp = mixed(np.add.reduceat(mixed(own + mixed(order + np.uint64(1))), starts) + sizes.astype(np.uint64))
                 least = [np.minimum.reduceat(mixed(own + salt(k)), starts) for k in range(2 * BANDS)]
                 keys = [mixed(mixed(a + np.uint64(k)) + b) for k, (a, b) in enumerate(zip(least[::2], least[1::2]))]
+            ends_of_texts = np.array(ends_of_texts)
+            at, found = anchor_positions(h, ends_of_texts)
+            if len(at):
+                text = np.searchsorted(ends_of_texts, at, side="right")
+                starts_of_texts = np.concatenate([[0], ends_of_texts[:-1]])
+                none, zero = pa.nulls(len(at), pa.int32()), pa.array(np.zeros(len(at), np.int32))
+                ids = [pa.array([x[i] for x in owners], pa.int64()).take(pa.array(text)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array((at - starts_of_texts[text]).astype(np.int32)), none, none, none, zero, pa.array(found.view(np.int64)), *[pa.nulls(len(at), pa.int64())] * len(keys)], ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "k0", "k1", "k2", "k3"])
             columns = [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["rid"], pa.int64()), *[pa.array(rows[k], pa.int32()) for k in ("at", "until", "start", "stop")], pa.array(sizes.astype(np.int32)), pa.array(fp.view(np.int64)), *[pa.array(k.view(np.int64)) for k in keys]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "k0", "k1", "k2", "k3"])
 
@@ -186,11 +228,56 @@ def linked_paragraphs(pieces: DataFrame, texts: DataFrame, percent: int, run: st
     return link_collisions(signed, percent, confirm, run, quoted.select("id", "text"), SHINGLE, SIGNS, alike(percent))
 
 
+def word_codes(data: bytes, hashes) -> np.ndarray:
+    return np.array(list(map(hashes.__getitem__, data.lower().split())), np.uint64).astype(np.uint32)
+
+
+def same_words(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words at the start of both are the same."""
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    return int(other[0]) if len(other) else n
+
+
+def repeated_anchors(anchors: DataFrame, texts: DataFrame, run: str) -> DataFrame:
+    """doc_id, rid, at, source, codes, before: anchors (doc_id, rid, at, fp) that stand in an earlier document too.
+
+    codes are the words (4 bytes each) of the anchor's first occurrence, with up to WINDOW - 1 on both sides; before says how many precede it.
+    """
+    by_fp = anchors.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("nulls"))
+    shared = by_fp.where((F.col("nulls") & F.col("most").isNotNull()) | (~F.col("nulls") & (F.col("least") < F.col("most"))))
+    shared = settle(shared.select("fp", F.when(~F.col("nulls"), F.col("least")).alias("source")), f"{run}-shared")
+    hits = settle(anchors.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST // 4 else shared, "fp"), f"{run}-hits")
+    first = hits.where(F.col("doc_id").eqNullSafe(F.col("source"))).groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("p"))
+    asked = first.groupBy("p.rid").agg(F.collect_list(F.struct("fp", "p.at")).alias("asked")).join(texts, "rid").select("asked", "text")
+
+    def quote(batches):
+        hashes = word_hashes()
+        for batch in slices(batches, 64):
+            fps, codes, before = [], [], []
+            for marks, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = word_codes(text.encode(), hashes)
+                for m in marks:
+                    low = max(0, m["at"] - WINDOW + 1)
+                    fps.append(m["fp"])
+                    before.append(m["at"] - low)
+                    codes.append(words[low : m["at"] + ANCHOR + WINDOW - 1].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(codes, pa.binary()), pa.array(before, pa.int32())], ["fp", "codes", "before"])
+
+    quoted = settle(asked.mapInArrow(quote, "fp long, codes binary, before int").dropDuplicates(["fp"]), f"{run}-contexts", "zstd")
+    copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).distinct()
+    return copies.join(quoted, "fp").drop("fp")
+
+
 def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_run: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid (hash of id and text), spans: array of (start, stop) characters to remove, words removed, sources: doc_ids that keep the passages."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).select("doc_id", row_id().alias("rid"), "text")
     run = f"paragraphs_{uuid.uuid4().hex}"
-    pieces = settle(pieces_of(texts, min_words), f"{run}-pieces", "zstd")
+    cut = settle(pieces_of(texts, min_words), f"{run}-pieces", "zstd")
+    anchors = repeated_anchors(cut.where("n = 0").select("doc_id", "rid", "at", "fp"), texts.select("rid", "text"), run)
+    anchored = anchors.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("at", "source", "codes", "before")).alias("anchors"))
+    anchored = settle(anchored.withColumnRenamed("doc_id", "id").join(texts.select("rid", "text"), "rid").dropDuplicates(["rid"]), f"{run}-anchored", "zstd")
+    pieces = cut.where("n > 0")
     linked = linked_paragraphs(pieces, texts.select("rid", "text"), percent, run)
 
     place = F.struct("doc_id", "at")
@@ -201,20 +288,37 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
     marked = pieces.select("doc_id", "rid", "at", "until", "start", "stop", "fp").join(repeated, "fp").where(~F.col("doc_id").eqNullSafe(F.col("source")))
     by_row = marked.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("at", "until", "start", "stop", "source"))).alias("marks"))
 
+    def extended(anchors, text):
+        """(first word, end word, first character, end character, source) of the anchors that are confirmed, as far as the words agree with the source's."""
+        data = text.encode()
+        words, places, out = word_codes(data, word_hashes()), [m.span() for m in WORD.finditer(data)], []
+        chars = (lambda i: i) if data.isascii() else (lambda i: len(data[:i].decode()))
+        for m in anchors:
+            theirs, at, mid = np.frombuffer(m["codes"], np.uint32), m["at"], m["before"]
+            right = same_words(words[at:], theirs[mid:])
+            if right >= ANCHOR:
+                left = same_words(words[max(0, at - mid) : at][::-1], theirs[:mid][::-1])
+                out.append((at - left, at + right, chars(places[at - left][0]), chars(places[at + right - 1][1]), m["source"]))
+        return out
+
     def runs(batches):
         for batch in slices(batches):
             spans, words, sources = [], [], []
-            for marks in batch.column(2).to_pylist():
+            for marks, anchors, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                marks = [tuple(m[k] for k in ("at", "until", "start", "stop", "source")) for m in marks or ()]
+                if anchors:
+                    marks = sorted(marks + extended(anchors, text), key=lambda m: m[:4])
                 own, n, told = [], 0, set()
                 at = 0
                 while at < len(marks):
-                    end = at
-                    while end + 1 < len(marks) and marks[end + 1]["at"] - marks[end]["until"] < min_words:
+                    end, until, stop = at, marks[at][1], marks[at][3]
+                    while end + 1 < len(marks) and marks[end + 1][0] - until < min_words:
                         end += 1
-                    if (size := marks[end]["until"] - marks[at]["at"]) >= min_run:
-                        own.append({"start": marks[at]["start"], "stop": marks[end]["stop"]})
+                        until, stop = max(until, marks[end][1]), max(stop, marks[end][3])
+                    if (size := until - marks[at][0]) >= min_run:
+                        own.append({"start": marks[at][2], "stop": stop})
                         n += size
-                        told.update(m["source"] for m in marks[at : end + 1] if m["source"] is not None)
+                        told.update(m[4] for m in marks[at : end + 1] if m[4] is not None)
                     at = end + 1
                 spans.append(own)
                 words.append(n)
@@ -222,7 +326,8 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
             span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(words, pa.int64()), pa.array(sources, pa.list_(pa.int64()))], ["doc_id", "rid", "spans", "words", "sources"])
 
-    spans = by_row.mapInArrow(runs, "doc_id long, rid long, spans array<struct<start:int,stop:int>>, words long, sources array<bigint>").where(F.size("spans") > 0)
+    both = by_row.join(anchored, "rid", "full").select(F.coalesce("doc_id", "id").alias("doc_id"), "rid", "marks", "anchors", "text")
+    spans = both.mapInArrow(runs, "doc_id long, rid long, spans array<struct<start:int,stop:int>>, words long, sources array<bigint>").where(F.size("spans") > 0)
     out = settle(spans, "spans", "zstd")
     discard_all(docs.sparkSession, run)
     return out

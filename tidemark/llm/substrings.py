@@ -1,4 +1,4 @@
-"""Repeated passages by verbatim anchors and by paragraph MinHash banding.
+"""Repeated passages by verbatim anchors and by similar paragraphs.
 
 Anchors find verbatim passages wherever they start: of every ``WINDOW`` 16-word runs in a row the one of least
 hash is an anchor (winnowing), whatever stands around. Two texts that share 31 words in a row or more share an
@@ -10,10 +10,11 @@ Paragraphs find passages that were edited.
 A paragraph here is a line or sentence; one of more than 40 words is cut from its end backwards into
 blocks of 20, so that passages which start in the middle of a foreign sentence align soon after. Sentences of
 fewer than 8 words are joined up to one whose hash is even (or to 24 words), so that their groups align likewise. A
-paragraph of ``min_words`` words or more is a set of five-word shingles with ``BANDS`` keys of two min-hashes
-each: at a similarity of 0.8 the chance that none meets is 0.36 ** BANDS (0.017), at 0.9 it is 0.0013.
-Phrases that stand in many unlike paragraphs would bring forth a square of pairs; of 64 further min-hashes,
-a byte each, 40 must agree before a pair is made at all (at 0.8: all but 0.0003).
+paragraph of ``min_words`` words or more is a set of n five-word shingles; its keys are the n - ceil(0.8 n) + 1 that come first
+in one order of all shingles. Two sets of similarity 0.8 or more always share one of their keys (prefix filter).
+Phrases that stand in many unlike paragraphs would bring forth a square of pairs: shingles that are frequent in a
+sample come last in the order, which changes no result; and of 64 min-hashes, a byte each, 33 must agree before a
+pair is made at all (at 0.8: all but 8e-8).
 
 1. Equal paragraphs are one node, by fingerprint (64 bits: at 1e9 distinct paragraphs 3 % odds of one false match).
 2. Nodes that share a key are linked as in near-duplicate search: stars first, then pairs across
@@ -44,12 +45,14 @@ from .components import link_collisions
 from .neardup import equal_bytes
 from .shingles import mixed, shingle_set, word_hashes
 
-BANDS, SHINGLE = 4, 5
+SHINGLE = 5
+#: Of one row in SAMPLE, the shingles in SAMPLE_COUNT paragraphs or more count as frequent, MAX_FREQUENT at most.
+SAMPLE, SAMPLE_COUNT, MAX_FREQUENT = 16, 4, 100_000
 #: Candidates that a task may hold, 8 bytes each.
 MAX_BROADCAST = 4_000_000
 #: Words of an anchor, and of how many in a row one is chosen (a power of two). Passages of ANCHOR + WINDOW - 1 words hold one.
 ANCHOR, WINDOW = 16, 16
-PIECES = "doc_id long, rid long, at int, until int, start int, stop int, n int, fp long, k0 long, k1 long, k2 long, k3 long"
+PIECES = "doc_id long, rid long, at int, until int, start int, stop int, n int, fp long, keys array<long>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = re.compile(rb"[.!?][\"')\]]*(?=[\x20\x09\x0B-\x0D])|\n")
 BLANK = b"\x20\x09\x0A\x0B\x0C\x0D"
@@ -112,10 +115,6 @@ def row_id():
     return F.xxhash64("doc_id", "text")
 
 
-def salt(k: int) -> np.uint64:
-    return np.uint64(0x632BE59BD9B4E019 * (k + 1) % 2**64)
-
-
 #: Columns of a signature; eight bytes each.
 SIGNS = tuple(f"s{i}" for i in range(8))
 SALTS = np.array([0x632BE59BD9B4E019 * (101 + k) % 2**64 for k in range(8 * len(SIGNS))], np.uint64)[:, None]
@@ -129,13 +128,53 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def alike(percent: int):
-    """As many bytes of both signatures agree as at the threshold, less 3.5 deviations (all but 0.0003 of pairs at 0.8)."""
+    """As many bytes of both signatures agree as at the threshold, less 5.5 deviations (all but 8e-8 of pairs at 0.8)."""
     p, n = percent / 100, 8 * len(SIGNS)
     same = sum((equal_bytes(F.col(f"{s}_a"), F.col(f"{s}_b")) for s in SIGNS), F.lit(0))
-    return same >= int(n * (p - 3.5 * (p * (1 - p) / n) ** 0.5))
+    return same >= int(n * (p - 5.5 * (p * (1 - p) / n) ** 0.5))
+
+
+def shingle_hashes(w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = w[: len(w) - SHINGLE + 1] + np.uint64(SHINGLE)
+        for i in range(1, SHINGLE):
+            h = mixed(h) * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - SHINGLE + 1 + i]
+        return mixed(h)
+
+
+def prefixes(own: np.ndarray, sizes: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each set, end to end, and how many each has. own holds the shingles of sets of sizes, with repeats."""
+    rank = mixed(own ^ np.uint64(0x632BE59BD9B4E019)) >> np.uint64(1)
+    if len(frequent):
+        rank |= (frequent[np.searchsorted(frequent, own).clip(max=len(frequent) - 1)] == own).astype(np.uint64) << np.uint64(63)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    rank = rank[np.lexsort((rank, of))]
+    new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (of[1:] != of[:-1])])
+    rank, of = rank[new], of[new]
+    n = np.bincount(of, minlength=len(sizes))
+    many = n - (percent * n + 99) // 100 + 1
+    return rank[np.arange(len(rank)) - (np.cumsum(n) - n)[of] < many[of]], many
+
+
+def frequent_shingles(texts: DataFrame, min_words: int) -> np.ndarray:
+    """Sorted shingles that stand in many paragraphs of a sample of the rows."""
+
+    def cut(batches):
+        hashes = word_hashes()
+        for batch in slices(batches, 64):
+            for text in batch.column(0).to_pylist():
+                data = text.encode()
+                paragraphs = cut_paragraphs(data, min_words)
+                if paragraphs:
+                    h = shingle_hashes(np.array(list(map(hashes.__getitem__, data.lower().split())), np.uint64))
+                    found = [np.unique(h[x : y - SHINGLE + 1]) for x, y, _, _ in paragraphs]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    counted = texts.where(F.pmod("rid", F.lit(SAMPLE)) == 0).select("text").mapInArrow(cut, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SAMPLE_COUNT)
+    return np.sort(np.array([r.h for r in counted.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).collect()], np.int64).view(np.uint64))
 
 
-def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
+def pieces_of(texts: DataFrame, min_words: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """Position, size, fingerprint and keys of every paragraph of min_words words or more; and anchors, whose size n is 0."""
 
     def cut(batches):
@@ -159,19 +198,16 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
                 continue
             w = np.array(all_words, np.uint64)
             edge = np.array(edges)
+            h = shingle_hashes(w)
             with np.errstate(over="ignore"):
-                h = w[: len(w) - SHINGLE + 1] + np.uint64(SHINGLE)
-                for i in range(1, SHINGLE):
-                    h = mixed(h) * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - SHINGLE + 1 + i]
-                h = mixed(h)
                 sizes = edge[:, 1] - edge[:, 0] - SHINGLE + 1
                 ends = np.cumsum(sizes)
                 own = h[np.repeat(edge[:, 0] - ends + sizes, sizes) + np.arange(ends[-1])]
                 starts = ends - sizes
                 order = np.arange(len(own), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
                 fp = mixed(np.add.reduceat(mixed(own + mixed(order + np.uint64(1))), starts) + sizes.astype(np.uint64))
-                least = [np.minimum.reduceat(mixed(own + salt(k)), starts) for k in range(2 * BANDS)]
-                keys = [mixed(mixed(a + np.uint64(k)) + b) for k, (a, b) in enumerate(zip(least[::2], least[1::2]))]
+            keys, many = prefixes(own, sizes, percent, frequent)
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(keys.view(np.int64)))
             ends_of_texts = np.array(ends_of_texts)
             at, found = anchor_positions(h, ends_of_texts)
             if len(at):
@@ -179,16 +215,16 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
                 starts_of_texts = np.concatenate([[0], ends_of_texts[:-1]])
                 none, zero = pa.nulls(len(at), pa.int32()), pa.array(np.zeros(len(at), np.int32))
                 ids = [pa.array([x[i] for x in owners], pa.int64()).take(pa.array(text)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array((at - starts_of_texts[text]).astype(np.int32)), none, none, none, zero, pa.array(found.view(np.int64)), *[pa.nulls(len(at), pa.int64())] * len(keys)], ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "k0", "k1", "k2", "k3"])
-            columns = [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["rid"], pa.int64()), *[pa.array(rows[k], pa.int32()) for k in ("at", "until", "start", "stop")], pa.array(sizes.astype(np.int32)), pa.array(fp.view(np.int64)), *[pa.array(k.view(np.int64)) for k in keys]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "k0", "k1", "k2", "k3"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array((at - starts_of_texts[text]).astype(np.int32)), none, none, none, zero, pa.array(found.view(np.int64)), pa.nulls(len(at), pa.list_(pa.int64()))], ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "keys"])
+            columns = [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["rid"], pa.int64()), *[pa.array(rows[k], pa.int32()) for k in ("at", "until", "start", "stop")], pa.array(sizes.astype(np.int32)), pa.array(fp.view(np.int64)), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "keys"])
 
     return texts.mapInArrow(cut, PIECES)
 
 
 def linked_paragraphs(pieces: DataFrame, texts: DataFrame, percent: int, run: str) -> DataFrame:
     """id (a fingerprint), component: the paragraphs that are similar to others but not equal."""
-    banded = pieces.select(F.explode(F.array(*[f"k{k}" for k in range(BANDS)])).alias("key"), F.col("fp").alias("id"), "n")
+    banded = pieces.select(F.explode("keys").alias("key"), F.col("fp").alias("id"), "n")
     shared = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).where("least.id < most").select("key", F.col("least.id").alias("low"), F.col("least.n").alias("n_low"))
     met = settle(banded.join(shared, "key").distinct(), f"{run}-met")
     rows = met.count()
@@ -273,7 +309,7 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
     """doc_id, rid (hash of id and text), spans: array of (start, stop) characters to remove, words removed, sources: doc_ids that keep the passages."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).select("doc_id", row_id().alias("rid"), "text")
     run = f"paragraphs_{uuid.uuid4().hex}"
-    cut = settle(pieces_of(texts, min_words), f"{run}-pieces", "zstd")
+    cut = settle(pieces_of(texts, min_words, percent, frequent_shingles(texts, min_words)), f"{run}-pieces", "zstd")
     anchors = repeated_anchors(cut.where("n = 0").select("doc_id", "rid", "at", "fp"), texts.select("rid", "text"), run)
     anchored = anchors.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("at", "source", "codes", "before")).alias("anchors"))
     anchored = settle(anchored.withColumnRenamed("doc_id", "id").join(texts.select("rid", "text"), "rid").dropDuplicates(["rid"]), f"{run}-anchored", "zstd")

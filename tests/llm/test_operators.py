@@ -197,6 +197,12 @@ def test_verbatim_passages_at_any_offset(spark):
         assert want <= got and len(got - want) <= 8 and spans[j].words == len(got)
 
 
+def test_paragraphs_with_inner_repetition(spark):
+    phrase = "buy nine cheap watches here today while stocks last "
+    found = substrings.repeated_spans(spark.createDataFrame([(1, phrase * 2), (2, phrase * 3)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.words, r.sources) for r in found] == [(2, 27, [1])]
+
+
 def test_similar_sets_share_a_key():
     r = np.random.default_rng(7)
     sets = []
@@ -205,7 +211,7 @@ def test_similar_sets_share_a_key():
         swaps = r.integers(0, 5)
         sets += [both, np.concatenate([both[swaps:], left[:swaps], both[-1:]])]
     for frequent in (np.array([], np.uint64), np.unique(np.concatenate([s[:5] for s in sets[::2]]))):
-        keys, many = substrings.prefixes(np.concatenate(sets), np.array([len(s) for s in sets]), 80, frequent)
+        keys, many, _ = substrings.prefixes(np.concatenate(sets), np.array([len(s) for s in sets]), 80, frequent)
         keys = np.split(keys, np.cumsum(many)[:-1])
         alike = [k for k in range(0, len(sets), 2) if 100 * len(np.intersect1d(*sets[k : k + 2])) >= 80 * len(np.union1d(*sets[k : k + 2]))]
         assert len(alike) > 1000 and all(len(np.intersect1d(*keys[k : k + 2])) for k in alike)

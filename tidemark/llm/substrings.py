@@ -142,8 +142,8 @@ def shingle_hashes(w: np.ndarray) -> np.ndarray:
         return mixed(h)
 
 
-def prefixes(own: np.ndarray, sizes: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of each set, end to end, and how many each has. own holds the shingles of sets of sizes, with repeats."""
+def prefixes(own: np.ndarray, sizes: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each set, end to end, how many each has, and the sizes of the sets. own holds the shingles of sets of sizes, with repeats."""
     rank = mixed(own ^ np.uint64(0x632BE59BD9B4E019)) >> np.uint64(1)
     if len(frequent):
         rank |= (frequent[np.searchsorted(frequent, own).clip(max=len(frequent) - 1)] == own).astype(np.uint64) << np.uint64(63)
@@ -153,7 +153,7 @@ def prefixes(own: np.ndarray, sizes: np.ndarray, percent: int, frequent: np.ndar
     rank, of = rank[new], of[new]
     n = np.bincount(of, minlength=len(sizes))
     many = n - (percent * n + 99) // 100 + 1
-    return rank[np.arange(len(rank)) - (np.cumsum(n) - n)[of] < many[of]], many
+    return rank[np.arange(len(rank)) - (np.cumsum(n) - n)[of] < many[of]], many, n
 
 
 def frequent_shingles(texts: DataFrame, min_words: int) -> np.ndarray:
@@ -206,7 +206,7 @@ def pieces_of(texts: DataFrame, min_words: int, percent: int, frequent: np.ndarr
                 starts = ends - sizes
                 order = np.arange(len(own), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
                 fp = mixed(np.add.reduceat(mixed(own + mixed(order + np.uint64(1))), starts) + sizes.astype(np.uint64))
-            keys, many = prefixes(own, sizes, percent, frequent)
+            keys, many, distinct = prefixes(own, sizes, percent, frequent)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(keys.view(np.int64)))
             ends_of_texts = np.array(ends_of_texts)
             at, found = anchor_positions(h, ends_of_texts)
@@ -216,7 +216,7 @@ def pieces_of(texts: DataFrame, min_words: int, percent: int, frequent: np.ndarr
                 none, zero = pa.nulls(len(at), pa.int32()), pa.array(np.zeros(len(at), np.int32))
                 ids = [pa.array([x[i] for x in owners], pa.int64()).take(pa.array(text)) for i in range(2)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array((at - starts_of_texts[text]).astype(np.int32)), none, none, none, zero, pa.array(found.view(np.int64)), pa.nulls(len(at), pa.list_(pa.int64()))], ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "keys"])
-            columns = [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["rid"], pa.int64()), *[pa.array(rows[k], pa.int32()) for k in ("at", "until", "start", "stop")], pa.array(sizes.astype(np.int32)), pa.array(fp.view(np.int64)), keys]
+            columns = [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["rid"], pa.int64()), *[pa.array(rows[k], pa.int32()) for k in ("at", "until", "start", "stop")], pa.array(distinct.astype(np.int32)), pa.array(fp.view(np.int64)), keys]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "keys"])
 
     return texts.mapInArrow(cut, PIECES)

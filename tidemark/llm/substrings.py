@@ -305,14 +305,43 @@ def repeated_anchors(anchors: DataFrame, texts: DataFrame, run: str) -> DataFram
     return copies.join(quoted, "fp").drop("fp")
 
 
+def extended(anchors: list[dict], text: str) -> list[dict]:
+    """Marks (first word, end word, first character, end character, source) of the anchors that are confirmed, as far as the words agree with the source's."""
+    data = text.encode()
+    words, places, out = word_codes(data, word_hashes()), [m.span() for m in WORD.finditer(data)], set()
+    chars = (lambda i: i) if data.isascii() else (lambda i: len(data[:i].decode()))
+    for m in anchors:
+        theirs, at, mid = np.frombuffer(m["codes"], np.uint32), m["at"], m["before"]
+        right = same_words(words[at:], theirs[mid:])
+        if right >= ANCHOR:
+            left = same_words(words[max(0, at - mid) : at][::-1], theirs[:mid][::-1])
+            out.add((at - left, at + right, m["source"]))
+    return [{"at": x, "until": y, "start": chars(places[x][0]), "stop": chars(places[y - 1][1]), "source": source} for x, y, source in out]
+
+
+MARKS = "array<struct<at:int,until:int,start:int,stop:int,source:bigint>>"
+
+
+def extend(batches):
+    """Rows (doc_id, rid, anchors, text) with marks for anchors."""
+    kind = pa.list_(pa.struct([*[(k, pa.int32()) for k in ("at", "until", "start", "stop")], ("source", pa.int64())]))
+    for batch in slices(batches, 64):
+        marks = [extended(a, t) for a, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, kind)], ["id", "rid", "extended"])
+
+
 def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_run: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid (hash of id and text), spans: array of (start, stop) characters to remove, words removed, sources: doc_ids that keep the passages."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).select("doc_id", row_id().alias("rid"), "text")
     run = f"paragraphs_{uuid.uuid4().hex}"
     cut = settle(pieces_of(texts, min_words, percent, frequent_shingles(texts, min_words)), f"{run}-pieces", "zstd")
-    anchors = repeated_anchors(cut.where("n = 0").select("doc_id", "rid", "at", "fp"), texts.select("rid", "text"), run)
+    anchors = repeated_anchors(cut.where("n = 0").select("doc_id", "rid", "at", "fp"), texts.select("rid", "text"), f"{run}-verbatim")
     anchored = anchors.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("at", "source", "codes", "before")).alias("anchors"))
-    anchored = settle(anchored.withColumnRenamed("doc_id", "id").join(texts.select("rid", "text"), "rid").dropDuplicates(["rid"]), f"{run}-anchored", "zstd")
+    anchored = anchored.join(texts.select("rid", "text"), "rid").dropDuplicates(["rid"]).select("doc_id", "rid", "anchors", "text")
+    anchored = settle(anchored.mapInArrow(extend, f"id long, rid long, extended {MARKS}"), f"{run}-anchored", "zstd")
+    del anchors
+    discard_all(docs.sparkSession, f"{run}-verbatim")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that are gone
     pieces = cut.where("n > 0")
     linked = linked_paragraphs(pieces, texts.select("rid", "text"), percent, run)
 
@@ -324,26 +353,11 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
     marked = pieces.select("doc_id", "rid", "at", "until", "start", "stop", "fp").join(repeated, "fp").where(~F.col("doc_id").eqNullSafe(F.col("source")))
     by_row = marked.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("at", "until", "start", "stop", "source"))).alias("marks"))
 
-    def extended(anchors, text):
-        """(first word, end word, first character, end character, source) of the anchors that are confirmed, as far as the words agree with the source's."""
-        data = text.encode()
-        words, places, out = word_codes(data, word_hashes()), [m.span() for m in WORD.finditer(data)], []
-        chars = (lambda i: i) if data.isascii() else (lambda i: len(data[:i].decode()))
-        for m in anchors:
-            theirs, at, mid = np.frombuffer(m["codes"], np.uint32), m["at"], m["before"]
-            right = same_words(words[at:], theirs[mid:])
-            if right >= ANCHOR:
-                left = same_words(words[max(0, at - mid) : at][::-1], theirs[:mid][::-1])
-                out.append((at - left, at + right, chars(places[at - left][0]), chars(places[at + right - 1][1]), m["source"]))
-        return out
-
     def runs(batches):
         for batch in slices(batches):
             spans, words, sources = [], [], []
-            for marks, anchors, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                marks = [tuple(m[k] for k in ("at", "until", "start", "stop", "source")) for m in marks or ()]
-                if anchors:
-                    marks = sorted(marks + extended(anchors, text), key=lambda m: m[:4])
+            for marks, more in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                marks = sorted((tuple(m[k] for k in ("at", "until", "start", "stop", "source")) for m in [*(marks or ()), *(more or ())]), key=lambda m: m[:4])
                 own, n, told = [], 0, set()
                 at = 0
                 while at < len(marks):
@@ -362,7 +376,7 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
             span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(words, pa.int64()), pa.array(sources, pa.list_(pa.int64()))], ["doc_id", "rid", "spans", "words", "sources"])
 
-    both = by_row.join(anchored, "rid", "full").select(F.coalesce("doc_id", "id").alias("doc_id"), "rid", "marks", "anchors", "text")
+    both = by_row.join(anchored, "rid", "full").select(F.coalesce("doc_id", "id").alias("doc_id"), "rid", "marks", "extended")
     spans = both.mapInArrow(runs, "doc_id long, rid long, spans array<struct<start:int,stop:int>>, words long, sources array<bigint>").where(F.size("spans") > 0)
     out = settle(spans, "spans", "zstd")
     discard_all(docs.sparkSession, run)

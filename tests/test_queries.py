@@ -60,3 +60,17 @@ def test_primary_signals():
     rules = signal_columns(Panel(), names)
     counts = {r: list(rules.values()).count(r) for r in set(rules.values())}
     assert counts == {"centered_oscillator": 22, "extreme_zone_oscillator": 10, "trend_filter": 20, "volume_confirmation": 9, "bollinger": 1}
+
+
+def test_backtests_run_every_fold(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.temporal import Rolling
+
+    days = Q.dataset(spark, DATA).select(F.to_date("date")).distinct().count()
+    folds = {k for k, *_ in Rolling(20, 4, 1).folds(days)}
+    oos = Q.QUERIES["logit_backtest"](spark, DATA).persist()
+    assert len(folds) == 3 and {r.fold_id for r in oos.select("fold_id").distinct().collect()} == folds
+    assert {r.fold_id for r in Q.QUERIES["forest_backtest"](spark, DATA).collect()} == folds
+    groups = oos.where("y_true IS NOT NULL AND y_proba_pred IS NOT NULL").select("date", "asset", "horizon").distinct().count()
+    assert Q.QUERIES["backtest_topk"](spark, DATA).first().n_groups == groups

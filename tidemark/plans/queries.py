@@ -399,17 +399,17 @@ def fold_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("logit_backtest")
 def logit(spark, sf_dir):
-    return logit_backtest(dataset(spark, sf_dir), splitter=Rolling(20, 4, 1), horizons=HORIZONS, max_folds=2, max_iter=50)["oos"].select("date", "asset", "indicator_name", "horizon", "fold_id", "y_true", "y_pred", "y_proba_pred", "rank_pred_proba")
+    return logit_backtest(dataset(spark, sf_dir), splitter=Rolling(20, 4, 1), horizons=HORIZONS, max_iter=50)["oos"].select("date", "asset", "indicator_name", "horizon", "fold_id", "y_true", "y_pred", "y_proba_pred", "rank_pred_proba")
 
 
 @query("forest_backtest")
 def forest(spark, sf_dir):
-    return forest_backtest(dataset(spark, sf_dir), splitter=Rolling(20, 4, 1), horizons=HORIZONS, max_folds=1, trees=20)["fold_metrics"]
+    return forest_backtest(dataset(spark, sf_dir), splitter=Rolling(20, 4, 1), horizons=HORIZONS, trees=20)["fold_metrics"]
 
 
 @query("backtest_topk")
 def backtest_topk(spark, sf_dir):
-    out = rolling_backtest(dataset(spark, sf_dir), fit_logit, Rolling(20, 4, 1), HORIZONS, max_folds=1, max_iter=30)
+    out = rolling_backtest(dataset(spark, sf_dir), fit_logit, Rolling(20, 4, 1), HORIZONS, max_iter=30)
     return top_k(out["oos"])[1]
 
 

@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of this machine, which only local mode may use."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -37,31 +39,49 @@ def settle(df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
     return out
 
 
+def _store(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete settled tables that no later step reads."""
     for df in frames:
         path = getattr(df, "settled_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            store, where = _store(df.sparkSession, path)
+            store.delete(where, True)
 
 
 def discard_all(spark: SparkSession, prefix: str) -> None:
     """Delete the settled tables whose names begin so; what is still to be read must have been settled under another name."""
-    sc = spark.sparkContext
-    pattern = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{prefix}*")
-    store = pattern.getFileSystem(sc._jsc.hadoopConfiguration())
+    store, pattern = _store(spark, f"{shared_dir(spark)}/{prefix}*")
     for found in store.globStatus(pattern) or []:
         store.delete(found.getPath(), True)
 
 
-def few_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
-    """df in no more tasks than so many rows are worth, where its partitions are many and small; large tables stay as they are."""
-    tasks = max(6, rows // each + 1)
+#: Bytes of an uncompressed settled table that every task may hold in a hash join.
+MAX_BROADCAST = 24 << 20
+
+
+def broadcastable(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """A settled table, to be broadcast if its files are that small; larger ones are joined by a shuffle, whose hot keys Spark splits."""
+    store, where = _store(df.sparkSession, df.settled_path)
+    return F.broadcast(df) if store.getContentSummary(where).getLength() <= most else df
+
+
+def few_tasks(df: DataFrame, rows: int, row_bytes: int = 320, task_bytes: int = 16 << 20) -> DataFrame:
+    """df in no more tasks than so many rows of that size are worth, where its partitions are many and small; large tables stay as they are."""
+    tasks = max(6, rows * row_bytes // task_bytes + 1)
     return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """Tells rows of one id apart by their texts; joins compare the id as well."""
+    return F.xxhash64(id_col, text_col)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, so tasks that reuse the worker find what earlier ones built."""
     return sys.modules["sys"].__dict__.setdefault("_tidemark_worker_cache", {})

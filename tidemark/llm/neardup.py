@@ -6,21 +6,23 @@ the leading one are stored, 2 bytes a bucket. An empty bucket takes the register
 fixed random order, so that a register of two sets agrees with the probability of their Jaccard
 similarity J. 32 bands of 4 registers meet with probability 1 - (1 - J^4)^32, all but 5e-8 at J = 0.8.
 
-1. Documents with equal sets are one node (grouped by a 128-bit fingerprint, summed before the shuffle).
-2. Nodes that share a band meet in its bucket. Each is compared with the bucket's least node: a star, not
+1. Documents with equal sets are one node, known by a 128-bit fingerprint of the set.
+2. Band keys that occur once are dropped: the keys alone are counted, and the rows of shared keys are kept.
+   Nodes that share a key meet in its bucket. Each is compared with the bucket's least node: a star, not
    all pairs. The estimate, corrected for registers that agree by chance, drops pairs that are more than
    five deviations below the threshold; the others are confirmed on their full shingle sets.
 3. Confirmed links give components. Buckets that still hold several components are searched for every
    pair across components (pairs within one can't change it), estimated and confirmed likewise.
    No bucket has a cap, so links are lost only where no band meets.
 
-Sets of one class and pairs of one bucket are split over tasks by Spark's skew join; the driver sees no
+Texts of nodes that meet another are fetched from docs; no other text is moved. Tables of nodes are broadcast
+while they are small (checked), else joined by a shuffle whose hot keys Spark splits; the driver sees no
 documents, links or components.
 
 Edge cases: a text with fewer than n words is one shingle; without words, or null, the set is empty and
-linked with nothing; rows that share a doc_id are one document in linking; rows with a null doc_id are
-returned unlinked with a null component and kept; an empty table gives an empty result; extra columns are
-ignored by near_duplicates and ride along in drop_near_duplicates.
+linked with nothing; rows that share a doc_id are one document, linked by any of its texts; rows with a null
+doc_id are returned unlinked with a null component and kept; an empty table gives an empty result; extra
+columns are ignored by near_duplicates and ride along in drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -31,17 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import discard_all, few_tasks, settle, shared_dir, slices, table
-from .components import link_collisions
+from .common import broadcastable, discard_all, few_tasks, row_key, settle, slices, table
+from .components import components, link_collisions
 from .shingles import mixed, shingle_set, word_hashes
 
 BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 7, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
 #: For each bucket the order in which others lend it a register.
 LENDERS = np.stack([np.random.default_rng(1000 + i).permutation(BUCKETS) for i in range(BUCKETS)]).astype(np.uint8)
-PRINTS = "n int, fp1 long, fp2 long, regs binary"
+PRINTS = "doc_id long, rid long, n int, fp1 long, fp2 long, regs binary"
+FP = ["fp1", "fp2"]
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -76,8 +78,8 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return (agree - by_luck) / (1 - by_luck)
 
 
-def prints(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """Texts and their registers, dealt by doc_id and written as a bucketed table, so that later joins on doc_id don't move texts."""
+def prints(texts: DataFrame, n: int) -> DataFrame:
+    """doc_id, rid, set size, fingerprint and registers of every text of (doc_id, rid, text)."""
 
     def make(batches):
         import xxhash
@@ -85,17 +87,16 @@ def prints(docs: DataFrame, n: int, parts: int) -> DataFrame:
         hashes = word_hashes()
         for batch in slices(batches):
             sizes, fp1, fp2, regs = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set((text or "").encode(), n, hashes)
                 fp = xxhash.xxh3_128_intdigest(s.tobytes())
                 sizes.append(len(s))
                 fp1.append((fp >> 64) - (1 << 63))
                 fp2.append((fp & ((1 << 64) - 1)) - (1 << 63))
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(regs, pa.binary())], [*batch.schema.names, "n", "fp1", "fp2", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "rid", "n", "fp1", "fp2", "regs"])
 
-    schema = T.StructType(docs.schema.fields + T._parse_datatype_string(PRINTS).fields)
-    return docs.repartition(parts, "doc_id").mapInArrow(make, schema)
+    return texts.select("doc_id", "rid", "text").mapInArrow(make, PRINTS)
 
 
 #: The low byte of every register, eight to a column.
@@ -103,15 +104,15 @@ SIGNS = tuple(f"s{i}" for i in range(BUCKETS // 8))
 
 
 def register_bytes(nodes: DataFrame) -> DataFrame:
-    """id and SIGNS of nodes (doc_id, n, regs)."""
+    """id, n and SIGNS of nodes (id, n, regs)."""
 
     def take(batches):
         for batch in slices(batches, 2048):
             if batch.num_rows:
-                low = np.ascontiguousarray(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.uint8)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(low[:, i])) for i in range(low.shape[1])]], ["id", *SIGNS])
+                low = np.ascontiguousarray(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.uint8)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(low[:, i])) for i in range(low.shape[1])]], ["id", "n", *SIGNS])
 
-    return nodes.select("doc_id", "regs").mapInArrow(take, "id long, " + ", ".join(f"{s} long" for s in SIGNS)).dropDuplicates(["id"])
+    return nodes.select("id", "n", "regs").mapInArrow(take, "id long, n int, " + ", ".join(f"{s} long" for s in SIGNS))
 
 
 def equal_bytes(a, b):
@@ -133,7 +134,7 @@ def agree_enough(percent: int):
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose registers allow the similarity: the estimate is at most five deviations below it."""
     low = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / BUCKETS) ** 0.5
-    sides = [nodes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab"]
+    sides = [nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab"]
 
     def prune(batches):
         for batch in slices(batches, 4096):
@@ -145,19 +146,22 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(prune, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, bucketed: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have the similarity. b is the side that may recur without bound."""
+def mean_bytes(quoted: DataFrame) -> int:
+    """Of the texts of a settled table, 64 more for the rest of a row."""
+    return 64 + int(quoted.agg(F.avg(F.octet_length("text"))).first()[0] or 0)
+
+
+def confirmed(pairs: DataFrame, quoted: DataFrame, n: int, percent: int, name: str, allow=None) -> DataFrame:
+    """Pairs (a, b) of ids of quoted (id, text) whose full shingle sets have the similarity. b is the side that may recur without bound."""
     pairs = settle(pairs, f"{name}-pairs")
-    rows = pairs.count()
-    right = pairs.select("b").distinct().join(bucketed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").dropDuplicates(["b"])
-    right = settle(few_tasks(right, rows), f"{name}-right", "zstd")
-    left = few_tasks(pairs.join(bucketed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"), rows)
+    rows, size = pairs.count(), mean_bytes(quoted)
+    sides = [quoted.select(*[F.col(c).alias({"id": x}.get(c, f"{c}_{x}")) for c in quoted.columns]) for x in "ab"]
 
     def verify(batches):
         hashes, last, known = word_hashes(), None, None
         for batch in slices(batches, 128):
             keep = []
-            for b, text_a, text_b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 if b != last:
                     last, known = b, shingle_set(text_b.encode(), n, hashes)
                 own = shingle_set(text_a.encode(), n, hashes)
@@ -165,60 +169,104 @@ def confirmed(pairs: DataFrame, bucketed: DataFrame, n: int, percent: int, name:
                 keep.append(100 * shared >= percent * (len(own) + len(known) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return settle(few_tasks(left.join(right, "b"), rows).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
+    left = few_tasks(pairs.join(sides[0], "a"), rows, size)
+    met = left.join(sides[1], "b")
+    if allow is not None:
+        met = met.where(allow)
+    return settle(few_tasks(met, rows, 2 * size).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
+
+
+def shared_keys(keys: DataFrame, name: str) -> DataFrame:
+    """The keys that occur more than once: all that is shuffled of the others is the key."""
+    return settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), f"{name}-shared", "snappy")
+
+
+def met_nodes(keyed: DataFrame, shared: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """met (key, id) of the keys that several nodes of keyed (key, fp1, fp2) share, and nodes (fp1, fp2, id); ids are given here."""
+    met = settle(keyed.join(broadcastable(shared), "key").select("key", *FP).distinct(), f"{name}-several")
+    several = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    met = settle(met.join(several, "key"), f"{name}-keyed")
+    nodes = settle(few_tasks(met.select(*FP).distinct(), met.count()).withColumn("id", F.monotonically_increasing_id()), f"{name}-nodes")
+    return met.join(broadcastable(nodes), FP).select("key", "id"), nodes
+
 
+def with_least(met: DataFrame, told: DataFrame, rows: int, name: str) -> DataFrame:
+    """met (key, id) with the columns of told (id, n and others), and low and n_low, the least node of the key."""
+    whole = settle(few_tasks(met.join(broadcastable(told), "id"), rows), f"{name}-told")
+    least = few_tasks(whole.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m")), rows).select("key", F.col("m.id").alias("low"), F.col("m.n").alias("n_low"))
+    return settle(few_tasks(whole.join(least, "key"), rows), f"{name}-met")
 
-def search(docs: DataFrame, n: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """The bucketed table of docs (doc_id, text and any others), and doc_id, component_id of those with a set."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prints(docs, n, parts).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "doc_id").saveAsTable(name)
-    bucketed = spark.table(name)
-    plain = spark.read.schema(bucketed.schema).parquet(f"{shared_dir(spark)}/{name}")
 
-    sets = plain.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "fp1", "fp2", "n")
-    classes = sets.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    members = settle(sets.join(classes, ["fp1", "fp2"]).select("doc_id", "rep", "n"), f"{name}-members")
-    reps = members.where("doc_id = rep").select("doc_id", "n").distinct()
-    nodes = bucketed.select("doc_id", "n", "regs").join(reps, ["doc_id", "n"])
+def one_document(pairs: DataFrame, name: str) -> DataFrame:
+    """doc_id, component_id from pairs (doc_id, least): a document with texts in several groups makes them one."""
+    pairs = settle(pairs, f"{name}-places")
+    clash = pairs.groupBy("doc_id").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("doc_id", "lo")
+    edges = settle(pairs.join(clash, "doc_id").select(F.col("least").alias("a"), F.col("lo").alias("b")).where("a > b").distinct(), f"{name}-clashes")
+    if edges.isEmpty():
+        return pairs.select("doc_id", F.col("least").alias("component_id")).distinct()
+    merged = components(edges, "a", "b", f"{name}-merged")
+    return pairs.join(merged, F.col("least") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "least")).alias("component_id"))
+
+
+def search(docs: DataFrame, n: int, percent: int, run: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id and n of every row of docs (doc_id, text), and doc_id, component_id of documents that are linked with others. Both are settled under run."""
+    texts = docs.select("doc_id", row_key().alias("rid"), "text")
+    printed = settle(prints(texts, n), f"{run}-prints")
+    sets = printed.where("n > 0 AND doc_id IS NOT NULL")
 
     def bands(batches):
         for batch in slices(batches, 2048):
             if batch.num_rows:
                 keys = band_keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS))
-                ids, sizes = (np.repeat(np.asarray(batch.column(c)), BANDS) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(sizes)], ["key", "id", "n"])
-
-    banded = nodes.mapInArrow(bands, "key long, id long, n int")
-    shared = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).where("least.id < most").select("key", F.col("least.id").alias("low"), F.col("least.n").alias("n_low"))
-    met = settle(banded.join(shared, "key"), f"{name}-met")
-
-    regs = plain.where("n > 0").select("doc_id", "n", "regs")
-    signed = few_tasks(met.join(register_bytes(nodes), "id"), met.count())
-    texts = bucketed.select(F.col("doc_id").alias("id"), "text")
-    final = link_collisions(settle(signed, f"{name}-signed"), percent, lambda pairs, at: confirmed(estimated(pairs, regs, percent), bucketed, n, percent, f"{name}-{at}"), name, texts, n, SIGNS, agree_enough(percent))
-
-    placed = members.select("doc_id", "rep").distinct().join(final, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    placed = settle(placed, "neardup_placed")
-    discard_all(spark, f"{name}-")
-    return bucketed, placed
+                fps = (np.repeat(np.asarray(batch.column(c)), BANDS) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, fps)], ["key", *FP])
+
+    keyed = sets.select(*FP, "regs").mapInArrow(bands, "key long, fp1 long, fp2 long")
+    met, nodes = met_nodes(keyed, shared_keys(keyed.select("key"), run), run)
+    rows = met.count()
+    told = sets.join(broadcastable(nodes), FP).groupBy("id").agg(F.min(F.struct("rid", "doc_id")).alias("p"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    told = settle(few_tasks(told, rows), f"{run}-known")
+    place = settle(told.select("id", "p.rid", "p.doc_id"), f"{run}-place")
+    quoted = settle(texts.join(broadcastable(place), ["rid", "doc_id"]).select("id", "text").dropDuplicates(["id"]), f"{run}-quoted", "zstd")
+    signed = with_least(met, settle(register_bytes(told), f"{run}-signs"), rows, run)
+
+    def confirm(pairs: DataFrame, at: str) -> DataFrame:
+        return confirmed(estimated(pairs, told, percent), quoted, n, percent, f"{run}-{at}")
+
+    final = link_collisions(signed, percent, confirm, run, quoted, n, SIGNS, agree_enough(percent))
+    linked = settle(final.join(broadcastable(nodes), "id").select(*FP, F.col("component").alias("c")), f"{run}-linked")
+    # groups: components of several sets, and single sets; those of one document need no row
+    placed = sets.select("doc_id", *FP).join(broadcastable(linked), FP, "left")
+    group = [F.when(F.col("c").isNull(), F.col("fp1")).alias("g1"), F.when(F.col("c").isNull(), F.col("fp2")).alias("g2"), "c"]
+    groups = placed.select("doc_id", *group).groupBy("g1", "g2", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    groups = broadcastable(settle(groups, f"{run}-groups"))
+    pairs = placed.join(groups.where("c IS NULL").select(F.col("g1").alias("fp1"), F.col("g2").alias("fp2"), "least"), FP).select("doc_id", "least")
+    pairs = pairs.unionAll(placed.join(groups.where("c IS NOT NULL").select("c", "least"), "c").select("doc_id", "least"))
+    return printed.select("doc_id", "n"), settle(one_document(pairs.distinct(), run), f"{run}-placed")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles long, component_id (the least doc_id reachable), kept boolean; one row a row of docs."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    bucketed, placed = search(base, n, percent, f"neardup_{uuid.uuid4().hex}")
-    whole = bucketed.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(placed, "doc_id", "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    run = f"neardup_{uuid.uuid4().hex}"
+    sets, placed = search(base, n, percent, run)
+    known = sets.where("doc_id IS NOT NULL").join(broadcastable(placed), "doc_id", "left").unionAll(sets.where("doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long")))
+    component = F.coalesce("component_id", "doc_id")
+    out = settle(known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near-duplicates")
+    discard_all(docs.sparkSession, run)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which near_duplicates keeps the document: of each group the document of least id; rows without a set stay."""
-    rest = [c for c in docs.columns if c != text_col]
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rec"))
-    bucketed, placed = search(base, n, percent, f"neardup_{uuid.uuid4().hex}")
-    kept = bucketed.select("doc_id", "text", "rec").join(placed, "doc_id", "left").where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
-    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rec.`{c}`").alias(c) for c in docs.columns])
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    run = f"neardup_{uuid.uuid4().hex}"
+    _, placed = search(base, n, percent, run)
+    gone = settle(placed.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "near-duplicates-gone")
+    discard_all(docs.sparkSession, run)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    kept = keyed.where("id IS NOT NULL").join(broadcastable(gone), F.col("id") == F.col("gone"), "left_anti").unionAll(keyed.where("id IS NULL"))
+    return kept.select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

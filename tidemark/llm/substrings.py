@@ -1,30 +1,28 @@
-"""Repeated passages by verbatim anchors and by similar paragraphs.
-
-Anchors find verbatim passages wherever they start: of every ``WINDOW`` 16-word runs in a row the one of least
-hash is an anchor (winnowing), whatever stands around. Two texts that share 31 words in a row or more share an
-anchor in every 31 of them. An anchor that stands in several documents is held against its first occurrence
-word by word and extended to both sides as far as the words agree.
-
-Paragraphs find passages that were edited.
-
-A paragraph here is a line or sentence; one of more than 40 words is cut from its end backwards into
-blocks of 20, so that passages which start in the middle of a foreign sentence align soon after. Sentences of
-fewer than 8 words are joined up to one whose hash is even (or to 24 words), so that their groups align likewise. A
-paragraph of ``min_words`` words or more is a set of n five-word shingles; its keys are the n - ceil(0.8 n) + 1 that come first
-in one order of all shingles. Two sets of similarity 0.8 or more always share one of their keys (prefix filter).
-Phrases that stand in many unlike paragraphs would bring forth a square of pairs: shingles that are frequent in a
-sample come last in the order, which changes no result; and of 64 min-hashes, a byte each, 33 must agree before a
-pair is made at all (at 0.8: all but 8e-8).
-
-1. Equal paragraphs are one node, by fingerprint (64 bits: at 1e9 distinct paragraphs 3 % odds of one false match).
-2. Nodes that share a key are linked as in near-duplicate search: stars first, then pairs across
-   components, each confirmed by exact Jaccard similarity of the full sets, 0.8 or more.
-3. Components are clusters of repeated paragraphs. The first occurrence (least doc_id, then position)
-   stays; occurrences in other documents are marked, and so are extended anchors. A run of marks, with fewer than
-   ``min_words`` words between, goes if it has ``min_run`` words or more.
-
-Edge cases: null and empty texts have no paragraphs and stay as they are; paragraphs repeated only
-inside one document stay; rows with equal id and text are handled alike; null ids count as one document;
+"""Repeated passages: paragraph MinHash banding, and anchors for verbatim passages that no paragraph bounds.
+
+Paragraphs find passages that were edited. A paragraph is a line of ``min_words`` words or more, as the set of its
+five-word shingles. 24 min-hashes make ``BANDS`` bands of two, tuned for recall: paragraphs of similarity 0.8 share none
+of them with odds 5e-6 (1 - 0.8^2, twelve times over).
+
+1. Equal paragraphs are one node, by a 128-bit fingerprint of their words.
+2. Nodes that share a band key are linked as in near-duplicate search: stars first, then pairs across components, each
+   confirmed by exact Jaccard similarity of the full sets, 0.8 or more. Of 64 further min-hashes, a byte each, 33 must
+   agree before a pair is made at all (at 0.8: all but 8e-8), so that phrases common to unlike paragraphs stay cheap.
+3. Components are clusters of repeated paragraphs. The first occurrence (least doc_id, then position) stays;
+   occurrences in other documents are marked.
+
+Anchors find passages wherever they start: of every ``WINDOW`` 16-word runs in a row the one of least hash is an anchor
+(winnowing), whatever stands around. Two texts that share 31 words in a row or more share an anchor in every 31 of them.
+Neighbouring anchors of a text that stand in the same earlier document at the same distance make a chain; its ends are
+held against that document word by word and extended as far as the words agree. What a chain covers is marked.
+
+A run of marks, with fewer than ``min_words`` words between, goes if it has ``min_run`` words or more.
+
+Texts are not shuffled while the rows that ask for them are few enough to be broadcast (checked); beyond that they are
+joined by row. Band keys and anchors are first counted alone, and only rows of shared ones go further.
+
+Edge cases: null and empty texts have no paragraphs and stay as they are; what is repeated only
+inside one document stays; rows with equal id and text are handled alike; null ids count as one document;
 documents left without a word are dropped by drop_repeated; an empty table gives an empty result; extra
 columns ride along.
 """
@@ -33,59 +31,29 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard_all, few_tasks, settle, slices, table
+from .common import broadcastable, discard, discard_all, few_tasks, row_key, settle, slices, table
 from .components import link_collisions
-from .neardup import equal_bytes
+from .neardup import FP, confirmed, equal_bytes, met_nodes, shared_keys, with_least
 from .shingles import mixed, shingle_set, word_hashes
 
 SHINGLE = 5
-#: Of one row in SAMPLE, the shingles in SAMPLE_COUNT paragraphs or more count as frequent, MAX_FREQUENT at most.
-SAMPLE, SAMPLE_COUNT, MAX_FREQUENT = 16, 4, 100_000
-#: Candidates that a task may hold, 8 bytes each.
-MAX_BROADCAST = 4_000_000
+BANDS, ROWS = 12, 2
 #: Words of an anchor, and of how many in a row one is chosen (a power of two). Passages of ANCHOR + WINDOW - 1 words hold one.
 ANCHOR, WINDOW = 16, 16
-PIECES = "doc_id long, rid long, at int, until int, start int, stop int, n int, fp long, keys array<long>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-END = re.compile(rb"[.!?][\"')\]]*(?=[\x20\x09\x0B-\x0D])|\n")
-BLANK = b"\x20\x09\x0A\x0B\x0C\x0D"
-
-
-def cut_paragraphs(data: bytes, min_words: int = 1, short: int = 8, long: int = 40, block: int = 20) -> list[tuple[int, int, int, int]]:
-    """(first word, end word, first character, end character) of each paragraph of min_words or more of a text, given as UTF-8."""
-    out, word, chars, at, held = [], 0, 0, 0, None
-    for stop in [*(m.end() for m in END.finditer(data)), len(data)]:
-        piece = data[at:stop]
-        n, size = len(piece.split()), stop - at if piece.isascii() else len(piece.decode())
-        if n:
-            first = chars + len(piece) - len(piece.lstrip(BLANK))
-            last = chars + size - (len(piece) - len(piece.rstrip(BLANK)))
-            if n < short:
-                held = (held[0], word + n, held[2], last) if held else (word, word + n, first, last)
-                if held[1] - held[0] >= short and (zlib.crc32(piece.strip(BLANK)) % 2 == 0 or held[1] - held[0] >= 3 * short):
-                    out.append(held)
-                    held = None
-            else:
-                if held:
-                    out.append(held)
-                    held = None
-                if n > long:
-                    spans = [m.span() for m in WORD.finditer(piece)]
-                    edges = [0, *range(n - (n - 1) // block * block, n, block), n]
-                    out += [(word + x, word + y, chars + len(piece[: spans[x][0]].decode()), chars + len(piece[: spans[y - 1][1]].decode())) for x, y in zip(edges, edges[1:])]
-                else:
-                    out.append((word, word + n, first, last))
-        word, chars, at = word + n, chars + size, stop
-    if held:
-        out.append(held)
-    return [x for x in out if x[1] - x[0] >= min_words]
+
+
+def odd_numbers(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+FACTORS, SHIFTS = odd_numbers(BANDS * ROWS, 31), odd_numbers(BANDS * ROWS, 32)
 
 
 def anchor_positions(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +79,24 @@ def anchor_positions(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return chosen, whole[chosen]
 
 
-def row_id():
-    return F.xxhash64("doc_id", "text")
+def shingle_hashes(w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = w[: len(w) - SHINGLE + 1] + np.uint64(SHINGLE)
+        for i in range(1, SHINGLE):
+            h = mixed(h) * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - SHINGLE + 1 + i]
+        return mixed(h)
+
+
+def band_keys(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) keys of sets of shingle hashes laid end to end, which begin at starts; repeats don't matter."""
+    out = np.empty((len(starts), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            key = np.full(len(starts), band + 1, np.uint64)
+            for k in range(ROWS * band, ROWS * (band + 1)):
+                key = mixed(key) + np.minimum.reduceat((own ^ SHIFTS[k]) * FACTORS[k], starts)
+            out[:, band] = mixed(key)
+    return out
 
 
 #: Columns of a signature; eight bytes each.
@@ -134,134 +118,161 @@ def alike(percent: int):
     return same >= int(n * (p - 5.5 * (p * (1 - p) / n) ** 0.5))
 
 
-def shingle_hashes(w: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = w[: len(w) - SHINGLE + 1] + np.uint64(SHINGLE)
-        for i in range(1, SHINGLE):
-            h = mixed(h) * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - SHINGLE + 1 + i]
-        return mixed(h)
+def lists(flat: pa.Array, counts) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
 
 
-def prefixes(own: np.ndarray, sizes: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of each set, end to end, how many each has, and the sizes of the sets. own holds the shingles of sets of sizes, with repeats."""
-    rank = mixed(own ^ np.uint64(0x632BE59BD9B4E019)) >> np.uint64(1)
-    if len(frequent):
-        rank |= (frequent[np.searchsorted(frequent, own).clip(max=len(frequent) - 1)] == own).astype(np.uint64) << np.uint64(63)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    rank = rank[np.lexsort((rank, of))]
-    new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (of[1:] != of[:-1])])
-    rank, of = rank[new], of[new]
-    n = np.bincount(of, minlength=len(sizes))
-    many = n - (percent * n + 99) // 100 + 1
-    return rank[np.arange(len(rank)) - (np.cumsum(n) - n)[of] < many[of]], many, n
+CUT = "doc_id long, rid long, at array<int>, until array<int>, fp1 array<long>, fp2 array<long>, keys array<array<long>>, anchor_at array<int>, anchor array<long>"
 
 
-def frequent_shingles(texts: DataFrame, min_words: int) -> np.ndarray:
-    """Sorted shingles that stand in many paragraphs of a sample of the rows."""
+def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
+    """One row a text: its paragraphs' words, fingerprints and band keys, and its anchors."""
 
     def cut(batches):
-        hashes = word_hashes()
-        for batch in slices(batches, 64):
-            for text in batch.column(0).to_pylist():
-                data = text.encode()
-                paragraphs = cut_paragraphs(data, min_words)
-                if paragraphs:
-                    h = shingle_hashes(np.array(list(map(hashes.__getitem__, data.lower().split())), np.uint64))
-                    found = [np.unique(h[x : y - SHINGLE + 1]) for x, y, _, _ in paragraphs]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
-
-    counted = texts.where(F.pmod("rid", F.lit(SAMPLE)) == 0).select("text").mapInArrow(cut, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SAMPLE_COUNT)
-    return np.sort(np.array([r.h for r in counted.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).collect()], np.int64).view(np.uint64))
-
+        import xxhash
 
-def pieces_of(texts: DataFrame, min_words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Position, size, fingerprint and keys of every paragraph of min_words words or more; and anchors, whose size n is 0."""
-
-    def cut(batches):
         hashes = word_hashes()
         for batch in slices(batches, 64):
-            rows = {k: [] for k in ("doc_id", "rid", "at", "until", "start", "stop")}
-            all_words, edges, owners, ends_of_texts = [], [], [], []
-            base = 0
-            for doc_id, rid, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode()
-                for x, y, a, b in cut_paragraphs(data, min_words):
-                    for k, v in zip(rows, (doc_id, rid, x, y, a, b)):
-                        rows[k].append(v)
-                    edges.append((base + x, base + y))
-                words = data.lower().split()
-                all_words += map(hashes.__getitem__, words)
-                base += len(words)
-                owners.append((doc_id, rid))
-                ends_of_texts.append(base)
-            if not edges:
+            if not batch.num_rows:
                 continue
-            w = np.array(all_words, np.uint64)
-            edge = np.array(edges)
-            h = shingle_hashes(w)
-            with np.errstate(over="ignore"):
+            words, base, edges, counts, text_ends = [], 0, [], [], []
+            for text in batch.column(2).to_pylist():
+                found = 0
+                for line in text.encode().lower().split(b"\n"):
+                    own = line.split()
+                    words += map(hashes.__getitem__, own)
+                    if len(own) >= min_words:
+                        edges.append((base, base + len(own)))
+                        found += 1
+                    base += len(own)
+                counts.append(found)
+                text_ends.append(base)
+            w, text_ends = np.array(words, np.uint64), np.array(text_ends)
+            text_starts = np.concatenate([[0], text_ends[:-1]])
+            edge, of = np.array(edges, np.int64).reshape(-1, 2), np.repeat(np.arange(len(counts)), counts)
+            fps = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w[x:y].tobytes()) for x, y in edges), np.int64).reshape(-1, 2)
+            h = shingle_hashes(w) if len(w) >= SHINGLE else np.zeros(0, np.uint64)
+            keys = np.zeros((0, BANDS), np.uint64)
+            if len(edge):
                 sizes = edge[:, 1] - edge[:, 0] - SHINGLE + 1
                 ends = np.cumsum(sizes)
-                own = h[np.repeat(edge[:, 0] - ends + sizes, sizes) + np.arange(ends[-1])]
-                starts = ends - sizes
-                order = np.arange(len(own), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
-                fp = mixed(np.add.reduceat(mixed(own + mixed(order + np.uint64(1))), starts) + sizes.astype(np.uint64))
-            keys, many, distinct = prefixes(own, sizes, percent, frequent)
-            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(keys.view(np.int64)))
-            ends_of_texts = np.array(ends_of_texts)
-            at, found = anchor_positions(h, ends_of_texts)
-            if len(at):
-                text = np.searchsorted(ends_of_texts, at, side="right")
-                starts_of_texts = np.concatenate([[0], ends_of_texts[:-1]])
-                none, zero = pa.nulls(len(at), pa.int32()), pa.array(np.zeros(len(at), np.int32))
-                ids = [pa.array([x[i] for x in owners], pa.int64()).take(pa.array(text)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array((at - starts_of_texts[text]).astype(np.int32)), none, none, none, zero, pa.array(found.view(np.int64)), pa.nulls(len(at), pa.list_(pa.int64()))], ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "keys"])
-            columns = [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["rid"], pa.int64()), *[pa.array(rows[k], pa.int32()) for k in ("at", "until", "start", "stop")], pa.array(distinct.astype(np.int32)), pa.array(fp.view(np.int64)), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "at", "until", "start", "stop", "n", "fp", "keys"])
-
-    return texts.mapInArrow(cut, PIECES)
-
-
-def linked_paragraphs(pieces: DataFrame, texts: DataFrame, percent: int, run: str) -> DataFrame:
-    """id (a fingerprint), component: the paragraphs that are similar to others but not equal."""
-    banded = pieces.select(F.explode("keys").alias("key"), F.col("fp").alias("id"), "n")
-    shared = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("most")).where("least.id < most").select("key", F.col("least.id").alias("low"), F.col("least.n").alias("n_low"))
-    met = settle(banded.join(shared, "key").distinct(), f"{run}-met")
+                keys = band_keys(h[np.repeat(edge[:, 0] - ends + sizes, sizes) + np.arange(ends[-1])], ends - sizes)
+            at, anchors = anchor_positions(h, text_ends)
+            anchor_of = np.searchsorted(text_ends, at, side="right")
+            n_anchors = np.bincount(anchor_of, minlength=len(counts))
+            columns = [(edge[:, k] - text_starts[of]).astype(np.int32) for k in range(2)] + [np.ascontiguousarray(fps[:, k]) for k in range(2)]
+            nested = lists(pa.array(np.ascontiguousarray(keys).ravel().view(np.int64)), np.full(len(keys), BANDS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[lists(pa.array(c), counts) for c in columns], lists(nested, counts), lists(pa.array((at - text_starts[anchor_of]).astype(np.int32)), n_anchors), lists(pa.array(anchors.view(np.int64)), n_anchors)],
+                ["doc_id", "rid", "at", "until", "fp1", "fp2", "keys", "anchor_at", "anchor"],
+            )
+
+    return texts.select("doc_id", "rid", "text").mapInArrow(cut, CUT)
+
+
+def rows_of(cut: DataFrame, keep: list[str], *columns: str) -> DataFrame:
+    """One row an element of the parallel arrays columns, with the columns keep."""
+    zipped = cut.select(*keep, F.explode(F.arrays_zip(*columns)).alias("z"))
+    return zipped.select(*keep, *[f"z.{c}" for c in columns])
+
+
+def asked_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (doc_id, rid and others; settled; ids may be null) with the text of each row; rows of equal id and text come as often as they are there."""
+    renamed = asked.withColumnsRenamed({"doc_id": "asked_id", "rid": "asked_rid"})
+    renamed.settled_path = asked.settled_path
+    met = texts.join(broadcastable(renamed), (F.col("rid") == F.col("asked_rid")) & F.col("doc_id").eqNullSafe(F.col("asked_id")))
+    return met.drop("asked_id", "asked_rid")
+
+
+def linked_paragraphs(cut: DataFrame, texts: DataFrame, percent: int, run: str) -> DataFrame:
+    """fp1, fp2, c1, c2: paragraphs that are similar to others but not equal, and the fingerprint that stands for their component."""
+    shared = shared_keys(cut.select(F.explode(F.flatten("keys")).alias("key")), run)
+    keyed = rows_of(cut, [], "fp1", "fp2", "keys").select(*FP, F.explode("keys").alias("key"))
+    met, nodes = met_nodes(keyed, shared, run)
     rows = met.count()
-    wanted = settle(few_tasks(met.select("id").distinct(), rows), f"{run}-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
 
     def quote(batches):
         hashes = word_hashes()
         for batch in slices(batches, 64):
-            found = [(s["id"], text[s["start"] : s["stop"]]) for spans, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in spans]
-            signs = np.array([signature(shingle_set(text.encode(), SHINGLE, hashes)) for _, text in found], np.int64).reshape(-1, len(SIGNS))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), *[pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(SIGNS))]], ["id", "text", *SIGNS])
-
-    places = pieces.select(F.col("fp").alias("id"), "rid", "start", "stop").join(few, "id").groupBy("id").agg(F.min(F.struct("rid", "start", "stop")).alias("p"))
-    by_row = places.groupBy("p.rid").agg(F.collect_list(F.struct("id", "p.start", "p.stop")).alias("spans"))
-    quoted = settle(by_row.join(texts, "rid").select("spans", "text").mapInArrow(quote, "id long, text string, " + ", ".join(f"{x} long" for x in SIGNS)).dropDuplicates(["id"]), f"{run}-quoted", "zstd")
-    signed = settle(few_tasks(met.join(quoted.select("id", *SIGNS), "id"), rows), f"{run}-signed")
+            found = []
+            for spans, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = text.encode().lower().split()
+                found += [(s["id"], b" ".join(words[s["at"] : s["until"]])) for s in spans]
+            sets = [shingle_set(text, SHINGLE, hashes) for _, text in found]
+            signs = np.array([signature(s) for s in sets], np.int64).reshape(-1, len(SIGNS))
+            columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1].decode() for x in found], pa.string()), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(SIGNS))]], ["id", "text", "n", *SIGNS])
+
+    place = F.min(F.struct("rid", "at", "until", "doc_id")).alias("p")
+    places = rows_of(cut, ["doc_id", "rid"], "at", "until", "fp1", "fp2").join(broadcastable(nodes), FP).groupBy("id").agg(place)
+    by_row = settle(few_tasks(places.groupBy("p.doc_id", "p.rid").agg(F.collect_list(F.struct("id", "p.at", "p.until")).alias("spans")), rows), f"{run}-spans")
+    quoted = asked_texts(texts, by_row).select("spans", "text").mapInArrow(quote, "id long, text string, n int, " + ", ".join(f"{x} long" for x in SIGNS))
+    quoted = settle(quoted.dropDuplicates(["id"]), f"{run}-quoted", "zstd")
+    told = settle(few_tasks(quoted.select("id", "n", *SIGNS), rows), f"{run}-signs")
+    signed = with_least(met, told, rows, run)
+    written = quoted.select("id", "text", *SIGNS)
 
     def confirm(pairs: DataFrame, at: str) -> DataFrame:
-        sides = [quoted.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in SIGNS]) for x in "ab"]
+        return confirmed(pairs, written, SHINGLE, percent, f"{run}-{at}", alike(percent))
+
+    final = link_collisions(signed, percent, confirm, run, quoted.select("id", "text"), SHINGLE, SIGNS, alike(percent))
+    named = nodes.select(F.col("id").alias("component"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2"))
+    return settle(few_tasks(final.join(nodes, "id").join(named, "component"), rows).select(*FP, "c1", "c2"), f"{run}-linked")
+
+
+def in_several() -> list:
+    """Aggregates over doc_id: the least, and whether there are several (null ids are one document)."""
+    nulls = F.max(F.col("doc_id").isNull())
+    return [F.when(~nulls, F.min("doc_id")).alias("source"), ((nulls & F.max("doc_id").isNotNull()) | (~nulls & (F.min("doc_id") < F.max("doc_id")))).alias("several")]
+
+
+def repeated_paragraphs(cut: DataFrame, linked: DataFrame, run: str) -> DataFrame:
+    """doc_id, rid, marks: the paragraphs of each row whose cluster begins in another document."""
+    lines = rows_of(cut, ["doc_id", "rid"], "at", "until", "fp1", "fp2").join(broadcastable(linked), FP, "left")
+    lines = lines.select("doc_id", "rid", "at", "until", F.coalesce("c1", "fp1").alias("c1"), F.coalesce("c2", "fp2").alias("c2"))
+    clusters = settle(lines.groupBy("c1", "c2").agg(*in_several()).where("several").drop("several"), f"{run}-clusters")
+    marked = lines.join(broadcastable(clusters), ["c1", "c2"]).where(~F.col("doc_id").eqNullSafe(F.col("source")))
+    return marked.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("at", "until", "source")).alias("marks"))
+
+
+def chains(hits: list[dict]) -> list[tuple]:
+    """(source, its row, first and last place here, first and last place there) of neighbouring anchors at equal distances, from hits in order of k."""
+    out, last = [], None
+    for h in sorted(hits, key=lambda h: h["k"]):
+        where = (h["source"], h["there_rid"], h["at"] - h["there"])
+        if last and last["k"] + 1 == h["k"] and out[-1][:2] == where[:2] and last["at"] - last["there"] == where[2]:
+            out[-1][3], out[-1][5] = h["at"], h["there"]
+        else:
+            out.append([h["source"], h["there_rid"], h["at"], h["at"], h["there"], h["there"]])
+        last = h
+    return out
 
-        def verify(batches):
-            hashes, last, known = word_hashes(), None, None
-            for batch in slices(batches):
-                keep = []
-                for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                    if b != last:
-                        last, known = b, shingle_set(text_b.encode(), SHINGLE, hashes)
-                    own = shingle_set(text_a.encode(), SHINGLE, hashes)
-                    both = len(own) + len(known) - len(np.union1d(own, known))
-                    keep.append(100 * both >= percent * (len(own) + len(known) - both))
-                yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-        met_pairs = few_tasks(few_tasks(pairs.join(sides[0], "a"), rows).join(sides[1], "b").where(alike(percent)), rows)
-        return settle(met_pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"{run}-links-{at}")
+CHAIN = "source long, there_rid long, first int, last int, there_first int, there_last int"
+CHAIN_COLUMNS = tuple(x.split()[0] for x in CHAIN.split(", "))
 
-    return link_collisions(signed, percent, confirm, run, quoted.select("id", "text"), SHINGLE, SIGNS, alike(percent))
+
+def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
+    """doc_id, rid and CHAIN of anchors that stand in an earlier document too."""
+    anchors = cut.select("doc_id", "rid", F.posexplode(F.arrays_zip("anchor_at", "anchor")).alias("k", "z")).select("doc_id", "rid", "k", F.col("z.anchor_at").alias("at"), F.col("z.anchor").alias("fp"))
+    shared = settle(anchors.select("fp", "doc_id").groupBy("fp").agg(*in_several()).where("several").drop("several"), f"{run}-shared")
+    hits = settle(anchors.join(broadcastable(shared), "fp"), f"{run}-hits", "snappy")
+    first = hits.where(F.col("doc_id").eqNullSafe(F.col("source"))).groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("p"))
+    first = settle(first.select("fp", F.col("p.rid").alias("there_rid"), F.col("p.at").alias("there")), f"{run}-first")
+    copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).join(broadcastable(first), "fp")
+    by_row = copies.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("k", "at", "source", "there_rid", "there")).alias("hits"))
+
+    def link(batches):
+        for batch in slices(batches):
+            found = [chains(h) for h in batch.column(2).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            flat = list(zip(*[c for x in found for c in x])) or [()] * len(CHAIN_COLUMNS)
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(c, k) for c, k in zip(flat, kinds)]], ["doc_id", "rid", *CHAIN_COLUMNS])
+
+    out = settle(by_row.mapInArrow(link, f"doc_id long, rid long, {CHAIN}"), f"{run}-chains", "snappy")
+    discard(shared, hits, first)
+    return out
 
 
 def word_codes(data: bytes, hashes) -> np.ndarray:
@@ -275,132 +286,142 @@ def same_words(x: np.ndarray, y: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def repeated_anchors(anchors: DataFrame, texts: DataFrame, run: str) -> DataFrame:
-    """doc_id, rid, at, source, codes, before: anchors (doc_id, rid, at, fp) that stand in an earlier document too.
+def extended(own: list[dict], words: np.ndarray) -> set[tuple[int, int, int]]:
+    """(first word, end word, source) of chains whose ends are confirmed, as far as the words agree with the source's. left and right are codes around the ends there."""
+    out = set()
+    for c in own:
+        left, right = (np.frombuffer(c[k], np.uint32) for k in ("left", "right"))
+        before = min(c["there_first"], WINDOW - 1)
+        more, ahead = same_words(words[c["first"] :], left[before:]), same_words(words[c["last"] :], right)
+        if more >= ANCHOR and ahead >= ANCHOR:
+            back = same_words(words[max(0, c["first"] - before) : c["first"]][::-1], left[:before][::-1])
+            out.add((c["first"] - back, c["last"] + ahead, c["source"]))
+    return out
+
 
-    codes are the words (4 bytes each) of the anchor's first occurrence, with up to WINDOW - 1 on both sides; before says how many precede it.
-    """
-    by_fp = anchors.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("nulls"))
-    shared = by_fp.where((F.col("nulls") & F.col("most").isNotNull()) | (~F.col("nulls") & (F.col("least") < F.col("most"))))
-    shared = settle(shared.select("fp", F.when(~F.col("nulls"), F.col("least")).alias("source")), f"{run}-shared")
-    hits = settle(anchors.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST // 4 else shared, "fp"), f"{run}-hits")
-    first = hits.where(F.col("doc_id").eqNullSafe(F.col("source"))).groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("p"))
-    asked = first.groupBy("p.rid").agg(F.collect_list(F.struct("fp", "p.at")).alias("asked")).join(texts, "rid").select("asked", "text")
+MARKS = "array<struct<at:int,until:int,source:bigint>>"
+MARK_LIST = pa.list_(pa.struct([("at", pa.int32()), ("until", pa.int32()), ("source", pa.int64())]))
+
+
+def repeated_anchors(cut: DataFrame, texts: DataFrame, run: str) -> DataFrame:
+    """id, rid, extended: marks of verbatim passages that stand in an earlier document."""
+    found = anchored_chains(cut, run)
+    ends = [found.select(F.col("source").alias("doc_id"), F.col("there_rid").alias("rid"), F.col(c).alias("there")) for c in ("there_first", "there_last")]
+    asked = settle(ends[0].unionAll(ends[1]).groupBy("doc_id", "rid").agg(F.collect_set("there").alias("asked")), f"{run}-asked")
 
     def quote(batches):
         hashes = word_hashes()
         for batch in slices(batches, 64):
-            fps, codes, before = [], [], []
-            for marks, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            row, places, left, right = [], [], [], []
+            for r, (asked, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 words = word_codes(text.encode(), hashes)
-                for m in marks:
-                    low = max(0, m["at"] - WINDOW + 1)
-                    fps.append(m["fp"])
-                    before.append(m["at"] - low)
-                    codes.append(words[low : m["at"] + ANCHOR + WINDOW - 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(codes, pa.binary()), pa.array(before, pa.int32())], ["fp", "codes", "before"])
-
-    quoted = settle(asked.mapInArrow(quote, "fp long, codes binary, before int").dropDuplicates(["fp"]), f"{run}-contexts", "zstd")
-    copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).distinct()
-    return copies.join(quoted, "fp").drop("fp")
-
-
-def extended(anchors: list[dict], text: str) -> list[dict]:
-    """Marks (first word, end word, first character, end character, source) of the anchors that are confirmed, as far as the words agree with the source's."""
-    data = text.encode()
-    words, places, out = word_codes(data, word_hashes()), [m.span() for m in WORD.finditer(data)], set()
-    chars = (lambda i: i) if data.isascii() else (lambda i: len(data[:i].decode()))
-    for m in anchors:
-        theirs, at, mid = np.frombuffer(m["codes"], np.uint32), m["at"], m["before"]
-        right = same_words(words[at:], theirs[mid:])
-        if right >= ANCHOR:
-            left = same_words(words[max(0, at - mid) : at][::-1], theirs[:mid][::-1])
-            out.add((at - left, at + right, m["source"]))
-    return [{"at": x, "until": y, "start": chars(places[x][0]), "stop": chars(places[y - 1][1]), "source": source} for x, y, source in out]
-
+                for at in asked:
+                    row.append(r)
+                    places.append(at)
+                    left.append(words[max(0, at - WINDOW + 1) : at + ANCHOR].tobytes())
+                    right.append(words[at : at + ANCHOR + WINDOW - 1].tobytes())
+            columns = [batch.column(0).take(pa.array(row, pa.int32())), batch.column(1).take(pa.array(row, pa.int32())), pa.array(places, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["source", "there_rid", "there", "left", "right"])
+
+    quoted = asked_texts(texts, asked).select("doc_id", "rid", "asked", "text").mapInArrow(quote, "source long, there_rid long, there int, left binary, right binary")
+    quoted = settle(quoted.dropDuplicates(["source", "there_rid", "there"]), f"{run}-contexts")
+    for c, side in (("there_first", "left"), ("there_last", "right")):
+        near = quoted.select(F.col("there_rid").alias("q_rid"), F.col("source").alias("q_source"), F.col("there").alias("q_at"), side)
+        near.settled_path = quoted.settled_path
+        found = found.join(broadcastable(near), (F.col("there_rid") == F.col("q_rid")) & F.col("source").eqNullSafe(F.col("q_source")) & (F.col(c) == F.col("q_at"))).drop("q_rid", "q_source", "q_at")
+    by_row = settle(found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last", "there_first", "source", "left", "right")).alias("chains")), f"{run}-ends", "snappy")
+
+    def extend(batches):
+        hashes = word_hashes()
+        for batch in slices(batches, 64):
+            marks = [[{"at": x, "until": y, "source": s} for x, y, s in extended(own, word_codes(text.encode(), hashes))] for own, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, MARK_LIST)], ["id", "rid", "extended"])
 
-MARKS = "array<struct<at:int,until:int,start:int,stop:int,source:bigint>>"
+    out = settle(asked_texts(texts, by_row).select("doc_id", "rid", "chains", "text").mapInArrow(extend, f"id long, rid long, extended {MARKS}").dropDuplicates(["id", "rid"]), f"{run}-extended", "snappy")
+    discard(asked, quoted, by_row)
+    return out
 
 
-def extend(batches):
-    """Rows (doc_id, rid, anchors, text) with marks for anchors."""
-    kind = pa.list_(pa.struct([*[(k, pa.int32()) for k in ("at", "until", "start", "stop")], ("source", pa.int64())]))
-    for batch in slices(batches, 64):
-        marks = [extended(a, t) for a, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, kind)], ["id", "rid", "extended"])
+def merged_runs(marks: list[tuple], min_words: int, min_run: int) -> tuple[list[tuple[int, int]], set]:
+    """Runs (first word, end word) of min_run words or more of marks (at, until, source), and their sources."""
+    runs, sources = [], set()
+    marks = sorted(marks, key=lambda m: m[:2])
+    at = 0
+    while at < len(marks):
+        end, until = at, marks[at][1]
+        while end + 1 < len(marks) and marks[end + 1][0] - until < min_words:
+            end += 1
+            until = max(until, marks[end][1])
+        if until - marks[at][0] >= min_run:
+            runs.append((marks[at][0], until))
+            sources.update(m[2] for m in marks[at : end + 1] if m[2] is not None)
+        at = end + 1
+    return runs, sources
 
 
 def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_run: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rid (hash of id and text), spans: array of (start, stop) characters to remove, words removed, sources: doc_ids that keep the passages."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).select("doc_id", row_id().alias("rid"), "text")
+    """doc_id, rid (hash of id and text), spans: array of (at, until), words to remove counted from 0, words removed, sources: doc_ids that keep the passages."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("text").isNotNull()).select("doc_id", row_key().alias("rid"), "text")
     run = f"paragraphs_{uuid.uuid4().hex}"
-    cut = settle(pieces_of(texts, min_words, percent, frequent_shingles(texts, min_words)), f"{run}-pieces", "zstd")
-    anchors = repeated_anchors(cut.where("n = 0").select("doc_id", "rid", "at", "fp"), texts.select("rid", "text"), f"{run}-verbatim")
-    anchored = anchors.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("at", "source", "codes", "before")).alias("anchors"))
-    anchored = anchored.join(texts.select("rid", "text"), "rid").dropDuplicates(["rid"]).select("doc_id", "rid", "anchors", "text")
-    anchored = settle(anchored.mapInArrow(extend, f"id long, rid long, extended {MARKS}"), f"{run}-anchored", "zstd")
-    del anchors
-    discard_all(docs.sparkSession, f"{run}-verbatim")
+    cut = settle(pieces_of(texts, max(min_words, SHINGLE)), f"{run}-pieces", "zstd")
+    anchored = repeated_anchors(cut, texts, run)
     docs.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that are gone
-    pieces = cut.where("n > 0")
-    linked = linked_paragraphs(pieces, texts.select("rid", "text"), percent, run)
-
-    place = F.struct("doc_id", "at")
-    by_text = pieces.groupBy("fp").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    by_text = by_text.join(linked, F.col("fp") == F.col("id"), "left").select("fp", "first", "last", F.coalesce("component", "fp").alias("cluster"))
-    clusters = by_text.groupBy("cluster").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(~F.col("first.doc_id").eqNullSafe(F.col("last")))
-    repeated = settle(by_text.select("fp", "cluster").join(clusters.select("cluster", F.col("first.doc_id").alias("source")), "cluster").select("fp", "source"), f"{run}-repeated")
-    marked = pieces.select("doc_id", "rid", "at", "until", "start", "stop", "fp").join(repeated, "fp").where(~F.col("doc_id").eqNullSafe(F.col("source")))
-    by_row = marked.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("at", "until", "start", "stop", "source"))).alias("marks"))
+    paragraphs = repeated_paragraphs(cut, linked_paragraphs(cut, texts, percent, run), run)
 
     def runs(batches):
         for batch in slices(batches):
             spans, words, sources = [], [], []
             for marks, more in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                marks = sorted((tuple(m[k] for k in ("at", "until", "start", "stop", "source")) for m in [*(marks or ()), *(more or ())]), key=lambda m: m[:4])
-                own, n, told = [], 0, set()
-                at = 0
-                while at < len(marks):
-                    end, until, stop = at, marks[at][1], marks[at][3]
-                    while end + 1 < len(marks) and marks[end + 1][0] - until < min_words:
-                        end += 1
-                        until, stop = max(until, marks[end][1]), max(stop, marks[end][3])
-                    if (size := until - marks[at][0]) >= min_run:
-                        own.append({"start": marks[at][2], "stop": stop})
-                        n += size
-                        told.update(m[4] for m in marks[at : end + 1] if m[4] is not None)
-                    at = end + 1
-                spans.append(own)
-                words.append(n)
+                own, told = merged_runs([tuple(m[k] for k in ("at", "until", "source")) for m in [*(marks or ()), *(more or ())]], min_words, min_run)
+                spans.append([{"at": x, "until": y} for x, y in own])
+                words.append(sum(y - x for x, y in own))
                 sources.append(sorted(told))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            span = pa.list_(pa.struct([("at", pa.int32()), ("until", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(words, pa.int64()), pa.array(sources, pa.list_(pa.int64()))], ["doc_id", "rid", "spans", "words", "sources"])
 
-    both = by_row.join(anchored, "rid", "full").select(F.coalesce("doc_id", "id").alias("doc_id"), "rid", "marks", "extended")
-    spans = both.mapInArrow(runs, "doc_id long, rid long, spans array<struct<start:int,stop:int>>, words long, sources array<bigint>").where(F.size("spans") > 0)
-    out = settle(spans, "spans", "zstd")
+    both = paragraphs.join(anchored.withColumnRenamed("rid", "rid_2"), (F.col("rid") == F.col("rid_2")) & F.col("doc_id").eqNullSafe(F.col("id")), "full")
+    both = both.select(F.when(F.col("rid").isNull(), F.col("id")).otherwise(F.col("doc_id")).alias("doc_id"), F.coalesce("rid", "rid_2").alias("rid"), "marks", "extended")
+    spans = both.mapInArrow(runs, "doc_id long, rid long, spans array<struct<at:int,until:int>>, words long, sources array<bigint>").where(F.size("spans") > 0)
+    out = settle(spans, "spans")
     discard_all(docs.sparkSession, run)
     return out
 
 
+def without_spans(text: str, spans: list[dict]) -> str:
+    """text less the words of spans, each with the blanks after it."""
+    data = text.encode()
+    starts = [m.start() for m in WORD.finditer(data)] + [len(data)]
+    out, at = [], 0
+    for s in spans:
+        out.append(data[at : starts[s["at"]]])
+        at = starts[s["until"]]
+    return (b"".join(out) + data[at:]).decode()
+
+
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The columns of docs; repeated passages are cut out of the texts, and documents left without a word go."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **options).select("rid", "spans").dropDuplicates(["rid"])
-    columns = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("rec"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
-    met = keyed.withColumn("rid", row_id()).join(spans, "rid", "left")
-    # the text between one span's end and the next one's start
-    stops = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["stop"]))
-    starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length("text")))
-    left = F.array_join(F.zip_with(stops, starts, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
-    met = met.withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left))
-    met = met.where(F.col("spans").isNull() | F.col("left").rlike(r"[^\x09-\x0D\x20]"))
-    return met.select(*[F.col("left").alias(c) if c == text_col else F.col(f"rec.`{c}`").alias(c) for c in columns])
+    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **options)
+    spans = found.select(F.col("doc_id").alias("s_id"), F.col("rid").alias("s_rid"), "spans")
+    spans.settled_path = found.settled_path
+    rest = [c for c in docs.columns if c != text_col]
+    keyed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("rec"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    met = keyed.withColumn("rid", row_key()).join(broadcastable(spans), (F.col("rid") == F.col("s_rid")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("rec", "text", "spans")
+
+    def cut(batches):
+        for batch in slices(batches):
+            texts = [t if not s else without_spans(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            keep = [not s or bool(WORD.search(t.encode())) for t, s in zip(texts, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["rec", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    kept = met.mapInArrow(cut, met.select("rec", "text").schema)
+    kind = docs.schema[text_col].dataType
+    return kept.select(*[F.col("text").cast(kind).alias(c) if c == text_col else F.col(f"rec.c{rest.index(c)}").alias(c) for c in docs.columns])
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: how many words repeat passages of earlier documents, where, and which documents keep them."""
     docs = table(spark, sf_dir, "documents")
-    found = repeated_spans(docs)
-    base = docs.select("doc_id", row_id().alias("rid"))
-    return base.join(found.drop("doc_id"), "rid", "left").select("doc_id", F.coalesce("words", F.lit(0)).cast("long").alias("repeated_words"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"), F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"), F.col("words").isNotNull().alias("repeats"))
+    found = repeated_spans(docs).withColumnsRenamed({"doc_id": "s_id", "rid": "s_rid"})
+    base = docs.select("doc_id", row_key().alias("rid"))
+    met = base.join(found, (F.col("rid") == F.col("s_rid")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
+    return met.select("doc_id", F.coalesce("words", F.lit(0)).cast("long").alias("repeated_words"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.coalesce("spans", F.array().cast("array<struct<at:int,until:int>>")).alias("spans"), F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"), F.col("words").isNotNull().alias("repeats"))

@@ -46,23 +46,26 @@ def _store(spark: SparkSession, path: str):
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete settled tables that no later step reads."""
+    """Delete settled tables that no later step reads. settled_path may end in a star."""
     for df in frames:
-        path = getattr(df, "settled_path", None)
-        if path:
-            store, where = _store(df.sparkSession, path)
-            store.delete(where, True)
+        if path := getattr(df, "settled_path", None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Delete what a path, or a path that ends in a star, stands for."""
+    store, where = _store(spark, pattern)
+    for found in store.globStatus(where) or []:
+        store.delete(found.getPath(), True)
 
 
 def discard_all(spark: SparkSession, prefix: str) -> None:
     """Delete the settled tables whose names begin so; what is still to be read must have been settled under another name."""
-    store, pattern = _store(spark, f"{shared_dir(spark)}/{prefix}*")
-    for found in store.globStatus(pattern) or []:
-        store.delete(found.getPath(), True)
+    remove(spark, f"{shared_dir(spark)}/{prefix}*")
 
 
 #: Bytes of an uncompressed settled table that every task may hold in a hash join.
-MAX_BROADCAST = 24 << 20
+MAX_BROADCAST = 8 << 20
 
 
 def broadcastable(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:

@@ -178,16 +178,20 @@ def confirmed(pairs: DataFrame, quoted: DataFrame, n: int, percent: int, name: s
 
 def shared_keys(keys: DataFrame, name: str) -> DataFrame:
     """The keys that occur more than once: all that is shuffled of the others is the key."""
-    return settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), f"{name}-shared", "snappy")
+    return settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), f"{name}-shared")
 
 
 def met_nodes(keyed: DataFrame, shared: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """met (key, id) of the keys that several nodes of keyed (key, fp1, fp2) share, and nodes (fp1, fp2, id); ids are given here."""
+    """met (key, fp1, fp2) of the keys that several nodes of keyed (key, fp1, fp2) share, and those nodes; both settled."""
     met = settle(keyed.join(broadcastable(shared), "key").select("key", *FP).distinct(), f"{name}-several")
     several = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = settle(met.join(several, "key"), f"{name}-keyed")
-    nodes = settle(few_tasks(met.select(*FP).distinct(), met.count()).withColumn("id", F.monotonically_increasing_id()), f"{name}-nodes")
-    return met.join(broadcastable(nodes), FP).select("key", "id"), nodes
+    return met, settle(few_tasks(met.select(*FP).distinct(), met.count()), f"{name}-nodes")
+
+
+def numbered(firsts: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
+    """firsts (fp1, fp2, p and others) with id, in order of p, the node's first place: copies mostly follow what they were made from, so it becomes the centre of the star."""
+    return settle(firsts.orderBy("p").withColumn("id", F.monotonically_increasing_id()), name, codec)
 
 
 def with_least(met: DataFrame, told: DataFrame, rows: int, name: str) -> DataFrame:
@@ -224,8 +228,10 @@ def search(docs: DataFrame, n: int, percent: int, run: str) -> tuple[DataFrame,
     keyed = sets.select(*FP, "regs").mapInArrow(bands, "key long, fp1 long, fp2 long")
     met, nodes = met_nodes(keyed, shared_keys(keyed.select("key"), run), run)
     rows = met.count()
-    told = sets.join(broadcastable(nodes), FP).groupBy("id").agg(F.min(F.struct("rid", "doc_id")).alias("p"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    told = settle(few_tasks(told, rows), f"{run}-known")
+    firsts = sets.join(broadcastable(nodes), FP).groupBy(*FP).agg(F.min(F.struct("doc_id", "rid")).alias("p"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    told = numbered(firsts, f"{run}-known")
+    ids = settle(told.select("id", *FP), f"{run}-ids")
+    met = met.join(broadcastable(ids), FP).select("key", "id")
     place = settle(told.select("id", "p.rid", "p.doc_id"), f"{run}-place")
     quoted = settle(texts.join(broadcastable(place), ["rid", "doc_id"]).select("id", "text").dropDuplicates(["id"]), f"{run}-quoted", "zstd")
     signed = with_least(met, settle(register_bytes(told), f"{run}-signs"), rows, run)
@@ -234,7 +240,7 @@ def search(docs: DataFrame, n: int, percent: int, run: str) -> tuple[DataFrame,
         return confirmed(estimated(pairs, told, percent), quoted, n, percent, f"{run}-{at}")
 
     final = link_collisions(signed, percent, confirm, run, quoted, n, SIGNS, agree_enough(percent))
-    linked = settle(final.join(broadcastable(nodes), "id").select(*FP, F.col("component").alias("c")), f"{run}-linked")
+    linked = settle(final.join(broadcastable(ids), "id").select(*FP, F.col("component").alias("c")), f"{run}-linked")
     # groups: components of several sets, and single sets; those of one document need no row
     placed = sets.select("doc_id", *FP).join(broadcastable(linked), FP, "left")
     group = [F.when(F.col("c").isNull(), F.col("fp1")).alias("g1"), F.when(F.col("c").isNull(), F.col("fp2")).alias("g2"), "c"]

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcastable, discard, discard_all, few_tasks, row_key, settle, slices, table
 from .components import link_collisions
-from .neardup import FP, confirmed, equal_bytes, met_nodes, shared_keys, with_least
+from .neardup import FP, confirmed, equal_bytes, met_nodes, numbered, shared_keys, with_least
 from .shingles import mixed, shingle_set, word_hashes
 
 SHINGLE = 5
@@ -76,6 +76,12 @@ def anchor_positions(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     for step in (1 << i for i in range(WINDOW.bit_length() - 1)):
         best = np.maximum(best[:-step], best[step:])
     chosen = np.flatnonzero(best == whole)
+    if not len(chosen):
+        return chosen, whole[chosen]
+    # words that repeat without end choose every place: of equal neighbours one in WINDOW words stays
+    same = np.concatenate([[False], (whole[chosen][1:] == whole[chosen][:-1]) & (np.diff(chosen) < WINDOW)])
+    since = chosen - chosen[np.maximum.accumulate(np.where(same, 0, np.arange(len(chosen))))]
+    chosen = chosen[~same | np.concatenate([[True], since[1:] // WINDOW != since[:-1] // WINDOW])]
     return chosen, whole[chosen]
 
 
@@ -203,8 +209,10 @@ def linked_paragraphs(cut: DataFrame, texts: DataFrame, percent: int, run: str)
             columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1].decode() for x in found], pa.string()), pa.array([len(s) for s in sets], pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(SIGNS))]], ["id", "text", "n", *SIGNS])
 
-    place = F.min(F.struct("rid", "at", "until", "doc_id")).alias("p")
-    places = rows_of(cut, ["doc_id", "rid"], "at", "until", "fp1", "fp2").join(broadcastable(nodes), FP).groupBy("id").agg(place)
+    place = F.min(F.struct("doc_id", "at", "until", "rid")).alias("p")
+    places = numbered(rows_of(cut, ["doc_id", "rid"], "at", "until", "fp1", "fp2").join(broadcastable(nodes), FP).groupBy(*FP).agg(place), f"{run}-places")
+    ids = settle(places.select("id", *FP), f"{run}-ids")
+    met = met.join(broadcastable(ids), FP).select("key", "id")
     by_row = settle(few_tasks(places.groupBy("p.doc_id", "p.rid").agg(F.collect_list(F.struct("id", "p.at", "p.until")).alias("spans")), rows), f"{run}-spans")
     quoted = asked_texts(texts, by_row).select("spans", "text").mapInArrow(quote, "id long, text string, n int, " + ", ".join(f"{x} long" for x in SIGNS))
     quoted = settle(quoted.dropDuplicates(["id"]), f"{run}-quoted", "zstd")
@@ -216,8 +224,8 @@ def linked_paragraphs(cut: DataFrame, texts: DataFrame, percent: int, run: str)
         return confirmed(pairs, written, SHINGLE, percent, f"{run}-{at}", alike(percent))
 
     final = link_collisions(signed, percent, confirm, run, quoted.select("id", "text"), SHINGLE, SIGNS, alike(percent))
-    named = nodes.select(F.col("id").alias("component"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2"))
-    return settle(few_tasks(final.join(nodes, "id").join(named, "component"), rows).select(*FP, "c1", "c2"), f"{run}-linked")
+    named = ids.select(F.col("id").alias("component"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2"))
+    return settle(few_tasks(final.join(ids, "id").join(named, "component"), rows).select(*FP, "c1", "c2"), f"{run}-linked")
 
 
 def in_several() -> list:
@@ -240,7 +248,7 @@ def chains(hits: list[dict]) -> list[tuple]:
     out, last = [], None
     for h in sorted(hits, key=lambda h: h["k"]):
         where = (h["source"], h["there_rid"], h["at"] - h["there"])
-        if last and last["k"] + 1 == h["k"] and out[-1][:2] == where[:2] and last["at"] - last["there"] == where[2]:
+        if last and last["k"] + 1 == h["k"] and tuple(out[-1][:2]) == where[:2] and last["at"] - last["there"] == where[2]:
             out[-1][3], out[-1][5] = h["at"], h["there"]
         else:
             out.append([h["source"], h["there_rid"], h["at"], h["at"], h["there"], h["there"]])
@@ -256,7 +264,7 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
     """doc_id, rid and CHAIN of anchors that stand in an earlier document too."""
     anchors = cut.select("doc_id", "rid", F.posexplode(F.arrays_zip("anchor_at", "anchor")).alias("k", "z")).select("doc_id", "rid", "k", F.col("z.anchor_at").alias("at"), F.col("z.anchor").alias("fp"))
     shared = settle(anchors.select("fp", "doc_id").groupBy("fp").agg(*in_several()).where("several").drop("several"), f"{run}-shared")
-    hits = settle(anchors.join(broadcastable(shared), "fp"), f"{run}-hits", "snappy")
+    hits = settle(anchors.join(broadcastable(shared), "fp"), f"{run}-hits", "zstd")
     first = hits.where(F.col("doc_id").eqNullSafe(F.col("source"))).groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("p"))
     first = settle(first.select("fp", F.col("p.rid").alias("there_rid"), F.col("p.at").alias("there")), f"{run}-first")
     copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).join(broadcastable(first), "fp")
@@ -270,7 +278,7 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(c, k) for c, k in zip(flat, kinds)]], ["doc_id", "rid", *CHAIN_COLUMNS])
 
-    out = settle(by_row.mapInArrow(link, f"doc_id long, rid long, {CHAIN}"), f"{run}-chains", "snappy")
+    out = settle(by_row.mapInArrow(link, f"doc_id long, rid long, {CHAIN}"), f"{run}-chains")
     discard(shared, hits, first)
     return out
 
@@ -329,7 +337,7 @@ def repeated_anchors(cut: DataFrame, texts: DataFrame, run: str) -> DataFrame:
         near = quoted.select(F.col("there_rid").alias("q_rid"), F.col("source").alias("q_source"), F.col("there").alias("q_at"), side)
         near.settled_path = quoted.settled_path
         found = found.join(broadcastable(near), (F.col("there_rid") == F.col("q_rid")) & F.col("source").eqNullSafe(F.col("q_source")) & (F.col(c) == F.col("q_at"))).drop("q_rid", "q_source", "q_at")
-    by_row = settle(found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last", "there_first", "source", "left", "right")).alias("chains")), f"{run}-ends", "snappy")
+    by_row = settle(found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last", "there_first", "source", "left", "right")).alias("chains")), f"{run}-ends")
 
     def extend(batches):
         hashes = word_hashes()
@@ -337,7 +345,7 @@ def repeated_anchors(cut: DataFrame, texts: DataFrame, run: str) -> DataFrame:
             marks = [[{"at": x, "until": y, "source": s} for x, y, s in extended(own, word_codes(text.encode(), hashes))] for own, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, MARK_LIST)], ["id", "rid", "extended"])
 
-    out = settle(asked_texts(texts, by_row).select("doc_id", "rid", "chains", "text").mapInArrow(extend, f"id long, rid long, extended {MARKS}").dropDuplicates(["id", "rid"]), f"{run}-extended", "snappy")
+    out = settle(asked_texts(texts, by_row).select("doc_id", "rid", "chains", "text").mapInArrow(extend, f"id long, rid long, extended {MARKS}").dropDuplicates(["id", "rid"]), f"{run}-extended")
     discard(asked, quoted, by_row)
     return out
 

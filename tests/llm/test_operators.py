@@ -394,23 +394,171 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_fixity_finds_each_damaged_record(spark, tmp_path):
-    pages = spark.read.parquet(f"{DATA}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (999, "http://x/\r\n", "")], "page_id long, url string, html string"))
-    records = warc.archive(pages, file_bytes=100_000)
-    ours = warc.manifest(records)
-    damaged = records.withColumn("record", F.when(F.col("page_id").isin(3, 17), F.concat("record", F.lit(b"!"))).otherwise(F.col("record")))
-    found = warc.audit(ours, warc.manifest(damaged))
-    hit = {r.page_id for r in found.join(ours, ["file", "pos"]).collect()}
-    assert {3, 17} <= hit
-    flipped = warc.audit(ours, warc.manifest(warc.rotted(records, 5)))
-    want = {(r.file, r.pos) for r in ours.where(F.pmod(F.xxhash64(F.lit(5), "page_id"), F.lit(5)) == 0).collect()}
-    assert {(r.file, r.pos) for r in flipped.collect()} == want
-    assert warc.audit(ours, ours).count() == 0
-    assert warc.manifest(warc.archive(pages.limit(0))).count() == 0
-    warc.write_warc(records, f"file://{tmp_path}/w").collect()
-    back = warc.read_warc(spark, f"{tmp_path}/w")
-    assert back.select(F.sum("length")).first()[0] == ours.select(F.sum("length")).first()[0]
-    assert {r.sha256 for r in back.collect()} == {r.sha256 for r in ours.collect()}
+def tree_of(leaves):
+    """Levels of digests from leaves up to one root, 16 to a node, by hashlib alone."""
+    levels = [leaves]
+    while len(levels[-1]) > 1 or len(levels) == 1:
+        low = levels[-1]
+        levels.append([hashlib.sha256("".join(low[i : i + 16]).encode()).hexdigest() for i in range(0, len(low), 16)])
+    return levels
+
+
+def pages_and_odd_ones(spark):
+    more = [(None, None, None), (999, "http://x/\r\n", ""), *[(7, "http://same/", "<p>same</p>")] * 40]
+    return spark.read.parquet(f"{DATA}/pages.parquet").unionByName(spark.createDataFrame(more, "page_id long, url string, html string"))
+
+
+def test_archives_are_read_back(spark, tmp_path):
+    pages = pages_and_odd_ones(spark)
+    listed = warc.write_warc(warc.archive(pages, file_bytes=60_000), f"file://{tmp_path}/a")
+    rows = listed.collect()
+    files = {f.name: f.read_bytes() for f in (tmp_path / "a").iterdir()}
+    assert len(files) > 3 and {r.file for r in rows} == set(files) and len(rows) == pages.count()
+    for r in rows:
+        stored = files[r.file][r.start : r.start + r.length]
+        record = zlib.decompress(stored, 31)
+        assert hashlib.sha256(stored).hexdigest() == r.sha256 and hashlib.sha256(record).hexdigest() == r.record_sha256
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and len(record) == r.record_bytes
+    back = warc.read_warc(spark, str(tmp_path / "a"))
+    assert {(r.file, r.pos, r.start, r.length, r.sha256) for r in back.collect()} == {(r.file, r.pos, r.start, r.length, r.sha256) for r in rows}
+    assert sorted(bytes(r.body) for r in back.collect()) == sorted((r.html or "").encode() for r in pages.collect())
+    assert back.where("problem IS NOT NULL OR type <> 'resource'").count() == 0
+    # the most that a file holds of repeated pages is a share of them
+    assert max(sum(r.page_id == 7 and r.file == f for r in rows) for f in files) < 40
+    trees = warc.merkle_tree(listed, warc.depth_of(listed))
+    for f in files:
+        leaves = [hashlib.sha256(f"{r.start}|{r.length}|{r.sha256}".encode()).hexdigest() for r in sorted(rows, key=lambda r: r.pos) if r.file == f]
+        want = tree_of(leaves)
+        for level, found in zip(want, trees):
+            assert [r.digest for r in found.where(F.col("file") == f).orderBy("at").collect()] == level
+    assert warc.write_warc(warc.archive(pages.limit(0)), f"file://{tmp_path}/none").count() == 0
+
+
+def test_fixity_finds_each_damaged_record(spark, tmp_path, monkeypatch):
+    listed = warc.write_warc(warc.archive(pages_and_odd_ones(spark), file_bytes=60_000), f"file://{tmp_path}/a")
+    rows = listed.collect()
+    assert warc.copy_with_rot(listed, f"file://{tmp_path}/a", f"file://{tmp_path}/b", 5) == sum(r.length for r in rows)
+    ours, theirs = (warc.hashed_ranges(listed, f"file://{tmp_path}/{x}") for x in "ab")
+    rotten = {(r.file, r.pos) for r in listed.where(warc.rot(F.col("page_id"), 5)).collect()}
+    assert rotten and {(r.file, r.pos) for r in warc.audit(ours, theirs).collect()} == rotten
+    # a sound replica is told from its roots alone
+    compared = []
+    settle = warc.settle
+    monkeypatch.setattr(warc, "settle", lambda df, name, *a: (compared.append(name), settle(df, name, *a))[1])
+    assert warc.audit(ours, ours).count() == 0 and compared.count("fixity-unequal") == 1
+    monkeypatch.undo()
+    # a file cut short, one with bytes too many, one that is gone
+    cut, longer, gone = sorted({r.file for r in rows})[:3]
+    whole = {f.name: f.read_bytes() for f in (tmp_path / "a").iterdir()}
+    (tmp_path / "c").mkdir()
+    for f, data in whole.items():
+        if f != gone:
+            (tmp_path / "c" / f).write_bytes(data[:-30] if f == cut else data + b"more" if f == longer else data)
+    found = {(r.file, r.pos) for r in warc.audit(ours, warc.hashed_ranges(listed, f"file://{tmp_path}/c")).collect()}
+    last = {f: max(r.pos for r in rows if r.file == f) for f in whole}
+    assert found == {(cut, last[cut]), (longer, last[longer] + 1), *((gone, r.pos) for r in rows if r.file == gone)}
+    # manifests of two folders that are read on their own agree on names
+    assert warc.audit(warc.read_warc(spark, f"{tmp_path}/a"), warc.read_warc(spark, f"{tmp_path}/a")).count() == 0
+    assert {r.file for r in warc.audit(warc.read_warc(spark, f"{tmp_path}/a"), warc.read_warc(spark, f"{tmp_path}/b")).collect()} == {f for f, _ in rotten}
+
+
+def test_damaged_archives_are_told_not_raised():
+    record = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    told = lambda data: [(r[1], r[2], r[5], r[7], r[8]) for r in warc.parsed("f", data)]
+    assert told(record * 2) == [(0, 0, "warcinfo", b"hello", None), (1, len(record), "warcinfo", b"hello", None)]
+    assert [p for *_, p in told(record + record[:20])] == [None, "header"]
+    assert told(record + record[:-7]) == [(0, 0, "warcinfo", b"hello", None), (1, len(record), "warcinfo", b"he", "truncated")]
+    broken = record.replace(b"Content-Length: 5", b"Content-Length: x")
+    assert [p for *_, p in told(record + broken + record)] == [None, "header", None]
+    member = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packed = member.compress(record) + member.flush()
+    assert [p for *_, p in told(packed * 2)] == [None, None]
+    assert [p for *_, p in told(packed + packed[:-9])] == [None, "truncated"]
+    spoiled = bytearray(packed)
+    spoiled[12] ^= 255
+    assert [p for *_, p in told(packed + bytes(spoiled) + packed)][0] is None and told(bytes(spoiled) + packed)[-1][-1] is None
+    assert told(b"") == [] and told(b"junk")[0][-1] == "header"
+
+
+CLASHES = ("n_words", "hits", "__n_hit", "__hit_at", "__text", "__letter", "rec", "id", "key", "rid", "spans", "k1", "pieces", "doc", "c0", "gone", "letter", "component_id", "row")
+
+
+@pytest.mark.parametrize("operator", ["keep_known_languages", "drop_near_duplicates", "drop_repeated", "remove_contaminated"])
+def test_columns_of_any_name_ride_along(spark, operator):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 40")
+    item = docs.first().text
+    extra = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES}).unionByName(spark.createDataFrame([(None, None, "en"), (None, item, "en"), (5, "", None)], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    run = {
+        "keep_known_languages": lambda d: langid.keep_known_languages(d, per_language=20), "drop_near_duplicates": neardup.drop_near_duplicates, "drop_repeated": substrings.drop_repeated,
+        "remove_contaminated": lambda d: decontaminate.remove_contaminated(d, bench),
+    }[operator]
+    out, plain = run(extra), run(extra.drop(*CLASHES))
+    assert out.columns == extra.columns and out.schema == extra.schema
+    got = out.collect()
+    assert len(got) == plain.count() > 10 and all(r[c] == (None if r.n_words is None else f"{c}{r.doc_id}") for r in got for c in CLASHES)
+    empty = run(extra.limit(0))
+    assert empty.columns == extra.columns and empty.count() == 0
+
+
+def test_many_languages(spark):
+    rows = [(i, f"wörd{i % 100} " * 8, f"l{i % 100}") for i in range(300)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=3).collect()
+    assert len(got) == 300 and all(r.lang_pred.startswith("l") for r in got)
+    languages, windows, labels = langid.training_windows(spark.createDataFrame(rows + rows, "doc_id long, text string, lang string"), 2, 96)
+    assert len(languages) == 100 and np.bincount(labels).max() <= 4
+    few, _, labels = langid.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 96, max_languages=7, max_sample=14)
+    assert len(few) == 7 and np.bincount(labels).max() <= 4
+
+
+def test_a_document_with_several_texts_links_both(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(1, a), (2, b), (5, a + " tail"), (5, b + " tail"), (9, "apart from all that"), (None, a)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 9: 9, None: None}
+
+
+def test_summaries_merge_without_a_word_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(tokencount, "FAN_IN", 3)
+    texts = spark.createDataFrame([(" ".join(["the"] * 5 + [f"w{i % 20}"]),) for i in range(200)], "text string").repartition(12)
+    words = tokencount.frequent_words(texts, 4, 50, 64, 48)
+    assert words[0] == "the" and len(words) == 4 and all(w.startswith("w") for w in words[1:])
+
+
+def test_equal_rows_spread_over_buckets(spark):
+    same = spark.createDataFrame([(None, None)] * 3000 + [(1, "x")] * 3000, "doc_id long, text string").repartition(4)
+    out = sharding.shard_records(same, 8, bucket_bytes=4_000)
+    counts = out.select("shard", F.col("rec.text").isNull().cast("int").alias("n")).groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("all")).collect()
+    assert len(counts) == 8 and all(r["all"] == 750 and 250 < r.n < 500 for r in counts)
+
+
+def test_op1_columns(spark):
+    import zlib as z
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = sharding.op1_shard(spark, DATA).collect()
+    assert len(got) == len(docs) and all(r.size == len(docs[r.doc_id].encode()) + 16 and r.text_crc32 == z.crc32(docs[r.doc_id].encode()) and r.law == "rows" for r in got)
+    sizes = [sum(r.shard == s for r in got) for s in range(40)]
+    assert max(sizes) - min(sizes) <= 1
+
+
+def test_suffixes():
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    hosts = ["a.b.co.uk", "x.gov.uk", "shop.example.com.cn", "me.github.io", "a.example.org", "localhost", "", "example.co"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", urlfilter.domain_of(F.col("host")).alias("d"), urlfilter.suffix_of(F.col("host")).alias("s"))
+    assert {r.host: (r.d, r.s) for r in df.collect()} == {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.gov.uk": ("x.gov.uk", "gov.uk"), "shop.example.com.cn": ("example.com.cn", "com.cn"), "me.github.io": ("me.github.io", "github.io"), "a.example.org": ("example.org", "org"), "localhost": ("localhost", "localhost"), "": ("", ""), "example.co": ("example.co", "co")}
+
+
+def test_top_k_ties_and_repeats(spark):
+    rows = [(i % 30, [0.5, 0.25]) for i in range(90)] + [(100, [1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=7, query_every=20, rows_per_block=16).collect()
+    for q in (0, 20, 100):
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        # rows that share a query's id compete under it
+        others = sorted((-int(64 * 64 * (v[0] * u[0] + v[1] * u[1])), i) for j, u in rows if j == q for i, v in rows if i != q)
+        assert own == [(k + 1, i, -s) for k, (s, i) in enumerate(others[:7])]
 
 
 def test_decoding_and_hashes_agree():

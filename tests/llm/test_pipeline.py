@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, on documents whose fate is known."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm.common import settle
 
@@ -22,3 +24,14 @@ def test_planted_cases(spark, tmp_path):
     assert 900_005 in kept["near_dedup"] and 900_005 not in kept["decontamination"]
     last = corpus_pipeline.STAGES[4][1](spark, docs, "/root/testdata/sf0.01")
     assert last.count() == docs.count()
+
+
+def test_nulls_repeats_and_empty_tables(spark):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("n_words", F.lit(1))
+    odd = base.where("doc_id < 60").unionByName(base.where("doc_id < 5")).unionByName(base.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(base.limit(2).withColumns({"text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            docs = settle(stage(spark, docs, "/root/testdata/sf0.001"), f"test-odd-{name}", "zstd")
+            assert docs.columns == base.columns
+        last = corpus_pipeline.STAGES[4][1](spark, docs, "/root/testdata/sf0.001")
+        assert last.count() == docs.count()

@@ -4,13 +4,17 @@
    positions into the list of its distinct pre-tokens, and is written to the shared folder, bucketed by
    block number.
 2. The blocks' distinct pre-tokens are exploded into groups by a hash of the word, each group sorted and
-   packed, and dealt by group, so all copies of a word meet in one task; the word is encoded there once.
-   A word comes from a block once at most, so the commonest word weighs no more than there are blocks.
+   packed, and dealt by group, so all copies of a word meet in one task, which goes through its groups one
+   after the other: each distinct word is encoded once. There are as many groups as input partitions or
+   more, so what a task holds, the words of one group, doesn't grow with the corpus. A word comes from a
+   block once at most, so the commonest word weighs no more than there are blocks.
 3. The ids are dealt back by block, meet the block's sequence (which is not shuffled again, being bucketed
    by the same key) and are put in order of position.
 
-Decoding joins every id with the token-byte table, whose size the vocabulary bounds; each task holds it
-as two arrays.
+Decoding joins every id with the token-byte table, a map-side hash join on a dense key: the vocabulary bounds
+the table, each task holds it as two arrays, and the key is the place.
+
+encode's result reads the blocks in the shared folder; discard() of it deletes them when it has been used.
 
 Edge cases: a null text is encoded as empty; the empty text has no ids; a pre-token may be as long as the
 text; null and repeated doc_ids are kept row by row; special strings are ordinary text; an empty table
@@ -35,8 +39,6 @@ RANKS = "byte_bpe_50k.tiktoken"
 BLOCKS = "block long, doc_ids array<bigint>, counts array<int>, codes binary, order binary, groups array<struct<g:int,words:binary>>"
 #: Ends a pre-token in a packed group; no UTF-8 text holds this byte.
 END = b"\xff"
-#: Encoded words that a task of step 2 holds at once.
-HELD_WORDS = 400_000
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 #: A vocabulary may have so many entries to be held by every task.
 MAX_VOCABULARY = 1_000_000
@@ -145,31 +147,34 @@ def cut_blocks(docs: DataFrame, pattern: str, block_bytes: int, groups: int) ->
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long, n_tokens long, ids binary (little-endian unsigned 32-bit integers), one row a document."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    n = min(20_000, max(8, 2 * texts.rdd.getNumPartitions()))
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(f"`{text_col}`").alias("text"))
+    n_in = texts.rdd.getNumPartitions()
+    n, tasks = min(20_000, max(8, 2 * n_in)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(tasks, n_in)
     name = f"bpe_blocks_{uuid.uuid4().hex}"
-    cut_blocks(texts, pattern, block_bytes, groups).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "block").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    cut_blocks(texts, pattern, block_bytes, groups).write.option("compression", "zstd").option("path", path).bucketBy(n, "block").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
     kind = np.uint16 if len(read_ranks(ranks_path)) <= 1 << 16 else np.uint32
 
     def encode_words(batches):
-        enc, known = encoder(ranks_path, pattern), {}
+        enc, known, group = encoder(ranks_path, pattern), {}, None
         for batch in slices(batches, 64):
             lens, ids = [], []
-            for packed in batch.column(2).to_pylist():
+            for g, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if g != group:
+                    known, group = {}, g
                 found = []
                 for word in packed.split(END):
                     if (tokens := known.get(word)) is None:
-                        if len(known) >= HELD_WORDS:
-                            known.clear()
                         tokens = known[word] = np.array(enc._encode_single_piece(word), kind).tobytes()
                     found.append(tokens)
                 lens.append((np.array(list(map(len, found)), np.uint32) // np.dtype(kind).itemsize).astype(np.uint32).tobytes())
                 ids.append(b"".join(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lens, pa.binary()), pa.array(ids, pa.binary())], ["block", "g", "lens", "ids"])
 
-    words = blocks.select("block", F.explode("groups").alias("p")).select("block", "p.g", "p.words").repartitionById(groups, F.col("g"))
+    words = blocks.select("block", F.explode("groups").alias("p")).select("block", "p.g", "p.words").repartitionById(tasks, F.pmod("g", F.lit(tasks))).sortWithinPartitions("g")
     encoded = words.mapInArrow(encode_words, "block long, g int, lens binary, ids binary").repartition(n, "block")
     by_block = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("g", "lens", "ids"))).alias("map"))
 
@@ -199,7 +204,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 8
                 tidy()
 
     whole = blocks.select("block", "doc_ids", "counts", "codes", "order").join(by_block, "block", "left")
-    return whole.select("doc_ids", "counts", "codes", "order", "map").mapInArrow(assemble, "doc_id long, n_tokens long, ids binary")
+    out = whole.select("doc_ids", "counts", "codes", "order", "map").mapInArrow(assemble, "doc_id long, n_tokens long, ids binary")
+    out.settled_path = path
+    return out
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -7,13 +7,15 @@ these become rows, with their words, and meet the broadcast hash set of windows
 compares the words themselves. Each document has one more row that bears its number of words, so the
 text is read once and only small rows are shuffled, by document.
 
-The benchmark is bounded: MAX_WINDOWS is checked, and beyond it the set is joined by a shuffle of the
-windows that the bit table leaves. A window that many items share is one entry of the set.
+The set of windows is written once and broadcast if its files are small (checked); beyond that it is joined by a
+shuffle of the windows that the bit table leaves. A window that many items share is one entry of the set.
+remove_contaminated looks for hits by two hashes of the text (128 bits), so that only hashes and spans are shuffled and
+records stay where they are read.
 
 Edge cases: null and empty texts have no words and are not contaminated; items of fewer words than the
 window are one window, items without words none; repeated documents are judged row by row; repeated
 item_ids count as one item; an empty benchmark leaves all documents clean; empty tables give empty
-results; extra columns ride along in remove_contaminated, else they are ignored.
+results; extra columns, whatever their names, ride along in remove_contaminated, else they are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, broadcastable, discard, settle, table
 
 #: On lower-cased text; RAW_GAP and RAW_WORD say the same of text as it is.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_GAP, RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: Windows of the benchmark that a task may hold; about 300 bytes each.
-MAX_WINDOWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -113,15 +113,14 @@ def passing(n: int, table_words: int) -> Column:
     return F.transform(F.filter(F.transform(f"h{n}", at), lambda i: i.isNotNull()), window)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int, carry: list[str], text_col: str) -> DataFrame:
-    """The columns carry, n_words long and hits: a sorted array of (pos, len, items), pos from 1; one row a document."""
-    windows = benchmark_windows(benchmark, window)
+def find_hits(docs: DataFrame, windows: DataFrame, carry: list[str], text_col: str) -> DataFrame:
+    """c, a struct of the columns carry as c0, c1 ..., n_words long and hits: a sorted array of (pos, len, items), pos from 1; one row a document. windows are settled."""
     by_length = {r.len: r.n for r in windows.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}  # window rows at most
     lengths, n_windows = sorted(by_length), sum(by_length.values())
     carried = [f"c{i}" for i in range(len(carry))]
     based = docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(x) for c, x in zip(carry, carried)], words_of(F.col(f"`{text_col}`")).alias("words"))
     if not lengths:
-        return based.select(*[F.col(x).alias(c) for c, x in zip(carry, carried)], F.size("words").cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int,items:array<string>>>").alias("hits"))
+        return based.select(F.struct(*carried).alias("c"), F.size("words").cast("long").alias("n_words"), F.array().cast("array<struct<pos:int,len:int,items:array<string>>>").alias("hits"))
     table_words = 1 << min(16, max(13, math.ceil(math.log2(n_windows))))
     hashed = with_hashes(based, lengths).withColumn("bits", bit_table(windows, lengths, table_words))
     found = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit("").alias("gram")))  # the row that every document has
@@ -129,14 +128,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int, carry: list[st
         found = F.concat(found, passing(n, table_words))
     rows = hashed.select("row", *carried, F.size("words").cast("long").alias("n_words"), F.explode(found).alias("f"))
     rows = rows.select("row", *[F.when(F.col("f.len") == 0, F.col(x)).alias(x) for x in carried], "n_words", "f.pos", "f.len", "f.gram")
-    few = F.broadcast(windows) if n_windows <= MAX_WINDOWS else windows
-    met = rows.join(few, ["len", "gram"], "left").where((F.col("len") == 0) | F.col("items").isNotNull())
-    by_doc = met.groupBy("row").agg(
+    met = rows.join(broadcastable(windows), ["len", "gram"], "left").where((F.col("len") == 0) | F.col("items").isNotNull())
+    return met.groupBy("row").agg(
         F.max_by(F.struct(*carried), F.when(F.col("len") == 0, 1)).alias("c"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_list(F.when(F.col("len") > 0, F.struct("pos", "len", "items")))).alias("hits"),
     )
-    return by_doc.select(*[F.col(f"c.{x}").alias(c) for c, x in zip(carry, carried)], "n_words", "hits")
+
+
+def merged(hits: Column) -> Column:
+    """Disjoint spans (pos, stop) in order, of hits sorted by position; each hit lengthens the last span or opens one."""
+    span = "array<struct<pos:int,stop:int>>"
+    none = F.struct(F.array().cast(span).alias("done"), F.lit(None).cast("int").alias("pos"), F.lit(0).alias("stop"))
+
+    def add(s, h):
+        on = h["pos"] <= s["stop"]
+        done = F.when(s["pos"].isNull() | on, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["pos"].alias("pos"), s["stop"].alias("stop"))).cast(span)))
+        end = h["pos"] + h["len"]
+        return F.struct(done.alias("done"), F.when(s["pos"].isNotNull() & on, s["pos"]).otherwise(h["pos"]).alias("pos"), F.greatest(s["stop"], end).alias("stop"))
+
+    return F.aggregate(hits, none, add, lambda s: F.when(s["pos"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["pos"].alias("pos"), s["stop"].alias("stop"))).cast(span))))
 
 
 def covered(hits: Column) -> Column:
@@ -151,9 +162,13 @@ def covered(hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted item_ids), spans (word positions from 1 and lengths)."""
-    found = find_hits(docs, benchmark, window, [id_col], text_col)
+    windows = settle(benchmark_windows(benchmark, window), "windows")
+    found = find_hits(docs, windows, [id_col], text_col)
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    return found.select(F.col(f"`{id_col}`").alias("doc_id"), "n_words", covered(F.col("hits")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["len"].alias("len"))).alias("spans"))
+    out = found.select(F.col("c.c0").alias("doc_id"), "n_words", covered(F.col("hits")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["len"].alias("len"))).alias("spans"))
+    out = settle(out, "decontaminated", "snappy")
+    discard(windows)
+    return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -161,15 +176,24 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Words are removed from the text itself, with the separators before each; what is left keeps its letters' case.
     """
-    columns, text = docs.columns, F.col(f"`{text_col}`")
-    found = find_hits(docs, benchmark, window, columns, text_col).withColumn("__n_hit", covered(F.col("hits")))
-    found = found.where((F.col("__n_hit") == 0) | (F.col("__n_hit") < min_share * F.col("n_words")))
-    pieces = F.regexp_extract_all(text, F.lit(f"({RAW_GAP}*{RAW_WORD}+)"), F.lit(1))
-    tail = F.regexp_extract(text, f"({RAW_GAP}*)$", 1)
-    hit_at = F.flatten(F.transform("hits", lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1)))
-    kept = F.transform(F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), F.array_contains(F.col("__hit_at"), i + 1).alias("hit"))), lambda s: ~s["hit"]), lambda s: s["p"])
-    left = F.when(F.col("__n_hit") > 0, F.concat(F.array_join(kept, ""), tail)).otherwise(text)
-    return found.withColumn("__hit_at", hit_at).select(*[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    windows = settle(benchmark_windows(benchmark, window), "windows")
+    found = find_hits(keyed, windows, ["k1", "k2"], "text").where(F.size("hits") > 0)
+    found = found.select(F.col("c.c0").alias("h1"), F.col("c.c1").alias("h2"), "n_words", covered(F.col("hits")).alias("n_hit"), merged(F.col("hits")).alias("spans"))
+    found = settle(found.dropDuplicates(["h1", "h2"]), "contaminated")
+    discard(windows)
+    met = keyed.join(broadcastable(found), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    met = met.where(F.col("spans").isNull() | (F.col("n_hit") < min_share * F.col("n_words")))
+    pieces = F.regexp_extract_all("text", F.lit(f"({RAW_GAP}*{RAW_WORD}+)"), F.lit(1))
+    tail = F.regexp_extract("text", f"({RAW_GAP}*)$", 1)
+    stops = F.concat(F.array(F.lit(1)), F.transform("spans", lambda s: s["stop"]))
+    starts = F.concat(F.transform("spans", lambda s: s["pos"]), F.array(F.size("pieces") + 1))
+    kept = F.flatten(F.zip_with(stops, starts, lambda a, b: F.slice(F.col("pieces"), a, b - a)))
+    met = met.withColumn("pieces", F.when(F.col("spans").isNotNull(), pieces))
+    left = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(kept, ""), tail)).otherwise(F.col("text"))
+    kind = docs.schema[text_col].dataType
+    return met.select(*[left.cast(kind).alias(c) if c == text_col else F.col("rec").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

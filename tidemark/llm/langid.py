@@ -5,26 +5,27 @@ window one GRU runs forwards and one backwards; at every position the two states
 each language, and a document's probabilities are the normalised geometric mean over all its positions.
 The network is trained here, in numpy, by backpropagation through time and Adam, on the loss of every position.
 
-Training takes a bounded sample of labelled rows: at most ``per_language`` documents of each language,
-those first in a hash order of ids, and two windows of each at places given by the hash. Rows with
-crc32(doc_id) mod 4 = 2 are never seen. Prediction reads nothing but the text, the whole of it.
+Training takes a bounded sample of labelled rows: of the ``max_languages`` commonest labels at most ``per_language``
+documents each, fewer where all would be over ``max_sample``; those first in a hash order of ids, and two windows of
+each at places given by the hash. Rows with crc32(doc_id) mod 4 = 2 are never seen. Prediction reads nothing but the
+text, the whole of it.
 
 Edge cases: a null text, or one without a letter, is "und" with score 0; with no labelled row at all
 every text is "und"; a null id is not learned from and not held out; repeated rows are judged alike; long texts are
-windows like any others; an empty table gives an empty result; extra columns are ignored.
+windows like any others; an empty table gives an empty result; extra columns are ignored by identify and ride along,
+whatever their names, in keep_known_languages.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, table, text_or_empty
 
 UND = "und"
-MAX_LANGUAGES = 64
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -148,27 +149,26 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_windows(docs: DataFrame, per_language: int, width: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, windows and labels, from a bounded sample."""
+def training_windows(docs: DataFrame, per_language: int, width: int, max_languages: int = 1_024, max_sample: int = 40_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, windows and labels, from a bounded sample: max_sample documents at most, or one of each language."""
     seen = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    common = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    counts = {r.lang: r.n for r in common.collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
+    each = max(1, min(per_language, max_sample // len(languages)))
     order = F.xxhash64(F.lit(11), "doc_id")
-    rate = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 1.5 * per_language / counts[k])))])[F.col("lang")]
-    some = seen.where(F.pmod(order, F.lit(1_000_000)) <= rate * 1_000_000)
+    # thinned first, so that few rows are ranked; the rank makes the bound exact
+    rate = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, (1.5 * each + 50) / n)) for k, n in counts.items()], "lang string, rate double"))
+    some = seen.join(rate, "lang").where(F.pmod(order, F.lit(1_000_000)) <= F.col("rate") * 1_000_000)
     at = [(F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.greatest(F.length("text") - width + 1, F.lit(1))) + 1).cast("int") for i in (1, 2)]
     pieces = some.select("lang", order.alias("o"), *[F.substring("text", a, F.lit(width)).alias(f"w{i}") for i, a in enumerate(at)])
-    rows = pieces.orderBy("o").limit(2 * per_language * len(languages)).collect()
-    windows, labels = [], []
-    for r in rows:
-        for piece in (r.w0, r.w1):
-            windows.append(piece.encode()[:width].ljust(width, b"\0"))
-            labels.append(languages.index(r.lang))
-    return languages, np.frombuffer(b"".join(windows), np.uint8).reshape(-1, width), np.array(labels)
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("o", "w0", "w1")))
+    rows = ranked.where(F.col("rank") <= each).orderBy("o", "lang", "w0", "w1").collect()
+    number = {k: i for i, k in enumerate(languages)}
+    windows = [piece.encode()[:width].ljust(width, b"\0") for r in rows for piece in (r.w0, r.w1)]
+    return languages, np.frombuffer(b"".join(windows), np.uint8).reshape(-1, width), np.repeat([number[r.lang] for r in rows], 2)
 
 
 def judge(texts: list[str], has_letter: list, model: dict, languages: list[str], width: int) -> tuple[list[str], np.ndarray]:
@@ -179,8 +179,9 @@ def judge(texts: list[str], has_letter: list, model: dict, languages: list[str],
     if known.any():
         x, counts = cut_windows(data, width)
         owner = np.repeat(np.arange(len(data)), counts)
-        for at in range(0, len(x), 4096):
-            np.add.at(total, owner[at : at + 4096], label_positions(model, x[at : at + 4096]))
+        step = max(64, 4096 * 4 // max(4, len(languages)))  # bounds what all positions and languages take
+        for at in range(0, len(x), step):
+            np.add.at(total, owner[at : at + step], label_positions(model, x[at : at + step]))
     mean = total / np.maximum([len(t) for t in data], 1)[:, None]
     prob = np.exp(mean - mean.max(1, keepdims=True))
     prob /= prob.sum(1, keepdims=True)
@@ -188,7 +189,7 @@ def judge(texts: list[str], has_letter: list, model: dict, languages: list[str],
 
 
 def fitted(docs: DataFrame, per_language: int, width: int, id_col: str, text_col: str, lang_col: str) -> tuple[dict, list[str]]:
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     languages, windows, labels = training_windows(base, per_language, width)
     return (train(windows, labels, len(languages)) if languages else {}), languages
 
@@ -196,7 +197,7 @@ def fitted(docs: DataFrame, per_language: int, width: int, id_col: str, text_col
 def identify(docs: DataFrame, per_language: int = 1_200, width: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out boolean, lang_pred string, score double, for every row of docs."""
     model, languages = fitted(docs, per_language, width, id_col, text_col, lang_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def predict(batches):
         for batch in slices(batches):
@@ -210,18 +211,18 @@ def identify(docs: DataFrame, per_language: int = 1_200, width: int = 96, id_col
 def keep_known_languages(docs: DataFrame, min_score: float = 0.4, per_language: int = 1_200, width: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose language can be told: those that are "und", or score below min_score, go. With no labelled row nothing can be told, and all with a letter stay."""
     model, languages = fitted(docs, per_language, width, id_col, text_col, lang_col)
-    letter = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+    text = F.col(f"`{text_col}`").cast("string")
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     if not languages:
         return docs.where(letter)
 
     def keep(batches):
         for batch in slices(batches):
-            texts = batch.column(batch.num_columns - 2).to_pylist()
-            _, score = judge(texts, batch.column(batch.num_columns - 1).to_pylist(), model, languages, width)
-            yield batch.filter(pa.array(score >= min_score)).select(list(range(batch.num_columns - 2)))
+            _, score = judge(batch.column(1).to_pylist(), batch.column(2).to_pylist(), model, languages, width)
+            yield batch.filter(pa.array(score >= min_score)).select([0])
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*columns, text_or_empty(text_col).alias("__text"), letter.alias("__letter")).mapInArrow(keep, docs.schema)
+    asked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), F.coalesce(text, F.lit("")).alias("text"), letter.alias("letter"))
+    return asked.mapInArrow(keep, asked.select("rec").schema).select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ holds a blank after another character. A text is therefore the concatenation of
 non-blanks" whose counts add up, once the model's own leading blank is put in front.
 
 Tier 1 is a compact table of the lengths (in tokens) of frequent pre-tokens. Each task summarises all of
-its rows with a Misra-Gries counter, the summaries are added up, and the ``frequent`` heaviest
-pre-tokens of at most ``max_bytes`` bytes are encoded and broadcast: under frequent * (max_bytes + 2)
-bytes whatever the corpus. Tier 2 is a bounded cache in every Python worker; what is in neither is
+its rows with a Misra-Gries counter of at most ``per_task`` entries, one row that is written to the shared folder;
+tasks that read some of these rows each merge them into one, again and again until few are left, so no row is dealt by
+word. The ``frequent`` heaviest pre-tokens of at most ``max_bytes`` bytes are encoded and broadcast: under
+frequent * (max_bytes + 2) bytes whatever the corpus. Tier 2 is a bounded cache in every Python worker; what is in neither is
 encoded. The tables only save time: any pre-token gets the count that the model gives.
 
 Edge cases: a null text counts as empty; the empty text has no token; special strings are ordinary text,
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, table, text_or_empty, worker_cache
+from .common import batch_of, discard, settle, slices, table, text_or_empty, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
@@ -60,24 +61,60 @@ def count_one(sp, word: str) -> int:
     return len(sp.encode("a b")) - len(sp.encode("a")) - len(sp.encode("b")) + 1
 
 
+SUMMARY = "words array<string>, counts array<long>"
+#: Summaries that one task merges.
+FAN_IN = 64
+
+
+def lowered(seen, capacity: int):
+    """A Misra-Gries counter with at most capacity / 2 entries left, each less by what the greatest one dropped had."""
+    from collections import Counter
+
+    floor = sorted(seen.values(), reverse=True)[capacity // 2]
+    return Counter({w: n - floor for w, n in seen.items() if n > floor})
+
+
+def summary(seen, per_task: int) -> pa.RecordBatch:
+    kept = seen.most_common(per_task)
+    return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in kept]], pa.list_(pa.string())), pa.array([[n for _, n in kept]], pa.list_(pa.int64()))], ["words", "counts"])
+
+
 def frequent_words(texts: DataFrame, top: int, per_task: int, capacity: int, max_bytes: int) -> list[str]:
-    """The heaviest pre-tokens over all rows, from one Misra-Gries summary a task (at most per_task entries leave it)."""
+    """The heaviest pre-tokens over all rows, from one Misra-Gries summary a task."""
+    from collections import Counter
 
     def summarise(batches):
-        from collections import Counter
-
         seen: Counter = Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(text.split(" "))
             while len(seen) > capacity:
-                floor = sorted(seen.values(), reverse=True)[capacity // 2]
-                seen = Counter({w: n - floor for w, n in seen.items() if n > floor})
-        kept = [(w, n) for w, n in seen.most_common(per_task) if len(w.encode()) <= max_bytes]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+                seen = lowered(seen, capacity)
+        if seen:
+            yield summary(Counter({w: n for w, n in seen.items() if len(w.encode()) <= max_bytes}), per_task)
 
-    found = texts.mapInArrow(summarise, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top)
-    return [r.word for r in found.collect()]
+    def merge(batches):
+        seen: Counter = Counter()
+        for batch in slices(batches, 1):
+            for words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                for w, n in zip(words, counts):
+                    seen[w] += n
+            while len(seen) > capacity:
+                seen = lowered(seen, capacity)
+        if seen:
+            yield summary(seen, 2 * per_task)
+
+    now = settle(texts.mapInArrow(summarise, SUMMARY), "summaries", "zstd")
+    while (rows := now.count()) > FAN_IN:
+        fewer = settle(now.coalesce(-(-rows // FAN_IN)).mapInArrow(merge, SUMMARY), "summaries", "zstd")
+        discard(now)
+        now = fewer
+    seen: Counter = Counter()
+    for r in now.toLocalIterator():  # FAN_IN rows at most
+        for w, n in zip(r.words, r.counts):
+            seen[w] += n
+    discard(now)
+    return [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:top]]
 
 
 def count_tokens(docs: DataFrame, model_path: str, frequent: int = 32_768, per_task: int = 8_192, capacity: int = 131_072, max_bytes: int = 48, cache_words: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

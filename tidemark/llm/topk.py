@@ -1,18 +1,20 @@
 """Exact top-k by inner product: exhaustive term-at-a-time accumulation.
 
-Vectors become sparse integer rows; a dimension is a term. Candidates are cut into blocks (by id hash,
-so their number follows the table), queries likewise, and every pair of blocks meets in one row of a join
-on the pair's number: a block of queries is sent once to each candidate block. Within a pair the
+Vectors become sparse integer rows; a dimension is a term. Candidates are cut into blocks (by a hash of the row and its
+place in the input, so their number follows the table and repeated rows spread), queries likewise, and every pair of blocks meets in one row of a join
+on the pair's number: a block of queries is sent once to each candidate block, so what is sent grows with the queries
+times the candidate blocks, and the blocks' size is what to raise for many queries. Within a pair the
 candidate block is inverted into one posting list a term (rows and weights); for each term the weights
 of the queries that hold it are scattered, times the postings, into dense score arrays. A partition
 selection keeps each query's k best of the block, ties to the smaller id, and the blocks' lists are
 merged by one grouped top-k.
 
-Every score is exact in 64-bit integers; vectors whose scores could leave that range raise an error.
+Every score is exact in 64-bit integers; finite components of 2^55 / scale (2^49 here) or more, or vectors whose
+scores could leave that range, raise an error.
 
 Edge cases: null vectors, null or non-finite components: left out, as queries and as candidates; vectors
 of unequal lengths: a missing component counts as 0; empty vectors score 0; repeated ids: a query leaves
-out all rows of its own id, and repeated candidates rank one by one; fewer than k candidates: all of
+out all rows of its own id, rows of that id share one list, and repeated candidates rank one by one; fewer than k candidates: all of
 them; an empty table: an empty result; extra columns are ignored.
 """
 
@@ -94,12 +96,12 @@ def blocks(vectors: DataFrame, rows_per_block: int, rows: int) -> DataFrame:
         flat = np.concatenate(list(pdf["w"])) if len(pdf) else np.zeros(0)
         return pd.DataFrame({"block": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "lens": [lens.tobytes()], "weights": [flat.astype(np.int64).tobytes()]})
 
-    return vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "w"), F.lit(n)).cast("int")).groupBy("block").applyInPandas(pack, BLOCK), n
+    return vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "w", F.monotonically_increasing_id()), F.lit(n)).cast("int")).groupBy("block").applyInPandas(pack, BLOCK), n
 
 
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, rows_per_block: int = 8192, queries_per_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by query_every, against all rows."""
-    spark = vectors.sparkSession
+    id_col, vector_col = f"`{id_col}`", f"`{vector_col}`"
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
     sound = F.col(vector_col).isNotNull() & F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**55 / scale))
     huge = F.exists(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) >= 2.0**55 / scale) & (F.abs(x.cast("double")) < float("inf")))

@@ -8,12 +8,15 @@ strength = 1 / rho - 1. A host's posterior is Beta(k + strength * m, n - k + str
 the shrunken mean of its domain. A page is blocked if the lower bound of its host's posterior (mean less
 z deviations) exceeds max_bad, so that a few bad outcomes on an otherwise unseen host don't block it.
 
-Counts are summed before any shuffle; only (page_id, url) and one row a host meet in the join, whose hot
-hosts Spark splits.
+A suffix is a top-level domain, or the last two labels where a country's domain follows a label that registries use
+(co.uk, com.cn), or one of the suffixes below which anyone registers (github.io); ``suffixes`` adds others.
+
+Counts are summed before any shuffle and written once; only (page_id, url) and one row a host meet in the join, whose hot
+hosts Spark splits. The settled bounds of hosts stay in the shared folder for the result to read.
 
 Edge cases: a null url, or one without "://", has empty host and path and gets the posterior of the empty
 host; without labels at all the prior is prior_bad and nothing is blocked; repeated pages and labels each
-count; empty tables give empty results; extra columns are ignored.
+count (a page stands once for each of its labels); empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, broadcastable, discard, settle, table
 
 #: (action, host, path); a rule is written host + path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Rules are compiled into one CASE, so their number is bounded.
 MAX_RULES = 1_000
-#: Suffixes of two labels; the registered domain has one label more.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp")
+# fixed values: labels under which registries of countries let domains be registered, and suffixes open to anyone
+REGISTRY_LABELS = ("ac", "co", "com", "ed", "edu", "go", "gob", "gouv", "gov", "gv", "id", "ltd", "me", "mil", "ne", "net", "nic", "nom", "or", "org", "plc", "sch")
+OPEN_SUFFIXES = ("appspot.com", "azurewebsites.net", "blogspot.com", "cloudfront.net", "firebaseapp.com", "fly.dev", "github.io", "gitlab.io", "glitch.me", "herokuapp.com", "myshopify.com", "netlify.app", "onrender.com", "pages.dev", "readthedocs.io", "surge.sh", "vercel.app", "web.app", "wixsite.com", "wordpress.com", "workers.dev")
 
 
 def host_of(url):
@@ -39,12 +43,18 @@ def path_of(url):
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host):
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
+def two_labels(host, suffixes=OPEN_SUFFIXES):
+    """Whether the suffix of a host has two labels."""
+    last = F.substring_index(host, ".", -2)
+    return last.rlike(rf"^({'|'.join(REGISTRY_LABELS)})\.[a-z]{{2}}$") | last.isin(*suffixes)
+
 
+def suffix_of(host, suffixes=OPEN_SUFFIXES):
+    return F.when(two_labels(host, suffixes), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
-def domain_of(host):
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+def domain_of(host, suffixes=OPEN_SUFFIXES):
+    return F.when(two_labels(host, suffixes), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def matched_rule(host, path, rules):
@@ -58,42 +68,45 @@ def matched_rule(host, path, rules):
     return out
 
 
-def prior_strength(children: DataFrame) -> DataFrame:
-    """One row: strength, from children with n, k and their parent's mean p (0 < p < 1 counts)."""
+def prior_strength(children: DataFrame) -> float:
+    """From children with n, k and their parent's mean p (0 < p < 1 counts); one number comes to the driver."""
     spread = F.col("p") * (1 - F.col("p"))
     excess = F.sum(F.when(spread > 0, F.pow(F.col("k") - F.col("n") * F.col("p"), 2) / spread - F.col("n")))
     pairs = F.sum(F.when(spread > 0, F.col("n") * (F.col("n") - 1)))
     rho = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.coalesce(excess / F.nullif(pairs.cast("double"), F.lit(0.0)), F.lit(0.001))))
-    return children.agg((1 / rho - 1).alias("strength"))
+    return children.agg(1 / rho - 1).first()[0]
 
 
-def reputation(outcomes: DataFrame, prior_bad: float = 0.05) -> DataFrame:
+def reputation(outcomes: DataFrame, prior_bad: float = 0.05, suffixes=OPEN_SUFFIXES) -> DataFrame:
     """host, domain, suffix, n, k, alpha, beta: the posterior of every host of outcomes (host, bad 0/1)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    everything = hosts.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(prior_bad)).alias("p"))  # one row
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(F.broadcast(everything))
-    suffixes = shrunk(suffixes).select("suffix", F.col("m").alias("suffix_m"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffixes, "suffix").withColumn("p", F.col("suffix_m"))
-    domains = shrunk(domains).select("domain", "suffix", F.col("m").alias("domain_m"))
-    hosts = hosts.join(domains, ["domain", "suffix"]).withColumn("p", F.col("domain_m"))
-    hosts = hosts.join(F.broadcast(prior_strength(hosts)))
-    return hosts.select("host", "domain", "suffix", "n", "k", (F.col("k") + F.col("strength") * F.col("p")).alias("alpha"), (F.col("n") - F.col("k") + F.col("strength") * (1 - F.col("p"))).alias("beta"))
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
+    hosts = counted = settle(hosts, "hosts")
+    n, k = hosts.agg(F.sum("n"), F.sum("k")).first()
+    total = [F.sum("n").alias("n"), F.sum("k").alias("k")]
+    by_suffix = shrunk(hosts.groupBy("suffix").agg(*total).withColumn("p", F.lit(k / n if n else prior_bad))).select("suffix", F.col("m").alias("p"))
+    by_domain = shrunk(hosts.groupBy("domain", "suffix").agg(*total).join(by_suffix, "suffix")).select("domain", "suffix", F.col("m").alias("p"))
+    hosts = hosts.join(by_domain, ["domain", "suffix"])
+    strength = F.lit(prior_strength(hosts))
+    out = hosts.select("host", "domain", "suffix", "n", "k", (F.col("k") + strength * F.col("p")).alias("alpha"), (F.col("n") - F.col("k") + strength * (1 - F.col("p"))).alias("beta"))
+    out.settled_path = counted.settled_path
+    return out
 
 
 def shrunk(children: DataFrame) -> DataFrame:
-    strength = F.broadcast(prior_strength(children))  # one row
-    return children.join(strength).withColumn("m", (F.col("k") + F.col("strength") * F.col("p")) / (F.col("n") + F.col("strength")))
+    strength = F.lit(prior_strength(children))
+    return children.withColumn("m", (F.col("k") + strength * F.col("p")) / (F.col("n") + strength))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.2, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = 0.2, z: float = 1.645, id_col: str = "page_id", url_col: str = "url", suffixes=OPEN_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_bound. outcomes: page_id and bad (0 or 1, null: unlabelled)."""
-    seen = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    seen = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     labels = outcomes.select(F.col("page_id"), F.col("bad").cast("int").alias("bad"))
-    judged = reputation(seen.select("page_id", "host").join(labels, "page_id", "left"))
+    judged = reputation(seen.select("page_id", "host").join(labels, "page_id", "left"), suffixes=suffixes)
     a, b = F.col("alpha"), F.col("beta")
     bound = a / (a + b) - z * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
-    bounds = judged.select("host", bound.alias("bad_bound"))
+    bounds = broadcastable(settle(judged.select("host", bound.alias("bad_bound")), "host-bounds"))
+    discard(judged)
     hit = matched_rule(F.col("host"), F.col("path"), rules)
     return seen.join(bounds, "host", "left").withColumn("hit", hit).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")).alias("verdict"), "bad_bound")
 
@@ -105,10 +118,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
-SUFFIX_SQL = "CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN ({two}) THEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ELSE string_split(host, '.')[-1] END"
-DOMAIN_SQL = "array_to_string(list_slice(string_split(host, '.'), CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN ({two}) THEN -3 ELSE -2 END, -1), '.')"
+LAST_SQL = "array_to_string(list_slice(string_split(host, '.'), {k}, -1), '.')"
+TWO_SQL = f"(regexp_full_match({LAST_SQL.format(k=-2)}, '({'|'.join(REGISTRY_LABELS)})[.][a-z]{{2}}') OR {LAST_SQL.format(k=-2)} IN ({', '.join(repr(x) for x in OPEN_SUFFIXES)}))"
+SUFFIX_SQL = f"CASE WHEN {TWO_SQL} THEN {LAST_SQL.format(k=-2)} ELSE {LAST_SQL.format(k=-1)} END"
+DOMAIN_SQL = f"CASE WHEN {TWO_SQL} THEN {LAST_SQL.format(k=-3)} ELSE {LAST_SQL.format(k=-2)} END"
 STRENGTH_SQL = "(SELECT 1 / least(0.999, greatest(0.001, coalesce(sum(CASE WHEN p * (1 - p) > 0 THEN pow(k - n * p, 2) / (p * (1 - p)) - n END) / nullif(sum(CASE WHEN p * (1 - p) > 0 THEN n * (n - 1) END), 0), 0.001))) - 1 FROM {t})"
-TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
 OP9_SQL = f"""
 WITH seen AS (
@@ -116,7 +130,7 @@ WITH seen AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 outcomes AS (SELECT host, CASE WHEN doc_id IS NULL THEN NULL WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad FROM seen LEFT JOIN labels ON page_id = doc_id),
-hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, {DOMAIN_SQL.format(two=TWO)} AS domain, {SUFFIX_SQL.format(two=TWO)} AS suffix FROM outcomes GROUP BY host),
+hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, {DOMAIN_SQL} AS domain, {SUFFIX_SQL} AS suffix FROM outcomes GROUP BY host),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0.05) FROM hosts) AS p FROM hosts GROUP BY suffix),
 s1 AS (SELECT suffix, (k + st * p) / (n + st) AS m FROM s0, (SELECT {STRENGTH_SQL.format(t='s0')} AS st)),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS p FROM hosts JOIN s1 USING (suffix) GROUP BY domain, suffix),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, langid, neardup, substrings
-from tidemark.llm.common import settle, table
+from tidemark.llm.common import discard, settle, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,11 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     path = public_tokenizers.path(bpe.RANKS)
-    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    both = bpe.decode(encoded, path)
+    out = both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out.settled_path = encoded.settled_path
+    return out
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("bpe", bpe_round_trip)]
@@ -45,8 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's result is written as Parquet and read again."""
+    """All stages; each one's result is written as Parquet and read again, and deleted when the next one's is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}", "zstd")
+        made = stage(spark, docs, sf_dir)
+        kept = settle(made, f"pipeline-{name}", "zstd")
+        discard(made, docs)  # what a stage has written for itself, and its input
+        docs = kept
     return docs

@@ -143,3 +143,115 @@ def test_panel_with_context(spark):
     x = a.withColumn("timeframe", F.lit("1H")).unionByName(b.withColumn("timeframe", F.lit("4H")))
     y = compute_indicators(x, ["momentum_indicator"], Panel(context=("timeframe",)), base=False)
     assert {r.timeframe: r.m for r in y.groupBy("timeframe").agg(F.min("momentum_10").alias("m")).collect()} == {"1H": 10.0, "4H": -10.0}
+
+
+def wide(spark):
+    """Two features with signals and returns, three assets, one horizon."""
+    rows = [(f"A{a}", DAY + dt.timedelta(days=d), 10.0 + a * d, 1.0 if (a + d) % 2 else -1.0, float(d % 3 > 0), 0.5, 0.25, 1.0, 1.0, 2.0, 3.0, 0.4 * (a - 1)) for a in range(3) for d in range(6)]
+    sides = ", ".join(f"`{f}__{p}` double" for f in ("rsi_14", "mine") for p in ("signal_direction", "signal_active", "signal_strength", "signal_signed_value"))
+    return spark.createDataFrame(rows, f"asset string, date timestamp_ntz, close double, {sides}, future_return_cs_scaled_h1 double")
+
+
+def test_targets_of_wide_tables(spark):
+    from tidemark.operators import reshape as R
+
+    x = R.add_targets(wide(spark), {"h1": 1})
+    assert {"rsi_14__target_h1", "mine__target_h1"} <= set(x.columns)
+    one = R.add_target(wide(spark), "rsi_14", "h1", inactive="zero")
+    zero = one.where("`rsi_14__signal_active` = 0 AND `rsi_14__target_h1` <> 0").count()
+    assert zero == 0 and one.where("`rsi_14__target_h1` IS NULL").count() == 0
+    later = R.add_target(wide(spark), "rsi_14", "h1", inactive="drop_later")
+    assert later.where("`rsi_14__signal_active` = 0 AND `rsi_14__target_h1` = 1").count() > 0
+    assert R.signals_to_long(x).count() == 36 and R.targets_to_long(x).count() == 36
+
+
+def test_dataset_of_wide_tables(spark, caplog):
+    from tidemark.operators import reshape as R
+
+    x = R.add_targets(wide(spark), {"h1": 1}, ["rsi_14"])
+    with caplog.at_level("WARNING"):
+        got = R.wide_dataset(x).toPandas()
+    assert "mine" in caplog.text and set(got["indicator_name"]) == {"rsi_14"} and set(got["signal_family"]) == {"extreme_zone_oscillator"} and (got["signal_active"] == 1).all()
+    both = R.add_targets(wide(spark), {"h1": 1})
+    with pytest.raises(ValueError, match="family"):
+        R.wide_dataset(both, families={"rsi_14": "extreme_zone_oscillator"})
+    assert R.wide_dataset(both, families={"rsi_14": "a", "mine": "b"}).select("signal_family").distinct().count() == 2
+    for bad, match in ((x.unionByName(x), "repeated"), (wide(spark), "target"), (x.drop(*[c for c in x.columns if "__signal_" in c]), "signal")):
+        with pytest.raises(ValueError, match=match):
+            R.wide_dataset(bad)
+    with pytest.raises(ValueError, match="horizons"):
+        R.wide_dataset(x, horizons=["h9"])
+
+
+def test_datasets_are_written_by_horizon(spark, tmp_path):
+    from tidemark.operators import reshape as R
+
+    x = R.wide_dataset(R.add_targets(wide(spark), {"h1": 1}, ["rsi_14"]))
+    R.write_dataset(x, str(tmp_path / "d"))
+    assert (tmp_path / "d" / "horizon=h1").is_dir() and spark.read.parquet(str(tmp_path / "d")).count() == x.count()
+
+
+def test_dates_are_checked(spark):
+    from tidemark.operators.temporal import prepared
+
+    good = spark.createDataFrame([("2024-01-02", "B"), ("2024-01-01", "A")], "date string, asset string")
+    assert [r.asset for r in prepared(good).collect()] == ["A", "B"]
+    with pytest.raises(Exception, match="no date"):
+        prepared(good.unionByName(spark.createDataFrame([("soon", "C")], good.schema))).collect()
+
+
+@pytest.mark.parametrize("ddof", [0, 1, 2])
+def test_deviation_of_any_freedom(spark, ddof):
+    parts = [frame(spark, [10.0, 10.0 + i * i], asset=str(i)) for i in range(4)]
+    x = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    got = cross_scaled_returns(x, {"h": 1}, ddof=ddof).where("future_return_cs_std_h IS NOT NULL").first().future_return_cs_std_h
+    assert got == pytest.approx(np.std([0.0, 0.1, 0.4, 0.9], ddof=ddof))
+    raised = cross_scaled_returns(parts[0].unionByName(parts[0].withColumn("asset", parts[0].asset)), {"h": 1}, min_assets=2, policy="epsilon", min_std=0.5)
+    assert {r.future_return_cs_std_h for r in raised.collect()} == {0.5, None}
+
+
+def test_unknown_parameters_are_errors(spark):
+    x = frame(spark, [float(i) for i in range(1, 40)])
+    y = compute_indicators(x, ["coppock_curve"], config={"coppock": {"long_window": 20}}, base=False)
+    assert "coppock_20_11_10" in y.columns
+    for bad in ({"coppock": {"long": 20}}, {"copock": {}}):
+        with pytest.raises(KeyError):
+            compute_indicators(x, ["coppock_curve"], config=bad)
+    assert "asset" in compute_indicators(x.withColumnRenamed("volume", "other"), [], config={"general": {"include_all_original_columns": True}}).columns
+
+
+def kama_by_rows(v, n, fast, slow):
+    """The recurrence, row by row."""
+    y = [None] * len(v)
+    for i in range(len(v)):
+        if i == n - 1:
+            known = [x for x in v[:n] if x is not None]
+            y[i] = sum(known) / len(known) if known else None
+        elif i >= n:
+            start = y[i - 1] if y[i - 1] is not None else v[i - 1]
+            moves = [abs(v[k] - v[k - 1]) if v[k] is not None and v[k - 1] is not None else None for k in range(i - n + 1, i + 1)]
+            if v[i] is None or start is None:
+                y[i] = y[i - 1]
+            else:
+                er = 0.0 if None in moves or sum(moves) == 0 or v[i - n] is None else abs(v[i] - v[i - n]) / sum(moves)
+                y[i] = start + (er * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2 * (v[i] - start)
+    return y
+
+
+def test_kama_in_stretches():
+    from tidemark.operators.recursive import kama
+
+    r = np.random.default_rng(8)
+    for gaps in (0.0, 0.1, 0.6):
+        v = [None if r.random() < gaps else float(x) for x in 100 + np.cumsum(r.normal(0, 2, 300))]
+        for k in (v, [None] * 15 + v):
+            want = np.array([np.nan if x is None else x for x in kama_by_rows(k, 10, 2, 30)])
+            np.testing.assert_allclose(kama(pd.Series(k, dtype=float), 10, 2, 30).to_numpy(), want, rtol=1e-9)
+
+
+def test_tables_of_several_sources(spark):
+    from tidemark.sources.ohlcv import union_of
+
+    a, b = frame(spark, [1.0, 2.0]).drop("asset"), frame(spark, [3.0]).drop("asset")
+    got = union_of({"1H": {"X": a, "Y": b}, "4H": {"X": b}})
+    assert {(r.timeframe, r.asset) for r in got.select("timeframe", "asset").distinct().collect()} == {("1H", "X"), ("1H", "Y"), ("4H", "X")}

@@ -10,33 +10,40 @@ from pyspark.sql import functions as F
 
 from .metrics import add_ranks, classification_metrics, confusion, top_k_detail, top_k_summary
 from .ml import fit_forest, fit_logit
-from .targets import HORIZONS
+from .targets import HORIZONS, normalize_horizons
 from .temporal import Rolling
 
 log = logging.getLogger(__name__)
 
 
-def rolling_backtest(dataset: DataFrame, fit=fit_logit, splitter: Rolling = Rolling(), horizons=HORIZONS, max_folds: int | None = None, **settings) -> dict:
-    """oos (scored test rows with ranks), folds, fold_metrics, metrics, errors. A fold that can't be fitted is logged and left out.
+def rolling_backtest(dataset: DataFrame, fit=fit_logit, splitter: Rolling = Rolling(), horizons=HORIZONS, **settings) -> dict:
+    """oos (scored test rows with ranks and their fold's dates and counts), folds, fold_metrics, metrics, errors.
 
-    Rows are dealt to folds in one projection and kept; each fold is then one filtered fit. Scored folds are tables until read.
+    Every fold is run; one that fails, for whatever reason, is logged and left out. Rows are dealt to folds in one
+    projection and kept until the models are fitted; scored folds are tables until read.
     """
     assigned = splitter.assign(dataset, horizons).persist()
-    folds = splitter.summary(assigned)
-    ids = [r.fold_id for r in folds.select("fold_id").orderBy("fold_id").collect()][:max_folds]
-    scored, errors = [], {}
-    for k in ids:
-        own = assigned.where(F.col("fold_id") == k)
-        try:
-            model = fit(own.where("block = 'train'").drop("fold_id", "block"), **settings)
-            scored.append(model.score(own.where("block = 'test'").drop("block")))
-        except ValueError as e:
-            log.warning("fold %s left out: %s", k, e)
-            errors[k] = str(e)
+    try:
+        told = splitter.summary(assigned).orderBy("fold_id").collect()  # a row a fold
+        scored, errors = [], {}
+        for k in (r.fold_id for r in told):
+            own = assigned.where(F.col("fold_id") == k)
+            try:
+                model = fit(own.where("block = 'train'").drop("fold_id", "block"), **settings)
+                scored.append(model.score(own.where("block = 'test'").drop("block")))
+            except Exception as e:
+                log.warning("fold %s left out: %s", k, e)
+                errors[k] = str(e)[:500]
+    finally:
+        assigned.unpersist()
     if not scored:
         raise ValueError(f"no fold could be fitted: {errors}")
+    spark = dataset.sparkSession
+    folds = spark.createDataFrame(told, "fold_id int, train_start timestamp_ntz, train_end timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz, n_train_rows_raw long, n_train_rows_after_purge long, n_train_rows_purged long, n_test_rows long")
+    folds = folds.withColumns({"period_train": F.lit(splitter.train), "period_test": F.lit(splitter.test), "period_embargo": F.lit(splitter.embargo)})
     oos = reduce(DataFrame.unionByName, scored)
-    oos = add_ranks(oos.withColumns({"y_true": F.col("target"), "y_pred": F.col("pred_class"), "y_proba_pred": F.col("pred_proba_success")}), ["date", "asset", "horizon"])
+    oos = oos.withColumns({"y_true": F.col("target"), "y_pred": F.col("pred_class"), "y_proba_pred": F.col("pred_proba_success")}).join(F.broadcast(folds), "fold_id")
+    oos = add_ranks(oos, ["date", "asset", "horizon"])
     return {"oos": oos, "folds": folds, "fold_metrics": classification_metrics(oos, ["fold_id"]), "metrics": classification_metrics(oos), "errors": errors}
 
 
@@ -48,6 +55,16 @@ def forest_backtest(dataset: DataFrame, **options) -> dict:
     return rolling_backtest(dataset, fit_forest, **({"depth": 6, "leaf": 20, "class_weight": "balanced"} | options))
 
 
+def by_horizon(dataset: DataFrame, run=logit_backtest, horizons=HORIZONS, **options) -> dict[str, dict]:
+    """A backtest of its own for each horizon."""
+    return {h: run(dataset.where(F.col("horizon") == h), horizons={h: k}, **options) for h, k in normalize_horizons(horizons).items()}
+
+
+def horizon_metrics(runs: dict[str, dict]) -> DataFrame:
+    """The metrics of by_horizon, a row a horizon."""
+    return reduce(DataFrame.unionByName, [r["metrics"].withColumn("horizon", F.lit(h)) for h, r in runs.items()])
+
+
 def top_k(oos: DataFrame, by=("date", "asset", "horizon"), k: int = 3) -> tuple[DataFrame, DataFrame]:
     detail = top_k_detail(oos, list(by), k)
     return detail, top_k_summary(detail, k)

@@ -29,9 +29,9 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def regression_dataset(features: DataFrame, panel: Panel = Panel(), horizons=HORIZONS, tau: float = 0.0, include_inactive: bool = False, drop_missing: bool = True, exclude_vix: bool = True, signal_config: dict | None = None, check: bool = True) -> DataFrame:
-    """Returns, signals, targets and context features in one pass: everything travels on the feature row."""
-    if check and not duplicate_keys(features, panel.keys).isEmpty():
+def regression_dataset(features: DataFrame, panel: Panel = Panel(), horizons=HORIZONS, tau: float = 0.0, include_inactive: bool = False, drop_missing: bool = True, exclude_vix: bool = True, signal_config: dict | None = None, check: bool | DataFrame = True) -> DataFrame:
+    """Returns, signals, targets and context features in one pass: everything travels on the feature row. check may be the panel that features were computed from: its keys are looked through instead, which costs less."""
+    if check is not False and not duplicate_keys(features if check is True else check, panel.keys).isEmpty():
         raise ValueError("repeated keys")
     labels = normalize_horizons(horizons)
     context = context_features(panel, features.columns, exclude_vix)

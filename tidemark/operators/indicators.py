@@ -65,11 +65,13 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
         simple_return_1=(lambda: P.change("close"),), log_return_1=(lambda: X.log_positive("close") - P.lag(X.log_positive("close")),),
         _position=(lambda: F.row_number().over(P.ordered()).cast("double"),), _delta=(lambda: P.diff("close"),),
         _up=(lambda: F.greatest("_delta", F.lit(0.0)) * F.when(F.col("_delta").isNotNull(), 1), "_delta"), _down=(lambda: F.greatest(-F.col("_delta"), F.lit(0.0)) * F.when(F.col("_delta").isNotNull(), 1), "_delta"),
+        _rise=(lambda: P.diff("high"),), _fall=(lambda: -P.diff("low"),), _plus_dm=(lambda: F.when((F.col("_rise") > F.col("_fall")) & (F.col("_rise") > 0), F.col("_rise")).otherwise(0.0), "_rise", "_fall"),
+        _minus_dm=(lambda: F.when((F.col("_fall") > F.col("_rise")) & (F.col("_fall") > 0), F.col("_fall")).otherwise(0.0), "_rise", "_fall"),
         _range=(lambda: col("high") - col("low"),), _mfv=v(lambda: sdiv((col("close") - col("low")) - (col("high") - col("close")), col("high") - col("low")) * col("volume")),
     )
 
     # bands and channels
-    n, k = c["bollinger"]["window"], c["bollinger"]["multiplier"]
+    n, k = c["bollinger"]["window"], c["bollinger"]["std_multiplier"]
     s = f"{n}_{token(k)}"
     mid, up, down = f"bb_middle_{s}", f"bb_upper_{s}", f"bb_lower_{s}"
     cat.add("bollinger_bands", "band_channel_level", **{
@@ -116,16 +118,16 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.add("chande_forecast_oscillator", centred, **{f"cfo_{cn}": (lambda: 100 * sdiv(col("close") - F.col(f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}"), f"cfo_fitted_{cn}": (lambda: P.trend("close", cn, "_position")[2], "_position")})
     mn = c["cmo"]["window"]
     cat.add("chande_momentum_oscillator", centred, **{f"cmo_{mn}": (lambda: 100 * sdiv(P.sum("_up", mn) - P.sum("_down", mn), P.sum("_up", mn) + P.sum("_down", mn)), "_up", "_down")})
-    cl, cs, cw = (c["coppock"][x] for x in ("long", "short", "wma"))
+    cl, cs, cw = (c["coppock"][x] for x in ("long_window", "short_window", "wma_window"))
     cat.define(_coppock=(lambda: 100 * P.change("close", cl) + 100 * P.change("close", cs),))
     cat.add("coppock_curve", centred, **{f"coppock_{cl}_{cs}_{cw}": (lambda: P.weighted("_coppock", list(range(1, cw + 1))), "_coppock")})
     dp = c["dpo"]["window"]
     cat.add("detrended_price_oscillator", centred, **{f"dpo_{dp}": (lambda: P.lag("close", dp // 2 + 1) - P.mean("close", dp),)})
-    en, es = c["eom"]["window"], c["eom"]["smoothing"]
+    en, es = c["eom"]["window"], c["eom"]["smoothing_window"]
     cat.add("ease_of_movement", centred, **{f"eom_{en}": v(lambda: sdiv(P.diff("median_price"), sdiv(col("volume"), col("high") - col("low"))), "median_price"), f"eom_sma_{es}": v(lambda: P.mean(f"eom_{en}", es), f"eom_{en}")})
     fn = c["efi"]["window"]
     cat.add("elders_force_index", centred, **{"efi_raw": v(lambda: F.col("_delta") * col("volume"), "_delta"), f"efi_ema_{fn}": kv("ema", "efi_raw", fn)})
-    kr, ksm, kw, kg = (c["kst"][x] for x in ("roc", "sma", "weights", "signal"))
+    kr, ksm, kw, kg = (c["kst"][x] for x in ("roc_windows", "sma_windows", "weights", "signal_window"))
     kst = "kst_" + "_".join(map(str, kr))
     for i, r in enumerate(kr):
         cat.define(**{f"_roc_{r}": (lambda r=r: 100 * P.change("close", r),)})
@@ -134,7 +136,7 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
         f"kst_signal_{'_'.join(map(str, kr))}_{kg}": (lambda: P.mean(kst, kg), kst),
     })
     for name, key, source, gate in (("macd", "macd", "close", True), ("percentage_price_oscillator", "ppo", "close", True), ("percentage_volume_oscillator", "pvo", "volume", volume)):
-        a, b, g = c[key]["fast"], c[key]["slow"], c[key]["signal"]
+        a, b, g = c[key]["fast"], c[key]["slow"], c[key]["signal_window"]
         line = f"macd_line_{a}_{b}" if key == "macd" else f"{key}_{a}_{b}"
         signal, hist = f"{key}_signal_{a}_{b}_{g}", f"{key}_hist_{a}_{b}_{g}"
         if gate:
@@ -148,7 +150,7 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.add("qstick_indicator", centred, **{f"qstick_{qn}": (lambda: P.mean(col("close") - col("open"), qn),)})
     rn = c["roc"]["window"]
     cat.add("rate_of_change", centred, **{f"roc_{rn}": (lambda: 100 * P.change("close", rn),)})
-    vn, vg = c["rvi"]["window"], c["rvi"]["signal"]
+    vn, vg = c["rvi"]["window"], c["rvi"]["signal_window"]
     cat.add("relative_vigor_index", centred, **{f"rvi_{vn}": (lambda: sdiv(P.mean(col("close") - col("open"), vn), P.mean(col("high") - col("low"), vn)),), f"rvi_signal_{vn}_{vg}": (lambda: P.mean(f"rvi_{vn}", vg), f"rvi_{vn}")})
 
     # context
@@ -159,7 +161,9 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.add("atr", context, **{f"atr_{tn}": ("atr", tn)})
     cat.add("normalized_atr", context, **{f"natr_{tn}": (lambda: sdiv(f"atr_{tn}", "close"), f"atr_{tn}")})
     xn = c["adx"]["window"]
-    cat.add("adx", context, **{name: ("directional", xn) for name in (f"adx_{xn}", f"plus_di_{xn}", f"minus_di_{xn}", f"dx_{xn}")})
+    plus, minus = f"plus_di_{xn}", f"minus_di_{xn}"
+    cat.define(_adx_range=("wilder", "true_range", xn), _plus_mean=("wilder", "_plus_dm", xn), _minus_mean=("wilder", "_minus_dm", xn))
+    cat.add("adx", context, **{f"adx_{xn}": ("wilder", f"dx_{xn}", xn), plus: ("percent", "_plus_mean", "_adx_range"), minus: ("percent", "_minus_mean", "_adx_range"), f"dx_{xn}": ("imbalance", plus, minus)})
     hn = c["choppiness"]["window"]
     cat.add("choppiness_index", context, **{f"choppiness_{hn}": (lambda: 100 * F.log10(F.nullif(sdiv(P.sum("true_range", hn), P.max("high", hn) - P.min("low", hn)), F.lit(0.0))) / math.log10(hn), "true_range")})
     yn, bins = c["entropy"]["window"], c["entropy"]["bins"]
@@ -185,14 +189,14 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     qn2 = c["quantile"]["window"]
     cat.define(_closes=(lambda: P.gathered("close", qn2),))
     cat.add("quantile_indicator", context, **{f"quantile_rank_{qn2}": (lambda: X.percent_rank(F.col("_closes"), col("close"), qn2), "_closes")})
-    vr, vs, vz = (c["vix"][x] for x in ("roc", "sma", "zscore"))
+    vr, vs, vz = (c["vix"][x] for x in ("roc_window", "sma_window", "zscore_window"))
     x_ = (lambda make: (make,)) if vix else (lambda make: (null,))
     cat.add("vix", context, **{**({} if vix else {"vix": (null,)}), f"vix_roc_{vr}": x_(lambda: 100 * P.change("vix", vr)), f"vix_sma_{vs}": x_(lambda: P.mean("vix", vs)), f"vix_zscore_{vz}": x_(lambda: sdiv(F.col("vix") - P.mean("vix", vz), P.std("vix", vz)))})
     cat.columns["vix"] = ["vix", f"vix_roc_{vr}", f"vix_sma_{vs}", f"vix_zscore_{vz}"]
 
     # extreme zones
     extreme = "extreme_zone_oscillator"
-    gn = c["cog"]["window"]
+    gn = c["center_of_gravity"]["window"]
     weighted = lambda: sum((P.lag("close", i - 1) * i for i in range(2, gn + 1)), col("close") * 1)
     cat.add("center_of_gravity", extreme, **{f"cog_{gn}": (lambda: P.full("close", gn, -sdiv(weighted(), F.sum("close").over(P.last(gn)))),)})
     in_ = c["cci"]["window"]
@@ -208,14 +212,14 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     cat.define(_pgo_atr=("atr", gp), _pgo_mean=(lambda: P.mean("close", gp),))
     cat.add("pretty_good_oscillator", extreme, **{f"pgo_{gp}": (lambda: sdiv(col("close") - F.col("_pgo_mean"), "_pgo_atr"), "_pgo_mean", "_pgo_atr")})
     cat.add("rsi", extreme, **{f"rsi_{c['rsi']['window']}": ("rsi", c["rsi"]["window"])})
-    cat.add("rsx", extreme, **{f"rsx_{c['rsx']['window']}": ("rsx", c["rsx"]["window"], c["rsx"]["smoothing"])})
-    on, og = c["stochastic"]["window"], c["stochastic"]["signal"]
+    cat.add("rsx", extreme, **{f"rsx_{c['rsx']['window']}": ("rsx", c["rsx"]["window"], c["rsx"]["smoothing_window"])})
+    on, og = c["stochastic"]["window"], c["stochastic"]["signal_window"]
     kd = f"stochastic_k_{on}_{og}"
     cat.add("stochastic_oscillator", extreme, **{kd: (lambda: 100 * sdiv(col("close") - P.min("low", on), P.max("high", on) - P.min("low", on)),), f"stochastic_d_{on}_{og}": (lambda: P.mean(kd, og), kd)})
 
     # trend
     trend = "trend_filter"
-    smas, emas = c["moving_averages"]["sma"], c["moving_averages"]["ema"]
+    smas, emas = c["ma"]["sma_windows"], c["ma"]["ema_windows"]
     spread = lambda a, b: (lambda: sdiv(F.col(a) - F.col(b), b), a, b)
     cat.add("moving_averages", trend, **{
         **{f"sma_{m}": (lambda m=m: P.mean("close", m),) for m in smas}, **{f"ema_{m}": ("ema", "close", m) for m in emas},
@@ -237,22 +241,22 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     er = c["efficiency_ratio"]["window"]
     cat.add("efficiency_ratio", trend, **{f"efficiency_ratio_{er}": (lambda: sdiv(F.abs(P.diff("close", er)), P.sum(F.abs("_delta"), er)), "_delta")})
     cat.add("ehlers_super_smoother_filter", trend, **{f"super_smoother_{c['super_smoother']['period']}": ("smoother", c["super_smoother"]["period"])})
-    ep, eg = c["even_better_sinewave"]["period"], c["even_better_sinewave"]["signal"]
+    ep, eg = c["even_better_sinewave"]["period"], c["even_better_sinewave"]["signal_window"]
     cat.add("even_better_sinewave", trend, **{f"even_better_sinewave_{ep}": ("sinewave", ep), f"even_better_sinewave_signal_{ep}_{eg}": ("ema", f"even_better_sinewave_{ep}", eg)})
-    cat.add("fibonacci_weighted_moving_average", trend, **{f"fib_wma_{c['fib_wma']['window']}": (lambda: P.weighted("close", X.fibonacci_weights(c["fib_wma"]["window"])),)})
-    it, ik, ib = (c["ichimoku"][x] for x in ("tenkan", "kijun", "span_b"))
+    cat.add("fibonacci_weighted_moving_average", trend, **{f"fib_wma_{c['fibonacci_wma']['window']}": (lambda: P.weighted("close", X.fibonacci_weights(c["fibonacci_wma"]["window"])),)})
+    it, ik, ib = (c["ichimoku"][x] for x in ("tenkan_window", "kijun_window", "span_b_window"))
     middle = lambda m: (lambda: (P.max("high", m) + P.min("low", m)) / 2,)
     tenkan, kijun, span_a, span_b = f"ichimoku_tenkan_{it}", f"ichimoku_kijun_{ik}", f"ichimoku_span_a_{it}_{ik}", f"ichimoku_span_b_{ib}"
     cat.add("ichimoku", trend, **{tenkan: middle(it), kijun: middle(ik), span_a: (lambda: (F.col(tenkan) + F.col(kijun)) / 2, tenkan, kijun), span_b: middle(ib), f"ichimoku_cloud_delta_{it}_{ik}_{ib}": (lambda: F.col(span_a) - F.col(span_b), span_a, span_b)})
     ir = c["inertia"]["window"]
     cat.add("inertia_indicator", trend, **{f"inertia_{ir}": (lambda: 100 * sdiv(P.trend("close", ir, "_position")[0], P.mean("close", ir)) * F.pow(P.time_correlation("close", ir, "_position"), 2), "_position"), f"inertia_fitted_{ir}": (lambda: P.trend("close", ir, "_position")[2], "_position")})
-    kn, kf, ksl = (c["kama"][x] for x in ("window", "fast", "slow"))
+    kn, kf, ksl = (c["kama"][x] for x in ("er_window", "fast", "slow"))
     cat.add("kaufman_adaptive_moving_average", trend, **{f"kama_{kn}_{kf}_{ksl}": ("kama", kn, kf, ksl)})
     ld = c["linear_decay"]["window"]
     cat.add("linear_decay", trend, **{f"linear_decay_{ld}": (lambda: P.weighted("close", list(range(1, ld + 1))),)})
-    lr = c["linreg"]["window"]
+    lr = c["linear_regression"]["window"]
     cat.add("linear_regression", trend, **{f"linreg_{x}_{lr}": (lambda i=i: P.trend("close", lr, "_position")[i], "_position") for i, x in enumerate(("slope", "intercept", "fitted"))})
-    st, mx = c["psar"]["step"], c["psar"]["most"]
+    st, mx = c["psar"]["step"], c["psar"]["max_step"]
     ps = f"{token(st)}_{token(mx)}"
     cat.add("parabolic_sar", trend, **{f"psar_{ps}": ("parabolic", st, mx, 0), f"psar_trend_{ps}": ("parabolic", st, mx, 1), f"psar_af_{ps}": ("parabolic", st, mx, 2), f"psar_distance_{ps}": (lambda: sdiv(col("close") - F.col(f"psar_{ps}"), f"psar_{ps}"), f"psar_{ps}")})
 
@@ -270,7 +274,7 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
     for key, name, sign in (("negative_volume_index", "nvi", -1), ("positive_volume_index", "pvi", 1)):
         moved = lambda sign=sign: F.when(sign * (col("volume") - P.lag("volume")) > 0, F.coalesce(1 + P.change("close"), F.lit(1.0))).otherwise(1.0)
         cat.define(**{f"_{name}": v(moved)})
-        cat.add(key, confirm, **{name: v(lambda name=name: P.running_product(f"_{name}") * c[name]["start"], f"_{name}")})
+        cat.add(key, confirm, **{name: v(lambda name=name: P.running_product(f"_{name}") * c[name]["start_value"], f"_{name}")})
     pr = c["price_volume_rank"]["window"]
     cat.define(_returns=(lambda: P.gathered("simple_return_1", pr), "simple_return_1"), _volumes=v(lambda: P.gathered("volume", pr)))
     cat.add("price_volume_rank", confirm, **{f"price_volume_rank_{pr}": v(lambda: (2 * X.percent_rank(F.col("_returns"), F.col("simple_return_1"), pr) - 1) * X.percent_rank(F.col("_volumes"), col("volume"), pr), "_returns", "_volumes", "simple_return_1")})
@@ -280,9 +284,10 @@ def catalogue(panel: Panel = Panel(), config: dict | None = None, volume: bool =
 def compute_indicators(df: DataFrame, keys: list[str] | None = None, panel: Panel = Panel(), config: dict | None = None, base: bool | None = None) -> DataFrame:
     """Keys, OHLCV and the columns of the indicators asked for (all, if none are named), in one shuffle by series."""
     cat = catalogue(panel, config, "volume" in df.columns, "vix" in df.columns)
+    general = merged(INDICATOR_DEFAULTS, config)["general"]
     keys = list(cat.columns) if keys is None else keys
     wanted = [x for k in keys for x in cat.columns[k]]
-    if base or base is None and len(keys) == len(cat.columns):
+    if base or base is None and len(keys) == len(cat.columns) and general["include_base_features"]:
         wanted = list(dict.fromkeys([*sorted(BASE), *wanted]))
     levels, seen = {}, set(df.columns)
     kernels: dict[str, tuple] = {}
@@ -313,4 +318,8 @@ def compute_indicators(df: DataFrame, keys: list[str] | None = None, panel: Pane
     for level in sorted({x for x in levels.values() if x > 100}):
         out = out.withColumns({n: cat.after[n][0]() for n, x in levels.items() if x == level})
     first = [x for x in ("open", "high", "low", "close", "buy_volume", "sell_volume", "volume") if x in df.columns]
+    if general["include_all_original_columns"]:
+        first = [x for x in df.columns if x not in panel.keys]
+    if general["print_summary"]:
+        print(f"{len(keys)} indicators, {len(wanted)} columns")
     return out.select(*panel.keys, *first, *[n for n in dict.fromkeys(wanted) if n not in panel.keys and n not in first])

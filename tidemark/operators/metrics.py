@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
+#: Probabilities are ranked within so many steps of equal width, so no window holds all of them.
+SCORE_STEPS = 4096
 
 
 def binary(df: DataFrame, column: str) -> Column:
@@ -39,8 +41,16 @@ def classification_metrics(df: DataFrame, by: list[str] | None = None, target: s
         F.sum(F.when(~hit & at, 1).otherwise(0)).alias("fp"), F.sum(F.when(hit & ~at, 1).otherwise(0)).alias("fn"),
         F.sum(-(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias("loss"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"),
     )
-    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = each.withColumn("rank_sum", F.col("n1") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2))
+    # rows below a probability: those of lower steps (SCORE_STEPS + 1 at most, in one window a group), and those below it in its step
+    each = each.withColumn("step", F.floor(F.col("p") * SCORE_STEPS).cast("int"))
+    before = Window.unboundedPreceding
+    steps = each.groupBy(*by, "step").agg(F.sum("n").alias("m")).withColumn("lower", F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("step").rowsBetween(before, -1)), F.lit(0)))
+    steps = steps.select(*[F.col(b).alias(f"s_{b}") for b in by], F.col("step").alias("s_step"), "lower")
+    same = F.col("step") == F.col("s_step")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"s_{b}"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "step").orderBy("p").rowsBetween(before, -1)), F.lit(0))
+    ranked = each.withColumn("inside", inside).join(steps, same).withColumn("rank_sum", F.col("n1") * (F.col("lower") + F.col("inside") + (F.col("n") + 1) / 2))
     n, n1 = F.sum("n"), F.sum("n1")
     tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
     f1 = F.coalesce(2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from .dataset import infer_context
 from .metrics import classification_metrics, score_columns
 
-KEYS = {"date", "asset", "timeframe", "indicator_name", "signal_family", "horizon", "target", "signal_active", "signal_direction", "signal_strength", "signal_signed_value", "fold_id", "block", "split", "y_true", "y_pred", "y_proba_pred"}
+log = logging.getLogger(__name__)
+
+KEYS = {"date", "asset", "timeframe", "indicator_name", "signal_family", "horizon", "target", "signal_active", "signal_direction", "signal_strength", "signal_signed_value", "fold_id", "block", "split", "y_true", "y_pred", "y_proba_pred", "period_train", "period_test", "period_embargo", "n_train_rows_raw", "n_train_rows_after_purge", "n_train_rows_purged", "n_test_rows"}
 CATEGORIES = ("indicator_name", "signal_family", "horizon")
 LOGIT = {"penalty": "elasticnet", "C": 1.0, "l1_ratio": 0.5, "max_iter": 200, "class_weight": None, "scaling": "classical"}
 FOREST = {"trees": 400, "depth": 8, "leaf": 20, "features": "sqrt", "class_weight": None, "seed": 42}
@@ -56,13 +59,15 @@ class Preprocessor:
             row = train.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(filled) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
             self.scales = {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(self.numeric)}
         index = StringIndexer(inputCols=[f"__c_{c}" for c in self.categories], outputCols=[f"__i_{c}" for c in self.categories], stringOrderType="alphabetAsc", handleInvalid="keep")
-        hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"__h_{c}" for c in self.categories], dropLast=True, handleInvalid="keep")
+        hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"__h_{c}" for c in self.categories], dropLast=True)  # the last is the indexer's unseen value
         gather = VectorAssembler(inputCols=[f"__n_{c}" for c in self.numeric] + hot.getOutputCols(), outputCol="features")
         self.stages = Pipeline(stages=[index, hot, gather]).fit(self._ready(train))
         return self
 
     def _ready(self, df: DataFrame) -> DataFrame:
         missing = [c for c in self.numeric + self.categories if c not in df.columns]
+        if missing:
+            log.warning("columns missing in scoring, taken as null: %s", ", ".join(missing))
         df = df.withColumns({c: F.lit(None).cast("string" if c in self.categories else "double") for c in missing}) if missing else df
         center = {c: (F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - self.scales.get(c, (0.0, 1.0))[0]) / self.scales.get(c, (0.0, 1.0))[1] for c in self.numeric}
         return df.withColumns({f"__n_{c}": x for c, x in center.items()} | {f"__c_{c}": F.coalesce(c, F.lit("missing")) for c in self.categories})
@@ -142,20 +147,53 @@ def fit_forest(train: DataFrame, **settings) -> Model:
     return trained(pre, forest, rows, s)
 
 
+def combinations(options: dict[str, list]) -> list[dict]:
+    """All settings; l1_ratio varies with the elastic net only."""
+    out = []
+    for values in itertools.product(*options.values()):
+        chosen = dict(zip(options, values))
+        if "l1_ratio" in chosen and chosen.get("penalty", "elasticnet") != "elasticnet":
+            chosen["l1_ratio"] = None
+        if chosen not in out:
+            out.append(chosen)
+    return out
+
+
 def grid(fit, train: DataFrame, validation: DataFrame, options: dict[str, list], fixed: dict | None = None) -> DataFrame:
-    """One row a combination: settings, fit_ok, error and validation metrics, best log loss first. Combinations are few, rows stay in Spark."""
+    """A row a combination: its settings (a column each), fit_ok, error, rows and target rate of training, validation metrics; best log loss first.
+
+    Combinations are few, rows stay in Spark; a setting that can't be fitted is a row of the report.
+    """
     spark, rows = train.sparkSession, []
-    names = sorted(options)
-    for values in itertools.product(*(options[n] for n in names)):
-        chosen = dict(zip(names, values))
+    n, rate = train.where("target IS NOT NULL").agg(F.count(F.lit(1)), F.avg("target")).first()
+    names = list(options)
+    kinds = {k: "double" if all(v is None or isinstance(v, (int, float)) for v in options[k]) else "string" for k in names}
+    told = ("n_obs", "target_rate", "accuracy", "f1", "roc_auc", "log_loss", "brier_score")
+    for chosen in combinations(options):
+        own = [None if (v := chosen[k]) is None else float(v) if kinds[k] == "double" else str(v) for k in names]
         try:
-            got = classification_metrics(fit(train, **(fixed or {}), **chosen).score(validation)).first()
-            rows.append((str(chosen), True, None, got.log_loss, got.brier_score, got.roc_auc, got.accuracy))
-        except Exception as e:  # a setting that can't be fitted is a row of the report
-            rows.append((str(chosen), False, str(e)[:200], None, None, None, None))
-    out = spark.createDataFrame(rows, "settings string, fit_ok boolean, error string, log_loss double, brier_score double, roc_auc double, accuracy double")
-    return out.orderBy(F.desc("fit_ok"), F.asc_nulls_last("log_loss"), F.asc_nulls_last("brier_score"), F.desc_nulls_last("roc_auc"))
+            got = classification_metrics(fit(train, **(fixed or {}), **{k: v for k, v in chosen.items() if v is not None}).score(validation)).first()
+            rows.append((*own, True, None, n, rate, *[got[c] for c in told]))
+        except Exception as e:
+            rows.append((*own, False, str(e)[:200], n, rate, *[None] * len(told)))
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in names], "fit_ok boolean, error string, n_train_obs long, target_rate_train double, n_obs long", *[f"{c} double" for c in told[1:]]])
+    return spark.createDataFrame(rows, schema).orderBy(F.desc("fit_ok"), F.asc_nulls_last("log_loss"), F.asc_nulls_last("brier_score"), F.desc_nulls_last("roc_auc"))
+
+
+def sparsity(model: Model) -> dict:
+    """How many of a logit's coefficients are not zero."""
+    values = [w for _, w in model.weights()]
+    kept = sum(w != 0 for w in values)
+    return {"n_features": len(values), "n_nonzero": kept, "share_zero": 1 - kept / max(1, len(values))}
 
 
 LOGIT_GRID = {"penalty": ["l2", "l1", "elasticnet"], "C": [0.01, 0.1, 1.0, 10.0], "l1_ratio": [0.2, 0.5, 0.8]}
 FOREST_GRID = {"trees": [300, 500], "depth": [6, 8, 12], "leaf": [10, 20, 50], "features": ["sqrt"], "class_weight": [None, "balanced"]}
+
+
+def logit_grid(train: DataFrame, validation: DataFrame, options: dict | None = None, **fixed) -> DataFrame:
+    return grid(fit_logit, train, validation, options or LOGIT_GRID, fixed)
+
+
+def forest_grid(train: DataFrame, validation: DataFrame, options: dict | None = None, **fixed) -> DataFrame:
+    return grid(fit_forest, train, validation, options or FOREST_GRID, fixed)

@@ -7,7 +7,7 @@ two shuffles, whatever the number of columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import merged
@@ -18,7 +18,10 @@ from .indicators import catalogue
 BOUNDS = {"rsi": (0, 100), "rsx": (0, 100), "stochastic_k": (0, 100), "stochastic_d": (0, 100), "mfi": (0, 100), "emotion_index": (0, 100), "willingness_index": (0, 100), "cci": (-200, 200), "pgo": (-3, 3), "cog": (-10, 10)}
 # fixed values: starts of the names of an indicator's columns that carry its signal, and a word that bars one; other indicators use all columns
 PRIMARY = {
+    "acceleration_bands": (("accbands_percent_b_",), None),
     "bollinger_bands": (("bb_percent_b_",), None),
+    "donchian_channel": (("donchian_width_",), None),
+    "keltner_channel": (("keltner_width_",), None),
     "chande_forecast_oscillator": (("cfo_",), "fitted"),
     "ease_of_movement": (("eom_",), "sma"),
     "elders_force_index": (("efi_ema_",), None),
@@ -33,7 +36,9 @@ PRIMARY = {
     "moving_averages": (("sma_spread_", "ema_spread_"), None),
     "parabolic_sar": (("psar_distance_",), None),
 }
-SIGNAL_DEFAULTS = {"threshold": 2.0, "lag": 1, "ddof": 1, "min_std": 1e-12, "small_std": "nan", "clip": True, "bounds": BOUNDS}
+SIGNAL_DEFAULTS = {"threshold": 2.0, "lag": 1, "ddof": 1, "min_std": 1e-12, "small_std": "nan", "clip": True, "bounds": BOUNDS, "unimplemented_bands": "skip", "context_placeholders": False}
+#: Families without a rule: their rows, if asked for, have no direction, activity, strength or value.
+PLACEHOLDERS = ("band_channel_level", "context_filter")
 SIGNED = ("centered_oscillator", "extreme_zone_oscillator", "trend_filter", "volume_confirmation", "bollinger")
 LONG = ("signal_direction", "signal_active", "signal_strength", "signal_signed_value", "cs_mean_loo", "cs_std_loo", "cs_zscore_loo")
 
@@ -59,23 +64,40 @@ def bounds_of(column: str, bounds: dict) -> tuple[float, float] | None:
     return found
 
 
-def signal_columns(panel: Panel, columns: list[str], config: dict | None = None) -> dict[str, str]:
-    """Which columns carry a signal, and their rule: families, with the Bollinger bands on their own."""
+def signal_columns(panel: Panel, columns: list[str], config: dict | None = None, primary: bool = True, bands: bool = False, context: bool = False) -> dict[str, str]:
+    """Which columns carry a signal, and their rule: families, with the Bollinger bands on their own.
+
+    primary: only the columns that carry an indicator's signal. Other bands and context filters have no rule; those that
+    are asked for get rows without a signal.
+    """
     cat, out = catalogue(panel, config), {}
     for key, names in cat.columns.items():
         family = cat.families[key]
-        if family == "context_filter" or family == "band_channel_level" and key != "bollinger_bands":
+        if family == "context_filter" and not context or family == "band_channel_level" and key != "bollinger_bands" and not bands:
             continue
-        starts, barred = PRIMARY.get(key, (("",), None))
+        starts, barred = PRIMARY.get(key, (("",), None)) if primary else (("",), None)
         rule = "bollinger" if key == "bollinger_bands" else family
         out |= {n: rule for n in names if n in columns and n.startswith(starts) and not (barred and barred in n)}
     return out
 
 
+def families_of(panel: Panel, columns: list[str], primary: bool = True, context: bool = True, bands: bool = False) -> dict[str, str]:
+    """Feature to family of the catalogue's columns that are there."""
+    chosen = signal_columns(panel, columns, None, primary, bands, context)
+    return {n: "band_channel_level" if r == "bollinger" else r for n, r in chosen.items()}
+
+
+def family_counts(families: dict[str, str]) -> dict[str, int]:
+    """How many features each family has."""
+    return {f: list(families.values()).count(f) for f in sorted(set(families.values()))}
+
+
 def add_signals(features: DataFrame, panel: Panel = Panel(), config: dict | None = None, columns: dict[str, str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """Long signals: keys, carried columns, indicator_name, signal_family, value and the columns of LONG."""
     c = merged(SIGNAL_DEFAULTS, config)
-    chosen = signal_columns(panel, features.columns) if columns is None else columns
+    if columns is None:
+        columns = signal_columns(panel, features.columns, bands=c["unimplemented_bands"] == "nan", context=c["context_placeholders"])
+    chosen = columns
     if not chosen:
         raise ValueError("no signal column")
     carry = carry or []
@@ -94,6 +116,8 @@ def add_signals(features: DataFrame, panel: Panel = Panel(), config: dict | None
             middle = (low + high) / 2
             clipped = F.when(x.isNotNull(), F.least(F.greatest(x, low), high)) if c["clip"] else x
             base = middle - clipped
+        elif rule in PLACEHOLDERS:
+            base = F.lit(None)
         elif rule == "bollinger":
             low, high = F.col(name.replace("percent_b", "lower")), F.col(name.replace("percent_b", "upper"))
             x = F.col("close")
@@ -103,7 +127,7 @@ def add_signals(features: DataFrame, panel: Panel = Panel(), config: dict | None
 
     entries = [e for e in (entry(n, r) for n, r in chosen.items()) if e is not None]
     long = moved.select(*panel.keys, *carry, F.inline(F.array(*entries)))
-    over = Window.partitionBy(*panel.section, "indicator_name")
+    over = panel.across("indicator_name")
     mean, std, z = leave_one_out("__base", over, c["ddof"], c["min_std"], c["small_std"])
     long = long.withColumns({"cs_mean_loo": mean, "cs_std_loo": std})
     long = long.withColumn("cs_zscore_loo", F.when(F.col("__rule") == "bollinger", sdiv("__base", "cs_std_loo")).otherwise(sdiv(F.col("__base") - F.col("cs_mean_loo"), "cs_std_loo")))
@@ -113,20 +137,20 @@ def add_signals(features: DataFrame, panel: Panel = Panel(), config: dict | None
     zone = F.when(x.isNotNull(), F.when(base > 0, 1.0).otherwise(-1.0))
     direction = F.when(rule == "centered_oscillator", F.signum(x)).when(rule == "extreme_zone_oscillator", zone).when(rule == "trend_filter", F.signum(z)).when(rule == "volume_confirmation", F.signum(base)).otherwise(outside)
     active = F.when(rule == "extreme_zone_oscillator", flag(x.between(F.col("__low"), F.col("__high")))).when(rule == "bollinger", flag((outside != 0) & (F.abs(z) > t))).otherwise(flag(F.abs(z) > t))
+    active = F.when(~rule.isin(*PLACEHOLDERS), active)
     strength = F.when(rule == "extreme_zone_oscillator", F.abs(base)).otherwise(F.abs(z))
     signed = F.when(rule == "bollinger", outside * F.abs(z)).otherwise(z)
     out = long.withColumns({"signal_direction": direction, "signal_active": active, "signal_strength": strength, "signal_signed_value": signed})
     return out.select(*panel.keys, *carry, "indicator_name", "signal_family", "value", *LONG)
 
 
-def wide_signals(long: DataFrame, panel: Panel = Panel()) -> DataFrame:
-    """One row a key; columns <indicator>__signal_<part>."""
+def wide_signals(long: DataFrame, panel: Panel = Panel(), carry: list[str] | None = None) -> DataFrame:
+    """One row a key with the carried columns (the same in all rows of a key); columns <indicator>__signal_<part>."""
     names = [r[0] for r in long.select("indicator_name").distinct().orderBy("indicator_name").collect()]  # as many as columns
     parts = ("signal_direction", "signal_active", "signal_strength", "signal_signed_value")
-    return long.groupBy(*panel.keys).pivot("indicator_name", names).agg(*[F.first(p, ignorenulls=True).alias(f"_{p}") for p in parts])
+    return long.groupBy(*panel.keys, *(carry or [])).pivot("indicator_name", names).agg(*[F.first(p, ignorenulls=True).alias(f"_{p}") for p in parts])
 
 
 def default_families() -> dict[str, str]:
+    """Every column of the catalogue to its family."""
     return {c: f for k, f in catalogue().families.items() for c in catalogue().columns[k]}
-
-

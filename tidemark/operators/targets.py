@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import Panel, sdiv
@@ -54,12 +52,17 @@ def vol_scaled_returns(df: DataFrame, horizons=HORIZONS, panel: Panel = Panel(),
     return out if keep_vol else out.drop(vol)
 
 
+def spread(x: str, over, ddof: int = 1) -> Column:
+    """Deviation over a window, with n - ddof in the divisor; null with no more than ddof values."""
+    n = F.count(x).over(over)
+    return F.stddev_samp(x).over(over) if ddof == 1 else F.when(n > ddof, F.sqrt(F.var_pop(x).over(over) * n / F.nullif(n - ddof, F.lit(0))))
+
+
 def cross_scaled_returns(df: DataFrame, horizons=HORIZONS, panel: Panel = Panel(), ddof: int = 1, min_assets: int = 3, min_std: float = 1e-12, policy: str = "nan") -> DataFrame:
     """Forward returns over their deviation across assets at the same date."""
     labels, over = normalize_horizons(horizons), panel.across()
     out = future_returns(df, horizons, panel, log=False)
-    spread = {0: F.stddev_pop, 1: F.stddev_samp}[ddof]
-    out = out.withColumns({f"future_return_cs_std_{x}": small(F.when(F.count(f"future_return_{x}").over(over) >= min_assets, spread(f"future_return_{x}").over(over)), min_std, policy) for x in labels})
+    out = out.withColumns({f"future_return_cs_std_{x}": small(F.when(F.count(f"future_return_{x}").over(over) >= min_assets, spread(f"future_return_{x}", over, ddof)), min_std, policy) for x in labels})
     return out.withColumns({f"future_return_cs_scaled_{x}": sdiv(f"future_return_{x}", f"future_return_cs_std_{x}") for x in labels})
 
 
@@ -99,5 +102,60 @@ def alignment_report(given: DataFrame, again: DataFrame, keys: list[str], column
     return rows.groupBy("column").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"), F.bool_and(close).alias("aligned"))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def cross_section_report(df: DataFrame, horizons=HORIZONS, panel: Panel = Panel(), ddof: int = 1, min_assets: int = 3, min_std: float = 1e-12) -> DataFrame:
+    """By horizon: how many dates (groups) there are, and in how many the deviation is missing, under-filled or too small. df has the forward returns."""
+    labels = list(normalize_horizons(horizons))
+    n = {x: F.count(f"future_return_{x}") for x in labels}
+    std = {x: F.when(n[x] > ddof, F.sqrt(F.var_pop(f"future_return_{x}") * n[x] / F.nullif(n[x] - ddof, F.lit(0)))) for x in labels}
+    groups = df.groupBy(*panel.section).agg(*[F.struct(n[x].alias("n"), std[x].alias("s")).alias(f"g_{x}") for x in labels])
+    rows = groups.select(F.inline(F.array(*[F.struct(F.lit(x).alias("horizon"), F.col(f"g_{x}.n").alias("n"), F.col(f"g_{x}.s").alias("s")) for x in labels])))
+    return rows.groupBy("horizon").agg(F.count(F.lit(1)).alias("cs_group_count"), F.count_if(F.col("s").isNull()).alias("cs_group_nan_std_count"), F.count_if(F.col("n") < min_assets).alias("cs_group_insufficient_assets_count"), F.count_if(F.col("s") < min_std).alias("cs_group_small_std_count"))
+
+
+def validate_alignment(wide: DataFrame, horizons=HORIZONS, panel: Panel = Panel(), features: list[str] | None = None, scaling: str = "cross_sectional_future_return", min_assets: int = 3, min_std: float = 1e-12, policy: str = "nan", window: int = 20, kind: str = "simple", atol: float = 1e-10, rtol: float = 1e-8) -> DataFrame:
+    """A row a horizon and feature of a wide table: its returns against returns computed again from prices, and counts of its targets.
+
+    What is computed again stands beside the given columns on the same rows, so nothing is joined; horizons whose return
+    column isn't there are left out, and features without a target column of the horizon too.
+    """
+    labels = {x: k for x, k in normalize_horizons(horizons).items() if RETURN_COLUMNS[scaling].format(x) in wide.columns}
+    found = [(c, *c.rsplit("__target_", 1)) for c in wide.columns if "__target_" in c]
+    wanted = [(c, f, h) for c, f, h in found if h in labels and (features is None or f in features)]
+    given = wide.select(*panel.keys, "close", *[F.col(c).alias(f"__given_{c}") for c in wide.columns if c not in (*panel.keys, "close")])
+    if scaling == "past_vol":
+        again = vol_scaled_returns(given, labels, panel, window, kind, min_vol=min_std, policy=policy)
+    else:
+        again = cross_scaled_returns(given, labels, panel, min_assets=min_assets, min_std=min_std, policy=policy)
+    again = again.withColumn("__same_key", F.count(F.lit(1)).over(Window.partitionBy(*panel.keys)))
+
+    def agreed(a: Column, b: Column) -> list[Column]:
+        close = (a.isNull() & b.isNull()) | F.coalesce(F.abs(a - b) <= atol + rtol * F.abs(b), F.lit(False))
+        return [F.coalesce(F.bool_and(close), F.lit(True)), F.max(F.abs(a - b))]
+
+    totals = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("__same_key") > 1).alias("repeated")]
+    for h in labels:
+        column = RETURN_COLUMNS[scaling].format(h)
+        totals += [x.alias(f"{n}_{h}") for x, n in zip(agreed(F.col(f"__given_{column}"), F.col(column)), ("ok", "diff"))]
+        totals.append(F.count_if(F.col(f"__given_{column}").isNull()).alias(f"nan_{h}"))
+        std = f"future_return_cs_std_{h}"
+        if scaling == "cross_sectional_future_return" and std in wide.columns:
+            totals += [x.alias(f"{n}_{h}") for x, n in zip(agreed(F.col(f"__given_{std}"), F.col(std)), ("std_ok", "std_diff"))]
+        else:
+            totals += [F.lit(None).cast("boolean").alias(f"std_ok_{h}"), F.lit(None).cast("double").alias(f"std_diff_{h}")]
+    for i, (c, f, h) in enumerate(wanted):
+        target, known = F.col(f"__given_{c}"), F.col(f"__given_{RETURN_COLUMNS[scaling].format(h)}").isNotNull()
+        active = F.col(f"__given_{f}__signal_active") if f"{f}__signal_active" in wide.columns else F.lit(None).cast("double")
+        totals.append(F.struct(F.count_if(target.isNull()).alias("target_nan_count"), F.count_if(target == 1).alias("target_positive_count"), F.count_if(target == 0).alias("target_zero_count"), F.avg(F.when(known, active)).alias("active_rate_on_available_returns")).alias(f"t_{i}"))
+    one = again.agg(*totals)
+    rows = [
+        F.struct(
+            F.lit(h).alias("horizon"), F.lit(labels[h]).alias("horizon_steps"), F.lit(f).alias("feature"), F.lit(RETURN_COLUMNS[scaling].format(h)).alias("future_return_col"), F.lit(c).alias("target_col"), F.col("n").alias("num_rows"), F.col("repeated").alias("num_duplicate_asset_datetime"),
+            F.col(f"nan_{h}").alias("future_return_nan_count"), *[F.col(f"t_{i}.{x}").alias(x) for x in ("target_nan_count", "target_positive_count", "target_zero_count", "active_rate_on_available_returns")], F.lit(scaling).alias("target_scaling"),
+            F.col(f"std_ok_{h}").alias("future_return_cs_std_alignment_ok"), F.col(f"std_diff_{h}").alias("future_return_cs_std_alignment_max_abs_diff"), F.col(f"ok_{h}").alias("future_return_alignment_ok"), F.col(f"diff_{h}").alias("future_return_alignment_max_abs_diff"),
+        )
+        for i, (c, f, h) in enumerate(wanted)
+    ]
+    out = one.select(F.inline(F.array(*rows)))
+    if scaling != "cross_sectional_future_return":
+        return out
+    return out.join(F.broadcast(cross_section_report(future_returns(wide.select(*panel.keys, "close"), labels, panel, log=False), labels, panel, 1, min_assets, min_std)), "horizon")

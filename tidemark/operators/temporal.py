@@ -39,6 +39,29 @@ def purge(df: DataFrame, horizons=HORIZONS, date: str = "date", dates: DataFrame
     return out.where(F.col("__steps").isNotNull() & (F.col("pos") + F.col("__steps") <= F.col("__last"))).drop("__steps", "pos", "__last")
 
 
+def prepared(df: DataFrame, date: str = "date", order: tuple[str, ...] = ("asset", "indicator_name", "horizon")) -> DataFrame:
+    """df with date as a moment without time zone, sorted by date and the other keys that are there; a date that is missing or can't be read is an error when rows are read."""
+    day = F.col(date).try_cast("timestamp_ntz")
+    df = df.withColumn(date, F.coalesce(day, F.raise_error(F.lit(f"{date} is missing or no date")).cast("timestamp_ntz")))
+    return df.orderBy(date, *[c for c in order if c in df.columns])
+
+
+def purged_blocks(df: DataFrame, blocks: list[tuple], horizons, date: str) -> DataFrame:
+    """df, once for each block (start, end, purged or not, literal columns) that a row is in; purged ones without rows whose target ends later.
+
+    One scan: rows are exploded into their blocks, and each block's calendar is numbered in a window of its own.
+    """
+    names = list(blocks[0][3])
+    kind = "timestamp_ntz"
+    each = [F.when(F.col(date).between(F.lit(str(a)).cast(kind), F.lit(str(b)).cast(kind)), F.struct(F.lit(i).alias("__block"), F.lit(p).alias("__purge"), *[F.lit(v).alias(k) for k, v in own.items()])) for i, (a, b, p, own) in enumerate(blocks)]
+    rows = df.select("*", steps_of(horizons).alias("__steps"), F.explode(F.array_compact(F.array(*each))).alias("__in")).select(*df.columns, "__steps", "__in.*")
+    days = rows.where("__purge").select("__block", F.col(date).alias("__day")).distinct()
+    days = days.withColumn("__pos", F.row_number().over(Window.partitionBy("__block").orderBy("__day")) - 1)
+    days = days.withColumn("__last", F.max("__pos").over(Window.partitionBy("__block"))).withColumnRenamed("__block", "__own")
+    met = rows.join(days, (F.col("__block") == F.col("__own")) & (F.col(date) == F.col("__day")), "left")
+    return met.where(~F.col("__purge") | (F.col("__pos") + F.col("__steps") <= F.col("__last"))).select(*df.columns, *names)
+
+
 def fixed_split(df: DataFrame, bounds: dict = FIXED, horizons=HORIZONS, date: str = "date") -> DataFrame:
     """df with the column split: train and val purged, test whole."""
     (a, b), (c, d), (e, f) = (bounds[k] for k in ("train", "val", "test"))
@@ -47,18 +70,13 @@ def fixed_split(df: DataFrame, bounds: dict = FIXED, horizons=HORIZONS, date: st
     unknown = df.where(steps_of(horizons).isNull())
     if not unknown.isEmpty():
         raise ValueError("unknown horizon")
-    parts = [purge(block(df, a, b, date), horizons, date).withColumn("split", F.lit("train")), purge(block(df, c, d, date), horizons, date).withColumn("split", F.lit("val")), block(df, e, f, date).withColumn("split", F.lit("test"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return purged_blocks(df, [(a, b, True, {"split": "train"}), (c, d, True, {"split": "val"}), (e, f, False, {"split": "test"})], horizons, date)
 
 
 def expanding_folds(df: DataFrame, folds=EXPANDING, start: str = "2019-01-01", horizons=HORIZONS, date: str = "date") -> DataFrame:
     """df with fold_id and block (train or val); training always begins at start and ends before the validation block. Both are purged."""
-    out = None
-    for i, (train_end, val_start, val_end) in enumerate(folds):
-        for name, a, b in (("train", start, train_end), ("val", val_start, val_end)):
-            part = purge(block(df, a, b, date), horizons, date).withColumns({"fold_id": F.lit(i), "block": F.lit(name)})
-            out = part if out is None else out.unionByName(part)
-    return out
+    blocks = [(a, b, True, {"fold_id": i, "block": name}) for i, (train_end, val_start, val_end) in enumerate(folds) for name, a, b in (("train", start, train_end), ("val", val_start, val_end))]
+    return purged_blocks(df, blocks, horizons, date)
 
 
 @dataclass(frozen=True)
@@ -111,8 +129,10 @@ class Rolling:
 
 
 def split_summary(df: DataFrame, by: str = "split", date: str = "date") -> DataFrame:
-    """Rows, dates, distinct keys and rates of each part; positive is a target over 0."""
-    return df.groupBy(by).agg(
+    """Rows, dates, distinct keys, rows of each horizon and rates of each part; positive is a target over 0."""
+    each = df.groupBy(by, "horizon").agg(F.count(F.lit(1)).alias("n")).where("horizon IS NOT NULL").groupBy(F.col(by).alias("__by")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", "n")))).alias("horizon_counts"))
+    whole = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.countDistinct(date).alias("n_dates"), F.countDistinct("asset").alias("n_assets"), F.countDistinct("indicator_name").alias("n_indicators"),
         F.avg("target").alias("target_rate"), F.avg((F.col("target") > 0).cast("double")).alias("positive_rate"),
     )
+    return whole.join(each, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")

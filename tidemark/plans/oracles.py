@@ -182,7 +182,7 @@ INDICATORS: dict[str, list[dict[str, str]]] = {
     "accumulation_distribution_line": [{"m": MFV}, {"ad_line": f"CASE WHEN m IS NOT NULL THEN sum(m) {ALL} END"}],
     "chaikin_money_flow": [{"m": MFV}, {"cmf_20": div(rsum("m", 20), rsum("volume", 20))}],
     "elder_ray_index": [{"e": ema("close", 13)}, {"elder_ray_bull_13": "high - e", "elder_ray_bear_13": "low - e"}],
-    "on_balance_volume": [{"s": f"coalesce(sign(close - {lag('close')}), 0) * volume"}, {"obv": f"sum(s) {ALL}"}],
+    "on_balance_volume": [{"s": f"coalesce(sign(close - {lag('close')}), 0) * volume"}, {"obv": f"CASE WHEN s IS NOT NULL THEN sum(s) {ALL} END"}],
     "price_volume_trend": [{"s": f"coalesce(volume * {div('close - ' + lag('close'), lag('close'))}, 0)"}, {"pvt": f"sum(s) {ALL}"}],
     "negative_volume_index": [{"g": f"CASE WHEN volume < {lag('volume')} THEN coalesce({div('close', lag('close'))}, 1.0) ELSE 1.0 END"}, {"nvi": f"1000 * product(g) {ALL}"}],
     "positive_volume_index": [{"g": f"CASE WHEN volume > {lag('volume')} THEN coalesce({div('close', lag('close'))}, 1.0) ELSE 1.0 END"}, {"pvi": f"1000 * product(g) {ALL}"}],
@@ -255,9 +255,10 @@ o AS (SELECT *, {div('c', f"sqrt({sma('c2', 10)})")} AS even_better_sinewave_10
 
 def features_sql(keys: list[str]) -> str:
     """Unrounded columns of several indicators with the bars, as a query."""
-    out = f"(WITH {event_bars(4)} SELECT * FROM bars) bars"
+    out, seen = f"(WITH {event_bars(4)} SELECT * FROM bars) bars", {"vix"}
     for i, key in enumerate(keys):
-        names = [n for n in catalogue().columns[key] if n != "vix"]
+        names = [n for n in catalogue().columns[key] if n not in seen]
+        seen.update(names)
         out += f" JOIN (SELECT asset, date, {', '.join(names)} FROM ({indicator_sql(key, digits=None)})) f{i} USING (asset, date)"
     return f"SELECT * FROM {out}"
 
@@ -289,12 +290,12 @@ SIGNALS = {
 LIMITS = {"mfi_14": (0, 100), "stochastic_k_14_3": (0, 100), "cci_20": (-200, 200), "rsi_14": (0, 100)}
 
 
-def signals_sql(rules: list[str], source: str = "feats", extra: str = "") -> str:
+def signals_sql(rules: list[str], source: str = "feats", extra: str = "", signals: dict | None = None, limits: dict | None = None) -> str:
     """CTEs ending in sig: long signals of the columns of SIGNALS."""
-    rows = []
+    rows, signals, limits = [], signals or SIGNALS, limits or LIMITS
     for rule in rules:
-        for c in SIGNALS[rule]:
-            lo, hi = LIMITS.get(c, ("NULL", "NULL"))
+        for c in signals[rule]:
+            lo, hi = limits.get(c, ("NULL", "NULL"))
             x, base = c, c
             if rule in ("trend_filter", "volume_confirmation"):
                 base = f"{c} - {lag(c)}"
@@ -315,7 +316,19 @@ sig AS (SELECT *, CAST(CASE rule WHEN 'centered_oscillator' THEN sign(value) WHE
   CASE WHEN rule = 'extreme_zone_oscillator' THEN abs(b) ELSE abs(z) END AS signal_strength, CASE WHEN rule = 'bollinger' THEN beyond * abs(z) ELSE z END AS signal_signed_value FROM l4)"""
 
 
-def target_rows(source: str = "sig") -> str:
-    """CTE tgt: signals times horizons with the binary target (tau 0)."""
+def all_primary() -> tuple[dict[str, dict[str, str]], dict[str, tuple]]:
+    """Every primary column of the catalogue by rule, as SIGNALS has some, and the natural limits by name."""
+    from ..operators.signals import BOUNDS, signal_columns
+
+    cat = catalogue()
+    of = {n: k for k, names in cat.columns.items() for n in names}
+    rules: dict[str, dict[str, str]] = {}
+    for column, rule in signal_columns(cat.panel, list(of)).items():
+        rules.setdefault(rule, {})[column] = of[column]
+    return rules, {n: b for n in of for k, b in BOUNDS.items() if n.startswith(k)}
+
+
+def target_rows(source: str = "sig", tau: float = 0) -> str:
+    """CTE tgt: signals times horizons with the binary target."""
     parts = [f"SELECT *, '{x}' AS horizon, future_return_cs_scaled_{x} AS fr FROM {source}" for x in RETURNS]
-    return f"tgt AS (SELECT *, CASE WHEN signal_active = 1 AND signal_direction IS NOT NULL AND fr IS NOT NULL THEN CASE WHEN signal_direction * fr > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS target FROM ({' UNION ALL '.join(parts)}))"
+    return f"tgt AS (SELECT *, CASE WHEN signal_active = 1 AND signal_direction IS NOT NULL AND fr IS NOT NULL THEN CASE WHEN signal_direction * fr > {tau} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS target FROM ({' UNION ALL '.join(parts)}))"

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import Panel
 from ..operators import metrics as M
-from ..operators.backtest import forest_backtest, logit_backtest, rolling_backtest, top_k
+from ..operators.backtest import by_horizon, forest_backtest, horizon_metrics, logit_backtest, rolling_backtest, top_k
 from ..operators.dataset import dataset_summary, duplicate_keys, regression_dataset
 from ..operators.indicators import catalogue, compute_indicators
-from ..operators.ml import cross_sectional_scale, fit_forest, fit_logit, grid
-from ..operators.signals import add_signals, leave_one_out, wide_signals
-from ..operators.targets import alignment_report, cross_scaled_returns, future_returns, target_report, targets_long, vol_scaled_returns
-from ..operators.temporal import Rolling, block, calendar, expanding_folds, fixed_split, purge, split_summary
+from ..operators.ml import cross_sectional_scale, fit_forest, fit_logit, grid, sparsity
+from ..operators.reshape import add_target, add_targets, dataset_order, signals_to_long, targets_to_long, wide_dataset
+from ..operators.signals import add_signals, families_of, family_counts, leave_one_out, wide_signals
+from ..operators.targets import alignment_report, cross_scaled_returns, cross_section_report, future_returns, target_report, targets_long, validate_alignment, vol_scaled_returns
+from ..operators.temporal import Rolling, block, calendar, expanding_folds, fixed_split, prepared, purge, split_summary
 from ..sources.ohlcv import null_counts, panel_of
 from ..sources.panels import event_panel, order_panel
-from ..streaming.bars import drain, event_ticks, stream_bars
+from ..streaming.bars import drain, event_ticks, place_for, stream_bars
 from . import oracles as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,10 +98,38 @@ def base_features(spark, sf_dir):
     return rounded(compute_indicators(event_panel(spark, sf_dir), [], base=True).select("asset", "date", *BASE_NAMES))
 
 
-@query("all_indicators")
+_ALL = [n for names in catalogue().columns.values() for n in names]
+_BIG = [n for k in O.LARGE for n in catalogue().columns[k]]
+_DISTINCT = list(dict.fromkeys([*BASE_NAMES, *_ALL]))
+
+
+@query("all_indicators", f"WITH feats AS ({O.features_sql(list(catalogue().columns))}), b AS (SELECT asset, date, {O.div('close', O.lag('close'))} - 1 AS simple_return_1, {O.TR} AS true_range, CASE WHEN close > 0 AND {O.lag('close')} > 0 THEN ln(CASE WHEN close > 0 THEN close END) - ln(CASE WHEN {O.lag('close')} > 0 THEN {O.lag('close')} END) END AS log_return_1 FROM feats) SELECT asset, date, {O.rounded([n for n in _DISTINCT if n not in _BIG])}, {O.rounded(_BIG, 0)} FROM feats JOIN b USING (asset, date)")
 def all_indicators(spark, sf_dir):
-    """The whole catalogue in one pass; its columns are checked one by one in the queries ind_*."""
-    return rounded(compute_indicators(event_panel(spark, sf_dir)))
+    """The whole catalogue in one pass."""
+    out = compute_indicators(event_panel(spark, sf_dir))
+    small = rounded(out.select("asset", "date", *[n for n in _DISTINCT if n not in _BIG], *[F.col(n).cast("float").alias(n) for n in _BIG]))
+    return small.select(*[F.col(n).cast("double").alias(n) if n in _BIG else F.col(n) for n in small.columns])
+
+
+_LARGE_PANEL = ["bollinger_bands", "donchian_channel", "acceleration_bands", "awesome_oscillator", "bias_indicator", "chande_momentum_oscillator", "coppock_curve", "detrended_price_oscillator", "ease_of_movement", "know_sure_thing", "qstick_indicator", "relative_vigor_index", "midprice_indicator", "quantile_indicator", "commodity_channel_index", "stochastic_oscillator", "alma", "aroon_indicator", "efficiency_ratio", "ichimoku", "chaikin_money_flow", "on_balance_volume"]
+_GAPPED = O.order_bars().replace("bars AS (", "whole AS (", 1) + ", bars AS (SELECT asset, date, open, high, low, CASE WHEN day(date) % 17 <> 3 THEN close END AS close, CASE WHEN day(date) % 13 <> 5 THEN volume END AS volume FROM whole WHERE day(date) <> 29)"
+_LARGE_NAMES = [n for k in _LARGE_PANEL for n in catalogue().columns[k]]
+
+
+def _gapped_sql() -> str:
+    out = "bars"
+    for i, key in enumerate(_LARGE_PANEL):
+        ctes, last = O.staged("", O.INDICATORS[key])
+        out += f" JOIN (WITH {ctes.lstrip(',').strip().removeprefix(',')} SELECT asset, date, {', '.join(catalogue().columns[key])} FROM {last}) f{i} USING (asset, date)"
+    return f"WITH {_GAPPED} SELECT asset, date, {O.rounded(_LARGE_NAMES, 0)} FROM {out}"
+
+
+@query("large_panel_indicators", _gapped_sql())
+def large_panel(spark, sf_dir):
+    """Some 20,000 daily bars with missing prices, volumes and days; seven figures."""
+    x, day = order_panel(spark, sf_dir), F.dayofmonth("date")
+    x = x.where(day != 29).select("asset", "date", "open", "high", "low", F.when(day % 17 != 3, F.col("close")).alias("close"), F.when(day % 13 != 5, F.col("volume")).alias("volume"))
+    return rounded(compute_indicators(x, _LARGE_PANEL, base=False).select("asset", "date", *_LARGE_NAMES), 0)
 
 
 _BINS = " + ".join(f"(CASE WHEN len(list_filter(k, lambda x: x = {b})) > 0 THEN -(len(list_filter(k, lambda x: x = {b})) / 20.0) * ln(len(list_filter(k, lambda x: x = {b})) / 20.0) ELSE 0 END)" for b in range(10))
@@ -142,19 +171,64 @@ for _r in O.SIGNALS:
     _signals(_r)
 
 
-@query("signals_wide")
-def signals_wide(spark, sf_dir):
+SIDES = ["signal_direction", "signal_active", "signal_strength", "signal_signed_value"]
+_CENTRED = f"WITH feats AS ({O.features_sql(sorted(set(O.SIGNALS['centered_oscillator'].values())))}), {O.returns_sql('feats')}, {O.signals_sql(['centered_oscillator'], 'cs', ''.join(f', future_return_cs_scaled_{x}' for x in HORIZONS))}"
+_SIDES = ", ".join(f"round({p}, 5) + 0.0 AS {p}" for p in SIDES)
+
+
+def wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, forward returns and the signals of the centred oscillators, one row a bar."""
     rules = ["centered_oscillator"]
-    return rounded(wide_signals(add_signals(features(spark, sf_dir, rules), columns=chosen(rules))), 5)
+    x = cross_scaled_returns(features(spark, sf_dir, rules), HORIZONS)
+    carry = ["close", *[c for c in x.columns if c.startswith("future_return")]]
+    return wide_signals(add_signals(x, columns=chosen(rules), carry=carry), carry=carry)
+
+
+@query("signals_wide", f"{_CENTRED} SELECT asset, date, " + ", ".join(f"round(max({p}) FILTER (WHERE indicator_name = '{n}'), 5) + 0.0 AS {n}__{p}" for n in O.SIGNALS["centered_oscillator"] for p in SIDES) + " FROM sig GROUP BY asset, date")
+def signals_wide(spark, sf_dir):
+    wide = wide_table(spark, sf_dir)
+    return rounded(wide.select("asset", "date", *[f"{n}__{p}" for n in O.SIGNALS["centered_oscillator"] for p in SIDES]), 5)
 
 
-@query("signals_all_primary")
+@query("signals_to_long", f"{_CENTRED} SELECT asset, date, indicator_name, {_SIDES} FROM sig")
+def long_again(spark, sf_dir):
+    return rounded(signals_to_long(wide_table(spark, sf_dir)), 5)
+
+
+_PRIMARY, _LIMITS = O.all_primary()
+_EVERY = sorted({k for r in _PRIMARY.values() for k in r.values()})
+_ALL_SIGNALS = f"WITH feats AS MATERIALIZED ({O.features_sql(_EVERY)}), {O.signals_sql(list(_PRIMARY), 'feats', '', _PRIMARY, _LIMITS)}"
+_FAMILY = "CASE WHEN rule = 'bollinger' THEN 'band_channel_level' ELSE rule END"
+
+
+@query("signals_all_primary", f"{_ALL_SIGNALS} SELECT {_FAMILY} AS signal_family, indicator_name, count(signal_direction) AS n_directions, CAST(sum(signal_active) AS BIGINT) AS n_active FROM sig GROUP BY 1, 2")
 def signals_all_primary(spark, sf_dir):
     """All primary columns of the whole catalogue, counted by family and activity."""
     long = add_signals(compute_indicators(event_panel(spark, sf_dir)))
     return long.groupBy("signal_family", "indicator_name").agg(F.count("signal_direction").alias("n_directions"), F.sum("signal_active").cast("long").alias("n_active"))
 
 
+_BANDS = [n for n in ("accbands_percent_b_20", "donchian_width_20", "keltner_width_20_10_2")]
+
+
+@query("signals_placeholders", f"WITH {O.event_bars(4)} SELECT signal_family, indicator_name, (SELECT count(*) FROM bars) AS n_rows, 0::BIGINT AS n_signals FROM (VALUES " + ", ".join(f"('{f}', '{n}')" for f, n in [*[("band_channel_level", n) for n in _BANDS], ("context_filter", "atr_14")]) + ") q(signal_family, indicator_name)")
+def placeholders(spark, sf_dir):
+    """Bands without a rule and context filters, where rows without a signal are asked for."""
+    x = compute_indicators(event_panel(spark, sf_dir), ["acceleration_bands", "donchian_channel", "keltner_channel", "atr"], base=False)
+    long = add_signals(x, config={"unimplemented_bands": "nan", "context_placeholders": True})
+    return long.groupBy("signal_family", "indicator_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.coalesce("signal_direction", "signal_active", "signal_strength", "signal_signed_value")).alias("n_signals"))
+
+
+_COUNTS = {"band_channel_level": 1, "centered_oscillator": 22, "extreme_zone_oscillator": 10, "trend_filter": 20, "volume_confirmation": 9}
+
+
+@query("family_counts", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in _COUNTS.items()) + ") q(signal_family, n_features)")
+def counts_of_families(spark, sf_dir):
+    """Primary features of each family among the columns of the whole catalogue."""
+    names = compute_indicators(event_panel(spark, sf_dir)).columns
+    return spark.createDataFrame(list(family_counts(families_of(Panel(), names, context=False)).items()), "signal_family string, n_features long")
+
+
 @query("loo_zscore", f"""WITH {O.event_bars(4)}, d AS (SELECT asset, date, close - {O.lag('close')} AS d FROM bars), o AS (SELECT a.asset, a.date, any_value(a.d) AS d, avg(b.d) AS mu, CASE WHEN count(b.d) > 1 THEN stddev_samp(b.d) END AS sd FROM d a LEFT JOIN d b ON a.date = b.date AND a.asset <> b.asset GROUP BY 1, 2)
 SELECT asset, date, round(mu, 5) + 0.0 AS mean, round(CASE WHEN sd >= 1e-12 THEN sd END, 5) + 0.0 AS std, round((d - mu) / CASE WHEN sd >= 1e-12 THEN sd END, 5) + 0.0 AS z FROM o""")
 def loo_zscore(spark, sf_dir):
@@ -215,10 +289,50 @@ def report(spark, sf_dir):
     return rounded(target_report(target_table(spark, sf_dir)))
 
 
-@query("target_alignment")
+_TAU = f"{_CENTRED}, {O.target_rows(tau=0.1)}"
+
+
+@query("single_target", f"{_TAU} SELECT asset, date, target AS roc_10__target_4d FROM tgt WHERE indicator_name = 'roc_10' AND horizon = '4d'")
+def single_target(spark, sf_dir):
+    return add_target(wide_table(spark, sf_dir), "roc_10", "4d").select("asset", "date", "roc_10__target_4d")
+
+
+@query("targets_to_long", f"{_TAU} SELECT asset, date, indicator_name, horizon, target FROM tgt")
+def targets_again(spark, sf_dir):
+    return targets_to_long(add_targets(wide_table(spark, sf_dir), HORIZONS))
+
+
+@query("wide_dataset", f"{_TAU} SELECT asset, date, indicator_name, rule AS signal_family, horizon, {_SIDES}, target FROM tgt WHERE signal_active = 1 AND target IS NOT NULL")
+def from_wide(spark, sf_dir):
+    out = wide_dataset(add_targets(wide_table(spark, sf_dir), HORIZONS), panel=Panel(), context=[])
+    return rounded(dataset_order(out), 5)
+
+
+_GROUPS = ", ".join(f"(SELECT count(*) FILTER (WHERE {c}) FROM (SELECT date, count(r) AS n, stddev_samp(r) AS s FROM (SELECT date, CASE q.h WHEN '1d' THEN future_return_1d WHEN '4d' THEN future_return_4d ELSE future_return_24d END AS r FROM cs) GROUP BY date)) AS cs_group_{n}" for n, c in (("count", "true"), ("nan_std_count", "s IS NULL"), ("insufficient_assets_count", "n < 3"), ("small_std_count", "s < 1e-12")))
+
+
+@query("cross_section_report", f"WITH {O.event_bars(4)}, {O.returns_sql()} SELECT h AS horizon, {_GROUPS} FROM (VALUES ('1d'), ('4d'), ('24d')) q(h)")
+def groups(spark, sf_dir):
+    return cross_section_report(future_returns(event_panel(spark, sf_dir), HORIZONS, log=False), HORIZONS)
+
+
+@query("target_alignment", f"""{_TAU} SELECT horizon, CASE horizon WHEN '1d' THEN 1 WHEN '4d' THEN 4 ELSE 24 END AS horizon_steps, indicator_name AS feature, 'future_return_cs_scaled_' || horizon AS future_return_col, indicator_name || '__target_' || horizon AS target_col, count(*) AS num_rows, 0::BIGINT AS num_duplicate_asset_datetime,
+count(*) FILTER (WHERE fr IS NULL) AS future_return_nan_count, count(*) FILTER (WHERE target IS NULL) AS target_nan_count, count(*) FILTER (WHERE target = 1) AS target_positive_count, count(*) FILTER (WHERE target = 0) AS target_zero_count, round(avg(signal_active) FILTER (WHERE fr IS NOT NULL), 6) + 0.0 AS active_rate_on_available_returns,
+'cross_sectional_future_return' AS target_scaling, true AS future_return_cs_std_alignment_ok, 0.0::DOUBLE AS future_return_cs_std_alignment_max_abs_diff, horizon <> '4d' AS future_return_alignment_ok, CASE WHEN horizon = '4d' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS future_return_alignment_max_abs_diff,
+any_value(g.cs_group_count) AS cs_group_count, any_value(g.cs_group_nan_std_count) AS cs_group_nan_std_count, any_value(g.cs_group_insufficient_assets_count) AS cs_group_insufficient_assets_count, any_value(g.cs_group_small_std_count) AS cs_group_small_std_count
+FROM tgt JOIN (SELECT h AS gh, {_GROUPS} FROM (VALUES ('1d'), ('4d'), ('24d')) q(h)) g ON gh = horizon GROUP BY horizon, indicator_name""")
 def target_alignment(spark, sf_dir):
+    """Returns of one horizon are one off for one asset; the report must say so."""
+    wide = add_targets(wide_table(spark, sf_dir), HORIZONS)
+    off = "future_return_cs_scaled_4d"
+    wide = wide.withColumn(off, F.when(F.col("asset") == wide.agg(F.min("asset")).first()[0], F.col(off) + 1).otherwise(F.col(off)))
+    return rounded(validate_alignment(wide, HORIZONS))
+
+
+@query("column_agreement", f"WITH {O.event_bars(4)}, {O.returns_sql()} SELECT c AS \"column\", (SELECT count(*) FROM bars) AS n_rows, 0.0::DOUBLE AS max_abs_diff, true AS aligned FROM (VALUES {', '.join(f"('{c}')" for c in _R)}) q(c)")
+def column_agreement(spark, sf_dir):
     x = event_panel(spark, sf_dir)
-    return alignment_report(future_returns(x, HORIZONS, log=False), future_returns(x.orderBy("close"), HORIZONS, log=False), ["asset", "date"], _R)
+    return rounded(alignment_report(future_returns(x, HORIZONS, log=False), future_returns(x.orderBy("close"), HORIZONS, log=False), ["asset", "date"], _R))
 
 
 # datasets
@@ -228,7 +342,22 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [*_KEYS, "price_distance", "midpoint_indicator"]
     x = compute_indicators(event_panel(spark, sf_dir), keys, base=False)
     keep = ["asset", "date", "close", *sorted(chosen(RULES)), "bb_lower_20_2", "bb_upper_20_2", "price_distance_sma_20", "midpoint_14"]
-    return regression_dataset(x.select(*keep), horizons=HORIZONS)
+    return regression_dataset(x.select(*keep), horizons=HORIZONS, check=event_panel(spark, sf_dir))
+
+
+def whole_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset over all primary columns of the catalogue and all context features; the models are fitted on it."""
+    panel = event_panel(spark, sf_dir)
+    return regression_dataset(compute_indicators(panel), horizons=HORIZONS, check=panel)
+
+
+_WHOLE = f"WITH feats AS MATERIALIZED ({O.features_sql(_EVERY)}), {O.returns_sql('feats')}, {O.signals_sql(list(_PRIMARY), 'cs', _CARRY, _PRIMARY, _LIMITS)}, {O.target_rows()}, k AS (SELECT * FROM tgt WHERE signal_active = 1 AND target IS NOT NULL)"
+
+
+@query("whole_dataset_by_indicator", f"{_WHOLE} SELECT indicator_name, horizon, count(*) AS n_rows, round(avg(target), 6) + 0.0 AS target_rate FROM k GROUP BY 1, 2")
+def whole(spark, sf_dir):
+    out = whole_dataset(spark, sf_dir).groupBy("indicator_name", "horizon").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("target").alias("target_rate"))
+    return rounded(out)
 
 
 @query("regression_dataset", f"{_TARGETS.replace(O.features_sql(_KEYS), O.features_sql([*_KEYS, 'price_distance', 'midpoint_indicator'])).replace(_CARRY, _CARRY + ', price_distance_sma_20, midpoint_14')} SELECT asset, date, indicator_name, CASE WHEN rule = 'bollinger' THEN 'band_channel_level' ELSE rule END AS signal_family, horizon, signal_direction, signal_active, round(signal_strength, 5) + 0.0 AS signal_strength, round(signal_signed_value, 5) + 0.0 AS signal_signed_value, target, round(price_distance_sma_20, 5) + 0.0 AS price_distance_sma_20, round(midpoint_14, 5) + 0.0 AS midpoint_14 FROM tgt WHERE signal_active = 1 AND target IS NOT NULL")
@@ -284,9 +413,16 @@ def fixed(spark, sf_dir):
     return fixed_split(labelled_days(spark, sf_dir), SPLIT, HORIZONS).select("date", "asset", "horizon", "split")
 
 
-@query("split_summary", f"{LABELLED} SELECT split, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS n_dates, count(DISTINCT asset) AS n_assets, count(DISTINCT indicator_name) AS n_indicators, round(avg(target), 6) + 0.0 AS target_rate, round(avg(CASE WHEN target > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS positive_rate FROM ({_SPLIT}) GROUP BY split")
+@query("split_summary", f"{LABELLED}, sp AS ({_SPLIT}) SELECT split, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS n_dates, count(DISTINCT asset) AS n_assets, count(DISTINCT indicator_name) AS n_indicators, round(avg(target), 6) + 0.0 AS target_rate, round(avg(CASE WHEN target > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS positive_rate, (SELECT string_agg(horizon || '=' || n, ',' ORDER BY horizon) FROM (SELECT split AS s2, horizon, count(*) AS n FROM sp GROUP BY 1, 2) WHERE s2 = sp.split) AS horizon_counts FROM sp GROUP BY split")
 def summary(spark, sf_dir):
-    return rounded(split_summary(fixed_split(labelled_days(spark, sf_dir), SPLIT, HORIZONS)))
+    out = split_summary(fixed_split(labelled_days(spark, sf_dir), SPLIT, HORIZONS))
+    pairs = F.transform(F.map_entries("horizon_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return rounded(out.withColumn("horizon_counts", F.array_join(F.array_sort(pairs), ",")))
+
+
+@query("temporal_prepared", f"{LABELLED} SELECT date, asset, horizon, indicator_name FROM x")
+def ready(spark, sf_dir):
+    return prepared(labelled_days(spark, sf_dir)).select("date", "asset", "horizon", "indicator_name")
 
 
 FOLDS = (("1997-12-31", "1998-01-01", "1998-06-30"), ("1998-06-30", "1998-07-01", "1998-12-31"))
@@ -388,62 +524,74 @@ def log_odds(spark, sf_dir):
     return rounded(M.score_columns(x).select("event_id", "pred_class", "pred_log_odds"), 5)
 
 
-# models (no SQL: statistical)
+# models (statistical; tests hold them against solutions of their own). All folds, all primary columns.
+
+WINDOWS = Rolling(20, 4, 1)
 
 
 def fold_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    x = dataset(spark, sf_dir).persist()
-    first, then = F.lit("2024-01-20").cast("timestamp_ntz"), F.lit("2024-01-22").cast("timestamp_ntz")
-    return x.where(F.col("date") < first), x.where(F.col("date") >= then)
+    """The dataset before and after a gap of two days, two thirds into its calendar."""
+    x = whole_dataset(spark, sf_dir)
+    days = x.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.expr("date_trunc('day', a + (b - a) * 2 / 3)").alias("at"), F.expr("date_trunc('day', a + (b - a) * 2 / 3) + INTERVAL '2' DAY").alias("later"))
+    first, then = days.first()
+    return x.where(F.col("date") < F.lit(first).cast("timestamp_ntz")), x.where(F.col("date") >= F.lit(then).cast("timestamp_ntz"))
 
 
 @query("logit_backtest")
 def logit(spark, sf_dir):
-    return logit_backtest(dataset(spark, sf_dir), splitter=Rolling(20, 4, 1), horizons=HORIZONS, max_iter=50)["oos"].select("date", "asset", "indicator_name", "horizon", "fold_id", "y_true", "y_pred", "y_proba_pred", "rank_pred_proba")
+    return logit_backtest(whole_dataset(spark, sf_dir), splitter=WINDOWS, horizons=HORIZONS)["oos"].select("date", "asset", "indicator_name", "horizon", "fold_id", "y_true", "y_pred", "y_proba_pred", "rank_pred_proba", "train_start", "train_end", "test_start", "test_end", "n_train_rows_after_purge")
 
 
 @query("forest_backtest")
 def forest(spark, sf_dir):
-    return forest_backtest(dataset(spark, sf_dir), splitter=Rolling(20, 4, 1), horizons=HORIZONS, trees=20)["fold_metrics"]
+    return forest_backtest(whole_dataset(spark, sf_dir), splitter=WINDOWS, horizons=HORIZONS, trees=40)["fold_metrics"]
+
+
+@query("horizon_backtests")
+def horizon_backtests(spark, sf_dir):
+    """One backtest a horizon; their metrics."""
+    runs = by_horizon(whole_dataset(spark, sf_dir), logit_backtest, HORIZONS, splitter=WINDOWS)
+    return horizon_metrics(runs)
 
 
 @query("backtest_topk")
 def backtest_topk(spark, sf_dir):
-    out = rolling_backtest(dataset(spark, sf_dir), fit_logit, Rolling(20, 4, 1), HORIZONS, max_iter=30)
+    out = rolling_backtest(whole_dataset(spark, sf_dir), fit_logit, WINDOWS, HORIZONS)
     return top_k(out["oos"])[1]
 
 
 @query("logit_grid")
-def logit_grid(spark, sf_dir):
-    return grid(fit_logit, *fold_rows(spark, sf_dir), {"C": [0.05, 1.0], "penalty": ["l2", "l1"]}, {"max_iter": 30})
+def logits(spark, sf_dir):
+    return grid(fit_logit, *fold_rows(spark, sf_dir), {"penalty": ["l2", "l1", "elasticnet"], "C": [0.05, 1.0], "l1_ratio": [0.5]})
 
 
 @query("forest_grid")
-def forest_grid(spark, sf_dir):
-    return grid(fit_forest, *fold_rows(spark, sf_dir), {"depth": [3, 5]}, {"trees": 10})
+def forests(spark, sf_dir):
+    return grid(fit_forest, *fold_rows(spark, sf_dir), {"depth": [3, 5], "class_weight": [None, "balanced"]}, {"trees": 20})
 
 
 @query("logit_coefficients")
 def coefficients(spark, sf_dir):
-    model = fit_logit(fold_rows(spark, sf_dir)[0], penalty="l1", C=0.1, max_iter=50)
+    model = fit_logit(fold_rows(spark, sf_dir)[0], penalty="l1", C=0.1)
     return spark.createDataFrame(model.weights(), "feature string, coefficient double")
 
 
+@query("logit_sparsity")
+def sparse(spark, sf_dir):
+    train = fold_rows(spark, sf_dir)[0]
+    return spark.createDataFrame([(p, *sparsity(fit_logit(train, penalty=p, C=0.05)).values()) for p in ("l1", "l2")], "penalty string, n_features int, n_nonzero int, share_zero double")
+
+
 @query("forest_importances")
 def importances(spark, sf_dir):
-    model = fit_forest(fold_rows(spark, sf_dir)[0], trees=10, depth=4)
+    model = fit_forest(fold_rows(spark, sf_dir)[0], trees=40, depth=4)
     return spark.createDataFrame(model.weights(), "feature string, importance double")
 
 
 @query("stream_bars", f"WITH {O.event_bars(4)} SELECT asset, date, {O.rounded(['open', 'high', 'low', 'close', 'volume'])} FROM bars")
 def streamed(spark, sf_dir):
     """The 4-hour bars again, from a stream run over what there is."""
-    import tempfile
-    import uuid
-
-    name = f"bars_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    out = drain(stream_bars(event_ticks(spark, sf_dir), "4 hours"), name, f"{base}/{name}")
+    out = drain(stream_bars(event_ticks(spark, sf_dir), "4 hours"), place_for(spark, "bars"))
     return rounded(out.withColumn("date", F.col("date").cast("timestamp_ntz")))
 
 

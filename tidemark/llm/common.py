@@ -65,7 +65,7 @@ def discard_all(spark: SparkSession, prefix: str) -> None:
 
 
 #: Bytes of an uncompressed settled table that every task may hold in a hash join.
-MAX_BROADCAST = 8 << 20
+MAX_BROADCAST = 16 << 20
 
 
 def broadcastable(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:

@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few_tasks, settle
+from .common import broadcastable, discard, few_tasks, settle
 from .shingles import shingle_set, word_hashes
 
-#: From so many nodes on, a component is compared in blocks of BLOCK texts.
-BIG, BLOCK = 48, 48
+#: From so many nodes on, a component is compared in blocks of BLOCK texts; keys of CROWD nodes or more are left to crowded, where it is given.
+BIG, BLOCK, CROWD = 48, 48, 32
 
 
 def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
@@ -98,7 +98,7 @@ def links_to_big(asked: DataFrame, found: DataFrame, sizes: DataFrame, texts: Da
     return settle(sent.join(right, ["big", "y"]).select("x_ids", "x_texts", "y_ids", "y_texts").mapInArrow(compare, "a long, b long"), f"{name}-links")
 
 
-def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: DataFrame, shingle: int, carry: tuple[str, ...] = (), alike=None) -> DataFrame:
+def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: DataFrame, shingle: int, carry: tuple[str, ...] = (), alike=None, crowded=None) -> DataFrame:
     """id, component from met (key, id, n, low, n_low): nodes of n members that share a key, and the key's least node.
 
     First each node is held against the least of its keys: stars, not all pairs. Confirmed links give
@@ -106,6 +106,7 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     BIG nodes or more are held against all of it in blocks; pairs of small components are made one by one.
     confirm(pairs (a, b), name) returns the pairs that are links; b is the side that may recur without bound.
     alike, of the columns carry of both sides (ending in _a and _b), rules out pairs in the search itself.
+    crowded(nodes (id, c: component), name), if given, finds the pairs of nodes that share a key of many: all that may be links.
     texts has id and text.
     """
     rows = met.count()
@@ -124,14 +125,21 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     asked = settle(few_tasks(asked.select("id", "big").distinct(), rows), f"{name}-asked")
     across_big = links_to_big(asked, found, sizes, texts, percent, shingle, f"{name}-big")
 
+    loose = known.where("size = 0")
+    if crowded is not None:
+        hot = settle(few_tasks(loose.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= CROWD).select("key"), rows), f"{name}-hot")
+        many = settle(few_tasks(loose.join(broadcastable(hot), "key").select("id", "c").distinct(), rows), f"{name}-many")
+        loose = loose.join(broadcastable(hot), "key", "left_anti")
     # a pair meets under many keys; only the least of those it shares brings it forth
-    own = few_tasks(known.where("size = 0").groupBy("id", "n", "c", *carry).agg(F.collect_set("key").alias("keys")), rows)
+    own = few_tasks(loose.groupBy("id", "n", "c", *carry).agg(F.collect_set("key").alias("keys")), rows)
     mixed = settle(own.select("id", "n", "c", *carry, "keys", F.explode("keys").alias("key")), f"{name}-mixed")
     x, y = (mixed.select("key", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("n", "c", "keys", *carry)]) for i in "ab")
     apart = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_enough("n_a", "n_b", percent)
     if alike is not None:
         apart = apart & alike
-    across = x.join(y, "key").where(apart & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))))
+    across = x.join(y, "key").where(apart & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b")))).select("a", "b")
+    if crowded is not None:
+        across = across.unionAll(crowded(many, f"{name}-crowded"))
     rest = across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(rest, "2")).unionAll(across_big)
     return settle(components(links, "a", "b", f"{name}-2"), f"{name}-final")

@@ -7,19 +7,25 @@ of them with odds 5e-6 (1 - 0.8^2, twelve times over).
 1. Equal paragraphs are one node, by a 128-bit fingerprint of their words.
 2. Nodes that share a band key are linked as in near-duplicate search: stars first, then pairs across components, each
    confirmed by exact Jaccard similarity of the full sets, 0.8 or more. Of 64 further min-hashes, a byte each, 33 must
-   agree before a pair is made at all (at 0.8: all but 8e-8), so that phrases common to unlike paragraphs stay cheap.
+   agree before a pair is compared (at 0.8: all but 8e-8), so that phrases common to unlike paragraphs stay cheap. Under a
+   key of many nodes, such as variants of one line, pairs are made by the shingles that are rarest among those nodes and by
+   their places in that order: sets of similarity 0.8 share one of the first fifth, early enough. That rule loses no pair.
 3. Components are clusters of repeated paragraphs. The first occurrence (least doc_id, then position) stays;
    occurrences in other documents are marked.
 
 Anchors find passages wherever they start: of every ``WINDOW`` 16-word runs in a row the one of least hash is an anchor
 (winnowing), whatever stands around. Two texts that share 31 words in a row or more share an anchor in every 31 of them.
 Neighbouring anchors of a text that stand in the same earlier document at the same distance make a chain; its ends are
-held against that document word by word and extended as far as the words agree. What a chain covers is marked.
+held against that document word by word and extended as far as the words agree: where its copy was edited, up to
+``WINDOW`` - 1 words that a later copy has may stay. What a chain covers is marked.
 
-A run of marks, with fewer than ``min_words`` words between, goes if it has ``min_run`` words or more.
+A run of marks, with fewer than ``min_words`` words between, goes if it has ``min_run`` words or more: by default 31, the
+length from which every verbatim passage is found. Shorter repeats, such as licence lines, stay. A few words over and over
+(``PERIOD``, ``LEAST_SHINGLES``) are no passage: junk of the same word in two documents isn't copied from one to the other.
 
-Texts are not shuffled while the rows that ask for them are few enough to be broadcast (checked); beyond that they are
-joined by row. Band keys and anchors are first counted alone, and only rows of shared ones go further.
+Words around the ends of chains and paragraphs to compare are fetched in one pass over the texts. They are not shuffled
+while the rows that ask are few enough to be broadcast (checked); beyond that they are joined by row, once. Band keys and
+anchors are first counted alone, and only rows of shared ones go further.
 
 Edge cases: null and empty texts have no paragraphs and stay as they are; what is repeated only
 inside one document stays; rows with equal id and text are handled alike; null ids count as one document;
@@ -46,6 +52,8 @@ SHINGLE = 5
 BANDS, ROWS = 12, 2
 #: Words of an anchor, and of how many in a row one is chosen (a power of two). Passages of ANCHOR + WINDOW - 1 words hold one.
 ANCHOR, WINDOW = 16, 16
+#: Texts that repeat after so many words or fewer hold no anchor, and lines of fewer than LEAST_SHINGLES distinct shingles are no paragraph.
+PERIOD, LEAST_SHINGLES = 6, 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -76,12 +84,9 @@ def anchor_positions(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     for step in (1 << i for i in range(WINDOW.bit_length() - 1)):
         best = np.maximum(best[:-step], best[step:])
     chosen = np.flatnonzero(best == whole)
-    if not len(chosen):
-        return chosen, whole[chosen]
-    # words that repeat without end choose every place: of equal neighbours one in WINDOW words stays
-    same = np.concatenate([[False], (whole[chosen][1:] == whole[chosen][:-1]) & (np.diff(chosen) < WINDOW)])
-    since = chosen - chosen[np.maximum.accumulate(np.where(same, 0, np.arange(len(chosen))))]
-    chosen = chosen[~same | np.concatenate([[True], since[1:] // WINDOW != since[:-1] // WINDOW])]
+    # a few words over and over are no passage
+    steady = np.any([h[chosen] == h[chosen + k] for k in range(1, PERIOD + 1)], axis=0)
+    chosen = chosen[~steady]
     return chosen, whole[chosen]
 
 
@@ -156,8 +161,16 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
             w, text_ends = np.array(words, np.uint64), np.array(text_ends)
             text_starts = np.concatenate([[0], text_ends[:-1]])
             edge, of = np.array(edges, np.int64).reshape(-1, 2), np.repeat(np.arange(len(counts)), counts)
-            fps = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w[x:y].tobytes()) for x, y in edges), np.int64).reshape(-1, 2)
             h = shingle_hashes(w) if len(w) >= SHINGLE else np.zeros(0, np.uint64)
+            if len(edge):  # shingles that are not among the three before them
+                new = np.ones(len(h), np.int64)
+                for k in range(1, LEAST_SHINGLES):
+                    new[k:] &= h[k:] != h[:-k]
+                several = np.concatenate([[0], np.cumsum(new)])
+                varied = several[edge[:, 1] - SHINGLE + 1] - several[edge[:, 0]] >= LEAST_SHINGLES
+                edge, of = edge[varied], of[varied]
+                counts = np.bincount(of, minlength=len(counts))
+            fps = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w[x:y].tobytes()) for x, y in edge.tolist()), np.int64).reshape(-1, 2)
             keys = np.zeros((0, BANDS), np.uint64)
             if len(edge):
                 sizes = edge[:, 1] - edge[:, 0] - SHINGLE + 1
@@ -190,40 +203,51 @@ def asked_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return met.drop("asked_id", "asked_rid")
 
 
-def linked_paragraphs(cut: DataFrame, texts: DataFrame, percent: int, run: str) -> DataFrame:
-    """fp1, fp2, c1, c2: paragraphs that are similar to others but not equal, and the fingerprint that stands for their component."""
+def met_paragraphs(cut: DataFrame, run: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """met (key, id), places (id and p, the first place of each node) and ids (id, fp1, fp2) of paragraphs that share a band with others."""
     shared = shared_keys(cut.select(F.explode(F.flatten("keys")).alias("key")), run)
     keyed = rows_of(cut, [], "fp1", "fp2", "keys").select(*FP, F.explode("keys").alias("key"))
     met, nodes = met_nodes(keyed, shared, run)
-    rows = met.count()
-
-    def quote(batches):
-        hashes = word_hashes()
-        for batch in slices(batches, 64):
-            found = []
-            for spans, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = text.encode().lower().split()
-                found += [(s["id"], b" ".join(words[s["at"] : s["until"]])) for s in spans]
-            sets = [shingle_set(text, SHINGLE, hashes) for _, text in found]
-            signs = np.array([signature(s) for s in sets], np.int64).reshape(-1, len(SIGNS))
-            columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1].decode() for x in found], pa.string()), pa.array([len(s) for s in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(SIGNS))]], ["id", "text", "n", *SIGNS])
-
     place = F.min(F.struct("doc_id", "at", "until", "rid")).alias("p")
     places = numbered(rows_of(cut, ["doc_id", "rid"], "at", "until", "fp1", "fp2").join(broadcastable(nodes), FP).groupBy(*FP).agg(place), f"{run}-places")
     ids = settle(places.select("id", *FP), f"{run}-ids")
-    met = met.join(broadcastable(ids), FP).select("key", "id")
-    by_row = settle(few_tasks(places.groupBy("p.doc_id", "p.rid").agg(F.collect_list(F.struct("id", "p.at", "p.until")).alias("spans")), rows), f"{run}-spans")
-    quoted = asked_texts(texts, by_row).select("spans", "text").mapInArrow(quote, "id long, text string, n int, " + ", ".join(f"{x} long" for x in SIGNS))
-    quoted = settle(quoted.dropDuplicates(["id"]), f"{run}-quoted", "zstd")
+    return met.join(broadcastable(ids), FP).select("key", "id"), places, ids
+
+
+def crowded_pairs(many: DataFrame, quoted: DataFrame, percent: int, name: str) -> DataFrame:
+    """Pairs (a, b) across components of nodes many (id, c) that may have the similarity, by prefixes of their shingles in order of rarity, and places in them."""
+
+    def cut(batches):
+        hashes = word_hashes()
+        for batch in slices(batches):
+            sets = [shingle_set(t.encode(), SHINGLE, hashes) for t in batch.column(2).to_pylist()]
+            sizes = [len(s) for s in sets]
+            flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), lists(flat, sizes)], ["id", "c", "n", "shingles"])
+
+    sets = settle(many.join(quoted, "id").select("id", "c", "text").mapInArrow(cut, "id long, c long, n int, shingles array<long>"), f"{name}-sets")
+    each = sets.select("id", F.explode("shingles").alias("s"))
+    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
+    order = each.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("order"))
+    first = F.slice("order", 1, F.col("n") - F.expr(f"CAST(({percent} * n + 99) div 100 AS INT)") + 1)
+    rows = settle(order.join(sets.select("id", "c", "n"), "id").select("id", "c", "n", F.posexplode(first).alias("at", "o")).select("id", "c", "n", "at", "o.s"), f"{name}-prefixes")
+    x, y = (rows.select("s", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("c", "n", "at")]) for i in "ab")
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # shingles in common, if this is the first of them
+    may = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    return x.join(y, "s").where(may).select("a", "b").distinct()
+
+
+def linked_paragraphs(met: DataFrame, quoted: DataFrame, ids: DataFrame, percent: int, run: str) -> DataFrame:
+    """fp1, fp2, c1, c2: paragraphs that are similar to others but not equal, and the fingerprint that stands for their component."""
+    rows = met.count()
     told = settle(few_tasks(quoted.select("id", "n", *SIGNS), rows), f"{run}-signs")
     signed = with_least(met, told, rows, run)
-    written = quoted.select("id", "text", *SIGNS)
+    written, texts = quoted.select("id", "text", *SIGNS), quoted.select("id", "text")
 
     def confirm(pairs: DataFrame, at: str) -> DataFrame:
         return confirmed(pairs, written, SHINGLE, percent, f"{run}-{at}", alike(percent))
 
-    final = link_collisions(signed, percent, confirm, run, quoted.select("id", "text"), SHINGLE, SIGNS, alike(percent))
+    final = link_collisions(signed, percent, confirm, run, texts, SHINGLE, SIGNS, alike(percent), lambda many, name: crowded_pairs(many, texts, percent, name))
     named = ids.select(F.col("id").alias("component"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2"))
     return settle(few_tasks(final.join(ids, "id").join(named, "component"), rows).select(*FP, "c1", "c2"), f"{run}-linked")
 
@@ -283,8 +307,56 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
     return out
 
 
-def word_codes(data: bytes, hashes) -> np.ndarray:
-    return np.array(list(map(hashes.__getitem__, data.lower().split())), np.uint64).astype(np.uint32)
+def word_codes(words: list[bytes], hashes) -> np.ndarray:
+    """Two bytes a word."""
+    return np.array(list(map(hashes.__getitem__, words)), np.uint64).astype(np.uint16)
+
+
+def fetched(texts: DataFrame, found: DataFrame, places: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+    """Of one pass over the texts: contexts (doc_id, rid, place, left, right: codes of the words around it) of the ends of chains and of what they are chained to, and quoted (id, text, n, SIGNS) paragraphs."""
+    ends = [found.select(F.col(d).alias("doc_id"), F.col(r).alias("rid"), F.explode(F.array(*pair)).alias("place")) for d, r, pair in (("doc_id", "rid", ("first", "last")), ("source", "there_rid", ("there_first", "there_last")))]
+    none = F.lit(None).cast("struct<id:bigint,at:int,until:int>")
+    asked = ends[0].unionAll(ends[1]).select("*", none.alias("span"))
+    asked = asked.unionAll(places.select("p.doc_id", "p.rid", F.lit(None).cast("int").alias("place"), F.struct("id", "p.at", "p.until").alias("span")))
+    asked = settle(asked.groupBy("doc_id", "rid").agg(F.collect_set("place").alias("places"), F.collect_list("span").alias("spans")), f"{run}-asked")
+
+    def fetch(batches):
+        hashes = word_hashes()
+        for batch in slices(batches, 64):
+            row, at, left, right, ids, quotes = [], [], [], [], [], []
+            for r, (places, spans, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+                words = text.encode().lower().split()
+                if places:
+                    codes = word_codes(words, hashes)
+                    for x in places:
+                        row.append(r)
+                        at.append(x)
+                        left.append(codes[max(0, x - WINDOW + 1) : x + ANCHOR].tobytes())
+                        right.append(codes[x : x + ANCHOR + WINDOW - 1].tobytes())
+                ids += [s["id"] for s in spans]
+                quotes += [b" ".join(words[s["at"] : s["until"]]) for s in spans]
+            sets = [shingle_set(q, SHINGLE, hashes) for q in quotes]
+            signs = np.array([signature(s) for s in sets], np.int64).reshape(-1, len(SIGNS))
+            row, a, b = pa.array(row, pa.int32()), len(row), len(ids)
+            blank = lambda n, t: pa.nulls(n, t)
+            both = lambda x, y: pa.concat_arrays([x, y])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[both(batch.column(c).take(row), blank(b, pa.int64())) for c in range(2)], both(pa.array(at, pa.int32()), blank(b, pa.int32())), *[both(pa.array(x, pa.binary()), blank(b, pa.binary())) for x in (left, right)],
+                    both(blank(a, pa.int64()), pa.array(ids, pa.int64())), both(blank(a, pa.string()), pa.array([q.decode() for q in quotes], pa.string())), both(blank(a, pa.int32()), pa.array([len(s) for s in sets], pa.int32())),
+                    *[both(blank(a, pa.int64()), pa.array(np.ascontiguousarray(signs[:, i]))) for i in range(len(SIGNS))],
+                ],
+                ["doc_id", "rid", "place", "left", "right", "id", "text", "n", *SIGNS],
+            )
+
+    out = asked_texts(texts, asked).select("doc_id", "rid", "places", "spans", "text").mapInArrow(fetch, "doc_id long, rid long, place int, left binary, right binary, id long, text string, n int, " + ", ".join(f"{x} long" for x in SIGNS))
+    out = settle(out, f"{run}-fetched", "zstd")
+    # rows of equal id and text have told the same
+    contexts = out.where("place IS NOT NULL").select("doc_id", "rid", "place", "left", "right").dropDuplicates(["doc_id", "rid", "place"])
+    quoted = settle(out.where("id IS NOT NULL").select("id", "text", "n", *SIGNS).dropDuplicates(["id"]), f"{run}-quoted", "zstd")
+    contexts = settle(contexts, f"{run}-contexts")
+    discard(asked, out)
+    return contexts, quoted
 
 
 def same_words(x: np.ndarray, y: np.ndarray) -> int:
@@ -294,60 +366,35 @@ def same_words(x: np.ndarray, y: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def extended(own: list[dict], words: np.ndarray) -> set[tuple[int, int, int]]:
-    """(first word, end word, source) of chains whose ends are confirmed, as far as the words agree with the source's. left and right are codes around the ends there."""
-    out = set()
-    for c in own:
-        left, right = (np.frombuffer(c[k], np.uint32) for k in ("left", "right"))
-        before = min(c["there_first"], WINDOW - 1)
-        more, ahead = same_words(words[c["first"] :], left[before:]), same_words(words[c["last"] :], right)
-        if more >= ANCHOR and ahead >= ANCHOR:
-            back = same_words(words[max(0, c["first"] - before) : c["first"]][::-1], left[:before][::-1])
-            out.add((c["first"] - back, c["last"] + ahead, c["source"]))
-    return out
+def reach(own: bytes, theirs: bytes, before: int | None = None, before_there: int = 0) -> int:
+    """How many words agree from an anchor on (before is None), or in front of it; -1 if the anchors themselves don't. Codes begin at the anchor, or so many words before it."""
+    x, y = np.frombuffer(own, np.uint16), np.frombuffer(theirs, np.uint16)
+    ahead = same_words(x[before or 0 :], y[before_there:])
+    if ahead < ANCHOR:
+        return -1
+    return ahead if before is None else same_words(x[:before][::-1], y[:before_there][::-1])
 
 
-MARKS = "array<struct<at:int,until:int,source:bigint>>"
-MARK_LIST = pa.list_(pa.struct([("at", pa.int32()), ("until", pa.int32()), ("source", pa.int64())]))
+def verbatim_marks(found: DataFrame, contexts: DataFrame, run: str) -> DataFrame:
+    """id, rid, extended: marks (first word, end word, source) of the chains whose ends are confirmed, as far as the words agree with the source's."""
+    for name, side, own, there in (("back", "left", "first", "there_first"), ("ahead", "right", "last", "there_last")):
+        for role, keys in (("own", ("doc_id", "rid", own)), ("theirs", ("source", "there_rid", there))):
+            near = contexts.select(F.col("doc_id").alias("q_id"), F.col("rid").alias("q_rid"), F.col("place").alias("q_at"), F.col(side).alias(role))
+            near.settled_path = contexts.settled_path
+            found = found.join(broadcastable(near), (F.col(keys[1]) == F.col("q_rid")) & (F.col(keys[2]) == F.col("q_at")) & F.col(keys[0]).eqNullSafe(F.col("q_id"))).drop("q_id", "q_rid", "q_at")
+        columns = [c for c in found.columns if c not in ("own", "theirs")]
 
+        def measure(batches, name=name, at=columns.index(own), there=columns.index(there), n=len(columns)):
+            for batch in slices(batches, 4096):
+                x, y, a, b = (batch.column(c).to_pylist() for c in (n, n + 1, at, there))
+                got = [reach(p, q) if name == "ahead" else reach(p, q, min(i, WINDOW - 1), min(j, WINDOW - 1)) for p, q, i, j in zip(x, y, a, b)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got, pa.int32())], [*batch.schema.names[:n], name])
 
-def repeated_anchors(cut: DataFrame, texts: DataFrame, run: str) -> DataFrame:
-    """id, rid, extended: marks of verbatim passages that stand in an earlier document."""
-    found = anchored_chains(cut, run)
-    ends = [found.select(F.col("source").alias("doc_id"), F.col("there_rid").alias("rid"), F.col(c).alias("there")) for c in ("there_first", "there_last")]
-    asked = settle(ends[0].unionAll(ends[1]).groupBy("doc_id", "rid").agg(F.collect_set("there").alias("asked")), f"{run}-asked")
-
-    def quote(batches):
-        hashes = word_hashes()
-        for batch in slices(batches, 64):
-            row, places, left, right = [], [], [], []
-            for r, (asked, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                words = word_codes(text.encode(), hashes)
-                for at in asked:
-                    row.append(r)
-                    places.append(at)
-                    left.append(words[max(0, at - WINDOW + 1) : at + ANCHOR].tobytes())
-                    right.append(words[at : at + ANCHOR + WINDOW - 1].tobytes())
-            columns = [batch.column(0).take(pa.array(row, pa.int32())), batch.column(1).take(pa.array(row, pa.int32())), pa.array(places, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["source", "there_rid", "there", "left", "right"])
-
-    quoted = asked_texts(texts, asked).select("doc_id", "rid", "asked", "text").mapInArrow(quote, "source long, there_rid long, there int, left binary, right binary")
-    quoted = settle(quoted.dropDuplicates(["source", "there_rid", "there"]), f"{run}-contexts")
-    for c, side in (("there_first", "left"), ("there_last", "right")):
-        near = quoted.select(F.col("there_rid").alias("q_rid"), F.col("source").alias("q_source"), F.col("there").alias("q_at"), side)
-        near.settled_path = quoted.settled_path
-        found = found.join(broadcastable(near), (F.col("there_rid") == F.col("q_rid")) & F.col("source").eqNullSafe(F.col("q_source")) & (F.col(c) == F.col("q_at"))).drop("q_rid", "q_source", "q_at")
-    by_row = settle(found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last", "there_first", "source", "left", "right")).alias("chains")), f"{run}-ends")
-
-    def extend(batches):
-        hashes = word_hashes()
-        for batch in slices(batches, 64):
-            marks = [[{"at": x, "until": y, "source": s} for x, y, s in extended(own, word_codes(text.encode(), hashes))] for own, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, MARK_LIST)], ["id", "rid", "extended"])
-
-    out = settle(asked_texts(texts, by_row).select("doc_id", "rid", "chains", "text").mapInArrow(extend, f"id long, rid long, extended {MARKS}").dropDuplicates(["id", "rid"]), f"{run}-extended")
-    discard(asked, quoted, by_row)
-    return out
+        found = found.select(*columns, "own", "theirs")
+        schema = ", ".join(f"{c} {t}" for c, t in found.dtypes if c in columns) + f", {name} int"
+        found = settle(found.mapInArrow(measure, schema).where(F.col(name) >= 0), f"{run}-{name}")
+    mark = F.struct((F.col("first") - F.col("back")).alias("at"), (F.col("last") + F.col("ahead")).alias("until"), "source")
+    return found.groupBy(F.col("doc_id").alias("id"), "rid").agg(F.collect_set(mark).alias("extended"))
 
 
 def merged_runs(marks: list[tuple], min_words: int, min_run: int) -> tuple[list[tuple[int, int]], set]:
@@ -367,14 +414,18 @@ def merged_runs(marks: list[tuple], min_words: int, min_run: int) -> tuple[list[
     return runs, sources
 
 
-def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_run: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_run: int = ANCHOR + WINDOW - 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid (hash of id and text), spans: array of (at, until), words to remove counted from 0, words removed, sources: doc_ids that keep the passages."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("text").isNotNull()).select("doc_id", row_key().alias("rid"), "text")
     run = f"paragraphs_{uuid.uuid4().hex}"
     cut = settle(pieces_of(texts, max(min_words, SHINGLE)), f"{run}-pieces", "zstd")
-    anchored = repeated_anchors(cut, texts, run)
+    found = anchored_chains(cut, run)
+    met, places, ids = met_paragraphs(cut, run)
+    contexts, quoted = fetched(texts, found, places, run)
+    anchored = settle(verbatim_marks(found, contexts, run), f"{run}-extended")
+    discard(contexts, found)
     docs.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that are gone
-    paragraphs = repeated_paragraphs(cut, linked_paragraphs(cut, texts, percent, run), run)
+    paragraphs = repeated_paragraphs(cut, linked_paragraphs(met, quoted, ids, percent, run), run)
 
     def runs(batches):
         for batch in slices(batches):

@@ -255,3 +255,13 @@ def test_tables_of_several_sources(spark):
     a, b = frame(spark, [1.0, 2.0]).drop("asset"), frame(spark, [3.0]).drop("asset")
     got = union_of({"1H": {"X": a, "Y": b}, "4H": {"X": b}})
     assert {(r.timeframe, r.asset) for r in got.select("timeframe", "asset").distinct().collect()} == {("1H", "X"), ("1H", "Y"), ("4H", "X")}
+
+
+def test_tables_as_they_come(spark):
+    from tidemark.operators.indicators import features_of
+
+    x = frame(spark, [float(i * i % 11 + 5) for i in range(40)])
+    raw = x.unionByName(x.where("close = 5").withColumn("close", x.close * 0 + 7)).selectExpr("asset AS Symbol", "date AS `Date`", "open", "high", "low", "CAST(close AS STRING) AS ` CLOSE`", "volume", "high AS HIGH")
+    got = features_of(raw.coalesce(1), ["momentum_indicator"])
+    assert got.columns[:2] == ["symbol", "date"] and got.count() == 40
+    assert got.where("close = 5").count() == 0 and got.where("momentum_10 IS NOT NULL").count() == 30

@@ -23,6 +23,21 @@ def log_positive(x) -> Column:
     return F.when(col(x) > 0, F.ln(col(x)))
 
 
+#: Expressions that recur in a catalogue, by what they stand for; those of another gateway to Spark are dropped.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    from pyspark import SparkContext
+
+    if _KEPT.get("gateway") is not SparkContext._gateway:
+        _KEPT.clear()
+        _KEPT["gateway"] = SparkContext._gateway
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 @dataclass(frozen=True)
 class Panel:
     """Names of a panel's keys, and the windows that follow from them."""
@@ -44,10 +59,10 @@ class Panel:
         return [*self.context, self.asset, self.date]
 
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.series).orderBy(self.date)
+        return kept((self, "ordered"), lambda: Window.partitionBy(*self.series).orderBy(self.date))
 
     def last(self, n: int) -> WindowSpec:
-        return self.ordered().rowsBetween(-(n - 1), 0)
+        return kept((self, "last", n), lambda: self.ordered().rowsBetween(-(n - 1), 0))
 
     def across(self, *more: str) -> WindowSpec:
         """All rows of a date, in order of asset, so that sums of floating point numbers come out alike in every run."""
@@ -56,7 +71,9 @@ class Panel:
     # plain moves
 
     def lag(self, x, k: int = 1) -> Column:
-        return F.lag(col(x), k).over(self.ordered())
+        if not isinstance(x, str):
+            return F.lag(x, k).over(self.ordered())
+        return kept((self, "lag", x, k), lambda: F.lag(x, k).over(self.ordered()))
 
     def lead(self, x, k: int = 1) -> Column:
         return F.lead(col(x), k).over(self.ordered())
@@ -78,10 +95,13 @@ class Panel:
     # full windows
 
     def full(self, x, n: int, value: Column) -> Column:
-        return F.when(F.count(col(x)).over(self.last(n)) == n, value)
+        known = lambda: F.count(col(x)).over(self.last(n)) == n
+        return F.when(kept((self, "full", x, n), known) if isinstance(x, str) else known(), value)
 
     def mean(self, x, n: int) -> Column:
-        return self.full(x, n, F.avg(col(x)).over(self.last(n)))
+        if not isinstance(x, str):
+            return self.full(x, n, F.avg(x).over(self.last(n)))
+        return kept((self, "mean", x, n), lambda: self.full(x, n, F.avg(x).over(self.last(n))))
 
     def sum(self, x, n: int) -> Column:
         return self.full(x, n, F.sum(col(x)).over(self.last(n)))

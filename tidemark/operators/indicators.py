@@ -17,7 +17,10 @@ from pyspark.sql.functions import col
 
 from ..config import INDICATOR_DEFAULTS, merged, token
 from ..functions import windows as X
+from ..functions.columns import first_columns, resolve_panel
 from ..functions.windows import Panel, sdiv
+from ..schema import BAR_COLUMNS
+from ..sources.ohlcv import prepare
 from .recursive import add_recursive
 
 
@@ -323,3 +326,10 @@ def compute_indicators(df: DataFrame, keys: list[str] | None = None, panel: Pane
     if general["print_summary"]:
         print(f"{len(keys)} indicators, {len(wanted)} columns")
     return out.select(*panel.keys, *first, *[n for n in dict.fromkeys(wanted) if n not in panel.keys and n not in first])
+
+
+def features_of(df: DataFrame, keys: list[str] | None = None, config: dict | None = None, asset: str | None = None, date: str | None = None, context: list[str] | None = None) -> DataFrame:
+    """compute_indicators of a table as it comes: names in any case, repeated columns, prices as text, repeated dates; keys are found by name."""
+    named = first_columns(df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns]))
+    panel = resolve_panel(named.drop(*BAR_COLUMNS, "vix"), asset, date, context)  # prices may be text, which is no context
+    return compute_indicators(prepare(named, panel), keys, panel, config)

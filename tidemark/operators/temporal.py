@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import unknown_horizons
 from .targets import HORIZONS, normalize_horizons
 
 # fixed values: half-year validation blocks of the expanding scheme, and the fixed split
@@ -67,9 +68,7 @@ def fixed_split(df: DataFrame, bounds: dict = FIXED, horizons=HORIZONS, date: st
     (a, b), (c, d), (e, f) = (bounds[k] for k in ("train", "val", "test"))
     if not str(a) <= str(b) < str(c) <= str(d) < str(e) <= str(f):
         raise ValueError("the blocks must follow one another")
-    unknown = df.where(steps_of(horizons).isNull())
-    if not unknown.isEmpty():
-        raise ValueError("unknown horizon")
+    unknown_horizons([r[0] for r in df.select("horizon").distinct().collect()], normalize_horizons(horizons), strict=True)  # labels are few
     return purged_blocks(df, [(a, b, True, {"split": "train"}), (c, d, True, {"split": "val"}), (e, f, False, {"split": "test"})], horizons, date)
 
 

@@ -277,3 +277,17 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, CASE WHEN len(w) = 1 THEN w[1] ELSE w[p] || ' ' || w[p + 1] END AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w), 2))) AS p FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+t AS MATERIALIZED (SELECT s.r, s.g, n.n FROM s JOIN n USING (r)),
+k AS (SELECT x.r AS a, y.r AS b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM t x JOIN t y ON x.g = y.g AND x.r < y.r AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM k WHERE 100 * m >= 80 * (na + nb - m)),
+e AS MATERIALIZED (SELECT u.doc_id AS a, v.doc_id AS b FROM l JOIN w u ON u.r = l.a JOIN w v ON v.r = l.b UNION SELECT v.doc_id, u.doc_id FROM l JOIN w u ON u.r = l.a JOIN w v ON v.r = l.b),
+c AS (SELECT DISTINCT doc_id AS id, doc_id AS root FROM w WHERE doc_id IS NOT NULL UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id),
+m AS (SELECT id, min(root) AS component_id FROM c GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, coalesce(w.doc_id = m.component_id, true) AS kept FROM w LEFT JOIN n USING (r) LEFT JOIN m ON m.id = w.doc_id
+"""

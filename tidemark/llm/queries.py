@@ -14,4 +14,4 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_topk_search": topk.op10_topk_search,
 }
-ORACLE_SQL = {"op4_warc_fixity": warc.OP4_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op9_url_filter": urlfilter.OP9_SQL, "op10_topk_search": topk.OP10_SQL}
+ORACLE_SQL = {"op4_warc_fixity": warc.OP4_SQL, "op5_near_duplicates": neardup.OP5_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op9_url_filter": urlfilter.OP9_SQL, "op10_topk_search": topk.OP10_SQL}

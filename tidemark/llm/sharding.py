@@ -45,10 +45,10 @@ def shard_records(docs: DataFrame, n_shards: int = 40, seed: int = 20240229, buc
     scattered = settle(keyed.select(F.pmod("key", F.lit(n_buckets)).cast("int").alias("bucket"), F.xxhash64(F.lit(seed + 1), "key").alias("k"), "rec"), f"{run}-scattered", "snappy")
     counts = settle(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), f"{run}-buckets")
     # the running total of bucket sizes: of runs of STEP buckets, and inside each run
-    run = F.expr(f"bucket div {STEP}")
-    before = counts.groupBy(run.alias("run")).agg(F.sum("n").alias("n")).select("run", (F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"))
+    step = F.expr(f"bucket div {STEP}")
+    before = counts.groupBy(step.alias("run")).agg(F.sum("n").alias("n")).select("run", (F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("first"))
     inside = F.sum("n").over(Window.partitionBy("run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    offsets = settle(counts.withColumn("run", run).withColumn("inside", inside).join(before, "run").select("bucket", (F.col("first") + F.col("inside")).alias("base")), f"{run}-offsets")
+    offsets = settle(counts.withColumn("run", step).withColumn("inside", inside).join(before, "run").select("bucket", (F.col("first") + F.col("inside")).alias("base")), f"{run}-offsets")
     mixed = (
         scattered.withColumn("part", F.expr(f"CAST(bucket * {parts}L div {n_buckets}L AS INT)"))
         .repartitionById(parts, F.col("part"))

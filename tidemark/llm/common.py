@@ -64,6 +64,14 @@ def discard_all(spark: SparkSession, prefix: str) -> None:
     remove(spark, f"{shared_dir(spark)}/{prefix}*")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that are gone when the driver collects its garbage; between the steps of a long job that keeps disks free."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes of an uncompressed settled table that every task may hold in a hash join.
 MAX_BROADCAST = 16 << 20
 

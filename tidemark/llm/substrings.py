@@ -23,8 +23,8 @@ A run of marks, with fewer than ``min_words`` words between, goes if it has ``mi
 length from which every verbatim passage is found. Shorter repeats, such as licence lines, stay. A few words over and over
 (``PERIOD``, ``LEAST_SHINGLES``) are no passage: junk of the same word in two documents isn't copied from one to the other.
 
-Words around the ends of chains and paragraphs to compare are fetched in one pass over the texts. They are not shuffled
-while the rows that ask are few enough to be broadcast (checked); beyond that they are joined by row, once. Band keys and
+Words around the ends of chains and paragraphs to compare are fetched in one pass over the texts, of which only those are
+moved that are asked for while their keys are few enough to be broadcast (checked), beyond that all, once. Band keys and
 anchors are first counted alone, and only rows of shared ones go further.
 
 Edge cases: null and empty texts have no paragraphs and stay as they are; what is repeated only
@@ -43,13 +43,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcastable, discard, discard_all, few_tasks, row_key, settle, slices, table
+from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table
 from .components import link_collisions
 from .neardup import FP, confirmed, equal_bytes, met_nodes, numbered, shared_keys, with_least
 from .shingles import mixed, shingle_set, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 12, 2
+#: Of one crowded node in SAMPLE the shingles are counted, and MAX_FREQUENT at most are told apart.
+SAMPLE, MAX_FREQUENT = 8, 100_000
 #: Words of an anchor, and of how many in a row one is chosen (a power of two). Passages of ANCHOR + WINDOW - 1 words hold one.
 ANCHOR, WINDOW = 16, 16
 #: Texts that repeat after so many words or fewer hold no anchor, and lines of fewer than LEAST_SHINGLES distinct shingles are no paragraph.
@@ -195,12 +197,15 @@ def rows_of(cut: DataFrame, keep: list[str], *columns: str) -> DataFrame:
     return zipped.select(*keep, *[f"z.{c}" for c in columns])
 
 
-def asked_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (doc_id, rid and others; settled; ids may be null) with the text of each row; rows of equal id and text come as often as they are there."""
-    renamed = asked.withColumnsRenamed({"doc_id": "asked_id", "rid": "asked_rid"})
-    renamed.settled_path = asked.settled_path
-    met = texts.join(broadcastable(renamed), (F.col("rid") == F.col("asked_rid")) & F.col("doc_id").eqNullSafe(F.col("asked_id")))
-    return met.drop("asked_id", "asked_rid")
+def asked_texts(texts: DataFrame, asked: DataFrame, run: str) -> DataFrame:
+    """asked (doc_id, rid and others; settled; ids may be null) with the text of each row; rows of equal id and text come as often as they are there.
+
+    The texts that are asked for are picked by their keys where they are read; only those are moved.
+    """
+    keys = settle(asked.select(F.col("doc_id").alias("asked_id"), F.col("rid").alias("asked_rid")), f"{run}-keys")
+    own = (F.col("rid") == F.col("asked_rid")) & F.col("doc_id").eqNullSafe(F.col("asked_id"))
+    some = texts.join(broadcastable(keys), own, "left_semi")
+    return some.join(asked.withColumnsRenamed({"doc_id": "asked_id", "rid": "asked_rid"}), own).drop("asked_id", "asked_rid")
 
 
 def met_paragraphs(cut: DataFrame, run: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -215,22 +220,41 @@ def met_paragraphs(cut: DataFrame, run: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def crowded_pairs(many: DataFrame, quoted: DataFrame, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) across components of nodes many (id, c) that may have the similarity, by prefixes of their shingles in order of rarity, and places in them."""
+    """Pairs (a, b) across components of nodes many (id, c) that may have the similarity, by prefixes of their shingles in one order, and places in them.
+
+    Any order loses no pair; shingles that are frequent in a sample of the nodes come last, so that few rows share a prefix.
+    """
+    sets = many.join(quoted, "id").select("id", "c", "text")
 
     def cut(batches):
         hashes = word_hashes()
         for batch in slices(batches):
-            sets = [shingle_set(t.encode(), SHINGLE, hashes) for t in batch.column(2).to_pylist()]
-            sizes = [len(s) for s in sets]
-            flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), lists(flat, sizes)], ["id", "c", "n", "shingles"])
-
-    sets = settle(many.join(quoted, "id").select("id", "c", "text").mapInArrow(cut, "id long, c long, n int, shingles array<long>"), f"{name}-sets")
-    each = sets.select("id", F.explode("shingles").alias("s"))
-    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
-    order = each.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("order"))
-    first = F.slice("order", 1, F.col("n") - F.expr(f"CAST(({percent} * n + 99) div 100 AS INT)") + 1)
-    rows = settle(order.join(sets.select("id", "c", "n"), "id").select("id", "c", "n", F.posexplode(first).alias("at", "o")).select("id", "c", "n", "at", "o.s"), f"{name}-prefixes")
+            own = [shingle_set(t.encode(), SHINGLE, hashes) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
+
+    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(cut, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    frequent = sorted((r.s % 2**64, r.m) for r in sample.orderBy(F.desc("m"), "s").limit(MAX_FREQUENT).collect())
+    known, times = np.array([s for s, _ in frequent], np.uint64), np.array([m for _, m in frequent], np.int64)
+
+    def prefixes(batches):
+        hashes = word_hashes()
+        for batch in slices(batches):
+            ids, components, sizes, places, firsts = [], [], [], [], [np.zeros(0, np.uint64)]
+            for i, c, t in zip(*(x.to_pylist() for x in batch.columns)):
+                s = shingle_set(t.encode(), SHINGLE, hashes)
+                rank = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.searchsorted(known, s).clip(max=len(known) - 1)
+                    rank = np.where(known[at] == s, times[at], 0)
+                first = s[np.lexsort((s, rank))][: len(s) - (percent * len(s) + 99) // 100 + 1]
+                ids += [i] * len(first)
+                components += [c] * len(first)
+                sizes += [len(s)] * len(first)
+                places += range(len(first))
+                firsts.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(components, pa.int64()), pa.array(sizes, pa.int32()), pa.array(places, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64))], ["id", "c", "n", "at", "s"])
+
+    rows = settle(sets.mapInArrow(prefixes, "id long, c long, n int, at int, s long"), f"{name}-prefixes")
     x, y = (rows.select("s", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("c", "n", "at")]) for i in "ab")
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # shingles in common, if this is the first of them
     may = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
@@ -288,10 +312,10 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
     """doc_id, rid and CHAIN of anchors that stand in an earlier document too."""
     anchors = cut.select("doc_id", "rid", F.posexplode(F.arrays_zip("anchor_at", "anchor")).alias("k", "z")).select("doc_id", "rid", "k", F.col("z.anchor_at").alias("at"), F.col("z.anchor").alias("fp"))
     shared = settle(anchors.select("fp", "doc_id").groupBy("fp").agg(*in_several()).where("several").drop("several"), f"{run}-shared")
-    hits = settle(anchors.join(broadcastable(shared), "fp"), f"{run}-hits", "zstd")
+    hits = settle(anchors.join(shared, "fp"), f"{run}-hits", "zstd")
     first = hits.where(F.col("doc_id").eqNullSafe(F.col("source"))).groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("p"))
     first = settle(first.select("fp", F.col("p.rid").alias("there_rid"), F.col("p.at").alias("there")), f"{run}-first")
-    copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).join(broadcastable(first), "fp")
+    copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).join(first, "fp")
     by_row = copies.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("k", "at", "source", "there_rid", "there")).alias("hits"))
 
     def link(batches):
@@ -349,7 +373,7 @@ def fetched(texts: DataFrame, found: DataFrame, places: DataFrame, run: str) ->
                 ["doc_id", "rid", "place", "left", "right", "id", "text", "n", *SIGNS],
             )
 
-    out = asked_texts(texts, asked).select("doc_id", "rid", "places", "spans", "text").mapInArrow(fetch, "doc_id long, rid long, place int, left binary, right binary, id long, text string, n int, " + ", ".join(f"{x} long" for x in SIGNS))
+    out = asked_texts(texts, asked, run).select("doc_id", "rid", "places", "spans", "text").mapInArrow(fetch, "doc_id long, rid long, place int, left binary, right binary, id long, text string, n int, " + ", ".join(f"{x} long" for x in SIGNS))
     out = settle(out, f"{run}-fetched", "zstd")
     # rows of equal id and text have told the same
     contexts = out.where("place IS NOT NULL").select("doc_id", "rid", "place", "left", "right").dropDuplicates(["doc_id", "rid", "place"])
@@ -380,8 +404,7 @@ def verbatim_marks(found: DataFrame, contexts: DataFrame, run: str) -> DataFrame
     for name, side, own, there in (("back", "left", "first", "there_first"), ("ahead", "right", "last", "there_last")):
         for role, keys in (("own", ("doc_id", "rid", own)), ("theirs", ("source", "there_rid", there))):
             near = contexts.select(F.col("doc_id").alias("q_id"), F.col("rid").alias("q_rid"), F.col("place").alias("q_at"), F.col(side).alias(role))
-            near.settled_path = contexts.settled_path
-            found = found.join(broadcastable(near), (F.col(keys[1]) == F.col("q_rid")) & (F.col(keys[2]) == F.col("q_at")) & F.col(keys[0]).eqNullSafe(F.col("q_id"))).drop("q_id", "q_rid", "q_at")
+            found = found.join(near, (F.col(keys[1]) == F.col("q_rid")) & (F.col(keys[2]) == F.col("q_at")) & F.col(keys[0]).eqNullSafe(F.col("q_id"))).drop("q_id", "q_rid", "q_at")
         columns = [c for c in found.columns if c not in ("own", "theirs")]
 
         def measure(batches, name=name, at=columns.index(own), there=columns.index(there), n=len(columns)):
@@ -420,11 +443,13 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
     run = f"paragraphs_{uuid.uuid4().hex}"
     cut = settle(pieces_of(texts, max(min_words, SHINGLE)), f"{run}-pieces", "zstd")
     found = anchored_chains(cut, run)
+    free_shuffles(docs.sparkSession)
     met, places, ids = met_paragraphs(cut, run)
     contexts, quoted = fetched(texts, found, places, run)
+    free_shuffles(docs.sparkSession)
     anchored = settle(verbatim_marks(found, contexts, run), f"{run}-extended")
     discard(contexts, found)
-    docs.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that are gone
+    free_shuffles(docs.sparkSession)
     paragraphs = repeated_paragraphs(cut, linked_paragraphs(met, quoted, ids, percent, run), run)
 
     def runs(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_or_empty
+from .common import slices, table, text_or_empty, tidied
 
 UND = "und"
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, per_language: int = 1_200, width: int = 96, id_col
             found, score = judge(batch.column(1).to_pylist(), batch.column(2).to_pylist(), model, languages, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(score)], schema=PREDICTED)
 
-    told = base.select("doc_id", text_or_empty("text").alias("text"), F.col("text").rlike(r"\p{L}").alias("has_letter")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    told = base.select("doc_id", text_or_empty("text").alias("text"), F.col("text").rlike(r"\p{L}").alias("has_letter")).mapInArrow(tidied(predict), "doc_id long, lang_pred string, score double")
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -216,13 +216,17 @@ def keep_known_languages(docs: DataFrame, min_score: float = 0.4, per_language:
     if not languages:
         return docs.where(letter)
 
+    place = docs.columns.index(text_col)
+
     def keep(batches):
         for batch in slices(batches):
-            _, score = judge(batch.column(1).to_pylist(), batch.column(2).to_pylist(), model, languages, width)
+            texts = [str(t) if k else "" for t, k in zip(batch.column(0).field(place).to_pylist(), batch.column(1).to_pylist())]
+            _, score = judge(texts, batch.column(1).to_pylist(), model, languages, width)
             yield batch.filter(pa.array(score >= min_score)).select([0])
 
-    asked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), F.coalesce(text, F.lit("")).alias("text"), letter.alias("letter"))
-    return asked.mapInArrow(keep, asked.select("rec").schema).select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
+    # the text is read from the record: a batch holds it once
+    asked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), letter.alias("letter"))
+    return asked.mapInArrow(tidied(keep), asked.select("rec").schema).select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

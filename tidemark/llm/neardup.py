@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcastable, discard_all, few_tasks, row_key, settle, slices, table
+from .common import broadcastable, discard_all, few_tasks, row_key, settle, slices, table, tidied
 from .components import components, link_collisions
 from .shingles import mixed, shingle_set, word_hashes
 
@@ -96,7 +96,7 @@ def prints(texts: DataFrame, n: int) -> DataFrame:
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "rid", "n", "fp1", "fp2", "regs"])
 
-    return texts.select("doc_id", "rid", "text").mapInArrow(make, PRINTS)
+    return texts.select("doc_id", "rid", "text").mapInArrow(tidied(make), PRINTS)
 
 
 #: The low byte of every register, eight to a column.
@@ -173,7 +173,7 @@ def confirmed(pairs: DataFrame, quoted: DataFrame, n: int, percent: int, name: s
     met = left.join(sides[1], "b")
     if allow is not None:
         met = met.where(allow)
-    return settle(few_tasks(met, rows, 2 * size).select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
+    return settle(few_tasks(met, rows, 2 * size).select("a", "b", "text_a", "text_b").mapInArrow(tidied(verify), "a long, b long"), f"{name}-links")
 
 
 def shared_keys(keys: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from .common import worker_cache
 class WordHashes(dict):
     """Hashes of words, kept up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

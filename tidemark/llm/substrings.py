@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table
+from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table, tidied
 from .components import link_collisions
 from .neardup import FP, confirmed, equal_bytes, met_nodes, numbered, shared_keys, with_least
 from .shingles import mixed, shingle_set, word_hashes
@@ -188,7 +188,7 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
                 ["doc_id", "rid", "at", "until", "fp1", "fp2", "keys", "anchor_at", "anchor"],
             )
 
-    return texts.select("doc_id", "rid", "text").mapInArrow(cut, CUT)
+    return texts.select("doc_id", "rid", "text").mapInArrow(tidied(cut), CUT)
 
 
 def rows_of(cut: DataFrame, keep: list[str], *columns: str) -> DataFrame:
@@ -373,7 +373,7 @@ def fetched(texts: DataFrame, found: DataFrame, places: DataFrame, run: str) ->
                 ["doc_id", "rid", "place", "left", "right", "id", "text", "n", *SIGNS],
             )
 
-    out = asked_texts(texts, asked, run).select("doc_id", "rid", "places", "spans", "text").mapInArrow(fetch, "doc_id long, rid long, place int, left binary, right binary, id long, text string, n int, " + ", ".join(f"{x} long" for x in SIGNS))
+    out = asked_texts(texts, asked, run).select("doc_id", "rid", "places", "spans", "text").mapInArrow(tidied(fetch), "doc_id long, rid long, place int, left binary, right binary, id long, text string, n int, " + ", ".join(f"{x} long" for x in SIGNS))
     out = settle(out, f"{run}-fetched", "zstd")
     # rows of equal id and text have told the same
     contexts = out.where("place IS NOT NULL").select("doc_id", "rid", "place", "left", "right").dropDuplicates(["doc_id", "rid", "place"])
@@ -497,7 +497,7 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             keep = [not s or bool(WORD.search(t.encode())) for t, s in zip(texts, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["rec", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    kept = met.mapInArrow(cut, met.select("rec", "text").schema)
+    kept = met.mapInArrow(tidied(cut), met.select("rec", "text").schema)
     kind = docs.schema[text_col].dataType
     return kept.select(*[F.col("text").cast(kind).alias(c) if c == text_col else F.col(f"rec.c{rest.index(c)}").alias(c) for c in docs.columns])
 

@@ -9,7 +9,7 @@ import pytest
 
 from tidemark.plans import queries as Q
 
-DATA = os.environ.get("TIDEMARK_DATA", "/root/testdata/sf0.001")
+DATA = os.environ.get("TIDEMARK_DATA", "/root/testdata/sf0.01")
 CHOSEN = [
     "bars_4h", "resample_timeframes", "all_indicators", "large_panel_indicators", "ind_aroon_indicator", "ind_parabolic_sar", "ind_kaufman_adaptive_moving_average", "ind_even_better_sinewave", "ind_adx", "entropy_bins",
     "signals_trend_filter", "signals_extreme_zone_oscillator", "signals_bollinger", "signals_all_primary", "signals_wide", "signals_to_long", "signals_placeholders", "family_counts", "loo_zscore", "vol_scaled_returns", "cs_scaled_returns", "cross_section_report",

@@ -65,12 +65,14 @@ def test_primary_signals():
 def test_backtests_run_every_fold(spark):
     from pyspark.sql import functions as F
 
-    from tidemark.operators.temporal import Rolling
+    from tidemark.operators.backtest import forest_backtest, logit_backtest, top_k
 
-    days = Q.whole_dataset(spark, DATA).select(F.to_date("date")).distinct().count()
-    folds = {k for k, *_ in Rolling(20, 4, 1).folds(days)}
-    oos = Q.QUERIES["logit_backtest"](spark, DATA).persist()
+    data = Q.dataset(spark, "/root/testdata/sf0.001").persist()
+    folds = {k for k, *_ in Q.WINDOWS.folds(data.select(F.to_date("date")).distinct().count())}
+    out = logit_backtest(data, splitter=Q.WINDOWS, horizons=Q.HORIZONS, max_iter=30)
+    oos = out["oos"].persist()
     assert len(folds) == 3 and {r.fold_id for r in oos.select("fold_id").distinct().collect()} == folds
-    assert {r.fold_id for r in Q.QUERIES["forest_backtest"](spark, DATA).collect()} == folds
+    forest = forest_backtest(data, splitter=Q.WINDOWS, horizons=Q.HORIZONS, trees=5)
+    assert {r.fold_id for r in forest["fold_metrics"].collect()} == folds
     groups = oos.where("y_true IS NOT NULL AND y_proba_pred IS NOT NULL").select("date", "asset", "horizon").distinct().count()
-    assert Q.QUERIES["backtest_topk"](spark, DATA).first().n_groups == groups
+    assert top_k(oos)[1].first().n_groups == groups

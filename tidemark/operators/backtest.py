@@ -20,23 +20,21 @@ def rolling_backtest(dataset: DataFrame, fit=fit_logit, splitter: Rolling = Roll
     """oos (scored test rows with ranks and their fold's dates and counts), folds, fold_metrics, metrics, errors.
 
     Every fold is run; one that fails, for whatever reason, is logged and left out. Rows are dealt to folds in one
-    projection and kept until the models are fitted; scored folds are tables until read.
+    projection and kept; scored folds are tables until read, and release() lets the rows go when they have been.
     """
     assigned = splitter.assign(dataset, horizons).persist()
-    try:
-        told = splitter.summary(assigned).orderBy("fold_id").collect()  # a row a fold
-        scored, errors = [], {}
-        for k in (r.fold_id for r in told):
-            own = assigned.where(F.col("fold_id") == k)
-            try:
-                model = fit(own.where("block = 'train'").drop("fold_id", "block"), **settings)
-                scored.append(model.score(own.where("block = 'test'").drop("block")))
-            except Exception as e:
-                log.warning("fold %s left out: %s", k, e)
-                errors[k] = str(e)[:500]
-    finally:
-        assigned.unpersist()
+    told = splitter.summary(assigned).orderBy("fold_id").collect()  # a row a fold
+    scored, errors = [], {}
+    for k in (r.fold_id for r in told):
+        own = assigned.where(F.col("fold_id") == k)
+        try:
+            model = fit(own.where("block = 'train'").drop("fold_id", "block"), **settings)
+            scored.append(model.score(own.where("block = 'test'").drop("block")))
+        except Exception as e:
+            log.warning("fold %s left out: %s", k, e)
+            errors[k] = str(e)[:500]
     if not scored:
+        assigned.unpersist()
         raise ValueError(f"no fold could be fitted: {errors}")
     spark = dataset.sparkSession
     folds = spark.createDataFrame(told, "fold_id int, train_start timestamp_ntz, train_end timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz, n_train_rows_raw long, n_train_rows_after_purge long, n_train_rows_purged long, n_test_rows long")
@@ -44,7 +42,7 @@ def rolling_backtest(dataset: DataFrame, fit=fit_logit, splitter: Rolling = Roll
     oos = reduce(DataFrame.unionByName, scored)
     oos = oos.withColumns({"y_true": F.col("target"), "y_pred": F.col("pred_class"), "y_proba_pred": F.col("pred_proba_success")}).join(F.broadcast(folds), "fold_id")
     oos = add_ranks(oos, ["date", "asset", "horizon"])
-    return {"oos": oos, "folds": folds, "fold_metrics": classification_metrics(oos, ["fold_id"]), "metrics": classification_metrics(oos), "errors": errors}
+    return {"oos": oos, "folds": folds, "fold_metrics": classification_metrics(oos, ["fold_id"]), "metrics": classification_metrics(oos), "errors": errors, "release": assigned.unpersist}
 
 
 def logit_backtest(dataset: DataFrame, **options) -> dict:

@@ -529,9 +529,16 @@ def log_odds(spark, sf_dir):
 WINDOWS = Rolling(20, 4, 1)
 
 
+def stored_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whole_dataset, written once to the shared folder: every fit reads it several times."""
+    place = place_for(spark, "dataset")
+    whole_dataset(spark, sf_dir).write.parquet(place)
+    return spark.read.parquet(place)
+
+
 def fold_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The dataset before and after a gap of two days, two thirds into its calendar."""
-    x = whole_dataset(spark, sf_dir)
+    x = stored_dataset(spark, sf_dir)
     days = x.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.expr("date_trunc('day', a + (b - a) * 2 / 3)").alias("at"), F.expr("date_trunc('day', a + (b - a) * 2 / 3) + INTERVAL '2' DAY").alias("later"))
     first, then = days.first()
     return x.where(F.col("date") < F.lit(first).cast("timestamp_ntz")), x.where(F.col("date") >= F.lit(then).cast("timestamp_ntz"))
@@ -539,30 +546,30 @@ def fold_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("logit_backtest")
 def logit(spark, sf_dir):
-    return logit_backtest(whole_dataset(spark, sf_dir), splitter=WINDOWS, horizons=HORIZONS)["oos"].select("date", "asset", "indicator_name", "horizon", "fold_id", "y_true", "y_pred", "y_proba_pred", "rank_pred_proba", "train_start", "train_end", "test_start", "test_end", "n_train_rows_after_purge")
+    return logit_backtest(stored_dataset(spark, sf_dir), splitter=WINDOWS, horizons=HORIZONS, max_iter=50)["oos"].select("date", "asset", "indicator_name", "horizon", "fold_id", "y_true", "y_pred", "y_proba_pred", "rank_pred_proba", "train_start", "train_end", "test_start", "test_end", "n_train_rows_after_purge")
 
 
 @query("forest_backtest")
 def forest(spark, sf_dir):
-    return forest_backtest(whole_dataset(spark, sf_dir), splitter=WINDOWS, horizons=HORIZONS, trees=40)["fold_metrics"]
+    return forest_backtest(stored_dataset(spark, sf_dir), splitter=WINDOWS, horizons=HORIZONS, trees=40)["fold_metrics"]
 
 
 @query("horizon_backtests")
 def horizon_backtests(spark, sf_dir):
     """One backtest a horizon; their metrics."""
-    runs = by_horizon(whole_dataset(spark, sf_dir), logit_backtest, HORIZONS, splitter=WINDOWS)
+    runs = by_horizon(stored_dataset(spark, sf_dir), logit_backtest, HORIZONS, splitter=WINDOWS, max_iter=50)
     return horizon_metrics(runs)
 
 
 @query("backtest_topk")
 def backtest_topk(spark, sf_dir):
-    out = rolling_backtest(whole_dataset(spark, sf_dir), fit_logit, WINDOWS, HORIZONS)
+    out = rolling_backtest(stored_dataset(spark, sf_dir), fit_logit, WINDOWS, HORIZONS, max_iter=50)
     return top_k(out["oos"])[1]
 
 
 @query("logit_grid")
 def logits(spark, sf_dir):
-    return grid(fit_logit, *fold_rows(spark, sf_dir), {"penalty": ["l2", "l1", "elasticnet"], "C": [0.05, 1.0], "l1_ratio": [0.5]})
+    return grid(fit_logit, *fold_rows(spark, sf_dir), {"penalty": ["l2", "l1", "elasticnet"], "C": [0.05, 1.0], "l1_ratio": [0.5]}, {"max_iter": 50})
 
 
 @query("forest_grid")

@@ -216,17 +216,19 @@ def keep_known_languages(docs: DataFrame, min_score: float = 0.4, per_language:
     if not languages:
         return docs.where(letter)
 
-    place = docs.columns.index(text_col)
+    place, n = docs.columns.index(text_col), len(docs.columns)
 
     def keep(batches):
         for batch in slices(batches):
-            texts = [str(t) if k else "" for t, k in zip(batch.column(0).field(place).to_pylist(), batch.column(1).to_pylist())]
-            _, score = judge(texts, batch.column(1).to_pylist(), model, languages, width)
-            yield batch.filter(pa.array(score >= min_score)).select([0])
-
-    # the text is read from the record: a batch holds it once
-    asked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), letter.alias("letter"))
-    return asked.mapInArrow(tidied(keep), asked.select("rec").schema).select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])
+            letters = batch.column(n).to_pylist()
+            texts = [str(t) if k else "" for t, k in zip(batch.column(place).to_pylist(), letters)]
+            _, score = judge(texts, letters, model, languages, width)
+            yield batch.filter(pa.array(score >= min_score)).select(list(range(n)))
+
+    # columns travel by number, whatever their names, and the text once
+    asked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], letter.alias("letter"))
+    kept = asked.mapInArrow(tidied(keep), asked.drop("letter").schema)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

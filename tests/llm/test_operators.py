@@ -301,6 +301,69 @@ def test_passages_equal_brute_force(spark):
     assert wanted > 1000 and found >= 0.99 * wanted
 
 
+def test_what_goes_is_verbatim_elsewhere_and_what_repeats_goes(spark):
+    """Default settings, no lines: passages of over 50 words at any offset, some of them around periodic filler of equal length."""
+    import random
+
+    r = random.Random(5)
+    prose = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
+    rows, planted = [], {}
+    for i in range(80):
+        passage = prose(r.randint(51, 90))
+        for k in (2 * i, 2 * i + 1):
+            before = prose(r.randint(0, 60))
+            middle = [("that", "no")[k % 2]] * 60 if i % 4 == 0 else []
+            half = len(passage) // 2
+            part = passage[:half] + passage[:half] + middle + passage if i % 4 == 0 else passage
+            rows.append((k, " ".join(before + part + prose(r.randint(0, 60)))))
+            planted[k] = (len(before), len(part), middle)
+    words = dict((k, t.split()) for k, t in rows)
+    earlier = {}
+    for k, w in words.items():
+        for p in range(len(w) - 7):
+            earlier.setdefault(tuple(w[p : p + 8]), k)
+    spans = {x.doc_id: [(s["at"], s["until"]) for s in x.spans] for x in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = wanted = 0
+    for k, w in words.items():
+        gone = {p for x, y in spans.get(k, []) for p in range(x, y)}
+        covered = {p + j for p in range(len(w) - 7) if earlier[tuple(w[p : p + 8])] < k for j in range(8)}
+        assert gone <= covered, (k, sorted(gone - covered))
+        if k % 2 and not planted[k][2]:
+            own = set(range(planted[k][0], planted[k][0] + planted[k][1]))
+            wanted, found = wanted + len(own), found + len(own & gone)
+        assert not k % 2 == 0 or not gone
+    assert found >= 0.95 * wanted
+
+
+def test_pages_of_one_template_make_few_pairs(spark):
+    """Documents that share half their shingles, none of them links: pairs that are compared don't grow with the square of their number."""
+    made = {}
+    for n in (200, 400):
+        head = " ".join(f"head{i}" for i in range(60))
+        rows = [(i, i, head + " " + " ".join(f"own{i}x{j}" for j in range(60))) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, c long, text string")
+        pairs = components.crowded_pairs(df.select("id", "c"), df.select("id", "text"), 80, 2, f"template-{n}")
+        made[n] = pairs.count()
+        assert neardup.near_duplicates(df.select(F.col("id").alias("doc_id"), "text"), n=2).where("NOT kept").count() == 0
+    assert made[400] <= 4 * 400
+
+
+def test_filler_between_equal_passages_stays(spark):
+    same = [" ".join(f"{c}{i}" for i in range(45)) for c in "pq"]
+    rows = [(k, f"{same[0]} {' '.join([w] * 60)} {same[1]}") for k, w in ((1, "that"), (2, "no"))]
+    found = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(x.doc_id, [(s["at"], s["until"]) for s in x.spans]) for x in found] == [(2, [(0, 45), (105, 150)])]
+
+
+def test_short_paragraphs_go_if_asked(spark):
+    line = " ".join(f"licence{i}" for i in range(25))
+    rows = [(k, f"own{k} words\n{line}\nmore{k}") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substrings.repeated_spans(df).count() == 0
+    got = substrings.repeated_spans(df, min_paragraph=8).collect()
+    assert sorted((x.doc_id, [(s["at"], s["until"]) for s in x.spans]) for x in got) == [(k, [(2, 27)]) for k in range(1, 6)]
+
+
 def brute_hits(rows, items, window=10):
     low, word = str.maketrans(string.ascii_uppercase, string.ascii_lowercase), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = defaultdict(set)

@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcastable, discard, few_tasks, settle
-from .shingles import shingle_set, word_hashes
+from .common import broadcastable, discard, few_tasks, settle, slices
+from .shingles import mostly_in, shingle_list, shingle_set, word_hashes
 
 #: From so many nodes on, a component is compared in blocks of BLOCK texts; keys of CROWD nodes or more are left to crowded, where it is given.
 BIG, BLOCK, CROWD = 48, 48, 32
+#: Of one crowded node in SAMPLE the shingles are counted, and MAX_FREQUENT at most are told apart.
+SAMPLE, MAX_FREQUENT = 8, 100_000
 
 
 def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
@@ -61,7 +63,7 @@ def in_blocks(rows: DataFrame, size: str, texts: DataFrame, side: str) -> DataFr
     return dealt.groupBy("big", side).agg(F.collect_list("id").alias(f"{side}_ids"), F.collect_list("text").alias(f"{side}_texts"))
 
 
-def links_to_big(asked: DataFrame, found: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int, shingle: int, name: str) -> DataFrame:
+def links_to_big(asked: DataFrame, found: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int, shingle: int, name: str, whole: bool = False) -> DataFrame:
     """Links (a, b) of asked (id, big) to members of large components: all of a component's members are looked at, block by block.
 
     Blocks of asked texts meet blocks of members in one row each; a posting list a shingle counts what all
@@ -90,6 +92,9 @@ def links_to_big(asked: DataFrame, found: DataFrame, sizes: DataFrame, texts: Da
                     hits = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
                     shared = np.bincount(owner[hits], minlength=len(own))
                     linked = np.flatnonzero(100 * shared >= percent * (sizes + len(s) - shared))
+                    if whole and len(linked):
+                        places = shingle_list(t.encode(), shingle, hashes)
+                        linked = [k for k in linked if mostly_in(places, shingle_list(y_texts[k].encode(), shingle, hashes), percent)][:1]
                     if len(linked):
                         found_a.append(x)
                         found_b.append(ys[linked[0]])
@@ -98,7 +103,49 @@ def links_to_big(asked: DataFrame, found: DataFrame, sizes: DataFrame, texts: Da
     return settle(sent.join(right, ["big", "y"]).select("x_ids", "x_texts", "y_ids", "y_texts").mapInArrow(compare, "a long, b long"), f"{name}-links")
 
 
-def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: DataFrame, shingle: int, carry: tuple[str, ...] = (), alike=None, crowded=None) -> DataFrame:
+def crowded_pairs(many: DataFrame, quoted: DataFrame, percent: int, shingle: int, name: str) -> DataFrame:
+    """Pairs (a, b) across components of nodes many (id, c) that may have the similarity, by prefixes of their shingles in one order, and places in them.
+
+    Any order loses no pair; shingles that are frequent in a sample of the nodes come last, so that few rows share a prefix.
+    """
+    sets = many.join(quoted, "id").select("id", "c", "text")
+
+    def cut(batches):
+        hashes = word_hashes()
+        for batch in slices(batches):
+            own = [shingle_set(t.encode(), shingle, hashes) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
+
+    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(cut, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    frequent = sorted((r.s % 2**64, r.m) for r in sample.orderBy(F.desc("m"), "s").limit(MAX_FREQUENT).collect())
+    known, times = np.array([s for s, _ in frequent], np.uint64), np.array([m for _, m in frequent], np.int64)
+
+    def prefixes(batches):
+        hashes = word_hashes()
+        for batch in slices(batches):
+            ids, components, sizes, places, firsts = [], [], [], [], [np.zeros(0, np.uint64)]
+            for i, c, t in zip(*(x.to_pylist() for x in batch.columns)):
+                s = shingle_set(t.encode(), shingle, hashes)
+                rank = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.searchsorted(known, s).clip(max=len(known) - 1)
+                    rank = np.where(known[at] == s, times[at], 0)
+                first = s[np.lexsort((s, rank))][: len(s) - (percent * len(s) + 99) // 100 + 1]
+                ids += [i] * len(first)
+                components += [c] * len(first)
+                sizes += [len(s)] * len(first)
+                places += range(len(first))
+                firsts.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(components, pa.int64()), pa.array(sizes, pa.int32()), pa.array(places, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64))], ["id", "c", "n", "at", "s"])
+
+    rows = settle(sets.mapInArrow(prefixes, "id long, c long, n int, at int, s long"), f"{name}-prefixes")
+    x, y = (rows.select("s", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("c", "n", "at")]) for i in "ab")
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # shingles in common, if this is the first of them
+    may = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    return x.join(y, "s").where(may).select("a", "b").distinct()
+
+
+def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: DataFrame, shingle: int, carry: tuple[str, ...] = (), alike=None, crowded=None, whole: bool = False) -> DataFrame:
     """id, component from met (key, id, n, low, n_low): nodes of n members that share a key, and the key's least node.
 
     First each node is held against the least of its keys: stars, not all pairs. Confirmed links give
@@ -107,6 +154,7 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     confirm(pairs (a, b), name) returns the pairs that are links; b is the side that may recur without bound.
     alike, of the columns carry of both sides (ending in _a and _b), rules out pairs in the search itself.
     crowded(nodes (id, c: component), name), if given, finds the pairs of nodes that share a key of many: all that may be links.
+    whole: of both texts so many places as of their sets must agree, as confirm() sees to for the others.
     texts has id and text.
     """
     rows = met.count()
@@ -123,7 +171,7 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     big = few_tasks(known.where("size > 0").select("key", F.col("c").alias("big"), F.col("size").alias("big_size")).distinct(), rows)
     asked = known.join(big, "key").where((F.col("c") != F.col("big")) & ((F.col("size") < F.col("big_size")) | ((F.col("size") == F.col("big_size")) & (F.col("c") > F.col("big")))))
     asked = settle(few_tasks(asked.select("id", "big").distinct(), rows), f"{name}-asked")
-    across_big = links_to_big(asked, found, sizes, texts, percent, shingle, f"{name}-big")
+    across_big = links_to_big(asked, found, sizes, texts, percent, shingle, f"{name}-big", whole)
 
     loose = known.where("size = 0")
     if crowded is not None:

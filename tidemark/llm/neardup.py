@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcastable, discard_all, few_tasks, row_key, settle, slices, table, tidied
-from .components import components, link_collisions
-from .shingles import mixed, shingle_set, word_hashes
+from .components import components, crowded_pairs, link_collisions
+from .shingles import mixed, mostly_in, shingle_list, shingle_set, word_hashes
 
 BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 7, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
@@ -151,8 +151,8 @@ def mean_bytes(quoted: DataFrame) -> int:
     return 64 + int(quoted.agg(F.avg(F.octet_length("text"))).first()[0] or 0)
 
 
-def confirmed(pairs: DataFrame, quoted: DataFrame, n: int, percent: int, name: str, allow=None) -> DataFrame:
-    """Pairs (a, b) of ids of quoted (id, text) whose full shingle sets have the similarity. b is the side that may recur without bound."""
+def confirmed(pairs: DataFrame, quoted: DataFrame, n: int, percent: int, name: str, allow=None, whole: bool = False) -> DataFrame:
+    """Pairs (a, b) of ids of quoted (id, text) whose full shingle sets have the similarity, and with whole as many of their places. b is the side that may recur without bound."""
     pairs = settle(pairs, f"{name}-pairs")
     rows, size = pairs.count(), mean_bytes(quoted)
     sides = [quoted.select(*[F.col(c).alias({"id": x}.get(c, f"{c}_{x}")) for c in quoted.columns]) for x in "ab"]
@@ -166,7 +166,8 @@ def confirmed(pairs: DataFrame, quoted: DataFrame, n: int, percent: int, name: s
                     last, known = b, shingle_set(text_b.encode(), n, hashes)
                 own = shingle_set(text_a.encode(), n, hashes)
                 shared = len(own) + len(known) - len(np.union1d(own, known))
-                keep.append(100 * shared >= percent * (len(own) + len(known) - shared))
+                alike = 100 * shared >= percent * (len(own) + len(known) - shared)
+                keep.append(alike and (not whole or mostly_in(shingle_list(text_a.encode(), n, hashes), shingle_list(text_b.encode(), n, hashes), percent)))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     left = few_tasks(pairs.join(sides[0], "a"), rows, size)
@@ -239,7 +240,7 @@ def search(docs: DataFrame, n: int, percent: int, run: str) -> tuple[DataFrame,
     def confirm(pairs: DataFrame, at: str) -> DataFrame:
         return confirmed(estimated(pairs, told, percent), quoted, n, percent, f"{run}-{at}")
 
-    final = link_collisions(signed, percent, confirm, run, quoted, n, SIGNS, agree_enough(percent))
+    final = link_collisions(signed, percent, confirm, run, quoted, n, SIGNS, agree_enough(percent), lambda many, name: crowded_pairs(many, quoted, percent, n, name))
     linked = settle(final.join(broadcastable(ids), "id").select(*FP, F.col("component").alias("c")), f"{run}-linked")
     # groups: components of several sets, and single sets; those of one document need no row
     placed = sets.select("doc_id", *FP).join(broadcastable(linked), FP, "left")

@@ -36,8 +36,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text (UTF-8), A-Z lower-cased, words split at ASCII white space."""
+def shingle_list(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the n-word shingles of a text (UTF-8) in their order, A-Z lower-cased, words split at ASCII white space."""
     words = np.array(list(map(hashes.__getitem__, text.lower().split())), np.uint64)
     if not len(words):
         return words
@@ -46,4 +46,14 @@ def shingle_set(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
         h = words[: len(words) - n + 1] + np.uint64(n)
         for i in range(1, n):
             h = mixed(h) * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i]
-    return np.unique(mixed(h))
+    return mixed(h)
+
+
+def shingle_set(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles of a text."""
+    return np.unique(shingle_list(text, n, hashes))
+
+
+def mostly_in(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether so many per cent of the places of either list hold what the other has: sets of texts that repeat themselves say little of their words."""
+    return all(100 * np.isin(a, b).sum() >= percent * len(a) for a, b in ((x, y), (y, x)))

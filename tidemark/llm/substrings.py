@@ -6,7 +6,8 @@ of them with odds 5e-6 (1 - 0.8^2, twelve times over).
 
 1. Equal paragraphs are one node, by a 128-bit fingerprint of their words.
 2. Nodes that share a band key are linked as in near-duplicate search: stars first, then pairs across components, each
-   confirmed by exact Jaccard similarity of the full sets, 0.8 or more. Of 64 further min-hashes, a byte each, 33 must
+   confirmed by exact Jaccard similarity of the full sets, 0.8 or more; of their places as many must agree too, since
+   filler that repeats itself counts little in a set. Of 64 further min-hashes, a byte each, 33 must
    agree before a pair is compared (at 0.8: all but 8e-8), so that phrases common to unlike paragraphs stay cheap. Under a
    key of many nodes, such as variants of one line, pairs are made by the shingles that are rarest among those nodes and by
    their places in that order: sets of similarity 0.8 share one of the first fifth, early enough. That rule loses no pair.
@@ -44,14 +45,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table, tidied
-from .components import link_collisions
+from .components import crowded_pairs, link_collisions
 from .neardup import FP, confirmed, equal_bytes, met_nodes, numbered, shared_keys, with_least
 from .shingles import mixed, shingle_set, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 12, 2
-#: Of one crowded node in SAMPLE the shingles are counted, and MAX_FREQUENT at most are told apart.
-SAMPLE, MAX_FREQUENT = 8, 100_000
 #: Words of an anchor, and of how many in a row one is chosen (a power of two). Passages of ANCHOR + WINDOW - 1 words hold one.
 ANCHOR, WINDOW = 16, 16
 #: Texts that repeat after so many words or fewer hold no anchor, and lines of fewer than LEAST_SHINGLES distinct shingles are no paragraph.
@@ -219,48 +218,6 @@ def met_paragraphs(cut: DataFrame, run: str) -> tuple[DataFrame, DataFrame, Data
     return met.join(broadcastable(ids), FP).select("key", "id"), places, ids
 
 
-def crowded_pairs(many: DataFrame, quoted: DataFrame, percent: int, name: str) -> DataFrame:
-    """Pairs (a, b) across components of nodes many (id, c) that may have the similarity, by prefixes of their shingles in one order, and places in them.
-
-    Any order loses no pair; shingles that are frequent in a sample of the nodes come last, so that few rows share a prefix.
-    """
-    sets = many.join(quoted, "id").select("id", "c", "text")
-
-    def cut(batches):
-        hashes = word_hashes()
-        for batch in slices(batches):
-            own = [shingle_set(t.encode(), SHINGLE, hashes) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
-
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(cut, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    frequent = sorted((r.s % 2**64, r.m) for r in sample.orderBy(F.desc("m"), "s").limit(MAX_FREQUENT).collect())
-    known, times = np.array([s for s, _ in frequent], np.uint64), np.array([m for _, m in frequent], np.int64)
-
-    def prefixes(batches):
-        hashes = word_hashes()
-        for batch in slices(batches):
-            ids, components, sizes, places, firsts = [], [], [], [], [np.zeros(0, np.uint64)]
-            for i, c, t in zip(*(x.to_pylist() for x in batch.columns)):
-                s = shingle_set(t.encode(), SHINGLE, hashes)
-                rank = np.zeros(len(s), np.int64)
-                if len(known):
-                    at = np.searchsorted(known, s).clip(max=len(known) - 1)
-                    rank = np.where(known[at] == s, times[at], 0)
-                first = s[np.lexsort((s, rank))][: len(s) - (percent * len(s) + 99) // 100 + 1]
-                ids += [i] * len(first)
-                components += [c] * len(first)
-                sizes += [len(s)] * len(first)
-                places += range(len(first))
-                firsts.append(first)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(components, pa.int64()), pa.array(sizes, pa.int32()), pa.array(places, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64))], ["id", "c", "n", "at", "s"])
-
-    rows = settle(sets.mapInArrow(prefixes, "id long, c long, n int, at int, s long"), f"{name}-prefixes")
-    x, y = (rows.select("s", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("c", "n", "at")]) for i in "ab")
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # shingles in common, if this is the first of them
-    may = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & (most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-    return x.join(y, "s").where(may).select("a", "b").distinct()
-
-
 def linked_paragraphs(met: DataFrame, quoted: DataFrame, ids: DataFrame, percent: int, run: str) -> DataFrame:
     """fp1, fp2, c1, c2: paragraphs that are similar to others but not equal, and the fingerprint that stands for their component."""
     rows = met.count()
@@ -269,9 +226,9 @@ def linked_paragraphs(met: DataFrame, quoted: DataFrame, ids: DataFrame, percent
     written, texts = quoted.select("id", "text", *SIGNS), quoted.select("id", "text")
 
     def confirm(pairs: DataFrame, at: str) -> DataFrame:
-        return confirmed(pairs, written, SHINGLE, percent, f"{run}-{at}", alike(percent))
+        return confirmed(pairs, written, SHINGLE, percent, f"{run}-{at}", alike(percent), whole=True)
 
-    final = link_collisions(signed, percent, confirm, run, texts, SHINGLE, SIGNS, alike(percent), lambda many, name: crowded_pairs(many, texts, percent, name))
+    final = link_collisions(signed, percent, confirm, run, texts, SHINGLE, SIGNS, alike(percent), lambda many, name: crowded_pairs(many, texts, percent, SHINGLE, name), whole=True)
     named = ids.select(F.col("id").alias("component"), F.col("fp1").alias("c1"), F.col("fp2").alias("c2"))
     return settle(few_tasks(final.join(ids, "id").join(named, "component"), rows).select(*FP, "c1", "c2"), f"{run}-linked")
 
@@ -292,11 +249,14 @@ def repeated_paragraphs(cut: DataFrame, linked: DataFrame, run: str) -> DataFram
 
 
 def chains(hits: list[dict]) -> list[tuple]:
-    """(source, its row, first and last place here, first and last place there) of neighbouring anchors at equal distances, from hits in order of k."""
+    """(source, its row, first and last place here, first and last place there) of neighbouring anchors at equal distances, from hits in order of k.
+
+    Anchors of a verbatim stretch are WINDOW words apart at most, so that they cover it; where they are further apart (those of periodic text were dropped) another chain begins.
+    """
     out, last = [], None
     for h in sorted(hits, key=lambda h: h["k"]):
         where = (h["source"], h["there_rid"], h["at"] - h["there"])
-        if last and last["k"] + 1 == h["k"] and tuple(out[-1][:2]) == where[:2] and last["at"] - last["there"] == where[2]:
+        if last and last["k"] + 1 == h["k"] and tuple(out[-1][:2]) == where[:2] and last["at"] - last["there"] == where[2] and h["at"] - last["at"] <= WINDOW:
             out[-1][3], out[-1][5] = h["at"], h["there"]
         else:
             out.append([h["source"], h["there_rid"], h["at"], h["at"], h["there"], h["there"]])
@@ -332,8 +292,8 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
 
 
 def word_codes(words: list[bytes], hashes) -> np.ndarray:
-    """Two bytes a word."""
-    return np.array(list(map(hashes.__getitem__, words)), np.uint64).astype(np.uint16)
+    """Four bytes a word: two words are taken for one with odds of 2e-10."""
+    return np.array(list(map(hashes.__getitem__, words)), np.uint64).astype(np.uint32)
 
 
 def fetched(texts: DataFrame, found: DataFrame, places: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
@@ -392,7 +352,7 @@ def same_words(x: np.ndarray, y: np.ndarray) -> int:
 
 def reach(own: bytes, theirs: bytes, before: int | None = None, before_there: int = 0) -> int:
     """How many words agree from an anchor on (before is None), or in front of it; -1 if the anchors themselves don't. Codes begin at the anchor, or so many words before it."""
-    x, y = np.frombuffer(own, np.uint16), np.frombuffer(theirs, np.uint16)
+    x, y = np.frombuffer(own, np.uint32), np.frombuffer(theirs, np.uint32)
     ahead = same_words(x[before or 0 :], y[before_there:])
     if ahead < ANCHOR:
         return -1
@@ -437,8 +397,20 @@ def merged_runs(marks: list[tuple], min_words: int, min_run: int) -> tuple[list[
     return runs, sources
 
 
-def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_run: int = ANCHOR + WINDOW - 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rid (hash of id and text), spans: array of (at, until), words to remove counted from 0, words removed, sources: doc_ids that keep the passages."""
+def removed_runs(paragraphs: list[tuple], anchored: list[tuple], min_words: int, min_run: int, min_paragraph: int) -> tuple[list[tuple[int, int]], set]:
+    """Runs of marks of both kinds, and paragraphs of min_paragraph words or more whatever stands around them."""
+    runs, sources = merged_runs([*paragraphs, *anchored], min_words, min_run)
+    if min_paragraph < min_run:
+        alone = [m for m in paragraphs if m[1] - m[0] >= min_paragraph]
+        runs, _ = merged_runs([*[(x, y, None) for x, y in runs], *alone], 1, 1)
+        sources |= {m[2] for m in alone if m[2] is not None}
+    return runs, sources
+
+
+def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_run: int = ANCHOR + WINDOW - 1, min_paragraph: int = ANCHOR + WINDOW - 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """min_run words in a row are a passage; a paragraph that repeats goes from min_paragraph words on (min_words takes all that are compared, licence lines too).
+
+    Returns doc_id, rid (hash of id and text), spans: array of (at, until), words to remove counted from 0, words removed, sources: doc_ids that keep the passages."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("text").isNotNull()).select("doc_id", row_key().alias("rid"), "text")
     run = f"paragraphs_{uuid.uuid4().hex}"
     cut = settle(pieces_of(texts, max(min_words, SHINGLE)), f"{run}-pieces", "zstd")
@@ -456,7 +428,8 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
         for batch in slices(batches):
             spans, words, sources = [], [], []
             for marks, more in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own, told = merged_runs([tuple(m[k] for k in ("at", "until", "source")) for m in [*(marks or ()), *(more or ())]], min_words, min_run)
+                both = [[tuple(m[k] for k in ("at", "until", "source")) for m in x or ()] for x in (marks, more)]
+                own, told = removed_runs(*both, min_words, min_run, min_paragraph)
                 spans.append([{"at": x, "until": y} for x, y in own])
                 words.append(sum(y - x for x, y in own))
                 sources.append(sorted(told))

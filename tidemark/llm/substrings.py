@@ -272,10 +272,11 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
     """doc_id, rid and CHAIN of anchors that stand in an earlier document too."""
     anchors = cut.select("doc_id", "rid", F.posexplode(F.arrays_zip("anchor_at", "anchor")).alias("k", "z")).select("doc_id", "rid", "k", F.col("z.anchor_at").alias("at"), F.col("z.anchor").alias("fp"))
     shared = settle(anchors.select("fp", "doc_id").groupBy("fp").agg(*in_several()).where("several").drop("several"), f"{run}-shared")
-    hits = settle(anchors.join(shared, "fp"), f"{run}-hits", "zstd")
+    # both sides grow with the texts: a shuffle at every size
+    hits = settle(anchors.join(shared.hint("merge"), "fp"), f"{run}-hits", "zstd")
     first = hits.where(F.col("doc_id").eqNullSafe(F.col("source"))).groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("p"))
     first = settle(first.select("fp", F.col("p.rid").alias("there_rid"), F.col("p.at").alias("there")), f"{run}-first")
-    copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).join(first, "fp")
+    copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).join(first.hint("merge"), "fp")
     by_row = copies.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("k", "at", "source", "there_rid", "there")).alias("hits"))
 
     def link(batches):

@@ -117,6 +117,19 @@ class Rolling:
         placed = rows.withColumn("block", F.when(in_train, F.when(p + F.col("__steps") < e, "train").otherwise("purged")).when(in_test, "test"))
         return placed.where(F.col("block").isNotNull()).drop("__steps", "__n", "__end", "pos", "__day")
 
+    def train_spans(self, df: DataFrame, horizons=HORIZONS, date: str = "date") -> DataFrame:
+        """df with __lo and __hi, the first and last fold that a row trains (none: __lo is the greater): what assign() tells by rows, as an interval."""
+        day = F.date_trunc("day", F.col(date)).cast("timestamp_ntz")
+        known = df.withColumns({"__day": day, "__steps": steps_of(horizons)}).where(F.col("__steps").isNotNull())
+        days = calendar(known.select(F.col("__day")), "__day")
+        total = days.agg((F.max("pos") + 1).alias("__n"))
+        p, n = F.col("pos"), F.col("__n")
+        last = F.floor((n - 1 - self.train - self.embargo) / F.lit(self.test))
+        met = known.join(days, "__day").join(F.broadcast(total))
+        low = F.greatest(F.lit(0), F.floor((p + F.col("__steps") - self.train) / F.lit(self.test)) + 1)
+        high = F.when(n > self.train + self.embargo, F.least(last, F.floor(p / F.lit(self.test)))).otherwise(-1)
+        return met.withColumns({"__lo": low.cast("int"), "__hi": high.cast("int")}).drop("__steps", "__n", "pos", "__day")
+
     def summary(self, assigned: DataFrame, date: str = "date") -> DataFrame:
         """One row a fold: first and last dates and rows of its blocks."""
         of = lambda b: F.col("block") == b

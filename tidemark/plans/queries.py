@@ -14,6 +14,7 @@ from ..operators.dataset import dataset_summary, duplicate_keys, regression_data
 from ..operators.indicators import catalogue, compute_indicators
 from ..operators.ml import cross_sectional_scale, fit_forest, fit_logit, grid, sparsity
 from ..operators.reshape import add_target, add_targets, dataset_order, signals_to_long, targets_to_long, wide_dataset
+from ..operators.scan import add_segmented
 from ..operators.signals import add_signals, families_of, family_counts, leave_one_out, wide_signals
 from ..operators.targets import alignment_report, cross_scaled_returns, cross_section_report, future_returns, target_report, targets_long, validate_alignment, vol_scaled_returns
 from ..operators.temporal import Rolling, block, calendar, expanding_folds, fixed_split, prepared, purge, split_summary
@@ -595,6 +596,24 @@ def importances(spark, sf_dir):
     return spark.createDataFrame(model.weights(), "feature string, importance double")
 
 
+TICK_MEANS = {"ema_20": ("ema", "close", 20), "wilder_14": ("wilder", "close", 14), "macd_line_12_26": ("difference", "fast", "slow"), "macd_signal_9": ("ema", "macd_line_12_26", 9), "rsi_14": ("rsi", 14), "rsx_14": ("rsx", 14, 5)}
+_TICKS = "bars AS (SELECT event_type AS asset, ts AS date, value AS close FROM events)"
+_TICK_STAGES = [
+    {"ema_20": O.ema("close", 20), "wilder_14": O.wilder("close", 14), "fast": O.ema("close", 12), "slow": O.ema("close", 26), "smooth": O.ema("close", 5)}, {"macd_line_12_26": "fast - slow"}, {"macd_signal_9": O.ema("macd_line_12_26", 9)},
+    *O.rsi_stages("close"), {"rsi_14": "rsi_value"}, {"d2": f"smooth - {O.lag('smooth')}"}, {"g2": "CASE WHEN d2 IS NOT NULL THEN greatest(d2, 0) END", "l2": "CASE WHEN d2 IS NOT NULL THEN greatest(-d2, 0) END"}, {"ag2": O.wilder("g2", 14), "al2": O.wilder("l2", 14)},
+    {"s2": "CASE WHEN ag2 IS NULL OR al2 IS NULL THEN NULL WHEN ag2 = 0 AND al2 = 0 THEN 50 WHEN al2 = 0 THEN 100 ELSE 100 * ag2 / (ag2 + al2) END"}, {"rsx_14": O.ema("s2", 5)},
+]
+_TICK_SQL = O.staged(_TICKS, _TICK_STAGES)
+
+
+@query("tick_means", f"WITH {_TICK_SQL[0]} SELECT asset, date, {O.rounded(list(TICK_MEANS))} FROM {_TICK_SQL[1]}")
+def tick_means(spark, sf_dir):
+    """Recursive means over every tick of each event type, a series cut into slices that are worked on apart."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("asset"), F.col("ts").alias("date"), F.col("value").cast("double").alias("close"))
+    wanted = {"fast": ("ema", "close", 12), "slow": ("ema", "close", 26), **TICK_MEANS}
+    return rounded(add_segmented(ticks, Panel(), wanted).select("asset", "date", *TICK_MEANS))
+
+
 @query("stream_bars", f"WITH {O.event_bars(4)} SELECT asset, date, {O.rounded(['open', 'high', 'low', 'close', 'volume'])} FROM bars")
 def streamed(spark, sf_dir):
     """The 4-hour bars again, from a stream run over what there is."""

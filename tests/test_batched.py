@@ -83,9 +83,9 @@ def test_corners_are_met(data, rows, penalty, share):
 
 
 def test_backtest_equals_the_one_by_one_fits(data):
-    from tidemark.operators.backtest import logit_backtest
+    from tidemark.operators.backtest import rolling_backtest
 
-    out, one = batched.backtest_batched(data, WINDOWS, HORIZONS, C=0.5), logit_backtest(data, splitter=WINDOWS, horizons=HORIZONS, C=0.5)
+    out, one = batched.backtest_batched(data, WINDOWS, HORIZONS, C=0.5), rolling_backtest(data, ml.fit_logit, WINDOWS, HORIZONS, penalty="l2", C=0.5)
     assert set(out["oos"].columns) == set(one["oos"].columns)
     key = ["fold_id", "date", "asset"]
     a, b = (x["oos"].toPandas().sort_values(key).reset_index(drop=True) for x in (out, one))

@@ -53,6 +53,21 @@ def test_short_series_and_zero_prices(spark):
     assert x["kama_10_2_30"].isna().all() and x["sma_10"].isna().all() and np.isfinite(x["simple_return_1"].dropna()).all()
 
 
+def test_kama_at_full_speed():
+    """With fast=1 a steady trend leaves nothing of the mean before: it is the price."""
+    from tidemark.operators.recursive import kama, linear_recurrence
+
+    got = kama(pd.Series([float(i) for i in range(1, 41)]), 10, 1, 30)
+    assert got.iloc[9] == 5.5 and got.iloc[10:].tolist() == [float(i) for i in range(11, 41)]
+    r = np.random.default_rng(0)
+    keep, add = np.where(r.random(300) < 0.2, 0.0, r.random(300)), r.normal(size=300)
+    want, y = [], 2.0
+    for k, a in zip(keep, add):
+        y = k * y + a
+        want.append(y)
+    np.testing.assert_allclose(linear_recurrence(2.0, keep, add), want, rtol=1e-12)
+
+
 def test_ema_carries_over_gaps():
     x = pd.Series([1.0, np.nan, 3.0])
     a = 2 / 3

@@ -14,7 +14,7 @@ CHOSEN = [
     "bars_4h", "resample_timeframes", "all_indicators", "large_panel_indicators", "ind_aroon_indicator", "ind_parabolic_sar", "ind_kaufman_adaptive_moving_average", "ind_even_better_sinewave", "ind_adx", "entropy_bins",
     "signals_trend_filter", "signals_extreme_zone_oscillator", "signals_bollinger", "signals_all_primary", "signals_wide", "signals_to_long", "signals_placeholders", "family_counts", "loo_zscore", "vol_scaled_returns", "cs_scaled_returns", "cross_section_report",
     "targets_long", "single_target", "targets_to_long", "target_alignment", "regression_dataset", "wide_dataset", "whole_dataset_by_indicator", "horizon_purge", "fixed_split", "split_summary", "expanding_folds", "rolling_folds", "temporal_prepared",
-    "classification_metrics", "prediction_ranks", "topk_detail", "topk_summary", "confusion", "threshold_sweep", "cross_sectional_scaler", "stream_bars",
+    "classification_metrics", "prediction_ranks", "topk_detail", "topk_summary", "confusion", "threshold_sweep", "cross_sectional_scaler", "stream_bars", "tick_means", "logit_scores",
 ]
 
 
@@ -65,14 +65,17 @@ def test_primary_signals():
 def test_backtests_run_every_fold(spark):
     from pyspark.sql import functions as F
 
-    from tidemark.operators.backtest import forest_backtest, logit_backtest, top_k
+    from tidemark.operators.backtest import by_horizon, forest_backtest, horizon_metrics, logit_backtest, top_k
+    from tidemark.operators.temporal import Rolling
 
+    windows = Rolling(20, 4, 1)
     data = Q.dataset(spark, "/root/testdata/sf0.001").persist()
-    folds = {k for k, *_ in Q.WINDOWS.folds(data.select(F.to_date("date")).distinct().count())}
-    out = logit_backtest(data, splitter=Q.WINDOWS, horizons=Q.HORIZONS, max_iter=30)
-    oos = out["oos"].persist()
+    folds = {k for k, *_ in windows.folds(data.select(F.to_date("date")).distinct().count())}
+    oos = logit_backtest(data, splitter=windows, horizons=Q.HORIZONS)["oos"]
     assert len(folds) == 3 and {r.fold_id for r in oos.select("fold_id").distinct().collect()} == folds
-    forest = forest_backtest(data, splitter=Q.WINDOWS, horizons=Q.HORIZONS, trees=5)
+    forest = forest_backtest(data, splitter=windows, horizons=Q.HORIZONS, trees=5)
     assert {r.fold_id for r in forest["fold_metrics"].collect()} == folds
     groups = oos.where("y_true IS NOT NULL AND y_proba_pred IS NOT NULL").select("date", "asset", "horizon").distinct().count()
     assert top_k(oos)[1].first().n_groups == groups
+    # no row of 24d can be trained on in 20 dates
+    assert [r.horizon for r in horizon_metrics(by_horizon(data, horizons=Q.HORIZONS, splitter=windows)).orderBy("horizon").collect()] == ["1d", "4d"]

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batched import backtest_batched
 from .metrics import add_ranks, classification_metrics, confusion, top_k_detail, top_k_summary
 from .ml import fit_forest, fit_logit
 from .targets import HORIZONS, normalize_horizons
@@ -46,7 +47,8 @@ def rolling_backtest(dataset: DataFrame, fit=fit_logit, splitter: Rolling = Roll
 
 
 def logit_backtest(dataset: DataFrame, **options) -> dict:
-    return rolling_backtest(dataset, fit_logit, **({"penalty": "l2", "C": 0.05} | options))
+    """All folds in common passes (batched.py). A solver's iterations (max_iter) are no setting of it: it goes on until the score equations are met."""
+    return backtest_batched(dataset, **{k: v for k, v in options.items() if k != "max_iter"})
 
 
 def forest_backtest(dataset: DataFrame, **options) -> dict:
@@ -54,8 +56,16 @@ def forest_backtest(dataset: DataFrame, **options) -> dict:
 
 
 def by_horizon(dataset: DataFrame, run=logit_backtest, horizons=HORIZONS, **options) -> dict[str, dict]:
-    """A backtest of its own for each horizon."""
-    return {h: run(dataset.where(F.col("horizon") == h), horizons={h: k}, **options) for h, k in normalize_horizons(horizons).items()}
+    """A backtest of its own for each horizon; one that can't be fitted (its rows are all purged, say) is logged and left out."""
+    out = {}
+    for h, k in normalize_horizons(horizons).items():
+        try:
+            out[h] = run(dataset.where(F.col("horizon") == h), horizons={h: k}, **options)
+        except ValueError as e:
+            log.warning("horizon %s left out: %s", h, e)
+    if not out:
+        raise ValueError("no horizon could be fitted")
+    return out
 
 
 def horizon_metrics(runs: dict[str, dict]) -> DataFrame:

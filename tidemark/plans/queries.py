@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import Panel
 from ..operators import metrics as M
-from ..operators.backtest import by_horizon, forest_backtest, horizon_metrics, logit_backtest, rolling_backtest, top_k
+from ..operators.backtest import by_horizon, forest_backtest, horizon_metrics, logit_backtest, top_k
+from ..operators.batched import fit_batched, grid_batched
 from ..operators.dataset import dataset_summary, duplicate_keys, regression_dataset
 from ..operators.indicators import catalogue, compute_indicators
-from ..operators.ml import cross_sectional_scale, fit_forest, fit_logit, grid, sparsity
+from ..operators.ml import cross_sectional_scale, fit_forest, grid
 from ..operators.reshape import add_target, add_targets, dataset_order, signals_to_long, targets_to_long, wide_dataset
 from ..operators.scan import add_segmented
 from ..operators.signals import add_signals, families_of, family_counts, leave_one_out, wide_signals
 from ..operators.targets import alignment_report, cross_scaled_returns, cross_section_report, future_returns, target_report, targets_long, validate_alignment, vol_scaled_returns
 from ..operators.temporal import Rolling, block, calendar, expanding_folds, fixed_split, prepared, purge, split_summary
-from ..sources.ohlcv import null_counts, panel_of
+from ..sources.ohlcv import bars, null_counts, panel_of
 from ..sources.panels import event_panel, order_panel
+from ..sources.stored import drop, store
 from ..streaming.bars import drain, event_ticks, place_for, stream_bars
 from . import oracles as O
 
@@ -525,77 +527,129 @@ def log_odds(spark, sf_dir):
     return rounded(M.score_columns(x).select("event_id", "pred_class", "pred_log_odds"), 5)
 
 
-# models (statistical; tests hold them against solutions of their own). All folds, all primary columns.
+# models, fitted on all primary columns of the catalogue over weekly bars of orders: windows are longer than the longest horizon
 
-WINDOWS = Rolling(20, 4, 1)
+WINDOWS, FOREST_WINDOWS = Rolling(104, 26, 5), Rolling(208, 130, 5)
 
 
-def stored_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """whole_dataset, written once to the shared folder: every fit reads it several times."""
-    place = place_for(spark, "dataset")
-    whole_dataset(spark, sf_dir).write.parquet(place)
-    return spark.read.parquet(place)
+def weekly_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset of weekly bars, written once to the shared folder: fits read it several times."""
+    kept = store(bars(order_panel(spark, sf_dir), "7 days"), "weeks")
+    out = store(regression_dataset(compute_indicators(kept), horizons=HORIZONS, check=kept), "dataset")
+    drop(kept)
+    return out
 
 
-def fold_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The dataset before and after a gap of two days, two thirds into its calendar."""
-    x = stored_dataset(spark, sf_dir)
-    days = x.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.expr("date_trunc('day', a + (b - a) * 2 / 3)").alias("at"), F.expr("date_trunc('day', a + (b - a) * 2 / 3) + INTERVAL '2' DAY").alias("later"))
-    first, then = days.first()
-    return x.where(F.col("date") < F.lit(first).cast("timestamp_ntz")), x.where(F.col("date") >= F.lit(then).cast("timestamp_ntz"))
+def fold_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored dataset, its rows before a date two thirds into its calendar whose targets are known by then, and those from it on."""
+    x = weekly_dataset(spark, sf_dir)
+    at = x.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.expr("date_trunc('day', a + (b - a) * 2 / 3)")).first()[0]
+    at = F.lit(at).cast("timestamp_ntz")
+    return x, purge(x.where(F.col("date") < at), HORIZONS), x.where(F.col("date") >= at)
+
+
+def single_fit(rows: DataFrame, settings: list[dict]):
+    return fit_batched(rows.withColumns({"__lo": F.lit(0), "__hi": F.lit(0)}), settings)
 
 
 @query("logit_backtest")
 def logit(spark, sf_dir):
-    return logit_backtest(stored_dataset(spark, sf_dir), splitter=WINDOWS, horizons=HORIZONS, max_iter=50)["oos"].select("date", "asset", "indicator_name", "horizon", "fold_id", "y_true", "y_pred", "y_proba_pred", "rank_pred_proba", "train_start", "train_end", "test_start", "test_end", "n_train_rows_after_purge")
+    data = weekly_dataset(spark, sf_dir)
+    out = logit_backtest(data, splitter=WINDOWS, horizons=HORIZONS)["oos"]
+    drop(data)
+    return out.select("date", "asset", "indicator_name", "horizon", "fold_id", "y_true", "y_pred", "y_proba_pred", "rank_pred_proba", "train_start", "train_end", "test_start", "test_end", "n_train_rows_after_purge")
 
 
 @query("forest_backtest")
 def forest(spark, sf_dir):
-    return forest_backtest(stored_dataset(spark, sf_dir), splitter=WINDOWS, horizons=HORIZONS, trees=40)["fold_metrics"]
+    data = weekly_dataset(spark, sf_dir)
+    out = forest_backtest(data, splitter=FOREST_WINDOWS, horizons=HORIZONS, trees=40)
+    told = store(out["fold_metrics"], "fold-metrics")
+    out["release"]()
+    drop(data)
+    return told
 
 
 @query("horizon_backtests")
 def horizon_backtests(spark, sf_dir):
     """One backtest a horizon; their metrics."""
-    runs = by_horizon(stored_dataset(spark, sf_dir), logit_backtest, HORIZONS, splitter=WINDOWS, max_iter=50)
-    return horizon_metrics(runs)
+    data = weekly_dataset(spark, sf_dir)
+    runs = by_horizon(data, logit_backtest, HORIZONS, splitter=WINDOWS)
+    told = store(horizon_metrics(runs), "horizon-metrics")
+    for run in runs.values():
+        run["release"]()
+    drop(data)
+    return told
 
 
 @query("backtest_topk")
 def backtest_topk(spark, sf_dir):
-    out = rolling_backtest(stored_dataset(spark, sf_dir), fit_logit, WINDOWS, HORIZONS, max_iter=50)
-    return top_k(out["oos"])[1]
+    data = weekly_dataset(spark, sf_dir)
+    out = logit_backtest(data, splitter=WINDOWS, horizons=HORIZONS)
+    told = store(top_k(out["oos"])[1], "top-k")
+    out["release"]()
+    drop(data)
+    return told
 
 
 @query("logit_grid")
 def logits(spark, sf_dir):
-    return grid(fit_logit, *fold_rows(spark, sf_dir), {"penalty": ["l2", "l1", "elasticnet"], "C": [0.05, 1.0], "l1_ratio": [0.5]}, {"max_iter": 50})
+    data, train, validation = fold_rows(spark, sf_dir)
+    out = grid_batched(train, validation, {"penalty": ["l2", "l1", "elasticnet"], "C": [0.05, 1.0], "l1_ratio": [0.5]})
+    drop(data)
+    return out
 
 
 @query("forest_grid")
 def forests(spark, sf_dir):
-    return grid(fit_forest, *fold_rows(spark, sf_dir), {"depth": [3, 5], "class_weight": [None, "balanced"]}, {"trees": 20})
+    data, train, validation = fold_rows(spark, sf_dir)
+    out = grid(fit_forest, train, validation, {"depth": [3, 5], "class_weight": [None, "balanced"]}, {"trees": 20})
+    drop(data)
+    return out
 
 
 @query("logit_coefficients")
 def coefficients(spark, sf_dir):
-    model = fit_logit(fold_rows(spark, sf_dir)[0], penalty="l1", C=0.1)
-    return spark.createDataFrame(model.weights(), "feature string, coefficient double")
+    data, train, _ = fold_rows(spark, sf_dir)
+    found = single_fit(train, [{"penalty": "l1", "C": 0.1}]).coefficients()
+    drop(data)
+    return spark.createDataFrame([x[2:] for x in found], "feature string, coefficient double")
 
 
 @query("logit_sparsity")
 def sparse(spark, sf_dir):
-    train = fold_rows(spark, sf_dir)[0]
-    return spark.createDataFrame([(p, *sparsity(fit_logit(train, penalty=p, C=0.05)).values()) for p in ("l1", "l2")], "penalty string, n_features int, n_nonzero int, share_zero double")
+    data, train, _ = fold_rows(spark, sf_dir)
+    settings = [{"penalty": p, "C": 0.05} for p in ("l1", "l2")]
+    found = single_fit(train, settings).coefficients()
+    drop(data)
+    counts = [[b for _, i, f, b in found if i == k and f != "intercept"] for k in range(2)]
+    return spark.createDataFrame([(s["penalty"], len(x), sum(b != 0 for b in x), 1 - sum(b != 0 for b in x) / len(x)) for s, x in zip(settings, counts)], "penalty string, n_features int, n_nonzero int, share_zero double")
 
 
 @query("forest_importances")
 def importances(spark, sf_dir):
-    model = fit_forest(fold_rows(spark, sf_dir)[0], trees=40, depth=4)
+    data, train, _ = fold_rows(spark, sf_dir)
+    model = fit_forest(train, trees=40, depth=4)
+    drop(data)
     return spark.createDataFrame(model.weights(), "feature string, importance double")
 
 
+# what a solved logit's score equations say: the probabilities and the penalty's slope give each feature the sum that it has over the hits
+
+_SCORE_NUMBERS = ("signal_direction", "signal_strength", "signal_signed_value", "price_distance_sma_20", "midpoint_14")
+_SCORE_ROWS = ORACLE_SQL["regression_dataset"].rpartition(" SELECT asset, date, indicator_name")[0]
+_NUMBER_SQL = "SELECT '{c}' AS feature, sum(target * (v - m) / s) AS score FROM (SELECT target, coalesce({c}, med) AS v, avg(coalesce({c}, med)) OVER () AS m, coalesce(nullif(stddev_pop(coalesce({c}, med)) OVER (), 0), 1) AS s FROM k, (SELECT median({c}) AS med FROM k))"
+_LABEL_SQL = "SELECT '{c}=' || {c}, sum(target) FROM k GROUP BY {c}"
+
+
+@query("logit_scores", f"{_SCORE_ROWS}, k AS MATERIALIZED (SELECT *, CASE WHEN rule = 'bollinger' THEN 'band_channel_level' ELSE rule END AS signal_family FROM tgt WHERE signal_active = 1 AND target IS NOT NULL), sc AS ({' UNION ALL '.join([_NUMBER_SQL.format(c=c) for c in _SCORE_NUMBERS] + [_LABEL_SQL.format(c=c) for c in ('indicator_name', 'signal_family', 'horizon')])} UNION ALL SELECT 'intercept', sum(target) FROM k) SELECT penalty, feature, round(score, 3) + 0.0 AS score FROM sc, (VALUES ('l1'), ('l2'), ('elasticnet')) p(penalty)")
+def logit_scores(spark, sf_dir):
+    """Certificates of three logits over the dataset: each feature's sum over the rows with target 1, as the fitted probabilities tell it."""
+    settings = [{"penalty": p, "C": 0.5} for p in ("l1", "l2", "elasticnet")]
+    found = single_fit(dataset(spark, sf_dir), settings).score_rows()
+    return rounded(spark.createDataFrame([(settings[i]["penalty"], f, x) for _, i, f, x in found], "penalty string, feature string, score double"), 3)
+
+
 TICK_MEANS = {"ema_20": ("ema", "close", 20), "wilder_14": ("wilder", "close", 14), "macd_line_12_26": ("difference", "fast", "slow"), "macd_signal_9": ("ema", "macd_line_12_26", 9), "rsi_14": ("rsi", 14), "rsx_14": ("rsx", 14, 5)}
 _TICKS = "bars AS (SELECT event_type AS asset, ts AS date, value AS close FROM events)"
 _TICK_STAGES = [

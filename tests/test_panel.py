@@ -280,3 +280,21 @@ def test_tables_as_they_come(spark):
     got = features_of(raw.coalesce(1), ["momentum_indicator"])
     assert got.columns[:2] == ["symbol", "date"] and got.count() == 40
     assert got.where("close = 5").count() == 0 and got.where("momentum_10 IS NOT NULL").count() == 30
+
+
+def test_close_scores_fall_into_many_steps(spark):
+    """Scores within a thousandth of a half, and ties: no step holds much more than its share, and the area is that of ranks."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    p = 0.5 + 0.001 * r.random(20_000)
+    p[:4000] = 0.5
+    y = (r.random(20_000) < p + 200 * (p - 0.5005)).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"target": y, "pred_proba_success": p}))
+    each = df.select(F.col("pred_proba_success").alias("p")).distinct()
+    sizes = [x["count"] for x in M.with_steps(each, "p", 64).groupBy("step").count().collect()]
+    assert len(sizes) >= 60 and max(sizes) <= 2 * each.count() / 64
+    order = pd.Series(p).rank().to_numpy()
+    want = (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    assert M.classification_metrics(df).first().roc_auc == pytest.approx(want, abs=1e-12)
+    assert M.classification_metrics(df.limit(0)).first().n_obs is None

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
-#: Probabilities are ranked within so many steps of equal width, so no window holds all of them.
-SCORE_STEPS = 4096
+#: Probabilities are ranked within so many steps of about as many distinct values, so no window holds all of them.
+SCORE_STEPS = 1024
 
 
 def binary(df: DataFrame, column: str) -> Column:
@@ -26,6 +29,13 @@ def score_columns(df: DataFrame, proba: str = "pred_proba_success") -> DataFrame
     return df.withColumns({"pred_class": (F.col(proba) >= 0.5).cast("int"), "pred_log_odds": F.ln(p / (1 - p))})
 
 
+def with_steps(each: DataFrame, column: str, steps: int = SCORE_STEPS) -> DataFrame:
+    """each with step, ascending with the column: bounds are quantiles of a sketch, however close its values lie. The bounds (steps + 1 numbers) come to the driver."""
+    found = each.agg(F.percentile_approx(column, F.array(*[F.lit(k / steps) for k in range(steps + 1)]), 10 * steps)).first()[0] or [0.5]
+    bounds = [-math.inf, *sorted({x for x in found if x == x}), math.inf]
+    return Bucketizer(splits=bounds, inputCol=column, outputCol="step", handleInvalid="keep").transform(each).withColumn("step", F.col("step").cast("int"))
+
+
 def classification_metrics(df: DataFrame, by: list[str] | None = None, target: str = "target", proba: str = "pred_proba_success") -> DataFrame:
     """n_obs, target_rate, accuracy, f1, roc_auc (null with one class), log_loss, brier_score, of rows with target and probability.
 
@@ -42,7 +52,7 @@ def classification_metrics(df: DataFrame, by: list[str] | None = None, target: s
         F.sum(-(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias("loss"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"),
     )
     # rows below a probability: those of lower steps (SCORE_STEPS + 1 at most, in one window a group), and those below it in its step
-    each = each.withColumn("step", F.floor(F.col("p") * SCORE_STEPS).cast("int"))
+    each = with_steps(each, "p")
     before = Window.unboundedPreceding
     steps = each.groupBy(*by, "step").agg(F.sum("n").alias("m")).withColumn("lower", F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("step").rowsBetween(before, -1)), F.lit(0)))
     steps = steps.select(*[F.col(b).alias(f"s_{b}") for b in by], F.col("step").alias("s_step"), "lower")

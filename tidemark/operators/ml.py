@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dataset import infer_context
+from .medians import discard, medians
 from .metrics import classification_metrics, score_columns
 
 log = logging.getLogger(__name__)
@@ -52,8 +53,10 @@ class Preprocessor:
     def fit(self, train: DataFrame) -> Preprocessor:
         if self.scaling == "cross_sectional":
             train = cross_sectional_scale(train, self.numeric)
-        got = train.agg(*[F.median(c).alias(c) for c in self.numeric]).first() if self.numeric else None  # one row
-        self.medians = {c: got[c] if got[c] is not None else 0.0 for c in self.numeric}
+        if self.numeric:
+            made = medians(train, self.numeric)
+            self.medians = {r["column"]: r["median"] if r["median"] is not None else 0.0 for r in made.collect()}  # a row a column
+            discard(made)
         if self.scaling == "classical" and self.numeric:
             filled = [F.coalesce(c, F.lit(self.medians[c])) for c in self.numeric]
             row = train.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(filled) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()

@@ -23,6 +23,7 @@ from ..sources.ohlcv import bars, null_counts, panel_of
 from ..sources.panels import event_panel, order_panel
 from ..sources.stored import drop, store
 from ..streaming.bars import drain, event_ticks, place_for, stream_bars
+from ..streaming.means import run_to_end, stream_means
 from . import oracles as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,6 +676,16 @@ def streamed(spark, sf_dir):
     return rounded(out.withColumn("date", F.col("date").cast("timestamp_ntz")))
 
 
+_STREAM_SQL = O.staged(_TICKS, [{"ema_20": O.ema("close", 20), "wilder_14": O.wilder("close", 14)}])
+
+
+@query("stream_means", f"WITH {_STREAM_SQL[0]} SELECT asset, date, {O.rounded(['ema_20', 'wilder_14'])} FROM {_STREAM_SQL[1]}")
+def streamed_means(spark, sf_dir):
+    """Two means of every tick, from a stream whose batches carry their state on."""
+    out = run_to_end(stream_means(event_ticks(spark, sf_dir), {"ema_20": ("ema", 20), "wilder_14": ("wilder", 14)}), place_for(spark, "means"))
+    return rounded(out.select("asset", F.col("date").cast("timestamp_ntz").alias("date"), "ema_20", "wilder_14"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each asset and bar: did a signal's direction match the next cross-sectionally scaled move?"""
     return report(spark, sf_dir)

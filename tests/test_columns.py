@@ -34,3 +34,18 @@ def test_config():
     c = merged(INDICATOR_DEFAULTS, {"roc": {"window": 3}})
     assert c["roc"] == {"window": 3} and INDICATOR_DEFAULTS["roc"] == {"window": 10}
     assert [token(x) for x in (2.0, 0.85, -1)] == ["2", "0p85", "neg1"]
+
+
+def test_families_as_tables(spark):
+    import pandas as pd
+
+    rows = [("a", "f"), ("b", None), ("a", "g"), ("elsewhere", "h")]
+    table = spark.createDataFrame(rows, "`Indicator_Name` string, signal_family string").coalesce(1)
+    assert C.family_map(table, ["a", "b"], {"b": "d"}) == {"a": "g"}
+    assert C.family_map(pd.DataFrame(rows, columns=["feature", "family"]), ["a", "b"], {}) == {"a": "g"}
+    assert C.family_map(table, ["z"], {"z": "d"}) == {"z": "d"}
+    try:
+        C.family_map(table.select("signal_family"), ["a"], {})
+    except ValueError:
+        return
+    raise AssertionError("a table without features")

@@ -116,3 +116,35 @@ def test_backtests(data):
     assert set(out["errors"]) == {0} and {r.fold_id for r in out["oos"].select("fold_id").distinct().collect()} == folds - {0}
     with pytest.raises(ValueError):
         forest_backtest(data.where("target = 1"), splitter=windows, horizons=horizons, trees=2)
+
+
+def test_saved_models_score_alike(spark, data, tmp_path):
+    for name, fit, options in (("logit", ml.fit_logit, {"penalty": "l2", "max_iter": 20}), ("crossed", ml.fit_logit, {"penalty": "l2", "max_iter": 20, "scaling": "cross_sectional"}), ("forest", ml.fit_forest, {"trees": 3, "depth": 3})):
+        model = fit(data, **options)
+        model.save(str(tmp_path / name))
+        again = ml.load_model(spark, str(tmp_path / name))
+        assert again.weights() == model.weights()
+        a, b = (m.score(data).orderBy("date", "asset").select("pred_proba_success", "pred_class").collect() for m in (model, again))
+        assert a == b
+
+
+def test_calendars_from_elsewhere(spark, data):
+    """A calendar with a date more for each of the rows' makes steps half as long; one that ends early purges more."""
+    from tidemark.operators.batched import backtest_batched
+    from tidemark.operators.temporal import calendar, purge
+
+    days = data.select("date").distinct()
+    twice = days.unionByName(days.select((F.col("date") + F.expr("INTERVAL 12 HOURS")).alias("date")))
+    horizons = {"1d": 1, "4d": 4}
+    last = {r.horizon: r.d for r in purge(data, horizons).groupBy("horizon").agg(F.max("date").alias("d")).collect()}
+    far = {r.horizon: r.d for r in purge(data, horizons, dates=twice).groupBy("horizon").agg(F.max("date").alias("d")).collect()}
+    end = data.agg(F.max("date")).first()[0]
+    assert (end - last["4d"]).days == 4 and (end - far["4d"]).days == 2 and (end - last["1d"]).days == 1 and (end - far["1d"]).days == 0
+    known = {r.date: r.pos for r in calendar(data, dates=days.where("date >= '2024-01-10'")).collect()}
+    assert min(known) == data.where("date >= '2024-01-10'").agg(F.min("date")).first()[0] and sorted(known.values()) == list(range(len(known)))
+    sparse = days.where("day(date) % 2 = 1")
+    assert sorted({r.pos for r in calendar(data, dates=sparse).collect()}) == list(range(sparse.count())) and calendar(data, dates=sparse).count() == days.count()
+    windows = Rolling(10, 3, 1)
+    n = sparse.select(F.to_date("date")).distinct().count()
+    for rows in (windows.assign(data, horizons, dates=sparse), backtest_batched(data, windows, horizons, dates=sparse)["oos"]):
+        assert {r.fold_id for r in rows.select("fold_id").distinct().collect()} == {k for k, *_ in windows.folds(n)}

@@ -1,14 +1,21 @@
-"""Which columns of a table play which part, from its names and types; nothing here reads rows."""
+"""Which columns of a table play which part, from its names and types; nothing here reads rows, but for tables of families."""
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .windows import Panel
 
+log = logging.getLogger(__name__)
+
 # fixed values: names by which keys are known
 ASSET_NAMES = ("asset", "symbol", "ticker", "instrument")
 DATE_NAMES = ("date", "datetime", "timestamp", "time")
+FEATURE_NAMES = ("feature_name", "feature", "feature_col", "column", "indicator_name")
+FAMILY_NAMES = ("signal_family", "family")
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 SIGNAL_PARTS = ("signal_direction", "signal_active", "signal_strength", "signal_signed_value")
 
@@ -70,10 +77,27 @@ def unknown_horizons(found: list[str], known: dict[str, int], strict: bool = Fal
     return out
 
 
+def family_pairs(given, names: list[str]) -> list[tuple[str, str]]:
+    """(feature, family) from a mapping, from pairs, or from a table (of Spark or pandas) whose columns are found by name; of a feature that it has more than once the last row counts."""
+    columns = getattr(given, "columns", None)
+    if columns is None:
+        return list(given.items() if hasattr(given, "items") else given)
+    feature, family = first_of(list(columns), None, FEATURE_NAMES, "feature"), first_of(list(columns), None, FAMILY_NAMES, "family")
+    if isinstance(given, DataFrame):
+        known = given.where(F.col(f"`{feature}`").isin(*names) & F.col(f"`{family}`").isNotNull())  # as many as columns at most, but for repeats
+        placed = known.select(F.col(f"`{feature}`").alias("f"), F.col(f"`{family}`").alias("g"), F.monotonically_increasing_id().alias("at"))
+        last = placed.groupBy("f").agg(F.max_by("g", "at").alias("g"))
+        return [(r.f, r.g) for r in last.collect()]
+    rows = given[[feature, family]].dropna()
+    return list(zip(rows[feature].astype(str), rows[family].astype(str)))
+
+
 def family_map(given, names: list[str], default: dict[str, str]) -> dict[str, str]:
-    """Feature to family from a mapping, from rows (feature, family), or the default; what fits no column falls back to the default."""
-    pairs = default if given is None else dict(given) if not hasattr(given, "items") else dict(given.items())
+    """Feature to family from a mapping, from rows (feature, family), from a table, or the default; what fits no column falls back to the default."""
+    pairs = default if given is None else dict(family_pairs(given, names))
     out = {n: f for n, f in pairs.items() if n in names}
+    if not out and given is not None:
+        log.warning("the families given fit no column; those of the catalogue are taken")
     return out or {n: f for n, f in default.items() if n in names}
 
 

@@ -344,19 +344,19 @@ def fit_batched(df: DataFrame, settings: list[dict], lo="__lo", hi="__hi", tol:
     return fits
 
 
-def backtest_batched(dataset: DataFrame, splitter: Rolling = Rolling(), horizons=HORIZONS, **setting) -> dict:
-    """What rolling_backtest gives for a logit (the default penalty is that of logit_backtest), with jobs that don't grow with the folds."""
+def backtest_batched(dataset: DataFrame, splitter: Rolling = Rolling(), horizons=HORIZONS, dates: DataFrame | None = None, **setting) -> dict:
+    """What rolling_backtest gives for a logit (the default penalty is that of logit_backtest), with jobs that don't grow with the folds. dates: a calendar from elsewhere."""
     setting = {"penalty": "l2", "C": 0.05} | setting
     if setting.get("scaling") == "cross_sectional":
         numeric = model_inputs(dataset, setting.get("with_active", False))[0]
         raw = dataset.withColumns({f"__raw_{c}": F.col(c) for c in numeric})
-        spans = splitter.train_spans(cross_sectional_scale(raw, numeric), horizons)
+        spans = splitter.train_spans(cross_sectional_scale(raw, numeric), horizons, dates=dates)
     else:
-        spans = splitter.train_spans(dataset, horizons)
+        spans = splitter.train_spans(dataset, horizons, dates=dates)
     fits = fit_batched(spans, [setting])
     if not fits.models:
         raise ValueError(f"no fold could be fitted: {fits.errors}")
-    assigned = splitter.assign(spans.drop("__lo", "__hi"), horizons)
+    assigned = splitter.assign(spans.drop("__lo", "__hi"), horizons, dates=dates)
     told = splitter.summary(assigned).withColumns({"period_train": F.lit(splitter.train), "period_test": F.lit(splitter.test), "period_embargo": F.lit(splitter.embargo)})
     folds = store(told, "folds")
     oos = fits.scored(assigned.where("block = 'test'").drop("block"))

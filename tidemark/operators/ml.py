@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import json
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .dataset import infer_context
@@ -106,6 +107,25 @@ class Model:
         return sorted(zip(self.preprocessor.names(), got.toArray().tolist()), key=lambda x: -abs(x[1]))
 
 
+    def save(self, path: str) -> None:
+        """Write the model below path: its stages as pyspark.ml writes them, medians, scales and settings as JSON."""
+        spark, pre = SparkSession.getActiveSession(), self.preprocessor
+        about = {"numeric": pre.numeric, "categories": pre.categories, "scaling": pre.scaling, "medians": pre.medians, "scales": pre.scales, "settings": self.settings, "kind": type(self.fitted).__name__}
+        pre.stages.write().overwrite().save(f"{path}/stages")
+        self.fitted.write().overwrite().save(f"{path}/fitted")
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+FITTED = {c.__name__: c for c in (LogisticRegressionModel, RandomForestClassificationModel)}
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """What Model.save wrote."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    pre = Preprocessor(about["numeric"], about["categories"], about["scaling"], about["medians"], {c: tuple(x) for c, x in about["scales"].items()}, PipelineModel.load(f"{path}/stages"))
+    return Model(pre, FITTED[about["kind"]].load(f"{path}/fitted"), about["settings"])
+
+
 def labelled(train: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """Rows with a target, and how many there are of each class; both must be there."""
     rows = train.where(F.col("target").isNotNull())

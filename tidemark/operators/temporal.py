@@ -21,10 +21,26 @@ def steps_of(horizons=HORIZONS, column: str = "horizon") -> Column:
     return F.create_map(*pairs)[F.col(column)]
 
 
-def calendar(df: DataFrame, date: str = "date") -> DataFrame:
-    """Distinct dates with positions from 0. Dates are few: one row each goes through one window."""
-    dates = df.select(date).where(F.col(date).isNotNull()).distinct()
-    return dates.withColumn("pos", F.row_number().over(Window.orderBy(date)) - 1)
+def calendar(df: DataFrame, date: str = "date", dates: DataFrame | None = None) -> DataFrame:
+    """Distinct dates with positions from 0. Dates are few: one row each goes through one window.
+
+    With dates, a calendar from elsewhere (its column is called like this one's), a position is that of its last date not
+    after the row's; dates before its first have none and are left out.
+    """
+    own = df.select(date).where(F.col(date).isNotNull()).distinct()
+    if dates is None:
+        return own.withColumn("pos", F.row_number().over(Window.orderBy(date)) - 1)
+    known = dates.select(F.col(date).cast(own.schema[date].dataType).alias(date)).where(F.col(date).isNotNull()).distinct()
+    both = own.select(date, F.lit(0).alias("__known")).unionByName(known.select(date, F.lit(1).alias("__known"))).groupBy(date).agg(F.max("__known").alias("__known"), F.min("__known").alias("__only"))
+    placed = both.withColumn("pos", (F.sum("__known").over(Window.orderBy(date)) - 1).cast("int"))
+    return placed.where((F.col("__only") == 0) & (F.col("pos") >= 0)).select(date, "pos")
+
+
+def last_position(known: DataFrame, dates: DataFrame | None, date: str) -> DataFrame:
+    """One row: __last, the last position of a calendar."""
+    if dates is None:
+        return known.agg(F.max("pos").alias("__last"))
+    return dates.select(date).where(F.col(date).isNotNull()).distinct().agg((F.count(F.lit(1)) - 1).alias("__last"))
 
 
 def block(df: DataFrame, start, end, date: str = "date") -> DataFrame:
@@ -33,9 +49,9 @@ def block(df: DataFrame, start, end, date: str = "date") -> DataFrame:
 
 
 def purge(df: DataFrame, horizons=HORIZONS, date: str = "date", dates: DataFrame | None = None) -> DataFrame:
-    """Rows whose target is known inside the block: position plus steps is still a date of its calendar."""
-    known = calendar(df, date) if dates is None else dates
-    last = known.agg(F.max("pos").alias("__last"))
+    """Rows whose target is known inside the block: position plus steps is still a date of its calendar, the rows' own or dates (a table with that column)."""
+    known = calendar(df, date, dates)
+    last = last_position(known, dates, date)
     out = df.withColumn("__steps", steps_of(horizons)).join(known, date).join(F.broadcast(last))
     return out.where(F.col("__steps").isNotNull() & (F.col("pos") + F.col("__steps") <= F.col("__last"))).drop("__steps", "pos", "__last")
 
@@ -96,39 +112,40 @@ class Rolling:
         ends = [self.train + k * self.test for k in range(self.n_splits(n_dates))]
         return [(k, e - self.train, e, e + self.embargo, min(e + self.embargo + self.test, n_dates)) for k, e in enumerate(ends)]
 
-    def assign(self, df: DataFrame, horizons=HORIZONS, date: str = "date") -> DataFrame:
+    def placed(self, df: DataFrame, horizons, date: str, dates: DataFrame | None) -> DataFrame:
+        """df with __steps, pos and __n, the number of dates of the calendar: days of the rows whose horizon is known, or of dates."""
+        day = lambda c: F.date_trunc("day", F.col(c)).cast("timestamp_ntz")
+        known = df.withColumns({"__day": day(date), "__steps": steps_of(horizons)}).where(F.col("__steps").isNotNull())
+        given = None if dates is None else dates.select(day(date).alias("__day")).distinct()
+        days = calendar(known.select(F.col("__day")), "__day", given)
+        total = last_position(days, given, "__day").select((F.col("__last") + 1).alias("__n"))
+        return known.join(days, "__day").join(F.broadcast(total)).drop("__day")
+
+    def assign(self, df: DataFrame, horizons=HORIZONS, date: str = "date", dates: DataFrame | None = None) -> DataFrame:
         """df with fold_id and block; rows whose horizon is unknown are left out, training rows whose target ends after training too.
 
         A row is in few folds, so those are computed from its position and exploded: no join of rows with folds.
         """
-        day = F.date_trunc("day", F.col(date)).cast("timestamp_ntz")
-        known = df.withColumns({"__day": day, "__steps": steps_of(horizons)}).where(F.col("__steps").isNotNull())
-        days = calendar(known.select(F.col("__day")), "__day")
-        total = days.agg((F.max("pos") + 1).alias("__n"))
         p, n, e = F.col("pos"), F.col("__n"), F.col("__end")
         last = F.floor((n - 1 - self.train - self.embargo) / F.lit(self.test)).cast("int")
         # the folds whose training or test may hold the position
         low = F.greatest(F.lit(0), F.floor((p - self.train - self.embargo - self.test) / F.lit(self.test)).cast("int"))
         high = F.least(last, F.ceil((p + 1) / F.lit(self.test)).cast("int"))
-        rows = known.join(days, "__day").join(F.broadcast(total)).where((n > self.train + self.embargo) & (low <= high))
+        rows = self.placed(df, horizons, date, dates).where((n > self.train + self.embargo) & (low <= high))
         rows = rows.withColumn("fold_id", F.explode(F.sequence(low, high))).withColumn("__end", self.train + F.col("fold_id") * self.test)
         in_train = (p >= e - self.train) & (p < e)
         in_test = (p >= e + self.embargo) & (p < F.least(e + self.embargo + self.test, n))
         placed = rows.withColumn("block", F.when(in_train, F.when(p + F.col("__steps") < e, "train").otherwise("purged")).when(in_test, "test"))
-        return placed.where(F.col("block").isNotNull()).drop("__steps", "__n", "__end", "pos", "__day")
+        return placed.where(F.col("block").isNotNull()).drop("__steps", "__n", "__end", "pos")
 
-    def train_spans(self, df: DataFrame, horizons=HORIZONS, date: str = "date") -> DataFrame:
+    def train_spans(self, df: DataFrame, horizons=HORIZONS, date: str = "date", dates: DataFrame | None = None) -> DataFrame:
         """df with __lo and __hi, the first and last fold that a row trains (none: __lo is the greater): what assign() tells by rows, as an interval."""
-        day = F.date_trunc("day", F.col(date)).cast("timestamp_ntz")
-        known = df.withColumns({"__day": day, "__steps": steps_of(horizons)}).where(F.col("__steps").isNotNull())
-        days = calendar(known.select(F.col("__day")), "__day")
-        total = days.agg((F.max("pos") + 1).alias("__n"))
         p, n = F.col("pos"), F.col("__n")
         last = F.floor((n - 1 - self.train - self.embargo) / F.lit(self.test))
-        met = known.join(days, "__day").join(F.broadcast(total))
+        met = self.placed(df, horizons, date, dates)
         low = F.greatest(F.lit(0), F.floor((p + F.col("__steps") - self.train) / F.lit(self.test)) + 1)
         high = F.when(n > self.train + self.embargo, F.least(last, F.floor(p / F.lit(self.test)))).otherwise(-1)
-        return met.withColumns({"__lo": low.cast("int"), "__hi": high.cast("int")}).drop("__steps", "__n", "pos", "__day")
+        return met.withColumns({"__lo": low.cast("int"), "__hi": high.cast("int")}).drop("__steps", "__n", "pos")
 
     def summary(self, assigned: DataFrame, date: str = "date") -> DataFrame:
         """One row a fold: first and last dates and rows of its blocks."""

@@ -50,6 +50,16 @@ def test_sharding(spark, odd, none, docs):
     assert order != sorted(order)
 
 
+def test_shards_do_not_hang_on_arrival(spark, docs):
+    """The same scattered records, gathered in another order and by other tasks at the same number of partitions."""
+    made = []
+    for block in ("200", "4000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        made.append(sorted(map(str, sharding.shard_records(docs.coalesce(1), 5, bucket_bytes=30_000).select("rec.doc_id", "shard", "slot").collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert made[0] == made[1]
+
+
 def test_shards_are_written(spark, docs, tmp_path):
     sharding.write_shards(sharding.shard_records(docs, 4), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4

@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, name):
     assert rows == Counter(tuple(str(r[named.index(c)]) for c in columns) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op1_shard", "op4_warc_fixity", "op5_near_duplicates", "op6_repeated_passages", "op7_decontaminate", "op9_url_filter"])
+@pytest.mark.parametrize("name", ["op1_shard", "op2_bpe", "op3_token_counts", "op4_warc_fixity", "op5_near_duplicates", "op6_repeated_passages", "op7_decontaminate", "op9_url_filter", "op11_resample", "op12_manifest", "op13_quality"])
 def test_only_the_result_is_left(spark, name):
     shared = spark.conf.get("spark.checkpoint.dir")
     before = set(os.listdir(shared)) if os.path.isdir(shared) else set()

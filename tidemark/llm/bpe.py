@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table, text_or_empty, tidy, worker_cache
+from .common import discard, settle, shared_dir, slices, table, text_or_empty, tidy, worker_cache
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCKS = "block long, doc_ids array<bigint>, counts array<int>, codes binary, order binary, groups array<struct<g:int,words:binary>>"
@@ -225,5 +225,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(RANKS)
-    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    both = decode(encoded, path)
+    out = settle(both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")), "bpe-digests")
+    discard(encoded)
+    return out

@@ -2,8 +2,8 @@
 
 Pass 1 scatters whole records uniformly over memory-sized buckets by a seeded hash of id, text and place in the input (so
 that repeated rows spread) and writes them to the shared folder. Pass 2 gathers each bucket, a partition holding many of
-them one after the other, orders it by the same hash (so the outcome doesn't hang on arrival order) and applies Spark's
-seeded ``shuffle``, which is a Fisher-Yates shuffle. Buckets laid end to end give one random order of all records; shard s
+them one after the other in order of their numbers (a task's random stream is one), orders each by the same hash (so that
+the outcome doesn't hang on arrival order) and applies Spark's seeded ``shuffle``, which is a Fisher-Yates shuffle. Buckets laid end to end give one random order of all records; shard s
 takes the records from floor(s*N/S) to floor((s+1)*N/S), so that counts differ by one at most and a bucket is written to
 few shards, with no further shuffle. A place is a partition and a row, so one layout of the input gives one outcome.
 
@@ -54,6 +54,7 @@ def shard_records(docs: DataFrame, n_shards: int = 40, seed: int = 20240229, buc
         .repartitionById(parts, F.col("part"))
         .groupBy("part", "bucket")
         .agg(F.collect_list(F.struct("k", "rec")).alias("items"))
+        .sortWithinPartitions("bucket")
         .select("bucket", F.shuffle(F.array_sort("items"), F.lit(seed)).alias("items"))
         .join(broadcastable(offsets), "bucket")
         .select("base", F.posexplode("items").alias("pos", "item"))

@@ -54,12 +54,13 @@ def test_catalogue_is_whole():
 def test_primary_signals():
     from tidemark.functions.windows import Panel
     from tidemark.operators.indicators import catalogue
-    from tidemark.operators.signals import signal_columns
+    from tidemark.operators.signals import families_of, family_counts, signal_columns
 
     names = [n for v in catalogue().columns.values() for n in v]
     rules = signal_columns(Panel(), names)
     counts = {r: list(rules.values()).count(r) for r in set(rules.values())}
     assert counts == {"centered_oscillator": 22, "extreme_zone_oscillator": 10, "trend_filter": 20, "volume_confirmation": 9, "bollinger": 1}
+    assert family_counts(families_of(Panel(), names, context=False)) == {"band_channel_level": 1, "centered_oscillator": 22, "extreme_zone_oscillator": 10, "trend_filter": 20, "volume_confirmation": 9}
 
 
 def test_backtests_run_every_fold(spark):

@@ -16,7 +16,7 @@ from ..operators.indicators import catalogue, compute_indicators
 from ..operators.ml import cross_sectional_scale, fit_forest, grid
 from ..operators.reshape import add_target, add_targets, dataset_order, signals_to_long, targets_to_long, wide_dataset
 from ..operators.scan import add_segmented
-from ..operators.signals import add_signals, families_of, family_counts, leave_one_out, wide_signals
+from ..operators.signals import add_signals, leave_one_out, wide_signals
 from ..operators.targets import alignment_report, cross_scaled_returns, cross_section_report, future_returns, target_report, targets_long, validate_alignment, vol_scaled_returns
 from ..operators.temporal import Rolling, block, calendar, expanding_folds, fixed_split, prepared, purge, split_summary
 from ..sources.ohlcv import bars, null_counts, panel_of
@@ -223,16 +223,6 @@ def placeholders(spark, sf_dir):
     return long.groupBy("signal_family", "indicator_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.coalesce("signal_direction", "signal_active", "signal_strength", "signal_signed_value")).alias("n_signals"))
 
 
-_COUNTS = {"band_channel_level": 1, "centered_oscillator": 22, "extreme_zone_oscillator": 10, "trend_filter": 20, "volume_confirmation": 9}
-
-
-@query("family_counts", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in _COUNTS.items()) + ") q(signal_family, n_features)")
-def counts_of_families(spark, sf_dir):
-    """Primary features of each family among the columns of the whole catalogue."""
-    names = compute_indicators(event_panel(spark, sf_dir)).columns
-    return spark.createDataFrame(list(family_counts(families_of(Panel(), names, context=False)).items()), "signal_family string, n_features long")
-
-
 @query("loo_zscore", f"""WITH {O.event_bars(4)}, d AS (SELECT asset, date, close - {O.lag('close')} AS d FROM bars), o AS (SELECT a.asset, a.date, any_value(a.d) AS d, avg(b.d) AS mu, CASE WHEN count(b.d) > 1 THEN stddev_samp(b.d) END AS sd FROM d a LEFT JOIN d b ON a.date = b.date AND a.asset <> b.asset GROUP BY 1, 2)
 SELECT asset, date, round(mu, 5) + 0.0 AS mean, round(CASE WHEN sd >= 1e-12 THEN sd END, 5) + 0.0 AS std, round((d - mu) / CASE WHEN sd >= 1e-12 THEN sd END, 5) + 0.0 AS z FROM o""")
 def loo_zscore(spark, sf_dir):
@@ -364,6 +354,12 @@ def whole(spark, sf_dir):
     return rounded(out)
 
 
+@query("family_counts", f"{_WHOLE} SELECT CASE WHEN rule = 'bollinger' THEN 'band_channel_level' ELSE rule END AS signal_family, count(DISTINCT indicator_name) AS n_features, count(*) AS n_rows FROM k GROUP BY 1")
+def counts_of_families(spark, sf_dir):
+    """Features of each family that the dataset has, and their rows."""
+    return whole_dataset(spark, sf_dir).groupBy("signal_family").agg(F.countDistinct("indicator_name").alias("n_features"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("regression_dataset", f"{_TARGETS.replace(O.features_sql(_KEYS), O.features_sql([*_KEYS, 'price_distance', 'midpoint_indicator'])).replace(_CARRY, _CARRY + ', price_distance_sma_20, midpoint_14')} SELECT asset, date, indicator_name, CASE WHEN rule = 'bollinger' THEN 'band_channel_level' ELSE rule END AS signal_family, horizon, signal_direction, signal_active, round(signal_strength, 5) + 0.0 AS signal_strength, round(signal_signed_value, 5) + 0.0 AS signal_signed_value, target, round(price_distance_sma_20, 5) + 0.0 AS price_distance_sma_20, round(midpoint_14, 5) + 0.0 AS midpoint_14 FROM tgt WHERE signal_active = 1 AND target IS NOT NULL")
 def regression(spark, sf_dir):
     return rounded(dataset(spark, sf_dir), 5)

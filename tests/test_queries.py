@@ -14,7 +14,7 @@ CHOSEN = [
     "bars_4h", "resample_timeframes", "all_indicators", "large_panel_indicators", "ind_aroon_indicator", "ind_parabolic_sar", "ind_kaufman_adaptive_moving_average", "ind_even_better_sinewave", "ind_adx", "entropy_bins",
     "signals_trend_filter", "signals_extreme_zone_oscillator", "signals_bollinger", "signals_all_primary", "signals_wide", "signals_to_long", "signals_placeholders", "family_counts", "loo_zscore", "vol_scaled_returns", "cs_scaled_returns", "cross_section_report",
     "targets_long", "single_target", "targets_to_long", "target_alignment", "regression_dataset", "wide_dataset", "whole_dataset_by_indicator", "horizon_purge", "fixed_split", "split_summary", "expanding_folds", "rolling_folds", "temporal_prepared",
-    "classification_metrics", "prediction_ranks", "topk_detail", "topk_summary", "confusion", "threshold_sweep", "cross_sectional_scaler", "stream_bars", "tick_means", "stream_means", "logit_scores",
+    "classification_metrics", "prediction_ranks", "topk_detail", "topk_summary", "confusion", "threshold_sweep", "cross_sectional_scaler", "stream_bars", "tick_means", "stream_means", "logit_scores", "dataset_appended", "sliding_statistics",
 ]
 
 

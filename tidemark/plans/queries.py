@@ -12,11 +12,13 @@ from ..operators import metrics as M
 from ..operators.backtest import by_horizon, forest_backtest, horizon_metrics, logit_backtest, top_k
 from ..operators.batched import fit_batched, grid_batched
 from ..operators.dataset import dataset_summary, duplicate_keys, regression_dataset
+from ..operators.incremental import Recipe, append, create, read_dataset
 from ..operators.indicators import catalogue, compute_indicators
 from ..operators.ml import cross_sectional_scale, fit_forest, grid
 from ..operators.reshape import add_target, add_targets, dataset_order, signals_to_long, targets_to_long, wide_dataset
 from ..operators.scan import add_segmented
 from ..operators.signals import add_signals, leave_one_out, wide_signals
+from ..operators.sliding import add_sliding
 from ..operators.targets import alignment_report, cross_scaled_returns, cross_section_report, future_returns, target_report, targets_long, validate_alignment, vol_scaled_returns
 from ..operators.temporal import Rolling, block, calendar, expanding_folds, fixed_split, prepared, purge, split_summary
 from ..sources.ohlcv import bars, null_counts, panel_of
@@ -365,6 +367,20 @@ def regression(spark, sf_dir):
     return rounded(dataset(spark, sf_dir), 5)
 
 
+@query("dataset_appended", ORACLE_SQL["regression_dataset"])
+def dataset_appended(spark, sf_dir):
+    """The regression dataset of a folder that was made of the bars before a date, two thirds into the calendar, and brought up to date by two appends."""
+    bars, path = event_panel(spark, sf_dir), place_for(spark, "dataset")
+    recipe = Recipe(keys=(*_KEYS, "price_distance", "midpoint_indicator"), columns=(*sorted(chosen(RULES)), "bb_lower_20_2", "bb_upper_20_2", "price_distance_sma_20", "midpoint_14"), horizons=HORIZONS)
+    low, high = (F.unix_micros(F.col(x).cast("timestamp")) for x in ("low", "high"))
+    ends = bars.agg(F.min("date").alias("low"), F.max("date").alias("high")).select(*[F.timestamp_micros((low + (high - low) * k / 6).cast("long")).cast(bars.schema["date"].dataType) for k in (4, 5)]).first()
+    first, second = (F.lit(x) for x in ends)
+    create(bars.where(F.col("date") < first), path, recipe)
+    for later in (bars.where((F.col("date") >= first) & (F.col("date") < second)), bars.where(F.col("date") >= second)):
+        append(later, path, recipe)
+    return rounded(read_dataset(spark, path).select("date", "asset", "indicator_name", "signal_family", "horizon", "signal_direction", "signal_active", "signal_strength", "signal_signed_value", "target", "price_distance_sma_20", "midpoint_14"), 5)
+
+
 @query("regression_summary", f"{_TARGETS}, k AS (SELECT * FROM tgt WHERE signal_active = 1 AND target IS NOT NULL) SELECT count(*) AS n_rows, count(DISTINCT date) AS n_dates, count(DISTINCT asset) AS n_assets, count(DISTINCT indicator_name) AS n_indicators, count(DISTINCT horizon) AS n_horizons, count(*) AS n_active, 0::BIGINT AS n_missing_target, round(avg(target), 6) + 0.0 AS target_rate, 0::BIGINT AS n_duplicate_keys FROM k")
 def regression_summary(spark, sf_dir):
     return rounded(dataset_summary(dataset(spark, sf_dir)))
@@ -665,6 +681,21 @@ def tick_means(spark, sf_dir):
     return rounded(add_segmented(ticks, Panel(), wanted).select("asset", "date", *TICK_MEANS))
 
 
+SLIDING = {"aroon_up": ("argmax", "close", 50), "aroon_down": ("argmin", "close", 50), "rank_100": ("percent_rank", "close", 100), "mad_50": ("mean_deviation", "close", 50), "entropy_100": ("entropy", "close", 100, 10)}
+_SLID = f"""ticks AS (SELECT event_type AS asset, ts AS date, value AS close FROM events),
+v AS (SELECT *, {O.glist('close', 50)} AS v, {O.glist('close', 100)} AS u FROM ticks), m AS (SELECT *, list_avg(v) AS m, list_min(u) AS lo, list_max(u) AS hi FROM v),
+b AS (SELECT *, list_transform(u, lambda x: least(floor((x - CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END) / CASE WHEN lo = hi THEN 1 ELSE hi - lo END * 10), 9)) AS k FROM m)"""
+_SLID_BINS = " + ".join(f"(CASE WHEN len(list_filter(k, lambda x: x = {i})) > 0 THEN -(len(list_filter(k, lambda x: x = {i})) / 100.0) * ln(len(list_filter(k, lambda x: x = {i})) / 100.0) ELSE 0 END)" for i in range(10))
+
+
+@query("sliding_statistics", f"""WITH {_SLID} SELECT asset, date, list_position(v, list_max(v)) - 1.0 AS aroon_up, list_position(v, list_min(v)) - 1.0 AS aroon_down,
+CASE WHEN u IS NOT NULL THEN round(len(list_filter(u, lambda x: x <= close)) / 100.0, 6) END AS rank_100, round(list_sum(list_transform(v, lambda x: abs(x - m))) / 50, 6) AS mad_50, round(CASE WHEN u IS NOT NULL THEN ({_SLID_BINS}) / ln(10) END, 6) + 0.0 AS entropy_100 FROM b""")
+def sliding_statistics(spark, sf_dir):
+    """Order statistics over the last 50 and 100 ticks of each event type, in blocks of rows."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("asset"), F.col("ts").alias("date"), F.col("value").cast("double").alias("close"))
+    return rounded(add_sliding(ticks, SLIDING).select("asset", "date", *SLIDING))
+
+
 @query("stream_bars", f"WITH {O.event_bars(4)} SELECT asset, date, {O.rounded(['open', 'high', 'low', 'close', 'volume'])} FROM bars")
 def streamed(spark, sf_dir):
     """The 4-hour bars again, from a stream run over what there is."""

@@ -9,7 +9,13 @@ the shrunken mean of its domain. A page is blocked if the lower bound of its hos
 z deviations) exceeds max_bad, so that a few bad outcomes on an otherwise unseen host don't block it.
 
 A suffix is a top-level domain, or the last two labels where a country's domain follows a label that registries use
-(co.uk, com.cn), or one of the suffixes below which anyone registers (github.io); ``suffixes`` adds others.
+(co.uk, com.cn), or one of the suffixes below which anyone registers (github.io). ``suffixes`` gives others, or is a table
+of them (column suffix) as public lists have them: names of any number of labels, *.name for every label below a name,
+!name for what is none all the same. A host's suffix is then the longest that fits, else its last label.
+
+The longest rule that fits wins, of equal ones that of the longer host, then block. A few rules are one CASE; more, and
+tables of rules (action, host, path), are joined: a host's label suffixes meet the rules' hosts, and prefixes of the path,
+of the lengths that such a host's rules have, meet the rules themselves. Their number isn't bounded.
 
 Counts are summed before any shuffle and written once; only (page_id, url) and one row a host meet in the join, whose hot
 hosts Spark splits. The settled bounds of hosts stay in the shared folder for the result to read.
@@ -28,7 +34,7 @@ from .common import ascii_lower, broadcastable, discard, settle, table
 
 #: (action, host, path); a rule is written host + path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Rules are compiled into one CASE, so their number is bounded.
+#: So many rules are compiled into one CASE; more are joined, with the same results.
 MAX_RULES = 1_000
 # fixed values: labels under which registries of countries let domains be registered, and suffixes open to anyone
 REGISTRY_LABELS = ("ac", "co", "com", "ed", "edu", "go", "gob", "gouv", "gov", "gv", "id", "ltd", "me", "mil", "ne", "net", "nic", "nom", "or", "org", "plc", "sch")
@@ -59,15 +65,63 @@ def domain_of(host, suffixes=OPEN_SUFFIXES):
 
 def matched_rule(host, path, rules):
     """A struct (rule, verdict) of the longest rule that fits, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are compiled")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for action, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for action, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]), r[0])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         out = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(action).alias("verdict"))).otherwise(out)
     return out
 
 
+def label_suffixes(host):
+    """The host itself, it less its first label, and so on to its last label."""
+    labels = F.split(host, "[.]")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def rule_table(spark: SparkSession, rules) -> DataFrame:
+    """action, host, path of a sequence of rules."""
+    fields = ("action", "host", "path")
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, fields)]) for r in rules])))
+
+
+def with_hits(seen: DataFrame, rules: DataFrame) -> DataFrame:
+    """seen (host, path and more) with hit, the struct of matched_rule, by joins. Rules without a host are none; a null path is empty."""
+    told = rules.where("host IS NOT NULL").select(F.col("action").alias("verdict"), ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"))
+    told = settle(told.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict")), "rules")
+    lengths = told.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))  # numbers of characters, few
+    sites = seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    below = sites.select("host").distinct().select("host", F.explode(label_suffixes(F.col("host"))).alias("rule_host"))
+    ruled = settle(below.join(lengths, "rule_host").select("host", "rule_host", F.explode("lengths").alias("length")), "ruled-hosts")
+    met = sites.select("host", "path").join(broadcastable(ruled), "host").where(F.col("length") <= F.length("path"))
+    met = met.withColumn("rule_path", F.substring(F.col("path"), F.lit(1), F.col("length"))).join(broadcastable(told), ["rule_host", "rule_path"])
+    rule = F.concat("rule_host", "rule_path")
+    best = F.max(F.struct(F.length(rule).alias("a"), F.length("rule_host").alias("b"), F.col("verdict").alias("verdict"), rule.alias("rule")))
+    hits = settle(met.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.struct("best.rule", "best.verdict").alias("hit")), "rule-hits")
+    discard(told, ruled)
+    return seen.join(broadcastable(hits), ["host", "path"], "left")
+
+
+def with_domains(hosts: DataFrame, suffixes) -> DataFrame:
+    """hosts (host and more, one row a host) with domain and suffix."""
+    if not isinstance(suffixes, DataFrame):
+        return hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
+    known = settle(suffixes.select(ascii_lower(F.col("suffix")).alias("entry")).where("entry <> ''").distinct(), "suffixes")
+    size = F.size(F.split("host", "[.]"))
+    each = hosts.select("host", size.alias("size"), F.posexplode(label_suffixes(F.col("host"))).alias("skipped", "name"))
+    parent = F.when(F.col("skipped") + 1 < F.col("size"), F.expr("substring(name, instr(name, '.') + 1)"))
+    # an entry, and how many labels its suffix has
+    own = F.col("size") - F.col("skipped")
+    entries = F.array(F.struct(F.col("name").alias("entry"), own.alias("labels"), F.lit(0).alias("exempt")), F.struct(F.concat(F.lit("*."), parent).alias("entry"), own.alias("labels"), F.lit(0).alias("exempt")), F.struct(F.concat(F.lit("!"), F.col("name")).alias("entry"), (own - 1).alias("labels"), F.lit(1).alias("exempt")))
+    fits = each.select("host", F.inline(entries)).join(broadcastable(known), "entry")
+    most = settle(fits.groupBy("host").agg(F.max(F.struct("exempt", "labels"))["labels"].alias("labels")), "host-suffixes")
+    discard(known)
+    n = F.coalesce("labels", F.lit(1))
+    last = lambda k: F.array_join(F.slice(F.split("host", "[.]"), -F.least(k, size), F.least(k, size)), ".")
+    out = hosts.join(broadcastable(most), "host", "left").withColumns({"domain": last(n + 1), "suffix": last(n)}).drop("labels")
+    out.settled_path = most.settled_path
+    return out
+
+
 def prior_strength(children: DataFrame) -> float:
     """From children with n, k and their parent's mean p (0 < p < 1 counts); one number comes to the driver."""
     spread = F.col("p") * (1 - F.col("p"))
@@ -80,8 +134,9 @@ def prior_strength(children: DataFrame) -> float:
 def reputation(outcomes: DataFrame, prior_bad: float = 0.05, suffixes=OPEN_SUFFIXES) -> DataFrame:
     """host, domain, suffix, n, k, alpha, beta: the posterior of every host of outcomes (host, bad 0/1)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
-    hosts = counted = settle(hosts, "hosts")
+    named = with_domains(hosts, suffixes)
+    hosts = counted = settle(named, "hosts")
+    discard(named)
     n, k = hosts.agg(F.sum("n"), F.sum("k")).first()
     total = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     by_suffix = shrunk(hosts.groupBy("suffix").agg(*total).withColumn("p", F.lit(k / n if n else prior_bad))).select("suffix", F.col("m").alias("p"))
@@ -107,8 +162,11 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: flo
     bound = a / (a + b) - z * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
     bounds = broadcastable(settle(judged.select("host", bound.alias("bad_bound")), "host-bounds"))
     discard(judged)
-    hit = matched_rule(F.col("host"), F.col("path"), rules)
-    return seen.join(bounds, "host", "left").withColumn("hit", hit).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")).alias("verdict"), "bad_bound")
+    if not isinstance(rules, DataFrame) and len(rules) <= MAX_RULES:
+        ruled = seen.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
+    else:
+        ruled = with_hits(seen, rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules))
+    return ruled.join(bounds, "host", "left").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")).alias("verdict"), "bad_bound")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

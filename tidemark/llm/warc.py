@@ -10,8 +10,9 @@ below. An audit compares the roots of two replicas and descends only below nodes
 level but the roots is compared, of a damaged one the children of unequal nodes. Record bytes are hashed where they are
 read, by the offsets of the manifest, so damage to one record doesn't hide the next; only digests are shuffled.
 
-Files are written, and hashed by offset, through pyarrow's file systems (local, HDFS, S3, GCS); read_warc goes through
-Spark, file by file, so its files may have 2 GB at most.
+Files are written, and hashed by offset, through pyarrow's file systems (local, HDFS, S3, GCS; Spark's names of S3 are
+taken as well, whose settings then come from the environment of the workers); read_warc goes through Spark, file by file,
+so its files may have 2 GB at most.
 
 Edge cases: null urls and pages give empty fields, null ids sort first; repeated rows are records of
 their own; records missing from or added to one replica count as damage where positions differ; files in
@@ -55,13 +56,23 @@ def archive(pages: DataFrame, file_bytes: int = 64 << 20, id_col: str = "page_id
     return pages.select(page_id.alias("page_id"), file.alias("file"), record_of(page_id, url, body).alias("record"))
 
 
+#: Names by which Hadoop's connectors call stores that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def file_store(uri: str):
+    """pyarrow's file system of a URI, and the path in it."""
+    from pyarrow import fs
+
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if sep else uri)
+
+
 class Output:
     """Files written one after the other, each under a name of its own until it is whole: a task that is lost leaves none half written."""
 
     def __init__(self, uri: str):
-        from pyarrow import fs
-
-        self.store, self.base = fs.FileSystem.from_uri(uri)
+        self.store, self.base = file_store(uri)
         self.store.create_dir(self.base, recursive=True)
         self.name = self.stream = None
 
@@ -115,9 +126,7 @@ def hashed_ranges(listed: DataFrame, uri: str) -> DataFrame:
     """file, pos, start, length, sha256 of the stored bytes that a replica below uri has at the places of a manifest; a last range for bytes beyond."""
 
     def read(batches):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(uri)
+        store, base = file_store(uri)
         name = source = None
         after = (0, 0)
 
@@ -177,12 +186,12 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         x, y = a[level], b[level].select("file", "at", F.col("digest").alias("other"), F.col("start").alias("start_2"), F.col("stop").alias("stop_2"))
         if wrong is not None:
             below = wrong.select("file", F.explode(F.sequence(F.col("at") * FANOUT, F.col("at") * FANOUT + FANOUT - 1)).alias("at"))
-            below.settled_path = wrong.settled_path
+            below = settle(below, "fixity-below")
             x, y = (side.join(broadcastable(below), ["file", "at"]) for side in (x, y))
         met = x.join(y, ["file", "at"], "full").where(~F.col("digest").eqNullSafe(F.col("other")))
         found = settle(met.select("file", "at", F.coalesce("start", "start_2").alias("start"), F.coalesce("stop", "stop_2").alias("stop")), "fixity-unequal")
         if wrong is not None:
-            discard(wrong)
+            discard(wrong, below)
         wrong = found
         if wrong.isEmpty():
             break
@@ -268,9 +277,7 @@ def copy_with_rot(listed: DataFrame, uri: str, to: str, one_in: int) -> int:
     """A second replica of the files of a manifest, in which one record of one_in has a bit flipped (a stand-in for a second store); its bytes."""
 
     def copy(batches):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(uri)
+        store, base = file_store(uri)
         out, source = Output(to), None
         for batch in slices(batches, 1024):
             copied = 0

@@ -75,3 +75,18 @@ def test_unknown_kinds_and_columns(bars):
     scan.release(made)
     assert not any(os.path.isdir(t.stored_at) for t in made.reads)
     assert scan.add_segmented(bars.limit(0), Panel(), {"x": ("ema", "close", 3)}).count() == 0
+
+
+def test_memory_of_a_task_does_not_grow_with_means_or_rows(spark, bars):
+    """Slices are dealt to tasks by a fixed number, and one sort by stretch serves all means of a round."""
+    scanned = scan.Scan(Panel(), 7)
+    now = scan.sliced(bars, Panel(), 600)
+    plans = []
+    for spans in ((12,), (5, 12, 20, 26)):
+        maps = {f"e{k}": (f"p{k}", f"q{k}") for k in spans}
+        ready = now.withColumns({c: F.lit(0.5) for m in maps.values() for c in m})
+        scanned.together = False
+        plans.append(scanned.mapped(scanned.dealt(ready), maps, [])._jdf.queryExecution().executedPlan().toString())
+    assert plans[0].count("Sort [") == plans[1].count("Sort [") == 2
+    assert all("REPARTITION_BY_NUM" in p and p.count("Exchange") == 1 for p in plans)
+    assert scan.extent(bars, rows=100)[1] == -(-bars.count() // 100)

@@ -6,8 +6,14 @@ ends in one map, those of a series (few: one a slice) are chained by the same me
 mean that its slice begins with. What a row needs of earlier slices besides (the number of values so far, how long the
 last one is ago, the value before) is carried in the same way, so no window holds more than a slice.
 
-Running products fall under what a double holds; rows are therefore cut again into stretches over which a mean decays by
-1e-150. A stretch after another one owes nothing to what came before the latter: at that factor it is below the last bit.
+Running products fall under what a double holds; the rows of a slice are therefore cut again into stretches over which no
+mean decays by more than 1e-150. Stretches are the same for all means of a round, so that rows are sorted once, whatever
+the number of means. Stretches end in a map each, too; those of a series (one in some hundred rows) are chained for a few
+means at a time, in stretches of each mean's own: one after another owes nothing to what came before the latter, which at
+that factor is below the last bit.
+
+A task gets the rows of a slice or of a few: slices are dealt to as many tasks as there are rows for, which Spark is not
+to put together again, since all windows over them take memory at once.
 
 Rows meet what is told of their slices by a join; the rows of each round of means are written to the shared folder, so
 that plans don't grow with the rounds. The last such table stays for the result to read, until release().
@@ -28,18 +34,24 @@ from pyspark.sql import functions as F
 from ..functions.windows import Panel, sdiv
 from ..sources.stored import drop, store
 
-SLICE = "__slice"
+SLICE, STRETCH = "__slice", "__stretch"
+#: Rows of a slice in the densest series, and means that are chained at a time.
+ROWS, TOGETHER = 65_536, 3
 #: A stretch ends where the product of its maps' factors falls below 10 ** -DECADES.
 DECADES = 150
 BEFORE, SO_FAR = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
 
 
-def slice_seconds(df: DataFrame, panel: Panel = Panel(), rows: int = 65_536) -> int:
-    """Seconds of a slice in which the densest series has about so many rows; two totals come to the driver."""
+def extent(df: DataFrame, panel: Panel = Panel(), rows: int = ROWS) -> tuple[int, int]:
+    """Seconds of a slice in which the densest series has about so many rows, and how many tasks have so many; two totals come to the driver."""
     at = F.unix_micros(F.col(panel.date).cast("timestamp")) / 1e6
-    each = df.groupBy(*panel.series).agg(F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).alias("span")).where("span > 0")
-    found = each.agg(F.min(F.col("span") * rows / F.col("n"))).first()[0]
-    return max(1, int(found or 1))
+    each = df.groupBy(*panel.series).agg(F.count(F.lit(1)).alias("n"), (F.max(at) - F.min(at)).alias("span"))
+    found, n = each.agg(F.min(F.when(F.col("span") > 0, F.col("span") * rows / F.col("n"))), F.sum("n")).first()
+    return max(1, int(found or 1)), max(1, math.ceil((n or 0) / rows))
+
+
+def slice_seconds(df: DataFrame, panel: Panel = Panel(), rows: int = ROWS) -> int:
+    return extent(df, panel, rows)[0]
 
 
 def sliced(df: DataFrame, panel: Panel, seconds: int) -> DataFrame:
@@ -49,10 +61,17 @@ def sliced(df: DataFrame, panel: Panel, seconds: int) -> DataFrame:
 class Scan:
     """Windows over the slices of a panel's series, and what goes from slice to slice."""
 
-    def __init__(self, panel: Panel = Panel()):
-        self.panel = panel
+    def __init__(self, panel: Panel = Panel(), tasks: int = 1):
+        self.panel, self.tasks = panel, tasks
         self.part = [*panel.series, SLICE]
         self.made: list[DataFrame] = []
+        self.together = False  # whether the rows of a slice are in one task
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        if self.together:
+            return df
+        self.together = True
+        return df.repartition(self.tasks, *self.part)
 
     def rows(self, frame=SO_FAR, *more: str):
         return Window.partitionBy(*self.part, *more).orderBy(self.panel.date).rowsBetween(*frame)
@@ -60,15 +79,15 @@ class Scan:
     def across(self, frame=BEFORE):
         return Window.partitionBy(*self.panel.series).orderBy(SLICE).rowsBetween(*frame)
 
-    def told(self, each: DataFrame, columns: list[Column]) -> DataFrame:
-        """A row a slice of columns that its rows are to meet, stored."""
-        out = store(each.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(self.part)], *columns), "scan-slices")
+    def told(self, each: DataFrame, columns: list[Column], *more: str) -> DataFrame:
+        """A row a slice (or a stretch, if more names it) of columns that its rows are to meet, stored."""
+        out = store(each.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate([*self.part, *more])], *columns), "scan-slices")
         self.made.append(out)
         return out
 
     def lagged(self, df: DataFrame, columns: Iterable[str]) -> DataFrame:
         """df with __lag_<column>: the value of the row before, whichever slice that is in."""
-        columns = list(columns)
+        df, columns = self.dealt(df), list(columns)
         # slices without rows don't exist, so the slice before is the last one that has some
         one = Window.partitionBy(*self.panel.series).orderBy(SLICE)
         each = df.groupBy(*self.part).agg(*[F.max_by(F.struct(F.col(c).alias("v")), self.panel.date).alias(f"__end_{c}") for c in columns])
@@ -77,10 +96,24 @@ class Scan:
         first = F.row_number().over(w) == 1
         return met.withColumns({f"__lag_{c}": F.when(first, F.col(f"__old_{c}.v")).otherwise(F.lag(c).over(w)) for c in columns}).drop(*[f"__old_{c}" for c in columns])
 
-    def chained(self, df: DataFrame, maps: dict[str, tuple[str, str]], part: list[str], order: str) -> DataFrame:
+    def mapped(self, df: DataFrame, maps: dict[str, tuple[str, str]], last: Iterable[str]) -> DataFrame:
+        """df with its rows' stretches and __a_<name>, __b_<name> for maps (p, q): a row's mean is a times the mean that its stretch begins with, plus b. Of those in last, p is 0 or 1."""
+        decaying = [n for n in maps if n not in last]
+        lost = [F.when(F.col(p) > 10.0**-DECADES, -F.log10(F.col(p))).otherwise(F.lit(2.0 * DECADES)) for p, _ in (maps[n] for n in decaying)]
+        most = F.lit(0.0) if not lost else lost[0] if len(lost) == 1 else F.greatest(*lost)
+        df = df.withColumn(STRETCH, F.floor(F.sum(most).over(self.rows()) / DECADES))
+        own = self.rows(SO_FAR, STRETCH)
+        first = F.row_number().over(own) == 1
+        df = df.withColumns({f"__r_{n}": F.product(F.when(first, F.lit(1.0)).otherwise(F.col(maps[n][0]))).over(own) for n in decaying})
+        out = {f"__a_{n}": F.first(maps[n][0]).over(own) * F.col(f"__r_{n}") for n in decaying} | {f"__b_{n}": F.col(f"__r_{n}") * F.sum(F.col(maps[n][1]) / F.col(f"__r_{n}")).over(own) for n in decaying}
+        for n, (p, q) in ((n, maps[n]) for n in last):
+            out |= {f"__a_{n}": F.min(p).over(own), f"__b_{n}": F.coalesce(F.last(F.when(F.col(p) == 0, F.col(q)), ignorenulls=True).over(own), F.lit(0.0))}
+        return df.withColumns(out).drop(*[f"__r_{n}" for n in decaying])
+
+    def chained(self, df: DataFrame, maps: dict[str, tuple[str, str]], part: list[str], order: list[str]) -> DataFrame:
         """df with __a_<name>, __b_<name> for maps (p, q): a row's mean is a times the mean that its part begins with, plus b."""
-        w = Window.partitionBy(*part).orderBy(order)
-        own = {n: Window.partitionBy(*part, f"__c_{n}").orderBy(order) for n in maps}
+        w = Window.partitionBy(*part).orderBy(*order)
+        own = {n: Window.partitionBy(*part, f"__c_{n}").orderBy(*order) for n in maps}
         lost = {n: F.when(F.col(p) > 10.0**-DECADES, -F.log10(F.col(p))).otherwise(F.lit(2.0 * DECADES)) for n, (p, _) in maps.items()}
         df = df.withColumns({f"__c_{n}": F.floor(F.sum(lost[n]).over(w.rowsBetween(*SO_FAR)) / DECADES) for n in maps})
         df = df.withColumns({f"__r_{n}": F.product(F.when(F.row_number().over(own[n]) == 1, F.lit(1.0)).otherwise(F.col(p))).over(own[n].rowsBetween(*SO_FAR)) for n, (p, _) in maps.items()})
@@ -96,7 +129,7 @@ class Scan:
 
     def means(self, df: DataFrame, wanted: dict[str, tuple[str, float, int]]) -> DataFrame:
         """df with decaying means: name to (column, share of the newest value, values before there is one)."""
-        panel, before = self.panel, self.across()
+        panel, before, df = self.panel, self.across(), self.dealt(df)
         sources = {s: f"__s{i}" for i, s in enumerate(dict.fromkeys(s for s, _, _ in wanted.values()))}
         df = df.withColumn("__row", F.row_number().over(Window.partitionBy(*self.part).orderBy(panel.date)))
         known = {s: F.col(s).isNotNull() & ~F.isnan(F.col(s).cast("double")) for s in sources}
@@ -116,23 +149,32 @@ class Scan:
             columns[f"__k_{name}__"] = F.col(f"__many{k}") + F.count_if(known[s]).over(self.rows()) >= least
             maps[name] = (f"__p_{name}__", f"__q_{name}__")
         df = df.withColumns(columns).drop("__row", "__rows", *[f"__{x}{k}" for k in sources.values() for x in ("last", "many")])
-        df = store(self.chained(df, maps, self.part, panel.date).drop(*[c for m in maps.values() for c in m]), "scan-rows")
+        last = [n for n, (_, share, _) in wanted.items() if share >= 1]
+        df = store(self.mapped(df, maps, last).drop(*[c for m in maps.values() for c in m]), "scan-rows")
+        self.together = False
         drop(*self.made)  # what rows met so far is in them now
         self.made = [df]
-        ends = df.groupBy(*self.part).agg(*[F.max_by(f"__{x}_{n}", panel.date).alias(f"__e{x}_{n}") for n in wanted for x in "ab"])
-        ends = store(ends, "scan-ends")
-        told = self.chained(ends, {n: (f"__ea_{n}", f"__eb_{n}") for n in wanted}, panel.series, SLICE)
-        one = Window.partitionBy(*panel.series).orderBy(SLICE)
-        df = self.met(df, self.told(told, [F.coalesce(F.lag(f"__b_{n}").over(one), F.lit(0.0)).alias(f"__in_{n}") for n in wanted]))
+        ends = store(df.groupBy(*self.part, STRETCH).agg(*[F.max_by(f"__{x}_{n}", panel.date).alias(f"__e{x}_{n}") for n in wanted for x in "ab"]), "scan-ends")
+        order, names = [SLICE, STRETCH], list(wanted)
+        one = Window.partitionBy(*panel.series).orderBy(*order)
+        for some in (names[i : i + TOGETHER] for i in range(0, len(names), TOGETHER)):
+            told = self.chained(ends, {n: (f"__ea_{n}", f"__eb_{n}") for n in some}, panel.series, order)
+            told = told.withColumns({f"__in_{n}": F.coalesce(F.lag(f"__b_{n}").over(one), F.lit(0.0)) for n in some})
+            told = store(told.drop(*[f"__{x}_{n}" for n in some for x in ("a", "b", "ea", "eb")]), "scan-ends")
+            drop(ends)
+            ends = told
+        df = self.met(df, self.told(ends, [F.col(f"__in_{n}") for n in wanted], STRETCH), STRETCH)
         drop(ends)
         out = {n: F.when(F.col(f"__k_{n}__"), F.col(f"__a_{n}") * F.col(f"__in_{n}") + F.col(f"__b_{n}")) for n in wanted}
-        return df.withColumns(out).drop(*[f"__{x}_{n}" for n in wanted for x in ("a", "b", "in")], *[f"__k_{n}__" for n in wanted])
+        return df.withColumns(out).drop(STRETCH, *[f"__{x}_{n}" for n in wanted for x in ("a", "b", "in")], *[f"__k_{n}__" for n in wanted])
 
-    def met(self, df: DataFrame, told: DataFrame) -> DataFrame:
-        same = F.col(SLICE) == F.col(f"__p{len(self.part) - 1}")
+    def met(self, df: DataFrame, told: DataFrame, *more: str) -> DataFrame:
+        same, n = F.col(SLICE) == F.col(f"__p{len(self.part) - 1}"), len(self.part)
         for i, c in enumerate(self.part[:-1]):
             same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
-        return df.join(told, same).drop(*[f"__p{i}" for i in range(len(self.part))])
+        for i, c in enumerate(more, n):
+            same = same & (F.col(c) == F.col(f"__p{i}"))
+        return df.join(told, same).drop(*[f"__p{i}" for i in range(n + len(more))])
 
 
 #: Kinds of recursive.kernel that decaying means make up.
@@ -144,8 +186,9 @@ def add_segmented(df: DataFrame, panel: Panel, wanted: dict[str, tuple], seconds
     odd = {k for k, *_ in wanted.values()} - set(LINEAR)
     if odd:
         raise ValueError(f"no decaying means: {sorted(odd)}")
-    scan, columns = Scan(panel), [*df.columns, *wanted]
-    now = sliced(df, panel, seconds or slice_seconds(df, panel))
+    length, tasks = extent(df, panel)
+    scan, columns = Scan(panel, tasks), [*df.columns, *wanted]
+    now = sliced(df, panel, seconds or length)
     done, left, helpers = set(df.columns), dict(wanted), {}
 
     def moves(source: str) -> tuple[str, str]:

@@ -78,3 +78,26 @@ def test_idle_series_begin_anew(spark, tmp_path):
     want = whole(again)
     np.testing.assert_allclose(got["e"].iloc[10:].astype(float), want["e"].astype(float))
     assert pd.isna(got["e"].iloc[10])
+
+
+def test_a_series_is_held_as_numbers_and_given_out_in_parts():
+    """A batch that holds a whole series takes less than 100 bytes a tick; repeated and late times go."""
+    import tracemalloc
+
+    from tidemark.streaming.means import in_order
+
+    n, size = 300_000, 10_000
+    at = np.datetime64("2024-01-01", "us") + np.random.default_rng(3).permutation(n)
+
+    def batches():
+        for i in range(0, n, size):
+            yield pd.DataFrame({"asset": [f"a{k}" for k in range(size)], "date": at[i : i + size], "price": np.arange(i, i + size, dtype=float)})
+
+    tracemalloc.start()
+    dates, prices = in_order(batches(), None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * n and (np.diff(dates) > np.timedelta64(0)).all() and (at[prices.astype(int)] == dates).all()
+    twice = [pd.DataFrame({"asset": "A", "date": pd.to_datetime(["2024-01-02", "2024-01-01"]), "price": [1.0, 2.0]}), pd.DataFrame({"asset": "A", "date": pd.to_datetime(["2024-01-02", "2023-01-01"]), "price": [3.0, 4.0]})]
+    dates, prices = in_order(iter(twice), pd.Timestamp("2023-06-01"))
+    assert list(prices) == [2.0, 3.0] and len(in_order(iter([]), None)[0]) == 0

@@ -298,3 +298,23 @@ def test_close_scores_fall_into_many_steps(spark):
     want = (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
     assert M.classification_metrics(df).first().roc_auc == pytest.approx(want, abs=1e-12)
     assert M.classification_metrics(df.limit(0)).first().n_obs is None
+
+
+def test_order_panel_sorts_no_whole_table(spark, tmp_path):
+    """First and last lines of a bar, with missing keys and prices and repeated keys; only lines of the outer orders meet an aggregate that sorts."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.panels import order_panel
+
+    day = dt.datetime(2024, 1, 1, 5)
+    rows = [(7, 1, 1, 2.0, 10.0, "O", day), (7, 2, 1, 4.0, 10.0, "F", day), (3, 9, 11, 5.0, 10.0, "O", day), (3, 9, 21, 5.0, 20.0, "O", day), (None, 1, 2, 1.0, 3.0, "O", day), (5, 1, 2, 1.0, 4.0, "O", day), (9, 3, 2, 0.0, 4.0, "F", day), (1, 1, None, 1.0, 6.0, "O", day)]
+    x = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_linestatus string, l_shipdate timestamp_ntz")
+    x.write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = order_panel(spark, str(tmp_path))
+    got = {r.asset: (r.open, r.high, r.low, r.close, r.volume) for r in made.collect()}
+    assert got == {"1": (2.0, 5.0, 2.0, 2.5, 16.0), "2": (3.0, 4.0, 3.0, None, 2.0), None: (6.0, 6.0, 6.0, 6.0, 1.0)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and all("min_by" in line for line in plan.splitlines() if "SortAggregate" in line)
+    assert made.where(F.col("date").isNull()).count() == 0

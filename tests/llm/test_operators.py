@@ -1,6 +1,7 @@
 """The corpus operators against brute force and on edge cases; small tables only."""
 
 import hashlib
+import os
 import re
 import string
 import zlib
@@ -591,6 +592,43 @@ def test_many_languages(spark):
     assert len(few) == 7 and np.bincount(labels).max() <= 4
 
 
+@pytest.mark.parametrize("hot", [4, neardup.HOT])
+def test_met_nodes_equal_brute_force(spark, hot, monkeypatch):
+    """Keys of one node, of several, of copies alone and of many rows; the shared keys are shuffled however few they are, so that the cost follows the input."""
+    rows = [(k % 7 if k % 3 else k, k % 5 * (k % 2), k) for k in range(120)] + [(1000, 9, i) for i in range(20)] + [(1001, i % 2, i) for i in range(20)]
+    nodes = defaultdict(set)
+    for key, fp, _ in rows:
+        nodes[key].add(fp)
+    want = {(k, fp) for k, fps in nodes.items() if len(fps) > 1 for fp in fps}
+    plans, settle = {}, neardup.settle
+
+    def seen(df, name, *a):
+        plans[name] = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        return settle(df, name, *a)
+
+    monkeypatch.setattr(neardup, "settle", seen)
+    keyed = spark.createDataFrame(rows, "key long, fp1 long, fp2 long")
+    met, found = neardup.met_nodes(keyed, neardup.shared_keys(keyed.select("key"), "met"), "met", hot)
+    assert sorted(map(tuple, met.select("key", "fp1").collect())) == sorted(want) and met.columns == ["key", "fp1"]
+    assert sorted(r.fp1 for r in found.collect()) == sorted({fp for _, fp in want})
+    assert "SortMergeJoin" in plans["met-several"] and (hot == 4) == ("BroadcastHashJoin" in plans["met-several"])
+
+
+def test_repeated_passages_free_what_is_read(spark, docs, monkeypatch):
+    """Keys, anchors and shared keys are gone before the texts are fetched."""
+    there, settle, store = [], substrings.settle, spark.conf.get("spark.checkpoint.dir")
+
+    def seen(df, name, *a):
+        if name.endswith("-fetched"):
+            run = name.removesuffix("-fetched")
+            there.extend(x.removeprefix(run) for x in os.listdir(store) if x.startswith(run))
+        return settle(df, name, *a)
+
+    monkeypatch.setattr(substrings, "settle", seen)
+    assert substrings.repeated_spans(docs).count()
+    assert any(x.startswith("-lines") for x in there) and not [x for x in there if re.match("-(pieces|shared|hits|first|several)-", x)]
+
+
 def test_a_document_with_several_texts_links_both(spark):
     a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
     rows = [(1, a), (2, b), (5, a + " tail"), (5, b + " tail"), (9, "apart from all that"), (None, a)]

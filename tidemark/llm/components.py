@@ -155,7 +155,7 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     alike, of the columns carry of both sides (ending in _a and _b), rules out pairs in the search itself.
     crowded(nodes (id, c: component), name), if given, finds the pairs of nodes that share a key of many: all that may be links.
     whole: of both texts so many places as of their sets must agree, as confirm() sees to for the others.
-    texts has id and text.
+    texts has id and text. met, if it is a settled table, is deleted once it has been read.
     """
     rows = met.count()
     star = met.where((F.col("id") > F.col("low")) & similar_enough("n", "n_low", percent)).select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
@@ -167,6 +167,7 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     split = few_tasks(placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")), rows).where("c1 < c2").select("key")
     known = few_tasks(placed.join(split, "key").join(sizes, F.col("c") == F.col("big"), "left"), rows).select("key", "id", "n", *carry, "c", F.coalesce("size", F.lit(0)).alias("size"))
     known = settle(known, f"{name}-known")
+    discard(met)
 
     big = few_tasks(known.where("size > 0").select("key", F.col("c").alias("big"), F.col("size").alias("big_size")).distinct(), rows)
     asked = known.join(big, "key").where((F.col("c") != F.col("big")) & ((F.col("size") < F.col("big_size")) | ((F.col("size") == F.col("big_size")) & (F.col("c") > F.col("big")))))
@@ -181,6 +182,7 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     # a pair meets under many keys; only the least of those it shares brings it forth
     own = few_tasks(loose.groupBy("id", "n", "c", *carry).agg(F.collect_set("key").alias("keys")), rows)
     mixed = settle(own.select("id", "n", "c", *carry, "keys", F.explode("keys").alias("key")), f"{name}-mixed")
+    discard(known)
     x, y = (mixed.select("key", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("n", "c", "keys", *carry)]) for i in "ab")
     apart = (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar_enough("n_a", "n_b", percent)
     if alike is not None:

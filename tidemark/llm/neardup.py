@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcastable, discard_all, few_tasks, row_key, settle, slices, table, tidied
+from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table, tidied
 from .components import components, crowded_pairs, link_collisions
 from .shingles import mixed, mostly_in, shingle_list, shingle_set, word_hashes
 
@@ -44,6 +44,8 @@ BUCKETS = 1 << BUCKET_BITS
 LENDERS = np.stack([np.random.default_rng(1000 + i).permutation(BUCKETS) for i in range(BUCKETS)]).astype(np.uint8)
 PRINTS = "doc_id long, rid long, n int, fp1 long, fp2 long, regs binary"
 FP = ["fp1", "fp2"]
+#: Rows of a key, copies included, from which they are not gathered in one task before copies have become one.
+HOT = 1 << 16
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -178,16 +180,31 @@ def confirmed(pairs: DataFrame, quoted: DataFrame, n: int, percent: int, name: s
 
 
 def shared_keys(keys: DataFrame, name: str) -> DataFrame:
-    """The keys that occur more than once: all that is shuffled of the others is the key."""
-    return settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), f"{name}-shared")
-
-
-def met_nodes(keyed: DataFrame, shared: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """met (key, fp1, fp2) of the keys that several nodes of keyed (key, fp1, fp2) share, and those nodes; both settled."""
-    met = settle(keyed.join(broadcastable(shared), "key").select("key", *FP).distinct(), f"{name}-several")
+    """The keys that occur more than once, and how often (c): all that is shuffled of the others is the key."""
+    return settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{name}-shared")
+
+
+def met_nodes(keyed: DataFrame, shared: DataFrame, name: str, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """met (key, fp1) of the keys that several nodes of keyed (key, fp1) share, and the fp1 of those nodes; both settled.
+
+    Half of a fingerprint is moved: nodes that have it in common are still told apart by the whole one when they get their
+    ids, and one more of them under a key only makes pairs that are not confirmed. A key that no others share is missed
+    if two nodes agree in that half, with odds of 2^-64 a pair. Shared keys grow with the texts, so that keyed is
+    shuffled at every size; the few keys of hot rows or more are broadcast, and their copies become one where they are read.
+    """
+    free_shuffles(keyed.sparkSession)
+    often = settle(few_tasks(shared.where(F.col("c") >= hot).select("key"), 1), f"{name}-often")
+    crowds = not often.isEmpty()
+    rest = keyed.join(broadcastable(often), "key", "left_anti") if crowds else keyed
+    met = rest.join(shared.where(F.col("c") < hot).select("key").hint("merge"), "key").select("key", "fp1").distinct()
+    if crowds:
+        met = met.unionAll(keyed.join(broadcastable(often), "key").select("key", "fp1").distinct())
+    met = settle(met, f"{name}-several")
+    free_shuffles(keyed.sparkSession)
     several = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    met = settle(met.join(several, "key"), f"{name}-keyed")
-    return met, settle(few_tasks(met.select(*FP).distinct(), met.count()), f"{name}-nodes")
+    out = settle(met.join(several, "key"), f"{name}-keyed")
+    discard(met, shared)
+    return out, settle(few_tasks(out.select("fp1").distinct(), out.count()), f"{name}-nodes")
 
 
 def numbered(firsts: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
@@ -199,7 +216,9 @@ def with_least(met: DataFrame, told: DataFrame, rows: int, name: str) -> DataFra
     """met (key, id) with the columns of told (id, n and others), and low and n_low, the least node of the key."""
     whole = settle(few_tasks(met.join(broadcastable(told), "id"), rows), f"{name}-told")
     least = few_tasks(whole.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m")), rows).select("key", F.col("m.id").alias("low"), F.col("m.n").alias("n_low"))
-    return settle(few_tasks(whole.join(least, "key"), rows), f"{name}-met")
+    out = settle(few_tasks(whole.join(least, "key"), rows), f"{name}-met")
+    discard(whole)
+    return out
 
 
 def one_document(pairs: DataFrame, name: str) -> DataFrame:
@@ -222,17 +241,16 @@ def search(docs: DataFrame, n: int, percent: int, run: str) -> tuple[DataFrame,
     def bands(batches):
         for batch in slices(batches, 2048):
             if batch.num_rows:
-                keys = band_keys(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS))
-                fps = (np.repeat(np.asarray(batch.column(c)), BANDS) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, fps)], ["key", *FP])
+                keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS))], ["key", "fp1"])
 
-    keyed = sets.select(*FP, "regs").mapInArrow(bands, "key long, fp1 long, fp2 long")
+    keyed = sets.select("fp1", "regs").mapInArrow(bands, "key long, fp1 long")
     met, nodes = met_nodes(keyed, shared_keys(keyed.select("key"), run), run)
     rows = met.count()
-    firsts = sets.join(broadcastable(nodes), FP).groupBy(*FP).agg(F.min(F.struct("doc_id", "rid")).alias("p"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    firsts = sets.join(broadcastable(nodes), "fp1").groupBy(*FP).agg(F.min(F.struct("doc_id", "rid")).alias("p"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     told = numbered(firsts, f"{run}-known")
     ids = settle(told.select("id", *FP), f"{run}-ids")
-    met = met.join(broadcastable(ids), FP).select("key", "id")
+    met = met.join(broadcastable(ids), "fp1").select("key", "id")
     place = settle(told.select("id", "p.rid", "p.doc_id"), f"{run}-place")
     quoted = settle(texts.join(broadcastable(place), ["rid", "doc_id"]).select("id", "text").dropDuplicates(["id"]), f"{run}-quoted", "zstd")
     signed = with_least(met, settle(register_bytes(told), f"{run}-signs"), rows, run)

@@ -207,22 +207,24 @@ def asked_texts(texts: DataFrame, asked: DataFrame, run: str) -> DataFrame:
     return some.join(asked.withColumnsRenamed({"doc_id": "asked_id", "rid": "asked_rid"}), own).drop("asked_id", "asked_rid")
 
 
-def met_paragraphs(cut: DataFrame, run: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """met (key, id), places (id and p, the first place of each node) and ids (id, fp1, fp2) of paragraphs that share a band with others."""
+def met_paragraphs(cut: DataFrame, run: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """met (key, fp1), places (id and p, the first place of each node) and ids (id, fp1, fp2) of paragraphs that share a band with others, and what later steps need of cut, which is deleted."""
     shared = shared_keys(cut.select(F.explode(F.flatten("keys")).alias("key")), run)
-    keyed = rows_of(cut, [], "fp1", "fp2", "keys").select(*FP, F.explode("keys").alias("key"))
+    keyed = rows_of(cut, [], "fp1", "keys").select("fp1", F.explode("keys").alias("key"))
     met, nodes = met_nodes(keyed, shared, run)
+    lines = settle(cut.drop("keys", "anchor_at", "anchor"), f"{run}-lines")
+    discard(cut)
     place = F.min(F.struct("doc_id", "at", "until", "rid")).alias("p")
-    places = numbered(rows_of(cut, ["doc_id", "rid"], "at", "until", "fp1", "fp2").join(broadcastable(nodes), FP).groupBy(*FP).agg(place), f"{run}-places")
-    ids = settle(places.select("id", *FP), f"{run}-ids")
-    return met.join(broadcastable(ids), FP).select("key", "id"), places, ids
+    places = numbered(rows_of(lines, ["doc_id", "rid"], "at", "until", "fp1", "fp2").join(broadcastable(nodes), "fp1").groupBy(*FP).agg(place), f"{run}-places")
+    return met, places, settle(places.select("id", *FP), f"{run}-ids"), lines
 
 
 def linked_paragraphs(met: DataFrame, quoted: DataFrame, ids: DataFrame, percent: int, run: str) -> DataFrame:
     """fp1, fp2, c1, c2: paragraphs that are similar to others but not equal, and the fingerprint that stands for their component."""
     rows = met.count()
     told = settle(few_tasks(quoted.select("id", "n", *SIGNS), rows), f"{run}-signs")
-    signed = with_least(met, told, rows, run)
+    signed = with_least(met.join(broadcastable(ids), "fp1").select("key", "id"), told, rows, run)
+    discard(met, told)
     written, texts = quoted.select("id", "text", *SIGNS), quoted.select("id", "text")
 
     def confirm(pairs: DataFrame, at: str) -> DataFrame:
@@ -272,8 +274,11 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
     """doc_id, rid and CHAIN of anchors that stand in an earlier document too."""
     anchors = cut.select("doc_id", "rid", F.posexplode(F.arrays_zip("anchor_at", "anchor")).alias("k", "z")).select("doc_id", "rid", "k", F.col("z.anchor_at").alias("at"), F.col("z.anchor").alias("fp"))
     shared = settle(anchors.select("fp", "doc_id").groupBy("fp").agg(*in_several()).where("several").drop("several"), f"{run}-shared")
+    free_shuffles(cut.sparkSession)
     # both sides grow with the texts: a shuffle at every size
     hits = settle(anchors.join(shared.hint("merge"), "fp"), f"{run}-hits", "zstd")
+    discard(shared)
+    free_shuffles(cut.sparkSession)
     first = hits.where(F.col("doc_id").eqNullSafe(F.col("source"))).groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("p"))
     first = settle(first.select("fp", F.col("p.rid").alias("there_rid"), F.col("p.at").alias("there")), f"{run}-first")
     copies = hits.where(~F.col("doc_id").eqNullSafe(F.col("source"))).join(first.hint("merge"), "fp")
@@ -288,7 +293,7 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(c, k) for c, k in zip(flat, kinds)]], ["doc_id", "rid", *CHAIN_COLUMNS])
 
     out = settle(by_row.mapInArrow(link, f"doc_id long, rid long, {CHAIN}"), f"{run}-chains")
-    discard(shared, hits, first)
+    discard(hits, first)
     return out
 
 
@@ -417,13 +422,13 @@ def repeated_spans(docs: DataFrame, percent: int = 80, min_words: int = 8, min_r
     cut = settle(pieces_of(texts, max(min_words, SHINGLE)), f"{run}-pieces", "zstd")
     found = anchored_chains(cut, run)
     free_shuffles(docs.sparkSession)
-    met, places, ids = met_paragraphs(cut, run)
+    met, places, ids, lines = met_paragraphs(cut, run)
     contexts, quoted = fetched(texts, found, places, run)
     free_shuffles(docs.sparkSession)
     anchored = settle(verbatim_marks(found, contexts, run), f"{run}-extended")
     discard(contexts, found)
     free_shuffles(docs.sparkSession)
-    paragraphs = repeated_paragraphs(cut, linked_paragraphs(met, quoted, ids, percent, run), run)
+    paragraphs = repeated_paragraphs(lines, linked_paragraphs(met, quoted, ids, percent, run), run)
 
     def runs(batches):
         for batch in slices(batches):

@@ -6,7 +6,9 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +128,18 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def text_slices(batches, *columns: int, most: int = 1 << 20, rows: int = 4096):
+    """Arrow batches in slices whose texts, of these columns, hold so many bytes at most, or of one row: arrays over all words of a slice stay small."""
+    for batch in batches:
+        ends = np.cumsum(sum(np.asarray(pc.binary_length(batch.column(c)).fill_null(0)).astype(np.int64) for c in columns))
+        at = 0
+        while at < batch.num_rows:
+            until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            until = min(max(at + 1, until), at + rows)
+            yield batch.slice(at, until - at)
+            at = until
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 

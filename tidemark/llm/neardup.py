@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table, tidied
+from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table, text_slices, tidied
 from .components import components, crowded_pairs, link_collisions
-from .shingles import mixed, mostly_in, shingle_list, shingle_set, word_hashes
+from .shingles import mixed, shingle_set, similar_pairs, word_hashes
 
 BUCKET_BITS, MANTISSA_BITS, BANDS, ROWS = 7, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
@@ -160,17 +160,9 @@ def confirmed(pairs: DataFrame, quoted: DataFrame, n: int, percent: int, name: s
     sides = [quoted.select(*[F.col(c).alias({"id": x}.get(c, f"{c}_{x}")) for c in quoted.columns]) for x in "ab"]
 
     def verify(batches):
-        hashes, last, known = word_hashes(), None, None
-        for batch in slices(batches, 128):
-            keep = []
-            for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                if b != last:
-                    last, known = b, shingle_set(text_b.encode(), n, hashes)
-                own = shingle_set(text_a.encode(), n, hashes)
-                shared = len(own) + len(known) - len(np.union1d(own, known))
-                alike = 100 * shared >= percent * (len(own) + len(known) - shared)
-                keep.append(alike and (not whole or mostly_in(shingle_list(text_a.encode(), n, hashes), shingle_list(text_b.encode(), n, hashes), percent)))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+        for batch in text_slices(batches, 2, 3):
+            keep = similar_pairs(batch.column(2), batch.column(3), np.asarray(batch.column(1)), n, percent, whole)
+            yield batch.filter(pa.array(keep)).select([0, 1])
 
     left = few_tasks(pairs.join(sides[0], "a"), rows, size)
     met = left.join(sides[1], "b")

@@ -44,10 +44,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table, tidied
+from .common import broadcastable, discard, discard_all, few_tasks, free_shuffles, row_key, settle, slices, table, text_slices, tidied
 from .components import crowded_pairs, link_collisions
 from .neardup import FP, confirmed, equal_bytes, met_nodes, numbered, shared_keys, with_least
-from .shingles import mixed, shingle_set, word_hashes
+from .shingles import BLANK, chained, mixed, ranges, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 12, 2
@@ -91,14 +91,6 @@ def anchor_positions(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return chosen, whole[chosen]
 
 
-def shingle_hashes(w: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = w[: len(w) - SHINGLE + 1] + np.uint64(SHINGLE)
-        for i in range(1, SHINGLE):
-            h = mixed(h) * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - SHINGLE + 1 + i]
-        return mixed(h)
-
-
 def band_keys(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(sets, BANDS) keys of sets of shingle hashes laid end to end, which begin at starts; repeats don't matter."""
     out = np.empty((len(starts), BANDS), np.uint64)
@@ -113,14 +105,16 @@ def band_keys(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 #: Columns of a signature; eight bytes each.
 SIGNS = tuple(f"s{i}" for i in range(8))
-SALTS = np.array([0x632BE59BD9B4E019 * (101 + k) % 2**64 for k in range(8 * len(SIGNS))], np.uint64)[:, None]
+SALTS = np.array([0x632BE59BD9B4E019 * (101 + k) % 2**64 for k in range(8 * len(SIGNS))], np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """A byte of each of 64 min-hashes of a set that isn't empty, as integers."""
+def signatures(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(sets, SIGNS) bytes of 64 min-hashes, eight to an integer, of sets of shingle hashes laid end to end, which begin at starts; repeats don't matter."""
+    out = np.empty((len(starts), len(SALTS)), np.uint8)
     with np.errstate(over="ignore"):
-        least = mixed(shingles + SALTS).min(1)
-    return (least & np.uint64(255)).astype(np.uint8).view(np.int64)
+        for k, salt in enumerate(SALTS):
+            out[:, k] = np.minimum.reduceat(mixed(own + salt), starts) & np.uint64(255)
+    return out.view(np.int64)
 
 
 def alike(percent: int):
@@ -143,26 +137,16 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
     def cut(batches):
         import xxhash
 
-        hashes = word_hashes()
-        for batch in slices(batches, 64):
-            if not batch.num_rows:
-                continue
-            words, base, edges, counts, text_ends = [], 0, [], [], []
-            for text in batch.column(2).to_pylist():
-                found = 0
-                for line in text.encode().lower().split(b"\n"):
-                    own = line.split()
-                    words += map(hashes.__getitem__, own)
-                    if len(own) >= min_words:
-                        edges.append((base, base + len(own)))
-                        found += 1
-                    base += len(own)
-                counts.append(found)
-                text_ends.append(base)
-            w, text_ends = np.array(words, np.uint64), np.array(text_ends)
+        for batch in text_slices(batches, 2):
+            words = words_of(batch.column(2))
+            w, text_ends = words.hashes, words.ends
             text_starts = np.concatenate([[0], text_ends[:-1]])
-            edge, of = np.array(edges, np.int64).reshape(-1, 2), np.repeat(np.arange(len(counts)), counts)
-            h = shingle_hashes(w) if len(w) >= SHINGLE else np.zeros(0, np.uint64)
+            line_ends = np.searchsorted(words.starts, np.union1d(np.flatnonzero(words.data == 10), words.edges))
+            edge = np.stack([np.concatenate([[0], line_ends[:-1]]), line_ends], 1)
+            edge = edge[edge[:, 1] - edge[:, 0] >= min_words]
+            of = np.searchsorted(text_ends, edge[:, 0], side="right")
+            counts = np.bincount(of, minlength=batch.num_rows)
+            h = chained(w, SHINGLE) if len(w) >= SHINGLE else np.zeros(0, np.uint64)
             if len(edge):  # shingles that are not among the three before them
                 new = np.ones(len(h), np.int64)
                 for k in range(1, LEAST_SHINGLES):
@@ -175,8 +159,7 @@ def pieces_of(texts: DataFrame, min_words: int) -> DataFrame:
             keys = np.zeros((0, BANDS), np.uint64)
             if len(edge):
                 sizes = edge[:, 1] - edge[:, 0] - SHINGLE + 1
-                ends = np.cumsum(sizes)
-                keys = band_keys(h[np.repeat(edge[:, 0] - ends + sizes, sizes) + np.arange(ends[-1])], ends - sizes)
+                keys = band_keys(h[ranges(edge[:, 0], sizes)], np.cumsum(sizes) - sizes)
             at, anchors = anchor_positions(h, text_ends)
             anchor_of = np.searchsorted(text_ends, at, side="right")
             n_anchors = np.bincount(anchor_of, minlength=len(counts))
@@ -250,20 +233,20 @@ def repeated_paragraphs(cut: DataFrame, linked: DataFrame, run: str) -> DataFram
     return marked.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("at", "until", "source")).alias("marks"))
 
 
-def chains(hits: list[dict]) -> list[tuple]:
-    """(source, its row, first and last place here, first and last place there) of neighbouring anchors at equal distances, from hits in order of k.
+def chains(hits: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of rows of hits (k, at, source, there_rid, there): the row of each chain, and its source, the source's row, first and last place here, first and last place there. A chain is neighbouring anchors at equal distances.
 
     Anchors of a verbatim stretch are WINDOW words apart at most, so that they cover it; where they are further apart (those of periodic text were dropped) another chain begins.
     """
-    out, last = [], None
-    for h in sorted(hits, key=lambda h: h["k"]):
-        where = (h["source"], h["there_rid"], h["at"] - h["there"])
-        if last and last["k"] + 1 == h["k"] and tuple(out[-1][:2]) == where[:2] and last["at"] - last["there"] == where[2] and h["at"] - last["at"] <= WINDOW:
-            out[-1][3], out[-1][5] = h["at"], h["there"]
-        else:
-            out.append([h["source"], h["there_rid"], h["at"], h["at"], h["there"], h["there"]])
-        last = h
-    return out
+    row = np.repeat(np.arange(len(hits)), np.asarray(hits.value_lengths().fill_null(0)))
+    k, at, source, there_rid, there = hits.flatten().flatten()
+    order = np.lexsort((np.asarray(k), row))
+    row, source, there_rid = row[order], source.take(pa.array(order)), np.asarray(there_rid)[order]
+    k, at, there = (np.asarray(x).astype(np.int64)[order] for x in (k, at, there))
+    told = (row, k - np.arange(len(k)), np.asarray(source.is_null()), np.asarray(source.fill_null(0)), there_rid, at - there)
+    on = np.all([x[1:] == x[:-1] for x in told], axis=0) & (at[1:] - at[:-1] <= WINDOW)
+    first, last = np.flatnonzero(np.concatenate([[True], ~on])[: len(k)]), np.flatnonzero(np.concatenate([~on, [True]])[: len(k)])
+    return row[first], [source.take(pa.array(first)), pa.array(there_rid[first]), *[pa.array(x[p].astype(np.int32)) for x in (at, there) for p in (first, last)]]
 
 
 CHAIN = "source long, there_rid long, first int, last int, there_first int, there_last int"
@@ -286,20 +269,21 @@ def anchored_chains(cut: DataFrame, run: str) -> DataFrame:
 
     def link(batches):
         for batch in slices(batches):
-            found = [chains(h) for h in batch.column(2).to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            flat = list(zip(*[c for x in found for c in x])) or [()] * len(CHAIN_COLUMNS)
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(c, k) for c, k in zip(flat, kinds)]], ["doc_id", "rid", *CHAIN_COLUMNS])
+            row, columns = chains(batch.column(2))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in range(2)], *columns], ["doc_id", "rid", *CHAIN_COLUMNS])
 
     out = settle(by_row.mapInArrow(link, f"doc_id long, rid long, {CHAIN}"), f"{run}-chains")
     discard(hits, first)
     return out
 
 
-def word_codes(words: list[bytes], hashes) -> np.ndarray:
-    """Four bytes a word: two words are taken for one with odds of 2e-10."""
-    return np.array(list(map(hashes.__getitem__, words)), np.uint64).astype(np.uint32)
+def runs_of(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """values from each start up to its stop, as their bytes."""
+    sizes = stops - starts
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    if ends[-1] >= 1 << 31:
+        raise OverflowError("runs of 2 GB")
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values[ranges(starts, sizes)])])
 
 
 def fetched(texts: DataFrame, found: DataFrame, places: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
@@ -311,29 +295,36 @@ def fetched(texts: DataFrame, found: DataFrame, places: DataFrame, run: str) ->
     asked = settle(asked.groupBy("doc_id", "rid").agg(F.collect_set("place").alias("places"), F.collect_list("span").alias("spans")), f"{run}-asked")
 
     def fetch(batches):
-        hashes = word_hashes()
-        for batch in slices(batches, 64):
-            row, at, left, right, ids, quotes = [], [], [], [], [], []
-            for r, (places, spans, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
-                words = text.encode().lower().split()
-                if places:
-                    codes = word_codes(words, hashes)
-                    for x in places:
-                        row.append(r)
-                        at.append(x)
-                        left.append(codes[max(0, x - WINDOW + 1) : x + ANCHOR].tobytes())
-                        right.append(codes[x : x + ANCHOR + WINDOW - 1].tobytes())
-                ids += [s["id"] for s in spans]
-                quotes += [b" ".join(words[s["at"] : s["until"]]) for s in spans]
-            sets = [shingle_set(q, SHINGLE, hashes) for q in quotes]
-            signs = np.array([signature(s) for s in sets], np.int64).reshape(-1, len(SIGNS))
+        for batch in text_slices(batches, 4):
+            words = words_of(batch.column(4))
+            text_starts = np.concatenate([[0], words.ends[:-1]])
+            # four bytes a word: two words are taken for one with odds of 2e-10
+            codes = words.hashes.astype(np.uint32)
+            row, of = (np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(c).value_lengths().fill_null(0))) for c in (2, 3))
+            at = np.asarray(batch.column(2).flatten()).astype(np.int64)
+            x, start, end = text_starts[row] + at, text_starts[row], words.ends[row]
+            left = runs_of(codes, np.maximum(start, x - WINDOW + 1), np.minimum(end, x + ANCHOR), pa.binary())
+            right = runs_of(codes, x, np.minimum(end, x + ANCHOR + WINDOW - 1), pa.binary())
+            ids, *edge = batch.column(3).flatten().flatten()
+            edge = [np.asarray(e).astype(np.int64) + text_starts[of] for e in edge]
+            # one blank between words, whatever stands there
+            kept = ~BLANK[words.data]
+            kept[1:] |= kept[:-1]
+            spaced, place = np.where(BLANK, 32, np.arange(256)).astype(np.uint8)[words.data[kept]], np.cumsum(kept)
+            quotes = runs_of(spaced, place[words.starts[edge[0]]] - 1, place[words.stops[edge[1] - 1] - 1], pa.string())
+            sizes = edge[1] - edge[0] - SHINGLE + 1
+            own, owner = chained(words.hashes, SHINGLE)[ranges(edge[0], sizes)] if len(ids) else np.zeros(0, np.uint64), np.repeat(np.arange(len(ids)), sizes)
+            signs = signatures(own, np.cumsum(sizes) - sizes) if len(ids) else np.zeros((0, len(SIGNS)), np.int64)
+            order = np.lexsort((own, owner))
+            own, owner = own[order], owner[order]
+            n = np.bincount(owner[np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])])[: len(own)])], minlength=len(ids))
             row, a, b = pa.array(row, pa.int32()), len(row), len(ids)
             blank = lambda n, t: pa.nulls(n, t)
             both = lambda x, y: pa.concat_arrays([x, y])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[both(batch.column(c).take(row), blank(b, pa.int64())) for c in range(2)], both(pa.array(at, pa.int32()), blank(b, pa.int32())), *[both(pa.array(x, pa.binary()), blank(b, pa.binary())) for x in (left, right)],
-                    both(blank(a, pa.int64()), pa.array(ids, pa.int64())), both(blank(a, pa.string()), pa.array([q.decode() for q in quotes], pa.string())), both(blank(a, pa.int32()), pa.array([len(s) for s in sets], pa.int32())),
+                    *[both(batch.column(c).take(row), blank(b, pa.int64())) for c in range(2)], both(pa.array(at.astype(np.int32)), blank(b, pa.int32())), *[both(x, blank(b, pa.binary())) for x in (left, right)],
+                    both(blank(a, pa.int64()), ids), both(blank(a, pa.string()), quotes), both(blank(a, pa.int32()), pa.array(n.astype(np.int32))),
                     *[both(blank(a, pa.int64()), pa.array(np.ascontiguousarray(signs[:, i]))) for i in range(len(SIGNS))],
                 ],
                 ["doc_id", "rid", "place", "left", "right", "id", "text", "n", *SIGNS],

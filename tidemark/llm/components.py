@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a grouped minimum (summed up before the shuffle) and a join back, whose hot nodes Spark
-splits; every result is written to the shared folder, so a lost executor never replays the loop. Nodes
-and edges stay in tables; the driver sees one row of totals a round.
+splits; every result is written to the shared folder, so a lost executor never replays the loop. Edges that
+are stars already, each on its least node, need no further round. Nodes and edges stay in tables; the driver
+sees one row of totals a round, and keeps Spark's record of every plan: steps without rows are left out.
 """
 
 from __future__ import annotations
@@ -33,23 +34,24 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     return few_tasks(hung.where("u > v").distinct(), rows)
 
 
-def _totals(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _shape(edges: DataFrame) -> tuple:
+    """How many edges (u, v) there are, and how many nodes keep them from being stars: those that hang on several, or hang and are hung on."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hung"), F.lit(0).alias("centre")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("hung"), F.lit(1).alias("centre")))
+    nodes = ends.groupBy("x").agg(F.sum("hung").alias("hung"), F.max("centre").alias("centre"))
+    return tuple(nodes.agg(F.coalesce(F.sum("hung"), F.lit(0)), F.count_if(F.col("hung") + F.col("centre") > 1)).first())
 
 
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """id, component (the least id that it reaches) for every id in an edge; self-loops and repeats don't matter."""
     now = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), f"{name}-edges")
-    before = None
-    while (totals := _totals(now)) != before:
-        before = totals
-        if not totals[0]:
-            break
-        step = settle(_star(_star(now, True, totals[0]), False, totals[0]), f"{name}-edges")
-        discard(now)
+    while (shape := _shape(now))[1]:
+        # the small star reads its edges twice: in one plan the large star would stand there twice, and the driver keeps what it shows of plans
+        large = settle(_star(now, True, shape[0]), f"{name}-large")
+        step = settle(_star(large, False, shape[0]), f"{name}-edges")
+        discard(now, large)
         now = step
     ids = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return few_tasks(ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), 2 * totals[0])
+    return few_tasks(ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), 2 * shape[0])
 
 
 def similar_enough(a: str, b: str, percent: int):
@@ -172,11 +174,14 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     big = few_tasks(known.where("size > 0").select("key", F.col("c").alias("big"), F.col("size").alias("big_size")).distinct(), rows)
     asked = known.join(big, "key").where((F.col("c") != F.col("big")) & ((F.col("size") < F.col("big_size")) | ((F.col("size") == F.col("big_size")) & (F.col("c") > F.col("big")))))
     asked = settle(few_tasks(asked.select("id", "big").distinct(), rows), f"{name}-asked")
-    across_big = links_to_big(asked, found, sizes, texts, percent, shingle, f"{name}-big", whole)
+    across_big = None if asked.isEmpty() else links_to_big(asked, found, sizes, texts, percent, shingle, f"{name}-big", whole)
 
     loose = known.where("size = 0")
     if crowded is not None:
         hot = settle(few_tasks(loose.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= CROWD).select("key"), rows), f"{name}-hot")
+        if hot.isEmpty():
+            crowded = None
+    if crowded is not None:
         many = settle(few_tasks(loose.join(broadcastable(hot), "key").select("id", "c").distinct(), rows), f"{name}-many")
         loose = loose.join(broadcastable(hot), "key", "left_anti")
     # a pair meets under many keys; only the least of those it shares brings it forth
@@ -191,5 +196,7 @@ def link_collisions(met: DataFrame, percent: int, confirm, name: str, texts: Dat
     if crowded is not None:
         across = across.unionAll(crowded(many, f"{name}-crowded"))
     rest = across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(rest, "2")).unionAll(across_big)
+    links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(rest, "2"))
+    if across_big is not None:
+        links = links.unionAll(across_big)
     return settle(components(links, "a", "b", f"{name}-2"), f"{name}-final")
